@@ -7,9 +7,11 @@ from auditloom.registry import Registry
 REGISTRY = Registry()
 
 from auditloom.llm import (  # noqa: E402
+    queries_markup,
+    queries_media,
     queries_mix,
     queries_pieces,
 )
 
-for module in (queries_pieces, queries_mix):
+for module in (queries_markup, queries_media, queries_mix, queries_pieces):
     module.register(REGISTRY)
