@@ -22,7 +22,7 @@ from auditloom.llm.markup import BLOCKS, Node, attributes, tree
 
 ROW = 576
 _MAGIC = b"\x89PNG\r\n\x1a\n"
-SEQUENCE = T.ArrayType(T.StructType().add("position", "int").add("kind", "string").add("text", "string").add("ref", "string"))
+SEQUENCE = T.ArrayType(T.StructType().add("position", T.IntegerType()).add("kind", "string").add("text", "string").add("ref", "string"))
 
 
 def padded(payload: bytes) -> bytes:
