@@ -11,7 +11,9 @@ from auditloom.llm import (  # noqa: E402
     queries_media,
     queries_mix,
     queries_pieces,
+    queries_pivots,
+    queries_spans,
 )
 
-for module in (queries_markup, queries_media, queries_mix, queries_pieces):
+for module in (queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans):
     module.register(REGISTRY)

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words (in each of two generations) and pairs that a task keeps.
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", with_ids
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *new])
 
     schema = docs.select(*kept).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("round_trip", "boolean"), *[("ids", "array<int>")] * with_ids):
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("round_trip", "boolean"), *[("ids", T.ArrayType(T.IntegerType()))] * with_ids):
         schema = schema.add(name, kind)
     return docs.select(*kept).mapInArrow(run, schema)
 

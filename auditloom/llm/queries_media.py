@@ -14,7 +14,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = media.read_back(media.store(docs, "text"))
     sequences = media.interleave(media.documents_as_pages(docs, "doc_id", "text")).drop("html")
     rows = media.resolve(sequences, known)
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def register(registry: Registry) -> None:
