@@ -13,7 +13,8 @@ from auditloom.llm import (  # noqa: E402
     queries_pieces,
     queries_pivots,
     queries_spans,
+    queries_toxicity,
 )
 
-for module in (queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans):
+for module in (queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_toxicity):
     module.register(REGISTRY)
