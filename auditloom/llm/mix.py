@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import cut, plain
 
 #: Rows that one bucket of the shuffled order holds about; its running sums are one task's work.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def words(text: Column) -> Column:
