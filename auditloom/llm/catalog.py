@@ -8,6 +8,7 @@ REGISTRY = Registry()
 
 from auditloom.llm import (  # noqa: E402
     queries_chat,
+    queries_jaccard,
     queries_markup,
     queries_media,
     queries_mix,
@@ -17,5 +18,5 @@ from auditloom.llm import (  # noqa: E402
     queries_toxicity,
 )
 
-for module in (queries_chat, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_toxicity):
+for module in (queries_chat, queries_jaccard, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_toxicity):
     module.register(REGISTRY)
