@@ -15,8 +15,9 @@ from auditloom.llm import (  # noqa: E402
     queries_pieces,
     queries_pivots,
     queries_spans,
+    queries_suffixes,
     queries_toxicity,
 )
 
-for module in (queries_chat, queries_jaccard, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_toxicity):
+for module in (queries_chat, queries_jaccard, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_suffixes, queries_toxicity):
     module.register(REGISTRY)
