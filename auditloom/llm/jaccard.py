@@ -220,7 +220,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
 
 
 def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.995, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row its key, class_id (the least key of its group), copy_id (the least key with an equal set), n_copies (rows with an equal set, this one included), n_links (other rows whose set is at least as similar as `similarity`), is_first (true for one row a group).
+    """For each row its key, class_id (the least key of its group), copy_id (the least key with an equal set), n_copies (rows with an equal set, this one included), n_links (other rows whose set is at least as similar as `similarity`), is_first (true for one row a group, and for rows that repeat it in key and text), and row, a hash of key and text.
 
     Sets are those of the runs of `size` words. Rows whose sets are equal are one class, compared once and never paired
     with each other; a group is a connected component of links. Links are found with probability `recall` at least if
@@ -232,14 +232,14 @@ def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float
     base = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     known = cut(described(base, "text", size, runs * DEPTH))
     tokens_of = [f"t{i}" for i in range(runs * DEPTH)]
-    classes = cut(known.groupBy("cls", "size", *tokens_of).agg(F.min("row").alias("row"), F.min("key").alias("least"), F.count("*").alias("copies")))
+    classes = cut(known.groupBy("cls", "size", *tokens_of).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("least"), F.count("*").alias("copies")).withColumn("row", F.col("least.row")))
     found = cut(leaves(classes, runs))
     near = cut(links(base, found, classes, size, similarity, runs))
     roots = components(near.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     sums = near.groupBy("cls").agg(F.sum("weight").alias("weight"))
     per = classes.select("cls", "least", "copies").join(sums, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    per = cut(per.select("cls", F.col("least").alias("copy_id"), "copies", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "cls").alias("root")))
-    groups = cut(per.groupBy("root").agg(F.min("copy_id").alias("class_id")))
+    per = cut(per.select("cls", "least", "copies", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("root", "cls").alias("root")))
+    groups = cut(per.groupBy("root").agg(F.min("least").alias("first")))
     # cut, so that a class with very many copies can be split over tasks by the join
-    answer = cut(per.join(groups, "root").select(F.col("cls").alias("_cls"), "class_id", "copy_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")))
-    return known.select("row", "key", "cls").join(answer, F.col("cls") == F.col("_cls")).select("row", F.col("key").alias(key), "class_id", "copy_id", "n_copies", "n_links", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"))
+    answer = cut(per.join(groups, "root").select(F.col("cls").alias("_cls"), F.col("first.key").alias("class_id"), F.col("first.row").alias("first_row"), F.col("least.key").alias("copy_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")))
+    return known.select("row", "key", "cls").join(answer, F.col("cls") == F.col("_cls")).select("row", F.col("key").alias(key), "class_id", "copy_id", "n_copies", "n_links", (F.col("row") == F.col("first_row")).alias("is_first"))

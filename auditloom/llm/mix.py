@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
         .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
         .withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
         .withColumn("fits", F.col("level") * F.col("weight") <= F.col("size") * F.lit(float(most)))
-        .withColumn("level", F.min(F.when(F.col("fits"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("fits"), F.col("level"))).over(every))
     )
     cap = F.col("size") * F.lit(float(most))
     return level.select("source", "size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap).alias("target"))

@@ -18,7 +18,7 @@ turns AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(sou
 levels AS (
   SELECT *, (sum(size) OVER () * 1.5::DOUBLE - coalesce(sum(size * 2) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM turns WINDOW w AS (ORDER BY size / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goal AS (SELECT source, size AS source_size, coalesce(least(size * 2, weight * min(level) FILTER (level * weight <= size * 2) OVER ()), size * 2) AS target FROM levels),
+goal AS (SELECT source, size AS source_size, coalesce(least(size * 2, weight * max(level) FILTER (level * weight <= size * 2) OVER ()), size * 2) AS target FROM levels),
 placed AS (
   SELECT d.*, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
   FROM docs d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
