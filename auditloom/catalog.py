@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.plans import evaluation
 from auditloom.registry import Registry
 
 REGISTRY = Registry()
+for _module in (evaluation,):
+    _module.register(REGISTRY)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
