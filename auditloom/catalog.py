@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import evaluation, review
+from auditloom.plans import evaluation, grids, review
 from auditloom.registry import Registry
 
 REGISTRY = Registry()
-for _module in (evaluation, review):
+for _module in (evaluation, review, grids):
     _module.register(REGISTRY)
 
 
