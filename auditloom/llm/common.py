@@ -38,3 +38,11 @@ def plain(name: str, taken: list[str]) -> str:
     while name.lower() in {x.lower() for x in taken}:
         name = f"_{name}"
     return name
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that clash neither with those taken nor with each other."""
+    out: list[str] = []
+    for name in names:
+        out.append(plain(name, [*taken, *out]))
+    return out

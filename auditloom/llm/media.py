@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import partitions
+from auditloom.llm.common import fresh, partitions
 from auditloom.llm.markup import BLOCKS, Node, attributes, tree
 
 ROW = 576
@@ -200,8 +200,9 @@ def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
     """
     new = {"position", "caption", "ref", *(c.lower() for c in found.columns)}
     kept = [c for c in sequences.columns if c != "sequence" and c.lower() not in new]
-    items = sequences.select(*kept, F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("_item"))
-    flat = items.select(*kept, F.col("_item.position").alias("position"), F.col("_item.text").alias("caption"), F.col("_item.ref").alias("ref"))
+    (item,) = fresh(kept, "_item")
+    items = sequences.select(*kept, F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias(item))
+    flat = items.select(*kept, F.col(f"{item}.position").alias("position"), F.col(f"{item}.text").alias("caption"), F.col(f"{item}.ref").alias("ref"))
     return flat.join(found, "ref", "left").select(*kept, "position", "caption", "ref", *[c for c in found.columns if c != "ref"])
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, plain
+from auditloom.llm.common import cut, fresh
 
 #: Rows that one bucket of the shuffled order holds about; its running sums are one task's work.
 BUCKET_ROWS = 1_000
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """
     new = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c.lower() not in new]
-    id_name = plain("row", kept)
+    id_name, k, s, r = fresh([*kept, *new], "_row", "_k", "_s", "_r")
     shuffled = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
     base = docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), shuffled.alias("hash"),
@@ -104,15 +104,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     taken = truncated(copies, budget, buckets).groupBy("key", "source", "row").agg(F.sum("size").alias("taken"))
     result = placed.join(taken.select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("row").alias("_r"), "taken"), F.col("key").eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r")), "left")
     result = result.select("key", "source", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    if set(kept) <= {key, source}:
-        back = result.withColumn("n", F.lit(1)).drop("n")
-        again = slim.filter("n > 1").select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("row").alias("_r"), (F.col("n") - 1).cast("int").alias("n"))
-        more = back.join(again, F.col("key").eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r"))).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        whole = back.unionByName(more.select(*back.columns))
-        return whole.select(F.col("key").alias(key), *[F.col("source").alias(source)] * (source in kept), *new)
     own = docs.select(*kept, F.xxhash64(key, text).alias(id_name))
-    right = result.select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("row").alias("_r"), *new)
-    return own.join(right, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col(id_name) == F.col("_r"))).select(*kept, *new)
+    right = cut(result.select(F.col("key").alias(k), F.col("source").alias(s), F.col("row").alias(r), *new))
+    return own.join(right, F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(id_name) == F.col(r))).select(*kept, *new)
 
 
 def _few(goal: DataFrame, most: int = 10_000) -> bool:

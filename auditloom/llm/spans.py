@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import partitions
+from auditloom.llm.common import fresh, partitions
 
 #: A sentence ends after . ! or ? (or their CJK forms) before white space, after a CJK form, or with a line.
 _END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\s*[\r\n]+\s*")
@@ -128,8 +128,10 @@ def dedup(docs: DataFrame, several: int = 3, words: int = 15, long: int = 40, ke
     new = ["n_sentences", "n_removed", "n_chars_removed"]
     kept = [c for c in docs.columns if c.lower() not in new]
     at = kept.index(text)
-    hits = repeated(docs, key, text, several, words, long).groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_hits"))
-    both = docs.select(*kept, F.xxhash64(key, text).alias("_row_of")).join(hits, F.col("_row_of") == F.col("_row"), "left").select(*kept, F.col("_hits.first").alias("_first"), F.col("_hits.last").alias("_last"))
+    mine, theirs, found = fresh([*kept, *new], "_mine", "_theirs", "_found")
+    hits = repeated(docs, key, text, several, words, long).groupBy(F.col("_row").alias(theirs)).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(found))
+    both = docs.select(*kept, F.xxhash64(key, text).alias(mine)).join(hits, F.col(mine) == F.col(theirs), "left")
+    both = both.select(*kept, F.col(f"{found}.first").alias(mine), F.col(f"{found}.last").alias(theirs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

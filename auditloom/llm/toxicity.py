@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut
+from auditloom.llm.common import cut, fresh
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a window at most.
@@ -97,8 +97,8 @@ class Distances:
         return out
 
 
-def _counted(docs: DataFrame, text: str, toxic: bytes, ordinary: bytes, thresholds: tuple[int, ...]) -> DataFrame:
-    """Adds counts, the windows of each text that reach each threshold."""
+def _counted(docs: DataFrame, text: str, toxic: bytes, ordinary: bytes, thresholds: tuple[int, ...], names: list[str]) -> DataFrame:
+    """Replaces text by counts: the windows of each text that reach each threshold."""
     kept, at = [c for c in docs.columns if c != text], docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +110,12 @@ def _counted(docs: DataFrame, text: str, toxic: bytes, ordinary: bytes, threshol
                 for t in batch.column(at).to_pylist():
                     found = known.of(windows(t))
                     counts.append([sum(d >= x for d in found) for x in thresholds] if found and max(found) >= thresholds[0] else [0] * len(thresholds))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(docs_columns)) if i != at), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(thresholds)))], names=[*kept, *(f"_n{x}" for x in thresholds)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(docs_columns)) if i != at), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(thresholds)))], names=[*kept, *names])
 
     docs_columns = docs.columns
     schema = docs.select(*kept).schema
-    for x in thresholds:
-        schema = schema.add(f"_n{x}", "long")
+    for x in names:
+        schema = schema.add(x, "long")
     return docs.mapInArrow(run, schema)
 
 
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic = [r["word"] for r in seen_in.filter(F.col("gain") >= least).orderBy(F.col("gain").desc(), "word").limit(toxic_words).collect()]
     ordinary = [r["word"] for r in seen_in.filter((F.col("other") >= 1) & (F.col("gain") < least / 2)).orderBy(F.col("other").desc(), "word").limit(ordinary_words).collect()]
     contents = [b"".join(map(coded, reversed(x))) for x in (toxic, ordinary)]  # the likeliest words last, where matches are cheap
-    other = _counted(rows.filter("NOT first").select("label", "text"), "text", *contents, THRESHOLDS).collect()  # at most 2 * sample rows of counts
+    other = _counted(rows.filter("NOT first").select("label", "text"), "text", *contents, THRESHOLDS, [f"_n{x}" for x in THRESHOLDS]).collect()  # at most 2 * sample rows of counts
     y = np.array([r["label"] for r in other], float)
     if not len(y) or y.min() == y.max():
         rate = share[1] / (share[0] + share[1])
@@ -203,8 +203,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     independent: repeated rows get equal scores, nothing is shuffled. New columns replace columns of the same names.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "n_windows_hit")]
-    hits = f"_n{model.threshold}"
-    counted = _counted(docs.select(*kept, F.col(text).alias("_scored")), "_scored", model.toxic, model.ordinary, (model.threshold,))
+    scored, hits = fresh([*kept, "score", "predicted", "n_windows_hit"], "_scored", f"_n{model.threshold}")
+    counted = _counted(docs.select(*kept, F.col(text).alias(scored)), scored, model.toxic, model.ordinary, (model.threshold,), [hits])
     a, b, c = (F.lit(w) for w in model.weights)
     line = a + b * (F.col(hits) > 0).cast("double") + c * F.log1p(F.col(hits).cast("double"))
     value = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
