@@ -26,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, partitions
+from auditloom.llm.common import cut, partitions, stored
 
 KEY, GRAM = 48, 16
 #: Suffixes in a run.
 RUN = 150_000
 #: Different territories of one key in one run that are sent on as suffixes; where there are more, all go to step 3 at once.
 SENT = 8
-#: Different territories of one key that one group compares; where there are more, their windows are exchanged by digest.
+#: Different territories of one key that one group compares; larger groups are split by longer strings.
 GROUP = 200
 _SHIFT = np.uint64(32)
 _POSITION = np.uint64((1 << 28) - 1)
@@ -329,59 +329,46 @@ def squeezed(slim: DataFrame) -> DataFrame:
 
 
 def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """(row, first, last) of repeated windows in territories that share a key with others but not all their bytes."""
+    """(row, first, last) of repeated windows in territories that share a key with others but not all their bytes.
+
+    Territories of one group are brought together with their bytes and compared window by window. A group of more than
+    GROUP is never brought together: its territories are cut in two by the anchor's place in the window, and each half
+    gets a new group by what all its windows have in common, which is a longer string. So groups fall apart until they
+    are small, or a half is a single window, where being in one group is being equal.
+    """
     n = partitions(small.sparkSession)
-    crowded = cut(open_.groupBy(F.col("grp").alias("_grp")).count().filter(F.col("count") > GROUP).select("_grp", F.lit(True).alias("crowded")))
-    marked = open_.join(crowded, F.col("grp") == F.col("_grp"), "left")
-    at = marked.groupBy("row").agg(F.collect_set(F.struct("grp", "first", "last", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("at"))
+    at = open_.groupBy("row").agg(F.collect_set(F.struct("grp", "first", "last", "anchor")).alias("at"))
     texts = small.join(at.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("row", "data", "at")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["grp", "high", "row", "first", "last", "data"]
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    names = ["grp", "row", "first", "last", "anchor", "low", "high", "data"]
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", data binary"
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            low, high, row, first = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            order = np.lexsort((first, row, high, low))
-            low, high, row, first = low[order], high[order], row[order], first[order]
-            new = np.ones(len(low), bool)
-            new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            twice = ~new | np.append(~new[1:], False)
-            known = [(None, None, r, a, b, None) for r, a, b in joined(list(zip(row[twice].tolist(), first[twice].tolist(), first[twice].tolist())))]
-            return table(known + [(x, y, r, a, a, None) for x, y, r, a in zip(low[new].tolist(), high[new].tolist(), row[new].tolist(), first[new].tolist())])
-
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 rows = []
                 for row, data, at in zip(*(whole.slice(start, 200).column(i).to_pylist() for i in range(3))):
                     data = d.decompress(data)
-                    for x in at:
-                        cut_out = data[x["first"] : x["last"] + length]
-                        if not x["crowded"]:
-                            rows.append((x["grp"], 0, row, x["first"], x["last"], cut_out))
-                        else:
-                            b = np.frombuffer(cut_out, np.uint8)
-                            low, high = rolled(b, length).view(np.int64), rolled(b, length, 0x8EBC6AF09C88C6E3).view(np.int64)
-                            parts.append((low, high, np.full(len(low), row), np.arange(x["first"], x["last"] + 1)))
-                            held += len(low)
+                    rows += [(x["grp"], row, x["first"], x["last"], x["anchor"], 0, length - KEY, data[x["first"] : x["last"] + length]) for x in at]
                 yield table(rows)
-                if held > 500_000:
-                    yield flush()
-                    held = 0
-        if parts:
-            yield flush()
 
-    # what a task knows already goes along, spread by row
-    dealt = texts.mapInArrow(deal, "grp long, high long, row long, first long, last long, data binary")
-    spread = dealt.withColumn("to", F.coalesce("grp", "row")).withColumn("also", F.coalesce("high", F.lit(0)))
-    sent = spread.repartition(n, "to", "also").sortWithinPartitions("grp", "high", "row", "first").select(*names)
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                rows = []
+                for grp, row, first, last, anchor, low, high, data in zip(*(whole.slice(start, 1000).column(i).to_pylist() for i in range(8))):
+                    mid = (low + high) // 2
+                    for lo, hi in ((low, mid), (mid + 1, high)):
+                        a, b = max(first, anchor - hi), min(last, anchor - lo)  # starts with the anchor lo to hi bytes behind them
+                        if a <= b:
+                            core = data[anchor - lo - first : anchor - hi + length - first]
+                            group = xxhash.xxh3_64_intdigest(core, seed=lo * length + hi) - (1 << 63)
+                            rows.append((group, row, a, b, anchor, lo, hi, data[a - first : b - first + length]))
+                yield table(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -390,10 +377,7 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
         def solve() -> None:
             if len(held) < 2:
                 return
-            if held[0][5] is None:  # windows of one digest
-                out.extend(x[2:5] for x in held)
-                return
-            hashes = [rolled(np.frombuffer(x[5], np.uint8), length) for x in held]
+            hashes = [rolled(np.frombuffer(x[4], np.uint8), length) for x in held]
             every = np.concatenate(hashes)
             owner, first = np.repeat(np.arange(len(held)), list(map(len, hashes))), np.concatenate([np.arange(len(h)) for h in hashes])
             _, group, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -405,7 +389,7 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             new[1:] = (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(hit)) - 1
-            out.extend((held[i][2], held[i][3] + x, held[i][3] + y) for i, x, y in zip(o[a].tolist(), f[a].tolist(), f[b].tolist()))
+            out.extend((held[i][1], held[i][2] + x, held[i][2] + y) for i, x, y in zip(o[a].tolist(), f[a].tolist(), f[b].tolist()))
 
         def table_out() -> pa.RecordBatch:
             rows = joined(out)
@@ -413,11 +397,8 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], names=["row", "first", "last"])
 
         for batch in batches:
-            for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if x[0] is None:
-                    out.append(x[2:5])
-                    continue
-                if held and held[0][:2] != x[:2]:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and held[0][0] != x[0]:
                     solve()
                     held.clear()
                 held.append(x)
@@ -426,7 +407,22 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
         solve()
         yield table_out()
 
-    return sent.mapInArrow(meet, "row long, first long, last long")
+    left, found = stored(texts.mapInArrow(deal, schema)), []
+    while True:
+        # cut, so that a group with very many territories can be split over tasks by the joins
+        crowded = cut(left.groupBy(F.col("grp").alias("_grp")).count().filter(F.col("count") > GROUP).select("_grp"))
+        same = F.col("grp") == F.col("_grp")
+        few = left.join(crowded, same, "left_anti").repartition(n, "grp").sortWithinPartitions("grp", "row", "first")
+        found.append(few.select("grp", "row", "first", "last", "data").mapInArrow(meet, "row long, first long, last long"))
+        if crowded.isEmpty():
+            break
+        many = left.join(crowded, same, "left_semi")
+        found.append(many.filter("low = high").select("row", "first", "last"))
+        left = stored(many.filter("low < high").mapInArrow(halve, schema))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -450,7 +446,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     runs = one.filter("part IS NOT NULL").repartition(partitions(spark), "part").sortWithinPartitions("part")
     two = cut(step_two(runs))
     told = one.filter("part IS NULL").unionByName(two)
-    open_ = told.filter("grp IS NOT NULL").select("row", "first", "last", "grp")
+    open_ = told.filter("grp IS NOT NULL").select("row", "first", "last", "anchor", "grp")
     whole = told.filter("part IS NULL AND grp IS NULL").select("row", "first", "last")
     rest = step_three(squeezed(slim), open_, length)
     hits = whole.unionByName(rest).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("hits"))

@@ -168,7 +168,7 @@ def test_suffixes(spark, docs, empty, length, monkeypatch):
         texts.append(b[: random.randrange(len(b))] + a[i:j] + prose(8))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = bytes_left([t.encode() for t in texts], length)
-    for group in (200, 2):  # the second exchanges windows by digest
+    for group in (200, 2):  # the second splits groups down to single windows
         monkeypatch.setattr(suffixes, "GROUP", group)
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(df, length).collect()}
         assert [got[i] for i in range(len(texts))] == want
