@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import evaluation, grids, logs, review
+from auditloom.plans import evaluation, extraction, grids, logs, review
 from auditloom.registry import Registry
 
 REGISTRY = Registry()
-for _module in (evaluation, review, grids, logs):
+for _module in (evaluation, review, grids, logs, extraction):
     _module.register(REGISTRY)
 
 

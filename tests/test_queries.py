@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.catalog import REGISTRY
+from auditloom.functions import text
 from auditloom.functions.scores import alcohol_class, brand_class
 from auditloom.operators import grids, logs, review
 
@@ -73,6 +74,20 @@ def test_failure_classes(spark):
     assert case(spark, state="LOW_CONFIDENCE", ambiguous=True, detected=True) == ("correct-uncertainty", "parser-failure")
 
 
+def test_statements(spark):
+    cases = {"12.5% by vol": ("direct", 1250, 1250), "ALC. 12,50 %  VOL.": ("direct", 1250, 1250), "alcohol 13 by volume": ("direct", 1300, 1300), "12% alc/vol": ("direct", 1200, 1200), "alc 11% to 14% by vol.": ("range", 1100, 1400), "14-11% by vol": ("malformed", None, None), "80 proof": ("proof", None, None), "12.555% by vol": ("malformed", None, None), "101% by vol": ("malformed", None, None), "about 12% by vol": ("malformed", None, None), "12": ("malformed", None, None)}
+    got = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", text.statement(F.col("t")).alias("s")).select("t", "s.*").collect()
+    assert {r["t"]: (r["kind"], r["low"], r["high"]) for r in got} == cases | {None: ("malformed", None, None)}
+
+
+def test_brands_and_texts(spark):
+    rows = [("Acme, Inc.", "acme"), ("ACME  L.L.C.", "acme"), ("Co Cellars", "co cellars"), ("Inc.", "inc."), ("O’Neil Co.", "o'neil"), ("Plain", "plain")]
+    got = spark.createDataFrame(rows, "b string, k string").select(text.brand_key(F.col("b")).alias("got"), "k").collect()
+    assert all(r["got"] == r["k"] for r in got)
+    r = spark.range(1).select(text.canonical(F.lit(" It’s, A-B!\u00a0C ")).alias("c"), text.millilitres(F.lit("Bottle 0.75 L x")).alias("m"), text.similarity(F.lit("kitten"), F.lit("sitting")).alias("s")).first()
+    assert (r["c"], r["m"], r["s"]) == ("it's a-b c", 750.0, 0.57)
+
+
 def test_multiset_diff_keeps_counts(spark):
     rows = [(i % 3, random.choice(["parent", "child"]), random.choice("xy"), random.choice("abcde")) for i in range(300)]
     panels = spark.createDataFrame(rows, "submission_id long, side string, role string, checksum string")
