@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from auditloom.catalog import REGISTRY
 from auditloom.functions import text
 from auditloom.functions.scores import alcohol_class, brand_class
-from auditloom.operators import grids, logs, review
+from auditloom.operators import extraction, grids, logs, review, sealing
+from auditloom.sources import tables
+from auditloom.streaming import review as streams
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -129,3 +132,72 @@ def test_funnel_never_rises(spark):
     assert [n for _, n in got] == sorted((n for _, n in got), reverse=True)
 
 
+
+
+def stream_of(spark, tmp_path, df):
+    """Rows in order of the first column, a third a micro-batch."""
+    n = df.count()
+    low = df.agg(F.min(df.columns[0])).first()[0]
+    for i in range(3):
+        at = F.floor((F.col(df.columns[0]) - low) * 3 / n)
+        df.filter(F.least(at, F.lit(2)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in order of their times
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streams_agree_with_batch(spark, tmp_path):
+    rows = [(i, i % 13, random.choice("ab"), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, idem_key long, request_hash string, recorded_at long")
+    one = {(r["event_id"], r["outcome"]) for r in logs.idempotent_ingest(df).collect()}
+    assert {(r["event_id"], r["outcome"]) for r in streams.drained(streams.idempotent_ingest(stream_of(spark, tmp_path, df))).collect()} == one
+
+
+def test_review_stream(spark, tmp_path):
+    rows = [(0, 1, "claim"), (1, 1, "claim"), (2, 1, "changes_requested"), (3, 1, "claim"), (4, 1, "waiting_for_agent_review"), (5, 1, "claim"), (6, 1, "release"), (7, 1, "internally_accepted"), (8, 1, "claim"), (9, 1, "internally_accepted"), (10, 1, "claim"), (11, 2, "release")]
+    df = spark.createDataFrame([(*r, r[0]) for r in rows], "event_id long, submission_id long, action string, recorded_at long")
+    got = {r["event_id"]: (r["outcome"], r["version"]) for r in streams.drained(streams.review_state(stream_of(spark, tmp_path, df))).collect()}
+    assert [got[i] for i in range(12)] == [("accepted", 1), ("already_claimed", 1), ("accepted", 2), ("not_waiting", 2), ("accepted", 3), ("accepted", 4), ("accepted", 5), ("not_claimed", 5), ("accepted", 6), ("accepted", 7), ("closed", 7), ("not_claimed", 0)]
+
+
+def test_head_stream(spark, tmp_path):
+    rows = [(1, 1, "a", ""), (1, 2, "b", "a"), (1, 3, "c", "a"), (1, 4, "d", "b"), (2, 1, "x", "y")]
+    df = spark.createDataFrame(rows, "log_key long, sequence long, entry_id string, names string")
+    got = {r["entry_id"]: r["outcome"] for r in streams.drained(streams.append_head(stream_of(spark, tmp_path, df.select("sequence", "log_key", "entry_id", "names")))).collect()}
+    assert got == {"a": "accepted", "b": "accepted", "c": "stale", "d": "accepted", "x": "stale"}
+
+
+def test_manifest_and_report(spark, tmp_path):
+    good = '{"version": "v1", "records": [{"id": "a", "sha256": "' + "0" * 64 + '", "bytes": 1}, {"id": null, "sha256": "' + "1" * 64 + '", "bytes": 2}, {"id": "c", "sha256": "x", "bytes": 3}]}'
+    (tmp_path / "m").mkdir()
+    for name, body in (("a.json", good), ("b.json", '{"version": "v2", "records": []}'), ("c.json", "{broken")):
+        (tmp_path / "m" / name).write_text(body)
+    records, issues = tables.read_manifest(spark, str(tmp_path / "m"), "v1")
+    assert [r["id"] for r in records.collect()] == ["a"]
+    assert Counter(r["issue"] for r in issues.collect()) == {"no_id": 1, "bad_digest": 1, "wrong_version": 1, "unreadable": 1}
+    found = {r["name"]: r for r in tables.artifact_inventory(spark, str(tmp_path / "m")).collect()}
+    assert found["a.json"]["bytes"] == len(good) and found["a.json"]["kind"] == "other"
+    tables.write_report({"part": spark.range(3)}, str(tmp_path / "r"), "run1")
+    tables.write_report({"part": spark.range(2)}, str(tmp_path / "r"), "run2")
+    assert {(r["run_id"], r["count"]) for r in spark.read.parquet(str(tmp_path / "r/part")).groupBy("run_id").count().collect()} == {("run1", 3), ("run2", 2)}
+    tables.write_changed_csv(spark.range(2), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_seal_moves_with_any_row(spark):
+    df = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    one = sealing.seal(df, "id").first()["seal"]
+    assert sealing.seal(df.repartition(9), "id").first()["seal"] == one
+    assert sealing.seal(df.withColumn("sha256", F.when(F.col("id") == 77, F.lit("x")).otherwise(F.col("sha256"))), "id").first()["seal"] != one
+
+
+def test_lines_are_grouped_first_fit(spark):
+    words = [(c, i, float(random.randrange(400)), float(random.randrange(200))) for c in range(3) for i in range(40)]
+    df = spark.createDataFrame([(c, i, x, y, x + 10, y + 10) for c, i, x, y in words], "case_id int, word_ix int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["case_id"], r["word_ix"]): r["line"] for r in extraction.group_lines(df).collect()}
+    for case in range(3):
+        starts: list[float] = []
+        for _, i, _, y in sorted((w for w in words if w[0] == case), key=lambda w: (w[3] + 5, w[2], w[1])):
+            fits = [k for k, s in enumerate(starts) if abs(y + 5 - s) <= 20]
+            if not fits:
+                starts.append(y + 5)
+            assert got[case, i] == (fits[0] if fits else len(starts) - 1)
