@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import evaluation, extraction, grids, logs, review, sources
+from auditloom.plans import checks, evaluation, extraction, grids, logs, review, sources
 from auditloom.registry import Registry
 
 REGISTRY = Registry()
-for _module in (evaluation, review, grids, logs, extraction, sources):
+for _module in (evaluation, review, grids, logs, extraction, sources, checks):
     _module.register(REGISTRY)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditloom.catalog import REGISTRY
 from auditloom.functions import text
 from auditloom.functions.scores import alcohol_class, brand_class
-from auditloom.operators import extraction, grids, logs, review, sealing
+from auditloom.operators import checks, extraction, grids, logs, review, sealing
 from auditloom.sources import tables
 from auditloom.streaming import review as streams
 
@@ -201,3 +201,17 @@ def test_lines_are_grouped_first_fit(spark):
             if not fits:
                 starts.append(y + 5)
             assert got[case, i] == (fits[0] if fits else len(starts) - 1)
+
+
+def test_word_components(spark):
+    boxes = [(c, 100 * c + i, x, y, x + 0.04, y + 0.03) for c in range(2) for i in range(40) for x, y in [(random.random() * 0.9, random.random() * 0.9)]]
+    got = {r["id"]: r["component"] for r in checks.word_components(spark.createDataFrame(boxes, "case_id int, id int, x0 double, y0 double, x1 double, y1 double"), 0.02, 16).collect()}
+    root = {b[1]: b[1] for b in boxes}
+    changed = True
+    while changed:
+        changed = False
+        for a in boxes:
+            for b in boxes:
+                if a[0] == b[0] and max(b[2] - a[4], a[2] - b[4]) <= 0.02 and max(b[3] - a[5], a[3] - b[5]) <= 0.02 and root[a[1]] > root[b[1]]:
+                    root[a[1]], changed = root[b[1]], True
+    assert got == root
