@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +95,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     Query rows are those whose key is divisible by `every`. Ties go to the smaller vec_id; fewer rows than k give fewer
     results. Rows that repeat a key are rows of their own: each is a candidate for the others, and of query rows with
     one key, the results are merged under their key with rank over all (equal rows give equal scores). Vectors meet
-    only vectors of their own dimension. Query blocks meet candidate blocks through an equi-join on block numbers: a
-    block of BLOCK vectors is sent once for each block of QUERIES queries, rows themselves are never paired by Spark.
+    only vectors of their own dimension. Query blocks meet candidate blocks through an equi-join on the cells of a grid of
+    tasks: blocks are sent to the cells of their row or column, rows themselves are never paired by Spark.
     """
     spark = vectors.sparkSession
     packed = cut(blocks(vectors, key, vector, scale))
@@ -114,9 +115,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     sizes = counts.select("_dim", F.ceil(F.col("count") / F.lit(QUERIES)).cast("long").alias("groups"))
     dealt = queries.join(sizes, F.col("dim") == F.col("_dim")).withColumn("group", F.pmod(F.xxhash64("block", "place"), F.col("groups")))
     asked = dealt.groupBy("dim", "group").agg(F.collect_list(F.struct("block", "place", "key", "cells")).alias("queries"))
-    sent = packed.join(sizes, F.col("dim") == F.col("_dim")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    # A grid of tasks, `across` parts of the candidates by `down` parts of the queries. Candidates are sent `down` times and
+    # queries `across` times; as queries are one in `every`, the volume is least where across / down is `every`.
     n = partitions(spark)
-    pairs = sent.repartition(n, "block", "group").select("block", "dim", "group", "ids", "cells").join(asked, ["dim", "group"])
+    across = min(n, math.ceil(math.sqrt(n * every)))
+    down = max(1, n // across)
+    sent = packed.withColumn("i", F.pmod(F.xxhash64("block"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    grid = asked.withColumn("j", F.pmod(F.col("group"), F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    pairs = sent.select("i", "j", "block", "dim", "ids", "cells").join(grid, ["dim", "i", "j"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
