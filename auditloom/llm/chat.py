@@ -91,7 +91,8 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     results = m.filter(is_result).groupBy("conv", "call_id").agg(F.min(F.struct("seq", "content", "role")).alias("result"), F.count("*").alias("n_results"))
     # the order needs identifiers alone: no content goes through its rounds
     order = m.filter(is_call).groupBy("conv", "call_id").agg(F.min(F.struct("seq", "name", "arguments", "after")).alias("call")).select("conv", "call_id", F.col("call.after").alias("after"))
-    both = calls.join(results, ["conv", "call_id"], "full").join(positions(order), ["conv", "call_id"], "left")
+    # positions join first: behind a full join all content would be exchanged once more
+    both = calls.join(positions(order), ["conv", "call_id"], "left").join(results, ["conv", "call_id"], "full")
     kind = F.when(F.col("call").isNull(), "orphan_result").when(F.col("result").isNull(), "no_result").otherwise("linked")
     issues = F.when(F.col("call").isNotNull(), argument_issues(F.col("call.name"), F.col("call.arguments"), schemas)).otherwise(F.array(F.lit("orphan")))
     issues = F.when(F.col("call").isNotNull() & F.col("position").isNull(), F.array_append(issues, F.lit("cycle"))).otherwise(issues)
