@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if not text[a:b].isspace()]
 
 
-def spans(text: str, several: int, words: int, long: int) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, first sentence, last sentence) of every span: from each sentence the shortest run of at least `several` sentences with at least `words` words, or of at least `long` words. White space inside a sentence counts as one space."""
+def spans(text: str, several: int, words: int, long: int, ends: bool = False) -> Iterator[tuple[bytes, int, int]]:
+    """(digest, first sentence, last sentence) of every span: from each sentence the shortest run of at least `several` sentences with at least `words` words, or of at least `long` words. White space inside a sentence counts as one space.
+
+    ends: also the shortest such run up to each sentence, where it isn't the shortest from its first sentence on. Whether
+    a run is one or the other hangs on the run alone, so equal runs are spans everywhere, and both kinds together cover
+    every run that is long enough up to its last sentence.
+    """
     parts = [text[a:b].split() for a, b in sentences(text)]
     counts = [len(p) for p in parts]
     parts = [" ".join(p) for p in parts]
@@ -51,9 +57,19 @@ def spans(text: str, several: int, words: int, long: int) -> Iterator[tuple[byte
         while j > i + 1 and ((j - 1 - (i + 1) >= several and held - counts[j - 1] >= words) or held - counts[j - 1] >= long):
             j -= 1
             held -= counts[j]
-
-
-def repeated(docs: DataFrame, key: str, text: str, several: int, words: int, long: int) -> DataFrame:
+    if not ends:
+        return
+    upto = [0, *accumulate(counts)]
+    enough = lambda a, b: (b - a >= several and upto[b] - upto[a] >= words) or upto[b] - upto[a] >= long
+    i = 0
+    for j in range(1, n + 1):
+        while i + 1 < j and enough(i + 1, j):
+            i += 1
+        if enough(i, j - 1):
+            yield xxhash.xxh3_128_digest("\x1f".join(parts[i:j])), i, j - 1
+
+
+def repeated(docs: DataFrame, key: str, text: str, several: int, words: int, long: int, ends: bool = False) -> DataFrame:
     """(_row, first, last) of every span that isn't the first of its kind in order of key (null last), row hash, sentence.
 
     Every task sorts its own spans by digest and lets only its first of a kind through to the exchange by digest: what
@@ -86,7 +102,7 @@ def repeated(docs: DataFrame, key: str, text: str, several: int, words: int, lon
             kind = batch.schema.field(0).type
             for k, row, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if t:
-                    held.extend((d, k, row, a, b) for d, a, b in spans(t, several, words, long))
+                    held.extend((d, k, row, a, b) for d, a, b in spans(t, several, words, long, ends))
                 if len(held) >= HELD:
                     yield flush()
         if held:
@@ -115,11 +131,12 @@ def repeated(docs: DataFrame, key: str, text: str, several: int, words: int, lon
     return ordered.mapInArrow(meeting, "_row long, first long, last long")
 
 
-def dedup(docs: DataFrame, several: int = 3, words: int = 15, long: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, several: int = 3, words: int = 15, long: int = 40, key: str = "doc_id", text: str = "text", ends: bool = False) -> DataFrame:
     """Removes sentences that any non-first repeated span covers; adds n_sentences, n_removed and n_chars_removed.
 
     A span is the shortest run from a sentence on that has at least `several` sentences and `words` words, or `long`
-    words. The first span of a kind, by key (null last) and place in the text, stays; all sentences of the others go,
+    words; with `ends` also the shortest such run up to a sentence, so that all sentences of every repeated run that is
+    long enough count, whatever stands before and behind it. The first span of a kind, by key (null last) and place in the text, stays; all sentences of the others go,
     each with the white space behind it. What is left is otherwise unchanged. Spans never go over the border of a text.
 
     Null texts stay null, with no sentences; texts too short for a span stay whole. Rows equal in key and text are one
@@ -129,7 +146,7 @@ def dedup(docs: DataFrame, several: int = 3, words: int = 15, long: int = 40, ke
     kept = [c for c in docs.columns if c.lower() not in new]
     at = kept.index(text)
     mine, theirs, found = fresh([*kept, *new], "_mine", "_theirs", "_found")
-    hits = repeated(docs, key, text, several, words, long).groupBy(F.col("_row").alias(theirs)).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(found))
+    hits = repeated(docs, key, text, several, words, long, ends).groupBy(F.col("_row").alias(theirs)).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(found))
     both = docs.select(*kept, F.xxhash64(key, text).alias(mine)).join(hits, F.col(mine) == F.col(theirs), "left")
     both = both.select(*kept, F.col(f"{found}.first").alias(mine), F.col(f"{found}.last").alias(theirs))
 

@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans; n_chars is that of the text that is left. Documents of which nothing is left go."""
-    done = spans.dedup(docs.select(*COLUMNS))
+    done = spans.dedup(docs.select(*COLUMNS), ends=True)
     return done.filter("n_removed = 0 OR text <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
