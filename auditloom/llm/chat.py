@@ -70,35 +70,49 @@ def positions(calls: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each call, each result without a call, and each other message.
+    """One row for each call, each result without a call, each further call or result of an identifier, and each other message.
 
     messages: conv, seq (place in the conversation), role, content, call_id, name, arguments (JSON text), after (the
     call_id whose result a call waits for). A row with call_id and name is a call, one with call_id alone is the result
-    of that call, any other is a message. Returned: conv, kind ('linked', 'no_result', 'orphan_result', 'message'),
-    call_id, seq (of the call, else of the row), position (calls before it on its chain; null off calls and on cycles),
-    n_repeats (rows that say the same call, result or message), issues, canonical (JSON, keys sorted at every depth, no white
-    space, nulls written).
+    of that call, any other is a message. Returned: conv, kind ('linked', 'no_result', 'orphan_result', 'repeated_call',
+    'repeated_result', 'message'), call_id, seq (of the call, else of the row), position (calls before it on its chain;
+    null off calls, on cycles and for repeated calls), n_repeats (rows that say the same call, result or message),
+    issues, canonical (JSON, keys sorted at every depth, no white space, nulls written).
 
     Calls and results meet by a hash join on (conv, call_id). Where an identifier repeats, the call and the result of
-    the least seq, then the least content, count, and n_repeats tells how many there were. Null conv or seq is a value
-    like another for messages; a call or result with a null conv links to nothing and is kept as a message. Arguments
-    that are no JSON object are an issue, not an error. Other columns are left out.
+    the least seq, then the least content, are linked. Every other call or result of it, different in any column, has
+    a row of its own with its n_repeats, and so have the rows that say the linked result once more: no row is left
+    out. Null conv or seq is a value like another for messages; a call or result with a null conv links to nothing and
+    is kept as a message. Arguments that are no JSON object are an issue, not an error. Other columns are left out.
     """
     m = messages.select("conv", "seq", "role", "content", "call_id", "name", "arguments", "after")
     tied = F.col("call_id").isNotNull() & F.col("conv").isNotNull()
     is_call, is_result = tied & F.col("name").isNotNull(), tied & F.col("name").isNull()
-    calls = m.filter(is_call).groupBy("conv", "call_id").agg(F.min(F.struct("seq", "name", "arguments", "after", "role")).alias("call"), F.count("*").alias("n"))
-    results = m.filter(is_result).groupBy("conv", "call_id").agg(F.min(F.struct("seq", "content", "role")).alias("result"), F.count("*").alias("n_results"))
+
+    def told(rows: DataFrame, fields: list[str], one: str, n: str) -> tuple[DataFrame, DataFrame]:
+        """(the least of each identifier, all others): rows with their count, by a digest of all that they say."""
+        same = rows.select("conv", "call_id", F.struct(*fields).alias(one)).withColumn("said", F.sha2(F.to_json(one), 256)).groupBy("conv", "call_id", "said").agg(F.min(one).alias(one), F.count("*").alias(n))
+        least = same.groupBy("conv", "call_id").agg(F.min(F.struct(one, n, "said")).alias("least")).select("conv", "call_id", f"least.{one}", f"least.{n}", "least.said")
+        return least.drop("said"), same.join(least.select("conv", "call_id", "said"), ["conv", "call_id", "said"], "left_anti").drop("said")
+
+    calls, more_calls = told(m.filter(is_call), ["seq", "name", "arguments", "after", "content", "role"], "call", "n")
+    results, more_results = told(m.filter(is_result), ["seq", "content", "arguments", "after", "role"], "result", "n_results")
     # the order needs identifiers alone: no content goes through its rounds
     order = m.filter(is_call).groupBy("conv", "call_id").agg(F.min(F.struct("seq", "name", "arguments", "after")).alias("call")).select("conv", "call_id", F.col("call.after").alias("after"))
     # positions join first: behind a full join all content would be exchanged once more
     both = calls.join(positions(order), ["conv", "call_id"], "left").join(results, ["conv", "call_id"], "full")
     kind = F.when(F.col("call").isNull(), "orphan_result").when(F.col("result").isNull(), "no_result").otherwise("linked")
-    issues = F.when(F.col("call").isNotNull(), argument_issues(F.col("call.name"), F.col("call.arguments"), schemas)).otherwise(F.array(F.lit("orphan")))
-    issues = F.when(F.col("call").isNotNull() & F.col("position").isNull(), F.array_append(issues, F.lit("cycle"))).otherwise(issues)
+    both = both.withColumn("kind", kind)
+    # n_repeats of a linked row counts its call; what says its result again is counted here
+    again = both.filter("kind = 'linked' AND n_results > 1").select("conv", "call_id", "result", (F.col("n_results") - 1).alias("n_results"))
+    both = both.unionByName(more_calls.withColumn("kind", F.lit("repeated_call")), allowMissingColumns=True)
+    both = both.unionByName(more_results.unionByName(again).withColumn("kind", F.lit("repeated_result")), allowMissingColumns=True)
+    repeated = F.col("kind").startswith("repeated")
+    issues = F.when(F.col("call").isNotNull(), argument_issues(F.col("call.name"), F.col("call.arguments"), schemas)).when(repeated, F.array().cast("array<string>")).otherwise(F.array(F.lit("orphan")))
+    issues = F.when(repeated, F.array_append(issues, F.lit("repeated"))).when(F.col("call").isNotNull() & F.col("position").isNull(), F.array_append(issues, F.lit("cycle"))).otherwise(issues)
     arguments = F.coalesce(F.try_parse_json(F.col("call.arguments")), F.when(F.col("call.arguments").isNotNull(), F.col("call.arguments")).cast("variant"))
     flat = both.select(
-        "conv", kind.alias("kind"), "call_id", F.coalesce("call.seq", "result.seq").alias("seq"), "position",
+        "conv", "kind", "call_id", F.coalesce("call.seq", "result.seq").alias("seq"), "position",
         F.coalesce("n", "n_results").alias("n_repeats"), issues.alias("issues"), arguments.alias("arguments"),
         F.col("call.name").alias("name"), F.col("result.content").alias("content"),
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from auditloom.llm import spans
+from auditloom.llm import chat, spans
+from auditloom.llm.queries_chat import SCHEMAS
 
 
 def text(*lengths: int, tag: str) -> str:
@@ -41,3 +43,30 @@ def test_spans_up_to_their_ends(spark):
     got = {r["doc_id"]: r["n_removed"] for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string"), ends=True).collect()}
     assert got[1] == 3 and got[3] == 2
     assert got == covered(rows)
+
+
+def test_chat_keeps_every_call_and_result(spark):
+    say = lambda t: json.dumps({"text": t, "turn": 1})
+    rows = [("c", 1, "user", None, "a", "reply", say(f"question number {i} of the call"), None) for i in (0, 1, 1, 2)]
+    rows += [("c", 2, "assistant", t, "a", None, None, None) for t in ("p", "p", "q", "r", "r")]
+    rows += [("c", 4, "assistant", t, "gone", None, None, None) for t in ("x", "x", "y", None)]
+    rows += [("c", 9, "user", None, "a", "reply", say("question number 0 of the call"), "z")]
+    # nothing else tells these calls and these results apart
+    rows += [("d", 1, role, t, "a", "reply", say("a question that is long enough"), after) for role, t, after in (("user", "s", None), ("user", "t", None), ("tool", "s", None), ("user", "s", "z"))]
+    rows += [("d", 2, "assistant", "p", "a", None, more, after) for more, after in ((None, None), ("{}", None), (None, "z"))]
+    df = spark.createDataFrame(rows, "conv string, seq long, role string, content string, call_id string, name string, arguments string, after string")
+    got = chat.link(df, SCHEMAS).collect()
+    facts = Counter()
+    for r in got:
+        said = json.loads(r["canonical"])
+        facts[r["conv"], r["kind"], r["seq"], (said["arguments"] or {}).get("text", "")[:17], said["result"], r["n_repeats"]] += 1
+    q = "question number "
+    assert facts == Counter({
+        ("c", "linked", 1, q + "0", "p", 1): 1, ("c", "repeated_call", 1, q + "1", None, 2): 1, ("c", "repeated_call", 1, q + "2", None, 1): 1, ("c", "repeated_call", 9, q + "0", None, 1): 1,
+        ("c", "repeated_result", 2, "", "p", 1): 1, ("c", "repeated_result", 2, "", "q", 1): 1, ("c", "repeated_result", 2, "", "r", 2): 1,
+        ("c", "orphan_result", 4, "", None, 1): 1, ("c", "repeated_result", 4, "", "x", 2): 1, ("c", "repeated_result", 4, "", "y", 1): 1,
+        ("d", "linked", 1, "a question that i", "p", 1): 1, ("d", "repeated_call", 1, "a question that i", None, 1): 3, ("d", "repeated_result", 2, "", "p", 1): 2,
+    })
+    # a linked row holds a call and a result, any other row that is no message holds one
+    assert sum(r["n_repeats"] + (r["kind"] == "linked") for r in got) == len(rows)
+    assert all(r["position"] is None and "repeated" in r["issues"] for r in got if r["kind"].startswith("repeated"))
