@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut, partitions, stored
+from auditloom.llm.common import cut, dealt, partitions, stored
 
 KEY, GRAM = 48, 16
 #: Suffixes in a run.
@@ -36,7 +36,7 @@ SENT = 8
 #: Different territories of one key that one group compares; larger groups are split by longer strings.
 GROUP = 200
 _SHIFT = np.uint64(32)
-_POSITION = np.uint64((1 << 28) - 1)
+_POSITION = np.uint64((1 << 32) - 1)  # a binary value has fewer bytes
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xA0761D6478BD642F)
 
 
@@ -331,20 +331,25 @@ def squeezed(slim: DataFrame) -> DataFrame:
 def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     """(row, first, last) of repeated windows in territories that share a key with others but not all their bytes.
 
-    Territories of one group are brought together with their bytes and compared window by window. A group of more than
+    Territories of one group are brought together with their bytes and compared window by window, by 64-bit hashes of
+    whole windows. A group of more than
     GROUP is never brought together: its territories are cut in two by the anchor's place in the window, and each half
     gets a new group by what all its windows have in common, which is a longer string. So groups fall apart until they
     are small, or a half is a single window, where being in one group is being equal.
     """
     n = partitions(small.sparkSession)
-    at = open_.groupBy("row").agg(F.collect_set(F.struct("grp", "first", "last", "anchor")).alias("at"))
-    texts = small.join(at.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("row", "data", "at")
-    kinds = [pa.int64()] * 7 + [pa.binary()]
-    names = ["grp", "row", "first", "last", "anchor", "low", "high", "data"]
+    places = cut(open_.distinct())
+    # which groups are large is told from places alone, before any bytes are moved; sides that grow with the data are merged
+    large = places.groupBy(F.col("grp").alias("_grp")).count().filter(F.col("count") > GROUP).select("_grp")
+    flagged = places.join(large.hint("merge"), F.col("grp") == F.col("_grp"), "left").withColumn("large", F.col("_grp").isNotNull().cast("long"))
+    at = flagged.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("grp", "first", "last", "anchor", "large")).alias("at"))
+    texts = small.join(at.hint("merge"), F.col("row") == F.col("_row")).select("row", "data", "at")
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+    names = ["grp", "row", "first", "last", "anchor", "low", "high", "large", "data"]
     schema = ", ".join(f"{c} long" for c in names[:-1]) + ", data binary"
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
@@ -353,21 +358,21 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for row, data, at in zip(*(whole.slice(start, 200).column(i).to_pylist() for i in range(3))):
                     data = d.decompress(data)
-                    rows += [(x["grp"], row, x["first"], x["last"], x["anchor"], 0, length - KEY, data[x["first"] : x["last"] + length]) for x in at]
+                    rows += [(x["grp"], row, x["first"], x["last"], x["anchor"], 0, length - KEY, x["large"], data[x["first"] : x["last"] + length]) for x in at]
                 yield table(rows)
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 rows = []
-                for grp, row, first, last, anchor, low, high, data in zip(*(whole.slice(start, 1000).column(i).to_pylist() for i in range(8))):
+                for _, row, first, last, anchor, low, high, _, data in zip(*(whole.slice(start, 1000).column(i).to_pylist() for i in range(9))):
                     mid = (low + high) // 2
                     for lo, hi in ((low, mid), (mid + 1, high)):
                         a, b = max(first, anchor - hi), min(last, anchor - lo)  # starts with the anchor lo to hi bytes behind them
                         if a <= b:
                             core = data[anchor - lo - first : anchor - hi + length - first]
                             group = xxhash.xxh3_64_intdigest(core, seed=lo * length + hi) - (1 << 63)
-                            rows.append((group, row, a, b, anchor, lo, hi, data[a - first : b - first + length]))
+                            rows.append((group, row, a, b, anchor, lo, hi, 0, data[a - first : b - first + length]))
                 yield table(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,21 +414,20 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
     left, found = stored(texts.mapInArrow(deal, schema)), []
     while True:
-        # cut, so that a group with very many territories can be split over tasks by the joins
-        crowded = cut(left.groupBy(F.col("grp").alias("_grp")).count().filter(F.col("count") > GROUP).select("_grp"))
-        same = F.col("grp") == F.col("_grp")
-        few = left.join(crowded, same, "left_anti").repartition(n, "grp").sortWithinPartitions("grp", "row", "first")
+        few = dealt(left.filter("large = 0"), n, "grp").sortWithinPartitions("grp", "row", "first")
         found.append(few.select("grp", "row", "first", "last", "data").mapInArrow(meet, "row long, first long, last long"))
-        if crowded.isEmpty():
+        many = left.filter("large = 1")
+        if many.isEmpty():
             break
-        many = left.join(crowded, same, "left_semi")
         found.append(many.filter("low = high").select("row", "first", "last"))
-        halves = stored(many.filter("low < high").mapInArrow(halve, schema)).withColumn("digest", F.md5("data"))
+        halves = stored(many.filter("low < high").mapInArrow(halve, schema)).withColumn("digest", F.sha2("data", 256)).drop("large")
         # halves of equal bytes repeat each other throughout; one of each goes on
-        alike = cut(halves.groupBy(F.col("grp").alias("_grp"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")).filter("n > 1"))
-        told = halves.join(alike, (F.col("grp") == F.col("_grp")) & (F.col("digest") == F.col("_digest")), "left")
+        kinds_of = halves.groupBy(F.col("grp").alias("_grp"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one"))
+        sizes = kinds_of.groupBy(F.col("_grp").alias("_of")).count().filter(F.col("count") > GROUP).select("_of")
+        facts = cut(kinds_of.join(sizes.hint("merge"), F.col("_grp") == F.col("_of"), "left").select("_grp", "_digest", "n", "one", F.col("_of").isNotNull().cast("long").alias("large")))
+        told = stored(halves.join(facts.hint("merge"), (F.col("grp") == F.col("_grp")) & (F.col("digest") == F.col("_digest"))))
         found.append(told.filter("n > 1").select("row", "first", "last"))
-        left = stored(told.filter("n IS NULL OR (row = one.row AND first = one.first)").select(*names))
+        left = told.filter("row = one.row AND first = one.first").select(*names)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -448,7 +452,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     parts = 4 * partitions(spark)
     cuts = splitters(slim, parts, length)
     one = cut(step_one(slim, cuts, length))
-    runs = one.filter("part IS NOT NULL").repartition(partitions(spark), "part").sortWithinPartitions("part")
+    runs = dealt(one.filter("part IS NOT NULL"), partitions(spark), "part").sortWithinPartitions("part")
     two = cut(step_two(runs))
     told = one.filter("part IS NULL").unionByName(two)
     open_ = told.filter("grp IS NOT NULL").select("row", "first", "last", "anchor", "grp")
@@ -456,7 +460,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     rest = step_three(squeezed(slim), open_, length)
     hits = whole.unionByName(rest).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
     own = squeezed(docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(kept) if c != text], row, F.col(text).isNull().alias("no_text"), F.col(text).cast("binary").alias("data")))
-    both = own.join(hits.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").drop("_row", "row")
+    both = own.join(hits.withColumnRenamed("row", "_row").hint("merge"), F.col("row") == F.col("_row"), "left").drop("_row", "row")
     others = [c for c in both.columns if c not in ("hits", "data", "no_text")]
     names = {f"_{i}": c for i, c in enumerate(kept)}
 
