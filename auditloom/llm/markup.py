@@ -22,18 +22,26 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Elements that never hold article text.
 NEVER = frozenset("aside button canvas dialog embed fieldset footer form head iframe input menu nav noscript object script search select style svg template textarea video audio".split())
 #: Parts of a class, id or role that mark what surrounds an article.
-_AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner|breadcrumbs?|comments?|commentary|commentlist|consent|contentinfo|cookies?|disqus|disclaimer|footer|footnav|gdpr|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notifications?|overlay|pager|pagination|popup|promos?|promoted|promotion|rail|recommend\w*|related|replies|respond|share|sharing|sidebar|sidenav|social|sponsor\w*|subscribe|subscription|syndication|toolbar|topbar|widgets?)(?=$|[\s_-])")
+_AROUND = re.compile(r"(?:ads?|adv|advert\w*|adsense|adslot|banner|breadcrumbs?|comments?|commentary|commentlist|consent|contentinfo|cookies?|disqus|disclaimer|footer|footnav|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notifications?|overlay|pager|pagination|popup|promos?|promoted|promotion|rail|recommend\w*|related|replies|respond|share|sharing|sidebar|sidenav|social|sponsor\w*|subscribe|subscription|syndication|toolbar|topbar|widgets?)")
+#: Parts that say of the part behind them that it is absent or stands elsewhere.
+_OF_ANOTHER = frozenset("has have no non not with without hide hides hidden show shows free toggle enable enabled disable disabled".split())
+_COMMENTS = frozenset("comment comments commentary commentlist disqus replies respond".split())
+_PARTS = re.compile(r"[\s_-]+")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?=$|[\s_-])")
 SCORED = frozenset("html p pre td blockquote div section article main body li dd h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "own")
+    """own: what measure() finds. scope: the block that an element is in, or is. open: for a block, its open inline elements by name."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "own", "scope", "open")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.score, self.own = 0.0, None
+        self.scope: Node = self if parent is None or tag in BLOCKS else parent.scope
+        self.open: dict[str, int] = {}
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -45,9 +53,28 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def tree(source: str) -> Node:
-    """The element tree of a page, with the end tags that HTML lets authors leave out."""
+    """The element tree of a page, with the end tags that HTML lets authors leave out.
+
+    An end tag closes what is open inside its element, but one of an inline element never closes a block; end tags of
+    nothing that is open are left out. Open elements are counted, so none of this looks through them in vain.
+    """
     root = at = Node("html", "", None)
+    blocks: dict[str, int] = {}  # open blocks by name
     pos, n = 0, len(source)
+
+    def opened(node: Node, by: int) -> None:
+        held = blocks if node.scope is node else node.scope.open
+        held[node.tag] = held.get(node.tag, 0) + by
+
+    def closed(node: Node) -> Node:
+        """Closes all from the open element up to the node; gives what is open then."""
+        up = at
+        while True:
+            opened(up, -1)
+            if up is node:
+                return up.parent
+            up = up.parent
+
     for m in iter(lambda: _TOKEN.search(source, pos), None):
         if m.start() > pos:
             at.children.append(html.unescape(source[pos : m.start()]))
@@ -57,30 +84,27 @@ def tree(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if (blocks if tag in BLOCKS else at.scope.open).get(tag):
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = closed(up)
             continue
-        if tag in ("html", "body") and any(x is not None for x in _lineage(at, tag)):
+        if tag == "html" or (tag == "body" and blocks.get("body")):
             continue
         if tag in CLOSES_P:
-            for up in _upwards(at):
-                if up.tag == "p":
-                    at = up.parent
-                    break
-                if up.tag in BLOCKS:
-                    break
+            if at.scope.tag == "p":
+                at = closed(at.scope)
         elif tag in SIBLINGS:
             same, stop = SIBLINGS[tag]
-            for up in _upwards(at):
-                if up.tag in stop:
-                    break
+            up = at.scope
+            while up.parent is not None and up.tag not in stop:
+                above = up.parent
                 if up.tag in same:
-                    at = up.parent
+                    at = closed(up)
                     if tag != "tr":
                         break
+                up = above.scope
         node = Node(tag, m[3], at)
         at.children.append(node)
         if tag in RAW:
@@ -89,6 +113,7 @@ def tree(source: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             at = node
+            opened(node, 1)
         if pos >= n:
             break
     if pos < n:
@@ -102,39 +127,78 @@ def _upwards(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _lineage(node: Node, tag: str) -> Iterator[Node | None]:
-    if tag == "html":
-        yield node
-    while node is not None:
-        if node.tag == tag:
-            yield node
-        node = node.parent
+#: Whether an element stays, goes, or leaves only its headings.
+STAYS, GOES, TITLE = 0, 1, 2
+
 
+def around(node: Node, inside: bool, whole: int) -> int:
+    """Whether an element belongs to what surrounds an article, as STAYS, GOES or TITLE.
 
-def around(node: Node, inside: bool) -> bool:
-    """Whether an element belongs to what surrounds an article. inside: it stands in an article or main element."""
-    if node.tag in NEVER or (node.tag == "header" and not inside):
-        return True
+    inside: it stands in an article or main element. whole: characters of the page. Classes count as whole names, cut
+    at dashes: a part that follows has, no, with and the like says nothing about the element itself. Nor does one in a
+    longer name, if the element holds half of the page's text, or in any, if it holds the main element, or a top heading and a third of the text. Of a header
+    inside an article the headings stay.
+    """
+    if node.tag == "header":
+        return TITLE if inside else GOES
+    if node.tag in NEVER:
+        return GOES
     if not node.attrs or node.tag in ("body", "html", "article", "main"):
-        return False
+        return STAYS
     a = attributes(node.attrs)
     if "hidden" in a or a.get("aria-hidden") == "true":
-        return True
-    return any(_AROUND.search(a[k].lower()) for k in ("class", "id", "role") if a.get(k))
+        return GOES
+    found = STAYS
+    for kind in ("class", "id", "role"):
+        for name in a.get(kind, "").lower().split():
+            parts = [x for x in _PARTS.split(name) if x]
+            for i, part in enumerate(parts):
+                if not _AROUND.fullmatch(part) or _OF_ANOTHER & {*parts[max(0, i - 2) : i], *parts[i + 1 : i + 2]}:
+                    continue
+                chars, main, top = node.own[0], node.own[4], node.own[5]
+                if main or (top and 3 * chars >= whole) or (len(parts) > 1 and 2 * chars >= whole and part not in _COMMENTS):
+                    continue
+                if part == "header" and (inside or {"entry", "post", "article", "story"} & set(parts)):
+                    found = TITLE
+                else:
+                    return GOES
+    return found
+
+
+def headings(node: Node) -> list[Node]:
+    """The headings below a node, in page order, without those in menus, forms and the like."""
+    found, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        if at.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            found.append(at)
+        elif at is node or at.tag not in NEVER:
+            stack.extend(x for x in reversed(at.children) if not isinstance(x, str))
+    return found
 
 
 def pruned(node: Node, inside: bool = False) -> None:
-    """Takes out what surrounds an article, below a node."""
+    """Takes out what surrounds an article, below a node that was measured."""
     stack = [(node, inside)]
+    whole = node.own[0]
     while stack:
         at, within = stack.pop()
         within |= at.tag in ("article", "main")
-        at.children = [x for x in at.children if isinstance(x, str) or not around(x, within)]
-        stack.extend((x, within) for x in at.children if not isinstance(x, str))
+        left: list[Node | str] = []
+        for x in at.children:
+            what = STAYS if isinstance(x, str) else around(x, within, whole)
+            if what == TITLE:
+                x.children = headings(x)
+                for h in x.children:
+                    h.parent = x
+            if what != GOES:
+                left.append(x)
+        at.children = left
+        stack.extend((x, within) for x in left if not isinstance(x, str))
 
 
 def measure(root: Node) -> list[Node]:
-    """Sets own of each node to (characters, characters in links, commas, links); gives the nodes, children first."""
+    """Sets own of each node to (characters, characters in links, commas, links, whether it holds a main element, whether a top heading); gives the nodes, children first. Scripts and the like have no characters."""
     order, stack = [], [root]
     while stack:
         at = stack.pop()
@@ -143,16 +207,18 @@ def measure(root: Node) -> list[Node]:
     order.reverse()
     for at in order:
         chars = linked = commas = links = 0
-        for x in at.children:
+        main, heading = at.tag == "main", at.tag == "h1"
+        for x in () if at.tag in RAW else at.children:
             if isinstance(x, str):
                 chars += len(" ".join(x.split()))
                 commas += x.count(",") + x.count("、") + x.count("，")
             else:
-                a, b, c, d = x.own
+                a, b, c, d, e, f = x.own
                 chars, linked, commas, links = chars + a, linked + b, commas + c, links + d
+                main, heading = main or e, heading or f
         if at.tag == "a":
             linked, links = chars, links + 1
-        at.own = (chars, linked, commas, links)
+        at.own = (chars, linked, commas, links, main, heading)
     return order
 
 
@@ -163,7 +229,7 @@ def best(root: Node) -> list[Node]:
         direct = any(isinstance(x, str) and x.strip() for x in at.children) or any(not isinstance(x, str) and x.tag not in BLOCKS and x.own[0] for x in at.children)
         if at.tag not in SCORED or not direct or not at.own[0]:
             continue
-        chars, linked, commas, _ = at.own
+        chars, linked, commas = at.own[:3]
         points = (1 + commas + min(chars / 100, 3)) * (1 - linked / chars)
         up, depth = at.parent if at.tag not in ("html", "body", "article", "main", "div", "section") else at, 0
         while up is not None and depth < 6:
@@ -189,23 +255,46 @@ def best(root: Node) -> list[Node]:
     for x in top.parent.children:
         if isinstance(x, str):
             continue
-        chars, linked, _, _ = x.own
+        chars, linked = x.own[:2]
         density = linked / max(1, chars)
         if x is top or x.score >= least or (x.tag in ("p", "pre", "blockquote") and (chars > 80 and density < 0.25 or 0 < chars <= 80 and density == 0)) or (x.tag in ("h1", "h2", "h3", "h4") and chars and density == 0):
             found.append(x)
     return found
 
 
+def menus(nodes: list[Node]) -> set[int]:
+    """Lists, tables and boxes of links alone that stand before the first or behind the last other text of the nodes, by id.
+
+    Links inside an article or main element, or between other text, belong to it.
+    """
+    if any(x.tag in ("article", "main") for n in nodes for x in (n, *_upwards(n))):
+        return set()
+    found: list[tuple[bool, int]] = []
+    stack = list(reversed(nodes))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if x.strip():
+                found.append((False, 0))
+        elif x.tag in ("ul", "ol", "table", "div", "section") and x.own[3] >= 3 and x.own[1] >= 0.8 * x.own[0]:
+            found.append((True, id(x)))
+        else:
+            stack.extend(reversed(x.children))
+    others = [i for i, (is_menu, _) in enumerate(found) if not is_menu]
+    return {at for i, (is_menu, at) in enumerate(found) if is_menu and (not others or not others[0] < i < others[-1])}
+
+
 def text_of(nodes: list[Node]) -> str:
-    """Text of nodes in page order: blocks are joined by one space, white space inside them is one space. Lists that are links alone are menus."""
+    """Text of nodes in page order: blocks are joined by one space, white space inside them is one space; menus are left out."""
     parts: list[str] = []
+    out = menus(nodes)
     stack: list[Node | str] = list(reversed(nodes))
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x.tag in ("ul", "ol", "table", "div", "section") and x.own[3] >= 3 and x.own[1] >= 0.8 * x.own[0]:
+        if id(x) in out:
             continue
         block = x.tag in BLOCKS
         if block:
@@ -220,6 +309,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = tree(source)
+    measure(root)
     pruned(root)
     return text_of(best(root))
 
@@ -228,7 +318,7 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """Adds text and n_chars (code points) of each page's main text.
 
     Elements that never hold article text, and those whose class, id or role names a menu, notice, advert, comment list
-    or the like, go first. Paragraphs then pass points for length and commas to their ancestors (full to the parent,
+    or the like, go first (of a header inside an article the headings stay). Paragraphs then pass points for length and commas to their ancestors (full to the parent,
     less with each step up), discounted by the share of their text inside links; the container of the best score is
     kept with the siblings that belong to it. Null, empty and text-free pages have the text ''. Rows are independent:
     repeated rows and ties give equal results, nothing is shuffled, whole pages are read whatever their length. New
