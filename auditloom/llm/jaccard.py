@@ -10,22 +10,35 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditloom.llm.common import cut, partitions
+from auditloom.llm.common import cut, dealt, partitions
 from auditloom.llm.components import components
 
-#: Buckets above this size are split further, or into blocks at the last level.
+#: Buckets above this size are split further.
 SMALL = 256
+#: Classes of a dense bucket that one task holds of each of two blocks.
 BLOCK = 512
-#: Levels at which a bucket can be split.
-DEPTH = 2
+#: A bucket with more than this share of the bucket before it is dense: its sets are nearly as alike as links are, so that comparing them all is the work that is asked for.
+DENSE = 0.6
+#: Sampled tokens of a set; no path uses one twice.
+TOKENS = 24
 _ODD = [(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD1B54A32D192ED03 * (i + 1)) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(1, 200)]
+_XOR, _MUL = (np.array(x, np.uint64)[:, None] for x in (_ODD[100 : 100 + TOKENS], _ODD[:TOKENS]))
 _WORDS: dict[str, int] = {}
 
 
-def runs_for(similarity: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair of the given similarity has met in some bucket with at least the given probability, even if every bucket is split to the last level."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
+def runs_for(similarity: float, recall: float, depth: int) -> int:
+    """Runs after which a pair of the given similarity has met in some bucket with at least the given probability, if every bucket is split `depth` times.
+
+    A bucket has 1 / similarity children for each set on average, and a child keeps the pair with the similarity's probability.
+    """
+    least, more = divmod(1 / similarity, 1)
+    meets = 1.0
+    for _ in range(max(1, depth)):
+        lost = 1 - similarity * meets
+        meets = 1 - lost**least * (1 - more + more * lost)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meets, 1 - 1e-9))))
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -53,20 +66,20 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def tokens(shingled: np.ndarray, n: int) -> list[int]:
-    """The set in n sampled tokens: its least shingle under each of n orders. Two sets share a token with the probability of their similarity."""
+def tokens(shingled: np.ndarray, n: int = TOKENS) -> list[int]:
+    """The set in n sampled tokens: its least shingle under each of n orders, as 32 bits. Two sets share a token with the probability of their similarity."""
     if not len(shingled):
         return [0] * n
-    out = []
-    for i in range(n):
-        x = (shingled ^ np.uint64(_ODD[n + i])) * np.uint64(_ODD[i])
-        out.append(int((x ^ (x >> np.uint64(31))).min() >> np.uint64(1)))
-    return out
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(shingled), 4096):
+        x = (shingled[None, start : start + 4096] ^ _XOR[:n]) * _MUL[:n]
+        out = np.minimum(out, (x ^ (x >> np.uint64(31))).min(1))
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
-def described(docs: DataFrame, text: str, size: int, n: int) -> DataFrame:
-    """row, key of docs and for each text cls (a digest of its set: equal sets are one class), size, t0 ... (sampled tokens)."""
-    names = ["cls", "size", *(f"t{i}" for i in range(n))]
+def described(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """row, key of docs and for each text cls (a digest of its set: equal sets are one class), size and sampled tokens."""
+    names = ["row", "key", "cls", "size", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,35 +90,53 @@ def described(docs: DataFrame, text: str, size: int, n: int) -> DataFrame:
                     s = shingles(t, size)
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    rows.append(tokens(s, n))
-                columns = [pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(n))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "key", *names])
+                    rows.append(tokens(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=names)
 
-    schema = docs.select("row", "key").schema.add("cls", "binary")
-    for c in names[1:]:
-        schema = schema.add(c, "long")
+    schema = docs.select("row", "key").schema.add("cls", "binary").add("size", "long").add("tokens", T.ArrayType(T.IntegerType()))
     return docs.select("row", "key", F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def leaves(classes: DataFrame, runs: int, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """(cls, run, leaf, members) for each class and run in which it shares a bucket with another.
+def leaves(classes: DataFrame, runs: range, similarity: float, small: int | None = None) -> tuple[DataFrame, int]:
+    """(cls, run, leaf, members) for each class, run and leaf bucket that it shares with another; and how often a bucket was split.
 
-    Level by level, classes are put in buckets by the path of tokens so far; buckets of one are dropped, buckets of up
-    to `small` classes are leaves, others are split by the run's next token. At the last level every bucket is a leaf.
+    Every run starts with all classes in one bucket. A bucket with more than `small` classes is split: by its path it chooses
+    1 / similarity of the sampled tokens on average, none that the path has used, and for each of them every class goes to the
+    child of its own token. Children of one class are dropped. A bucket is a leaf when it is small, when it is dense, or
+    when its path has used all tokens.
     """
-    every = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.col(f"t{r * depth}")).alias("path"), F.array(*[F.col(f"t{r * depth + d}") for d in range(depth)]).alias("tokens")) for r in range(runs)])
-    at = classes.filter("size > 0").select("cls", F.explode(every).alias("x")).select("cls", "x.run", "x.path", "x.tokens")
-    found = None
-    for level in range(1, depth + 1):
+    small = SMALL if small is None else small
+    least, more = divmod(1 / similarity, 1)
+    branches = [F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("path", F.lit(b)), F.lit(1 << 20)).alias("at")) for b in range(int(least) + (more > 0))]
+
+    def split(at: DataFrame) -> DataFrame:
+        """at: cls, run, path, used, before, tokens."""
+        wanted = F.filter(F.array(*branches), lambda x: (x["b"] < int(least)) | (F.pmod(F.xxhash64("path", F.lit("more")), F.lit(1 << 20)) < F.lit(int(more * (1 << 20)))))
+        free = at.withColumn("free", F.array_except(F.sequence(F.lit(0), F.lit(TOKENS - 1)), "used")).withColumn("x", F.explode(wanted))
+        # different branches of a bucket choose different tokens
+        first = F.pmod(F.col("run") + F.col("x.b") * (TOKENS // 2), F.lit(TOKENS))  # runs begin with tokens of their own
+        pick = F.element_at("free", (F.pmod(F.pmod(F.xxhash64("path"), F.lit(1 << 20)) + F.col("x.b") * 7, F.size("free")) + 1).cast("int"))
+        pick = F.when(F.size("used") == 0, first).otherwise(pick).cast("int")
+        token = free.withColumn("pick", pick)
+        return token.select("cls", "run", F.xxhash64("path", "pick", F.element_at("tokens", F.col("pick") + 1)).alias("path"), F.array_append("used", F.col("pick")).alias("used"), "before")
+
+    roots = F.explode(F.array(*[F.lit(r) for r in runs]))
+    of = classes.filter("size > 0").select("cls", "tokens")
+    at = of.withColumn("run", roots).select("cls", "tokens", "run", F.xxhash64("run").alias("path"), F.array().cast("array<int>").alias("used"), F.lit(1 << 62).cast("long").alias("before"))
+    found, depth = None, 0
+    while True:
+        depth += 1
+        now = split(at)
         # cut, so that a bucket with very many classes can be split over tasks by the join
-        sizes = cut(at.groupBy(F.col("path").alias("_path")).count().filter("count > 1").withColumnRenamed("count", "members"))
-        shared = cut(at.join(sizes, F.col("path") == F.col("_path")).drop("_path"))
-        done = shared if level == depth else shared.filter(F.col("members") <= small)
-        done = done.select("cls", "run", F.col("path").alias("leaf"), "members")
+        sizes = cut(now.groupBy(F.col("path").alias("_path")).count().filter("count > 1").withColumnRenamed("count", "members"))
+        shared = cut(now.join(sizes, F.col("path") == F.col("_path")).drop("_path"))
+        whole = (F.col("members") <= small) | (F.col("members") > DENSE * F.col("before")) | (F.size("used") >= TOKENS)
+        done = shared.filter(whole).select("cls", "run", F.col("path").alias("leaf"), "members")
         found = done if found is None else found.unionByName(done)
-        if level < depth:
-            at = shared.filter(F.col("members") > small).select("cls", "run", F.xxhash64("path", F.element_at("tokens", level + 1)).alias("path"), "tokens")
-    return found
+        large = shared.filter(~whole)
+        if large.isEmpty():
+            return found, depth
+        at = large.drop("before").withColumnRenamed("members", "before").join(of, "cls")
 
 
 def counted(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -142,20 +173,20 @@ def counted(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, similarity: float, runs: int) -> DataFrame:
     """(cls, n, weight, root): for each bucket and class in it the number and copies of classes linked to it there, and the least class it hangs together with there.
 
-    A pair that shares the buckets of several runs counts in the first of them alone, so sums over buckets count every
-    pair once. A leaf whose classes all shared an earlier leaf is skipped. Leaves above BLOCK classes become blocks of
-    classes, and a task for each two blocks; what a leaf needs in memory is bounded by that.
+    A pair that shares several leaves counts in the first of them alone, by run and leaf, so sums over buckets count every
+    pair once. A leaf whose classes all shared a leaf of an earlier run is skipped. Leaves above BLOCK classes, which are dense,
+    become blocks of classes, and a task for each two blocks; what a leaf needs in memory is bounded by that.
     """
-    first = [F.max(F.when(F.col("run") == r, F.col("leaf"))).alias(f"l{r}") for r in range(runs)]
-    by_class = cut(found.groupBy("cls").agg(*first))
-    wide = cut(found.join(by_class, "cls"))
-    same = [F.when((F.col("run") > q) & (F.count(f"l{q}") == F.count("*")) & (F.min(f"l{q}") == F.max(f"l{q}")), 1) for q in range(runs)]
-    needed = cut(wide.groupBy("run", "leaf").agg(F.coalesce(*same).alias("skip")).filter("skip IS NULL").select("leaf").distinct())
-    kept = wide.join(needed, "leaf", "left_semi").select("cls", F.struct("run", "leaf", "members").alias("at"))
-    mine = kept.groupBy("cls").agg(F.collect_list("at").alias("at"))  # at most one leaf a run
-    wanted = mine.join(by_class, "cls").join(classes.select("cls", "row", "copies"), "cls")
+    first = [F.min(F.when(F.col("run") == r, F.col("leaf"))).alias(f"l{r}") for r in range(runs)]
+    by_class = found.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("run", "leaf", "members"))).alias("own"), *first)
+    by_class = cut(by_class)  # a row a class, with a few leaves a run
+    wide = by_class.select("cls", F.explode("own").alias("x"), *[f"l{r}" for r in range(runs)]).select("cls", "x.run", "x.leaf", *[f"l{r}" for r in range(runs)])
+    same = [F.when((F.min("run") > q) & (F.count(f"l{q}") == F.count("*")) & (F.min(f"l{q}") == F.max(f"l{q}")), 1) for q in range(runs)]
+    needed = cut(wide.groupBy("leaf").agg(F.coalesce(*same).alias("skip")).filter("skip IS NULL").select("leaf"))
+    kept = wide.select("cls", "leaf").join(needed, "leaf", "left_semi").groupBy("cls").agg(F.collect_list("leaf").alias("at"))
+    wanted = kept.join(by_class.select("cls", "own"), "cls").join(classes.select("cls", "row", "copies"), "cls")
     wanted = cut(wanted)
-    texts = docs.select("row", F.col("text").alias("_text")).join(wanted, "row").select("_text", "cls", "copies", F.array(*[f"l{r}" for r in range(runs)]).alias("leaves"), "at")
+    texts = docs.select("row", F.col("text").alias("_text")).join(wanted.hint("merge"), "row").select("_text", "cls", "copies", F.transform("own", lambda x: x["leaf"]).alias("leaves"), F.filter("own", lambda x: F.array_contains("at", x["leaf"])).alias("at"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
@@ -164,7 +195,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
                 rows: list[tuple] = []
                 for t, cls, copies, own, at in zip(*(whole.slice(start, 200).column(i).to_pylist() for i in range(5))):
                     s = shingles(t, size).tobytes()
-                    own = np.array([0 if x is None else x for x in own], "<i8").tobytes()
+                    own = np.array(own, "<i8").tobytes()  # in order of run and leaf
                     for x in at:
                         blocks = max(1, -(-x["members"] // BLOCK))
                         block = int.from_bytes(cls[:8], "big") % blocks
@@ -176,7 +207,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
 
     schema = "leaf long, part long, run long, block long, cls binary, copies long, leaves binary, set binary"
     n = partitions(docs.sparkSession)
-    dealt = texts.mapInArrow(deal, schema).repartition(n, "leaf", "part").sortWithinPartitions("leaf", "part", "cls")
+    met = dealt(texts.mapInArrow(deal, schema), n, "leaf", "part").sortWithinPartitions("leaf", "part", "cls")
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -189,9 +220,15 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
             block = np.array([x["block"] for x in rows])
             if block.min() != block.max():
                 near &= block[:, None] != block[None, :]
-            own = np.array([np.frombuffer(x["leaves"], "<i8") for x in rows])
-            for q in range(rows[0]["run"]):
-                near &= ~((own[:, None, q] == own[None, :, q]) & (own[:, None, q] != 0))
+            earlier: dict[int, list[int]] = {}  # leaves before this one: the rows in them
+            for i in np.flatnonzero(near.any(1)).tolist():
+                for leaf in np.frombuffer(rows[i]["leaves"], "<i8").tolist():
+                    if leaf == rows[i]["leaf"]:
+                        break
+                    earlier.setdefault(leaf, []).append(i)
+            for met_there in earlier.values():
+                if len(met_there) > 1:
+                    near[np.ix_(met_there, met_there)] = False
             copies, root = np.array([x["copies"] for x in rows]), np.arange(len(rows))
             if not near.any():
                 return []
@@ -216,7 +253,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["cls", "n", "weight", "root"])
 
-    return dealt.mapInArrow(brute, "cls binary, n long, weight long, root binary")
+    return met.mapInArrow(brute, "cls binary, n long, weight long, root binary")
 
 
 def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.995, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,12 +265,14 @@ def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float
     texts and texts without words have the empty set: they are copies of each other and link to nothing else. Repeated
     rows count as copies. Null keys come last in choosing a least key.
     """
-    runs = runs_for(similarity, recall)
     base = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    known = cut(described(base, "text", size, runs * DEPTH))
-    tokens_of = [f"t{i}" for i in range(runs * DEPTH)]
-    classes = cut(known.groupBy("cls", "size", *tokens_of).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("least"), F.count("*").alias("copies")).withColumn("row", F.col("least.row")))
-    found = cut(leaves(classes, runs))
+    known = cut(described(base, "text", size))
+    classes = cut(known.groupBy("cls", "size").agg(F.any_value("tokens").alias("tokens"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("least"), F.count("*").alias("copies")).withColumn("row", F.col("least.row")))
+    runs, depth, found = 0, 1, None
+    while runs < (needed := runs_for(similarity, recall, depth)):
+        more, deep = leaves(classes, range(runs, needed), similarity)
+        found, runs, depth = more if found is None else found.unionByName(more), needed, max(depth, deep)
+    found = cut(found)
     near = cut(links(base, found, classes, size, similarity, runs))
     roots = components(near.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     sums = near.groupBy("cls").agg(F.sum("weight").alias("weight"))

@@ -116,11 +116,12 @@ def test_jaccard(spark, docs, empty, monkeypatch):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = near(texts)
-    for small, block in ((256, 512), (8, 16)):  # the second splits buckets and the large group
+    for small, block in ((256, 512), (8, 16)):  # the second splits buckets, and the large group into blocks
+        monkeypatch.setattr(jaccard, "SMALL", small)
         monkeypatch.setattr(jaccard, "BLOCK", block)
-        got = {r["doc_id"]: r for r in jaccard.join(df, recall=0.9999).collect()}
+        got = {r["doc_id"]: r for r in jaccard.join(df, recall=0.999999).collect()}
         assert [got[i]["n_links"] for i in range(len(texts))] == want
-        monkeypatch.setattr(jaccard.leaves, "__defaults__", (jaccard.DEPTH, small))
+    monkeypatch.undo()
     odd = jaccard.join(docs).collect()
     assert len(odd) == len(ROWS)
     by = {r["doc_id"]: r for r in odd if r["doc_id"] is not None}
@@ -129,6 +130,29 @@ def test_jaccard(spark, docs, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_recall(spark, monkeypatch):
+    """At the shipped recall, near copies just above the bound are found, also where every bucket is split several times."""
+    texts, pairs = [], 0
+    for _ in range(700):
+        w = prose(110).split()
+        v = list(w)
+        for at in (20, 80):
+            v[at] = "edit"
+        texts += [" ".join(w), " ".join(v)]
+    common = prose(12)  # shared by all, so that first tokens meet in one bucket
+    texts = [f"{common} {t}" for t in texts]
+    for a, b in zip(texts[::2], texts[1::2]):
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a.split(), b.split()))
+        similarity = len(x & y) / len(x | y)
+        assert 0.8 <= similarity <= 0.87
+        pairs += 1
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(got[2 * i]["class_id"] == got[2 * i + 1]["class_id"] for i in range(pairs))
+    assert found >= 0.98 * pairs
+    assert all(r["n_links"] <= 1 for r in got.values())
+
+
 def test_components(spark):
     edges = [(random.randrange(80), random.randrange(80)) for _ in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(None, 1)]
     parent = {}
