@@ -3,7 +3,8 @@
 The transducer is the composition of three machines, compiled once on the driver from the vocabulary file:
 
 * the normaliser: a space becomes the marker U+2581, and one marker is put before a text that isn't empty;
-* the pieces: an arc for every piece, and byte fallback arcs for every character that is no piece;
+* the pieces: an arc of weight ARC for every piece, and byte fallback arcs for every character that is no piece, of weight
+  BYTE for each byte;
 * the pair machine: its state is the piece read last, and an arc from piece a to piece b weighs 0 if merging the
   characters of a + b gives back a and b, and infinity otherwise.
 
@@ -21,6 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ MARK = "▁"
 KEPT = 250_000
 #: Longer words are not kept.
 KEPT_CHARS = 48
+#: Weights of the arcs of a piece and of a fallback byte.
+ARC, BYTE = 1.0, 8.0
 
 
 @dataclass
@@ -93,18 +97,31 @@ class Transducer:
         self._reach = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
 
     def merged(self, text: str) -> list[str]:
-        """The segmentation of a short text by merging: best score first, leftmost among equals."""
-        pieces, parts = self.vocabulary.pieces, list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                p = pieces.get(parts[i] + parts[i + 1])
-                if p is not None and (best is None or p[1] > best):
-                    best, at = p[1], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The segmentation of a text by merging: best score first, leftmost among equals. Waiting merges are in a heap."""
+        pieces = self.vocabulary.pieces
+        parts: list[str | None] = list(text)
+        before, behind = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        waiting: list[tuple[float, int, str]] = []
+
+        def wait(i: int) -> None:
+            j = behind[i] if i >= 0 else len(parts)
+            if i >= 0 and j < len(parts) and (p := pieces.get(both := parts[i] + parts[j])) is not None:
+                heappush(waiting, (-p[1], i, both))
+
+        for i in range(len(parts) - 1):
+            wait(i)
+        while waiting:
+            _, i, both = heappop(waiting)
+            j = behind[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+                continue  # a part has been merged meanwhile
+            parts[i], parts[j] = both, None
+            behind[i] = behind[j]
+            if behind[j] < len(parts):
+                before[behind[j]] = i
+            wait(before[i])
+            wait(i)
+        return [p for p in parts if p is not None]
 
     def made(self, piece: str) -> tuple[float, str, str] | None:
         """The rank at which merging makes a piece, and the two parts it joins last; None if merging never makes it."""
@@ -155,41 +172,42 @@ class Transducer:
     def path(self, word: str) -> bytes:
         """Ids (little-endian 32-bit) on the shortest path through a word's lattice.
 
-        Finite paths all weigh 0, so a depth-first search that tries long arcs first and never enters a dead state
-        twice finds the shortest. A run of markers alone has pieces of equal rank, where pairs don't decide: it goes
-        through the merges themselves.
+        States are places in the word with the piece that ends there. Places are relaxed from left to right. Only
+        states of finite weight go on; as every prefix has one merge segmentation, each place has one such state, and the
+        first arc of finite weight into it is on the shortest path. A run of markers alone has pieces of equal rank, where pairs
+        don't decide: it goes through the merges themselves.
         """
         if len(word) > 1 and word[:2] == MARK * 2:
             n = len(word) - len(word.lstrip(MARK))
             if n > 1:
                 return self._spaced(word, n)
         pieces, pairs, reach, n = self.vocabulary.pieces, self._pairs, self._reach, len(word)
-        dead: set[tuple[int, str]] = set()
-        parts: list[str] = []
-        at, last, top = 0, "", n
-        while at < n:
+        last: list[str | None] = [None] * (n + 1)  # of each place the piece on the shortest path to it, with the path's weight
+        weights = [0.0] * (n + 1)
+        last[0] = ""
+        for at in range(n):
+            before, so_far = last[at], weights[at]
+            if before is None:
+                continue
             for size in reach.get(word[at : at + 3], (2, 1)):
-                if size > top:
-                    continue
-                piece = word[at : at + size]
-                if size > 1 and (piece not in pieces or at + size > n):
-                    continue
-                if dead and (at + size, piece) in dead:
+                end = at + size
+                if end > n or last[end] is not None:
                     continue
-                if last:
-                    link = pairs.get((last, piece))
-                    if not (self.linked(last, piece) if link is None else link):
-                        continue
-                parts.append(piece)
-                at, last, top = at + size, piece, n
-                break
-            else:
-                if not parts:  # no finite path: merge as the vocabulary says
-                    return self._ids(self.merged(word))
-                piece = parts.pop()
-                dead.add((at, piece))
-                at, last, top = at - len(piece), parts[-1] if parts else "", len(piece) - 1
-        return self._ids(parts)
+                piece = word[at:end]
+                known = piece in pieces
+                if known or size == 1:
+                    if before:
+                        link = pairs.get((before, piece))
+                        if not (self.linked(before, piece) if link is None else link):
+                            continue
+                    last[end], weights[end] = piece, so_far + (ARC if known else BYTE * len(piece.encode("utf-8", "surrogatepass")))
+        if last[n] is None:  # no finite path: merge as the vocabulary says
+            return self._ids(self.merged(word))
+        parts, at = [], n
+        while at:
+            parts.append(last[at])
+            at -= len(last[at])
+        return self._ids(parts[::-1])
 
     def _spaced(self, word: str, n: int) -> bytes:
         """A run of n markers before a word: the last marker belongs to the word if the word's own path takes it."""
