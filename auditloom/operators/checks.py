@@ -215,19 +215,3 @@ def focus_regions(components: DataFrame) -> DataFrame:
     w = Window.partitionBy("case_id").orderBy(F.desc("words"), "component")
     r = components.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("words").over(w)).withColumn("all", F.sum("words").over(Window.partitionBy("case_id")))
     return r.filter("k = 1").select("case_id", "component", F.round(F.col("words") / F.col("all"), 6).alias("share"), F.coalesce(F.col("next") * 2 >= F.col("words"), F.lit(False)).alias("has_peer"))
-
-
-def trim_windows(words: DataFrame, most: int = 4) -> DataFrame:
-    """Runs of 1 to `most` words inside lines of more. words: case_id, line, ix, text."""
-    long_ = words.groupBy("case_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    w = Window.partitionBy("case_id", "line").orderBy("ix").rowsBetween(0, most - 1)
-    runs = words.join(long_, ["case_id", "line"]).withColumn("ahead", F.collect_list("text").over(w))
-    return runs.select("case_id", "line", "ix", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ahead", F.lit(1), n), " ").alias("span")))).alias("s")).select("case_id", "line", "ix", "s.n", "s.span")
-
-
-def merge_adjacent_seeds(seeds: DataFrame, top: int = 3) -> DataFrame:
-    """Pairs of the best seeds of a line and of the next line, with their joint score. seeds: case_id, line, id, score."""
-    w = Window.partitionBy("case_id", "line").orderBy(F.desc("score"), "id")
-    best = seeds.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top)
-    follow = best.select("case_id", (F.col("line") - 1).alias("line"), F.col("id").alias("next_id"), F.col("score").alias("next_score"))
-    return best.join(follow, ["case_id", "line"]).select("case_id", "line", "id", "next_id", (F.col("score") + F.col("next_score")).alias("score"))

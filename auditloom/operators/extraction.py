@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions import names as nm
 from auditloom.functions import text as tx
+from auditloom.functions import vocabulary as vc
+from auditloom.functions.statements import basis_points, matched, stated
 
 
 def words_of(docs: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def group_lines(words: DataFrame, tolerance: float = 20.0) -> DataFrame:
 
     Words come sorted, so only the last line can be near enough; one pass over the sorted rows of each task does it.
     """
-    ordered = words.withColumn("centre", (F.col("y0") + F.col("y1")) / 2).repartition("case_id").sortWithinPartitions("case_id", "centre", "x0", "word_ix")
+    ordered = words.withColumn("centre", (F.col("y0") + F.col("y1")) / 2).repartition(F.xxhash64("case_id")).sortWithinPartitions("case_id", "centre", "x0", "word_ix")  # hashed, as an exchange by the column itself is left out behind a join on it, which adaptive planning may spread
     columns = [c for c in ordered.columns if c != "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +80,8 @@ def adjacent_lines(words: DataFrame) -> DataFrame:
 
 
 def match_statements(texts: DataFrame) -> DataFrame:
-    """Adds kind, low and high (basis points) of each statement."""
-    return texts.withColumn("parsed", tx.statement(F.col("statement"))).select("*", "parsed.kind", "parsed.low", "parsed.high").drop("parsed")
+    """Adds kind, low and high (basis points), reason and operations to each statement as it was read from a picture."""
+    return matched(texts, "statement")
 
 
 def select_statement(candidates: DataFrame) -> DataFrame:
@@ -93,28 +96,85 @@ def select_statement(candidates: DataFrame) -> DataFrame:
     return ranked.select("case_id", "value", "score", "support", state.alias("state"))
 
 
-def filter_name_lines(lines: DataFrame, stop: list[str]) -> DataFrame:
-    """Why a line is no name, the first reason that holds, or plausible. lines: case_id, line, text."""
-    t, n = F.col("text"), F.size(F.split("text", " "))
-    reason = (
-        F.when(F.length(t) < 3, "too_short").when(F.length(t) > 60, "too_long").when(n > 7, "too_many_words").when(t.rlike(r"[0-9]"), "has_digit").when(t.rlike(r"[%$#*&]"), "has_symbol")
-        .when(F.lower(t).isin(stop), "stop_word").when(~t.rlike(r"\p{L}"), "no_letter").when(t.rlike(r"^\p{Ll}"), "lower_start").when(t.endswith(","), "open_end").otherwise("plausible")
-    )
-    return lines.withColumn("reason", reason)
+def filter_name_lines(lines: DataFrame) -> DataFrame:
+    """Adds value (the line as a name could be written) and reason: why it is no name, or which kind of candidate. lines: text."""
+    return lines.withColumn("value", nm.cleaned(F.col("text"))).withColumn("reason", nm.line_reason(F.col("text"), F.col("value")))
+
+
+#: Columns of a name candidate: case_id, id, value, words (array of text, confidence), line (of a merge the upper one), merged,
+#: positive, evidence (0 to 1), x, y, width, height, passes (array), and where it is a merge alignment and proximity.
 
 
-def score_candidates(candidates: DataFrame) -> DataFrame:
-    """A weighted sum of a candidate's score, confidence and support, by the most of its case."""
-    w = Window.partitionBy("case_id")
-    part = F.col("score") / F.greatest(F.lit(1), F.max("score").over(w))
-    return candidates.select("case_id", "candidate_id", "priority", "field", F.round(0.5 * part + 0.3 * F.coalesce(F.col("raw_confidence") / 10, F.lit(0.5)) + 0.2 / F.col("priority"), 6).alias("total"))
+def trim_windows(candidates: DataFrame, most: int = vc.NAME_WORDS) -> DataFrame:
+    """(case_id, id, first, n, span): runs of 1 to `most` words, shorter than the line, of positive lines of which more than a quarter looks like no name. A run begins and ends with a word that has a letter or digit."""
+    whole = candidates.filter(F.col("positive")).withColumn("residual", nm.residual(F.col("words"))).filter("residual > 0.25").withColumn("k", F.size("words"))
+    starts = whole.select("case_id", "id", "words", "k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("first"))
+    runs = starts.select("case_id", "id", "words", "k", "first", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("k") - F.col("first") + 1))).alias("n")).filter("n < k")
+    text = F.transform(F.slice("words", F.col("first"), F.col("n")), lambda w: w["text"])
+    told = runs.select("case_id", "id", "first", "n", text.alias("t"))
+    return told.filter(F.element_at("t", 1).rlike("[A-Za-z0-9]") & F.element_at("t", -1).rlike("[A-Za-z0-9]")).select("case_id", "id", "first", "n", F.array_join("t", " ").alias("span"))
 
 
-def select_name(candidates: DataFrame) -> DataFrame:
-    """The best candidate of each case and how many rivals reach 0.8 of it."""
-    w = Window.partitionBy("case_id").orderBy(F.desc("total"), "candidate_id", "priority", "field")
-    r = candidates.withColumn("k", F.row_number().over(w)).withColumn("best", F.max("total").over(Window.partitionBy("case_id")))
-    return r.groupBy("case_id").agg(F.max(F.when(F.col("k") == 1, F.col("candidate_id"))).alias("candidate_id"), F.max("best").alias("total"), (F.count_if(F.col("total") >= 0.8 * F.col("best")) - 1).alias("rivals"))
+def merge_adjacent_seeds(candidates: DataFrame, top: int = 3, passes: str = "pass_id") -> DataFrame:
+    """(case_id, pass, line, upper, lower, value, alignment, proximity): pairs of the best seeds of a line and of the next line of one pass.
+
+    Seeds with one key count once, with their best score. One of a pair is positive, they stand over each other
+    (alignment 0.3 or more) and near (proximity above 0), and have six words and three tokens with letters at most.
+    """
+    informative = F.size(F.filter(nm.tokens(F.col("value")), lambda t: F.length(t) >= 3))
+    seeds = candidates.withColumn("seed", F.when(F.col("positive"), 2).otherwise(0) + informative + F.col("evidence") + F.col("height") / 100)
+    same = Window.partitionBy("case_id", passes, "line", nm.key(F.col("value"))).orderBy(F.desc("seed"), "id")
+    w = Window.partitionBy("case_id", passes, "line").orderBy(F.desc("seed"), "id")
+    best = seeds.withColumn("_k", F.row_number().over(same)).filter("_k = 1").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top)
+    keep = ["id", "words", "positive", "x", "y", "width", "height"]
+    upper = best.select("case_id", passes, "line", F.struct(*keep).alias("a"))
+    lower = best.select("case_id", passes, (F.col("line") - 1).alias("line"), F.struct(*keep).alias("b"))
+    over = F.greatest(F.lit(0.0), F.least(F.expr("a.x + a.width"), F.expr("b.x + b.width")) - F.greatest("a.x", "b.x")) / F.greatest(F.lit(1.0), F.least("a.width", "b.width"))
+    offset = F.abs(F.expr("a.x + a.width / 2 - b.x - b.width / 2")) / F.greatest("a.width", "b.width", F.lit(1.0))
+    gap = F.greatest(F.lit(0.0), F.expr("b.y - a.y - a.height")) / (1.5 * F.greatest(F.lit(1.0), F.expr("(a.height + b.height) / 2")))
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    words = F.concat("a.words", "b.words")
+    pairs = upper.join(lower, ["case_id", passes, "line"]).filter("a.positive OR b.positive").withColumns({"alignment": clip(F.greatest(over, 1 - offset)), "proximity": clip(1 - gap), "value": nm.cleaned(F.array_join(F.transform(words, lambda t: t["text"]), " ")), "n_words": F.size(words)})
+    fit = (F.col("alignment") >= 0.3) & (F.col("proximity") > 0) & (F.col("n_words") <= vc.NAME_WORDS + 2) & (F.size(nm.lettered(F.col("value"))) <= 3)
+    return pairs.filter(fit).select("case_id", passes, "line", F.col("a.id").alias("upper"), F.col("b.id").alias("lower"), "value", F.round("alignment", 6).alias("alignment"), F.round("proximity", 6).alias("proximity"))
+
+
+def score_candidates(candidates: DataFrame, wide: int = 800, high: int = 600) -> DataFrame:
+    """Adds the eleven factors of each candidate and their weighted sum, total. Heights and areas count by the most of the case; wide, high: the picture's size."""
+    case = Window.partitionBy("case_id")
+    area = F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
+    off = F.abs(F.col("x") + F.col("width") / 2 - wide / 2) / (wide / 2) + F.abs(F.col("y") + F.col("height") / 2 - high / 2) / (high / 2)
+    factors = nm.word_factors(F.col("value"), F.col("words"), F.col("positive")) | {
+        "evidence": F.col("evidence"), "prominence": F.coalesce(F.col("height") / F.nullif(F.max("height").over(case), F.lit(0)), F.lit(0.0)), "area": area / F.max(area).over(case),
+        "centrality": F.greatest(F.lit(0.0), 1 - off / 2), "alignment": F.coalesce("alignment", F.lit(1.0)), "proximity": F.coalesce("proximity", F.lit(1.0)),
+    }
+    told = candidates.withColumns({f"f_{k}": F.round(c, 6) for k, c in factors.items()})
+    return told.withColumn("total", F.round(sum((F.col(f"f_{k}") * w for k, w in vc.WEIGHTS.items()), F.lit(0.0)), 8))
+
+
+def select_name(scored: DataFrame) -> DataFrame:
+    """The choice of each case: (case_id, id, value, total, passes, rivals, state, reason).
+
+    Of the candidates of a line the best total stays, and of those with one key, with the passes of all. Candidates that stand
+    clearly above the floor of the case's best height come first, by total; the others follow by height. A choice is
+    OBSERVED if it is positive and its evidence reaches 0.6; a rival, that is another name of at least 0.8 of its height,
+    or any other name beside weak evidence, makes it AMBIGUOUS, and so does a choice that nothing marks as a name.
+    """
+    best_of = lambda *by: Window.partitionBy("case_id", *by).orderBy(F.desc("total"), F.desc("evidence"), "id")
+    named = scored.withColumn("key", nm.key(F.col("value"))).withColumn("top", F.max("height").over(Window.partitionBy("case_id")))
+    family = named.withColumn("_k", F.row_number().over(best_of("line", "merged"))).filter("_k = 1")
+    support = F.array_sort(F.array_distinct(F.flatten(F.collect_list("passes").over(Window.partitionBy("case_id", "key")))))
+    one = family.withColumn("support", support).withColumn("_k", F.row_number().over(best_of("key"))).filter("_k = 1")
+    first = F.col("height") > vc.FLOOR * F.col("top") + vc.BUFFER
+    order = [F.desc(first), F.desc(F.when(first, F.col("total")).otherwise(F.col("height"))), F.desc(F.when(first, F.col("height")).otherwise(F.col("evidence"))), F.desc(F.when(first, F.col("evidence")).otherwise(F.col("total"))), F.col("key")]
+    ranked = one.withColumn("_k", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
+    chosen = F.first(F.struct("key", "height")).over(Window.partitionBy("case_id").orderBy("_k"))
+    other = ranked.withColumn("_best", chosen).withColumn("other", (F.col("_k") > 1) & ~nm.corroborate(F.col("key"), F.col("_best.key")))
+    told = other.groupBy("case_id").agg(F.min(F.when(F.col("_k") == 1, F.struct("id", "value", "total", "support", "evidence", "positive"))).alias("b"), F.count_if(F.col("other") & (F.col("height") >= vc.RIVAL * F.col("_best.height"))).alias("rivals"), F.count_if("other").alias("others"))
+    contested = (F.col("rivals") > 0) | ((F.col("b.evidence") < vc.UNSURE) & (F.col("others") > 0))
+    sure = F.col("b.positive") & (F.col("b.evidence") >= vc.UNSURE)
+    reason = F.when(contested, "competing_candidates").when(~sure, "single_unconfirmed_candidate")
+    return told.select("case_id", "b.id", "b.value", "b.total", F.array_join("b.support", ",").alias("passes"), "rivals", F.when(contested | ~sure, "AMBIGUOUS").otherwise("OBSERVED").alias("state"), reason.alias("reason"))
 
 
 def merge_support(candidates: DataFrame) -> DataFrame:
@@ -128,8 +188,10 @@ def confidence_summary(words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantity_summary(texts: DataFrame) -> DataFrame:
-    """Quantities in millilitres by group. texts: grp, text."""
-    return texts.withColumn("ml", tx.millilitres(F.col("text"))).groupBy("grp").agg(F.count("*").alias("n"), F.count("ml").alias("found"), F.min("ml").alias("low"), F.max("ml").alias("high"), F.round(F.avg("ml"), 4).alias("mean"))
+    """All quantities in millilitres by group; n counts texts, found quantities. texts: grp, text."""
+    all_ = texts.select("grp", F.explode_outer(F.when(F.size(tx.quantities(F.col("text"))) > 0, tx.quantities(F.col("text")))).alias("ml"))
+    found = all_.groupBy("grp").agg(F.count("ml").alias("found"), F.min("ml").alias("low"), F.max("ml").alias("high"), F.round(F.avg("ml"), 4).alias("mean"))
+    return texts.groupBy("grp").agg(F.count("*").alias("n")).join(found, "grp").select("grp", "n", "found", "low", "high", "mean")
 
 
 def key_groups(texts: DataFrame, key: Column) -> DataFrame:
@@ -148,13 +210,13 @@ def evaluate_rules(cases: DataFrame) -> DataFrame:
 
     Rules over what is declared or observed run where the evidence suffices; rules that need evidence from elsewhere never run.
     """
-    observed, declared = tx.statement(F.col("statement")), tx.basis_points(F.regexp_replace(F.trim("declared"), r"\s*%$", ""))
+    declared = basis_points(F.regexp_replace(F.trim("declared"), r"\s*%$", ""))
     seen = (F.col("state") != "NOT_OBSERVED") & F.col("statement").isNotNull()
     blank = F.col("declared").isNull() | (F.trim("declared") == "")
-    syntax = F.when(~seen | (F.col("state") == "AMBIGUOUS"), "NEEDS_REVIEW").when(F.col("parsed.kind").isin("direct", "range"), "PASS").otherwise("FAIL")
+    syntax = F.when(~seen | (F.col("state") == "AMBIGUOUS"), "NEEDS_REVIEW").when(F.col("kind").isin("direct", "range"), "PASS").otherwise("FAIL")
     compare = (
-        F.when(blank | ~seen | (F.col("state") == "AMBIGUOUS") | (F.col("parsed.kind") != "direct") | F.col("points").isNull(), "NEEDS_REVIEW")
-        .when(F.col("points") == F.col("parsed.low"), "PASS").otherwise("FAIL")
+        F.when(blank | ~seen | (F.col("state") == "AMBIGUOUS") | (F.col("kind") != "direct") | F.col("points").isNull(), "NEEDS_REVIEW")
+        .when(F.col("points") == F.col("low"), "PASS").otherwise("FAIL")
     )
     no_brand = F.col("brand").isNull() | F.col("declared_brand").isNull() | (F.trim("declared_brand") == "") | (F.col("state") == "AMBIGUOUS")
     brand = F.when(no_brand, "NEEDS_REVIEW").when(tx.brand_base(F.col("brand")) == tx.brand_base(F.col("declared_brand")), "PASS").when(tx.brand_key(F.col("brand")) == tx.brand_key(F.col("declared_brand")), "PASS").otherwise("FAIL")
@@ -163,7 +225,7 @@ def evaluate_rules(cases: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("rule"), (F.lit("not_run_external_dependency") if c is None else F.when(F.col("sufficient"), "executed").otherwise("not_run_insufficient_evidence")).alias("execution"), (F.lit("not_run") if c is None else F.when(F.col("sufficient"), c).otherwise("not_run")).alias("finding"))
         for n, c in rules
     ]
-    return cases.withColumn("parsed", observed).withColumn("points", declared).select("case_id", F.explode(F.array(*rows)).alias("f")).select("case_id", "f.*")
+    return stated(cases, "statement").withColumn("points", declared).select("case_id", F.explode(F.array(*rows)).alias("f")).select("case_id", "f.*")
 
 
 def evidence_sufficiency(cases: DataFrame) -> DataFrame:

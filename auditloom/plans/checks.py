@@ -86,9 +86,6 @@ def register(r: Registry) -> None:
     )
     r.add("a28_code_agreement", f"WITH c AS (SELECT case_id, repetition, list_sort(list(DISTINCT code)) AS codes FROM ({CODES.format('lineitem')}) GROUP BY ALL) SELECT a.case_id, count(*) AS pairs, bool_and(a.codes = b.codes) AS exact, round(avg(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes)))::DOUBLE), 6) AS jaccard FROM c a JOIN c b ON a.case_id = b.case_id AND a.repetition < b.repetition GROUP BY 1")(lambda s, d: ck.code_agreement(s.sql(CODES.format("{l}"), l=view(s, d, "lineitem"))))
     r.add("a30_orientation_breakdown", duck("fx_cases", sql="SELECT orientation, state, count(*) AS n, count(*) FILTER (detected) AS detected, round(count(*) FILTER (detected) / count(*)::DOUBLE, 6) AS recall FROM fx_cases GROUP BY ALL"))(lambda s, d: ck.orientation_breakdown(view(s, d, "fx_cases")))
-    r.add("x8_trim_windows", f"WITH {WORDS}, {LINED}, z AS (SELECT *, count(*) OVER (PARTITION BY case_id, line) AS c, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2 FROM lined WINDOW w AS (PARTITION BY case_id, line ORDER BY ix)) SELECT case_id, line, ix, 1 AS n, text AS span FROM z WHERE c > 3 UNION ALL SELECT case_id, line, ix, 2, text || ' ' || t1 FROM z WHERE c > 3 AND t1 IS NOT NULL UNION ALL SELECT case_id, line, ix, 3, text || ' ' || t1 || ' ' || t2 FROM z WHERE c > 3 AND t2 IS NOT NULL")(lambda s, d: ck.trim_windows(lined(s, d), 3))
-    seeds = "SELECT case_id, priority AS line, candidate_id AS id, max(score) AS score FROM {} GROUP BY case_id, priority, candidate_id"
-    r.add("x9_merge_adjacent_seeds", duck("fx_candidates", sql=f"WITH s AS ({seeds.format('fx_candidates')}), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY case_id, line ORDER BY score DESC, id) <= 3) SELECT a.case_id, a.line, a.id, n.id AS next_id, a.score + n.score AS score FROM b a JOIN b n ON n.case_id = a.case_id AND n.line = a.line + 1"))(lambda s, d: ck.merge_adjacent_seeds(s.sql(seeds.format("{c}"), c=view(s, d, "fx_candidates"))))
     ids = lambda s, d: boxes(s, d).withColumnRenamed("vec_id", "id")
     r.add("x14_word_components")(lambda s, d: ck.word_components(ids(s, d), 0.005))
     r.add("x15_focus_regions", duck("fx_candidates", sql="WITH c AS (SELECT case_id, priority AS component, count(*) AS words FROM fx_candidates GROUP BY ALL) SELECT case_id, component, round(words / (sum(words) OVER (PARTITION BY case_id))::DOUBLE, 6) AS share, coalesce(lead(words) OVER w * 2 >= words, false) AS has_peer FROM c WINDOW w AS (PARTITION BY case_id ORDER BY words DESC, component) QUALIFY row_number() OVER w = 1"))(lambda s, d: ck.focus_regions(view(s, d, "fx_candidates").groupBy("case_id", F.col("priority").alias("component")).agg(F.count("*").alias("words"))))

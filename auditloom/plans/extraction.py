@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.fixtures import duck, view
@@ -16,10 +17,53 @@ PASSES = "SELECT doc_id AS case_id, CAST(doc_id % 4 * 90 AS INT) AS rotate, CAST
 LINED = "lined AS (SELECT case_id, word_ix // 8 AS line, word_ix AS ix, text FROM words)"
 CASES = """SELECT l_orderkey * 10 + l_linenumber AS case_id, l_suppkey % 9 <> 0 AS sufficient, CASE l_partkey % 4 WHEN 0 THEN 'NOT_OBSERVED' WHEN 1 THEN 'AMBIGUOUS' ELSE 'OBSERVED' END AS state, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE concat('ALC. ', CAST(CAST(l_quantity AS INT) AS {s}), CASE WHEN l_linenumber % 3 = 0 THEN '% BY VOL.' WHEN l_linenumber % 3 = 1 THEN ' % alc/vol' ELSE '% vol' END) END AS statement,
   CASE WHEN l_suppkey % 10 = 0 THEN ' ' ELSE concat(CAST(CAST(l_quantity AS INT) + l_linenumber % 2 AS {s}), '.0%') END AS declared, CASE WHEN l_partkey % 5 <> 0 THEN concat('Brand ', CAST(l_partkey % 3 AS {s}), CASE WHEN l_linenumber % 2 = 0 THEN ', Inc.' ELSE '' END) END AS brand, concat('BRAND  ', CAST(l_suppkey % 3 AS {s})) AS declared_brand FROM {t}"""
+#: Windows as they are read from pictures, {q} a number, with what they state: kind, low, high, reason, operations.
+WINDOWS = [
+    ("{q}% by vol", "direct", "100 * q", "100 * q", "explicit-percent-by-volume", ""), ("ALC{q}% BY VOL.", "direct", "100 * q", "100 * q", "explicit-percent-alc-vol", "text-repaired"),
+    ("ALC % {q},5 BY VOL", "direct", "100 * q + 50", "100 * q + 50", "explicit-percent-alc-vol", "text-repaired,percent-before-number-reordered"), ("{q}.5% alc./vol.", "direct", "100 * q + 50", "100 * q + 50", "explicit-percent-alc-vol", ""),
+    ("alcohol {q} by volume", "direct", "100 * q", "100 * q", "explicit-percentless-alcohol-by-volume", ""), ("ALC {q} VOL", "direct", "100 * q", "100 * q", "explicit-percentless-alcohol-by-volume", ""), ("{q}% abv", "direct", "100 * q", "100 * q", "explicit-percent-by-volume", "text-repaired"),
+    ("{q}% to 6{d}% by vol", "range", "100 * q", "6000 + 100 * (q % 10)", "explicit-percent-by-volume", ""), ("6{d}-{q}% by vol", "rejected", None, None, "unsupported-pattern", None), ("none by vol", "rejected", None, None, "no-supported-number", None),
+    ("{q} proof", "rejected", None, None, "proof-only", None), ("{q}%", "rejected", None, None, "missing-volume-marker", None), ("{q} by vol", "rejected", None, None, "missing-explicit-alcohol-marker", None), ("{q}% vol", "rejected", None, None, "bare-volume-marker-too-weak", None),
+    ("about {q}% by vol", "rejected", None, None, "unsupported-pattern", None), ("a1c. I{d}% by v0l", "direct", "1000 + 100 * (q % 10)", "1000 + 100 * (q % 10)", "explicit-percent-alc-vol", "text-repaired"),
+]
+READ = "SELECT l_orderkey AS case_id, l_linenumber AS line, CAST(l_partkey % 16 AS INT) AS t, CAST(l_quantity AS INT) AS q FROM {}"
+#: Lines, and what each is taken for.
+LINES = [
+    ("Bottled by Oak Hill", "producer-line"), ("12 %", "no-letters-or-too-short"), ("CONTAINS SULFITES", "non-brand-keyword"), ("One Two Three Four Five", "too-many-words"), ("ACME.COM", "domain-like"), ("Pinot Noir", "varietal-or-designation"), ("American Red Vino", "generic-product-language"),
+    ("Napa Valley", "location-or-appellation"), ("Ab C", "low-information-fragment"), ("made for slow days", "sentence-fragment"), ("Oak Hill Cellars", "candidate-positive"), ("Smith's", "candidate-positive"), ("Golden Fork", "candidate-plausible"), ("SURGEONGENERAL X", "non-brand-keyword"), ("Rioja, Spain", "location-or-appellation"), ("Golden Fork,", "sentence-fragment"),
+]
+#: Candidates: text, key, whether it is positive, letters and digits of lettered tokens, informative tokens, lettered tokens, short ones, words, odd words.
+NAMED = [
+    ("RIVER OAK ESTATE", "riveroakestate", True, 14, 3, 3, 0, 3, 0), ("Smith's", "smiths", True, 6, 1, 1, 0, 1, 0), ("to be Found", "tobefound", False, 9, 1, 3, 2, 3, 2), ("Blue 2019 Hill", "blue2019hill", False, 8, 3, 2, 0, 3, 1), ("& Sons Cellars", "sonscellars", True, 11, 2, 2, 0, 3, 1), ("the Mill", "themill", False, 7, 2, 2, 0, 2, 0),
+]
+NAMES = """SELECT l_orderkey AS case_id, l_linenumber AS id, CAST(floor((l_linenumber + 1) / 2) AS INT) AS line, CAST(min(l_partkey) % 6 AS INT) AS t, CAST(min(l_partkey) % 500 AS DOUBLE) AS x, CAST(l_linenumber * 40 + min(l_suppkey) % 7 AS DOUBLE) AS y, CAST(60 + min(CAST(l_quantity AS INT)) * 4 AS DOUBLE) AS width,
+  CAST(12 + min(l_suppkey) % 30 AS DOUBLE) AS height, CAST(40 + min(l_partkey) % 60 AS DOUBLE) / 100 AS evidence, min(l_returnflag) AS pass_id FROM {} GROUP BY l_orderkey, l_linenumber"""
+DUCK_NAMES = "n AS (SELECT * FROM ({}) b JOIN (VALUES {}) v(t, text, key, positive, chars, informative, alpha, short, words, odd) ON v.t = b.t)".format(NAMES.format("lineitem"), ", ".join(f"({i}, '{x[0].replace(chr(39), chr(39) * 2)}', '{x[1]}', {str(x[2]).lower()}, {', '.join(map(str, x[3:]))})" for i, x in enumerate(NAMED)))
+DUCK_SCORED = """f AS (SELECT *, max(height) OVER c AS top, max(width * height) OVER c AS most FROM n WINDOW c AS (PARTITION BY case_id)),
+  g AS (SELECT *, CASE WHEN positive THEN 1.0::DOUBLE ELSE 0 END AS f_positive, round(least(1, chars / 14::DOUBLE), 6) AS f_meaningful, round(least(1, (informative + (alpha > 1)::INT + positive::INT) / 4::DOUBLE), 6) AS f_structure, round(evidence, 6) AS f_evidence, round(height / top, 6) AS f_prominence, round(width * height / most, 6) AS f_area,
+    round(greatest(0, 1 - (abs(x + width / 2 - 400) / 400 + abs(y + height / 2 - 300) / 300) / 2), 6) AS f_centrality, 1.0::DOUBLE AS f_alignment, 1.0::DOUBLE AS f_proximity, round(short / alpha::DOUBLE, 6) AS f_low_information, round(odd / words::DOUBLE, 6) AS f_residual FROM f),
+  k AS (SELECT *, round(0.0::DOUBLE + f_positive * 2.0::DOUBLE + f_meaningful * 1.6::DOUBLE + f_structure * 1.2::DOUBLE + f_evidence * 1.0::DOUBLE + f_prominence * 0.8::DOUBLE + f_area * 0.6::DOUBLE + f_centrality * 0.3::DOUBLE + f_alignment * 0.25::DOUBLE + f_proximity * 0.2::DOUBLE - f_low_information * 1.8::DOUBLE - f_residual * 1.4::DOUBLE, 8) AS total FROM g)"""
+FACTORS = ["positive", "meaningful", "structure", "evidence", "prominence", "area", "centrality", "alignment", "proximity", "low_information", "residual"]
 KEY = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s''-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window for each line item, by turns of WINDOWS."""
+    base = spark.sql(READ.format("{l}"), l=view(spark, sf_dir, "lineitem"))
+    text = F.element_at(F.array(*[F.lit(w[0]) for w in WINDOWS]), F.col("t") + 1)
+    return base.withColumn("statement", F.replace(F.replace(text, F.lit("{q}"), F.col("q").cast("string")), F.lit("{d}"), (F.col("q") % 10).cast("string")))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name candidates by turns of NAMED, two a line."""
+    base = spark.sql(NAMES.format("{l}"), l=view(spark, sf_dir, "lineitem"))
+    text = F.element_at(F.array(*[F.lit(x[0]) for x in NAMED]), F.col("t") + 1)
+    words = F.transform(F.split("value", " "), lambda w: F.struct(w.alias("text"), F.lit(0.6).alias("confidence")))
+    told = base.withColumn("value", text).withColumns({"words": words, "merged": F.lit(False), "positive": F.element_at(F.array(*[F.lit(x[2]) for x in NAMED]), F.col("t") + 1), "passes": F.array("pass_id")})
+    return told.withColumns({"alignment": F.lit(None).cast("double"), "proximity": F.lit(None).cast("double")})
+
+
 def register(r: Registry) -> None:
     words = lambda s, d: ex.words_of(view(s, d, "documents"))
     lined = lambda s, d: words(s, d).select("case_id", F.floor(F.col("word_ix") / 8).cast("int").alias("line"), F.col("word_ix").alias("ix"), "text")
@@ -36,22 +80,34 @@ def register(r: Registry) -> None:
         SELECT case_id, line, nline AS next_line FROM n WHERE nline IS NOT NULL AND ny0 - y1 <= 1.8 * ((y1 - y0) + (ny1 - ny0)) / 2 AND abs((x0 + x1) - (nx0 + nx1)) / 2 / greatest(x1 - x0, nx1 - nx0) <= 0.9""")(
         lambda s, d: ex.adjacent_lines(words(s, d).withColumn("line", F.floor(F.col("word_ix") / 8).cast("int")))
     )
-    r.add("x5_match_statements", duck("fx_statements", sql="SELECT *, 'direct' AS kind, CAST(regexp_extract(statement, '([0-9]+)', 1) AS INT) * 100 AS low, CAST(regexp_extract(statement, '([0-9]+)', 1) AS INT) * 100 AS high FROM fx_statements WHERE line % 2 = 0 UNION ALL SELECT *, 'malformed', NULL, NULL FROM fx_statements WHERE line % 2 = 1"))(lambda s, d: ex.match_statements(view(s, d, "fx_statements")))
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    told = ", ".join(f"({i}, {quoted(k)}, {quoted(reason)}, {quoted(ops)})" for i, (_, k, _, _, reason, ops) in enumerate(WINDOWS))
+    value = lambda n: "CASE w.t " + " ".join(f"WHEN {i} THEN {w[n]}" for i, w in enumerate(WINDOWS) if w[n]) + " END"
+    r.add("x5_match_statements", f"WITH w AS ({READ.format('lineitem')}) SELECT case_id, line, q, w.t, kind, CAST({value(2)} AS INT) AS low, CAST({value(3)} AS INT) AS high, reason, operations FROM w JOIN (VALUES {told}) v(t, kind, reason, operations) ON v.t = w.t")(lambda s, d: ex.match_statements(windows(s, d)).drop("statement"))
     cand = "SELECT case_id, value, score / 50.0D AS score FROM {}"
     r.add("x6_select_statement", duck("fx_candidates", sql="""WITH b AS (SELECT case_id, value, max(score / 50.0::DOUBLE) AS score, count(*) AS support FROM fx_candidates GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS rival FROM b WINDOW w AS (PARTITION BY case_id ORDER BY score DESC, value))
         SELECT case_id, value, score, support, CASE WHEN rival >= score - 0.2::DOUBLE THEN 'AMBIGUOUS' WHEN score < 0.6::DOUBLE THEN 'LOW_CONFIDENCE' ELSE 'OBSERVED' END AS state FROM k WHERE k = 1"""))(lambda s, d: ex.select_statement(s.sql(cand.format("{c}"), c=view(s, d, "fx_candidates"))))
-    r.add("x7_filter_name_lines", f"""WITH {WORDS}, {LINED}, l AS (SELECT case_id, line, string_agg(text, ' ' ORDER BY ix) AS text FROM lined GROUP BY ALL)
-        SELECT case_id, line, CASE WHEN length(text) < 3 THEN 'too_short' WHEN length(text) > 60 THEN 'too_long' WHEN len(string_split(text, ' ')) > 7 THEN 'too_many_words' WHEN regexp_matches(text, '[0-9]') THEN 'has_digit' WHEN regexp_matches(text, '[%$#*&]') THEN 'has_symbol' WHEN lower(text) IN ('the', 'and') THEN 'stop_word' WHEN NOT regexp_matches(text, '\\p{{L}}') THEN 'no_letter'
-          WHEN regexp_matches(text, '^\\p{{Ll}}') THEN 'lower_start' WHEN suffix(text, ',') THEN 'open_end' ELSE 'plausible' END AS reason FROM l""")(
-        lambda s, d: ex.filter_name_lines(lined(s, d).groupBy("case_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ix", "text"))), lambda x: x["text"]), " ").alias("text")), ["the", "and"]).select("case_id", "line", "reason")
-    )
-    total = "t AS (SELECT case_id, candidate_id, priority, field, round(0.5::DOUBLE * score / greatest(1, max(score) OVER (PARTITION BY case_id)) + 0.3::DOUBLE * coalesce(raw_confidence / 10::DOUBLE, 0.5::DOUBLE) + 0.2::DOUBLE / priority, 6) AS total FROM fx_candidates)"
-    r.add("x10_score_candidates", duck("fx_candidates", sql=f"WITH {total} SELECT * FROM t"))(lambda s, d: ex.score_candidates(view(s, d, "fx_candidates")))
-    r.add("x11_select_name", duck("fx_candidates", sql=f"WITH {total}, k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY total DESC, candidate_id, priority, field) AS k, max(total) OVER (PARTITION BY case_id) AS best FROM t) SELECT case_id, max(candidate_id) FILTER (k = 1) AS candidate_id, max(best) AS total, count(*) FILTER (total >= 0.8::DOUBLE * best) - 1 AS rivals FROM k GROUP BY 1"))(lambda s, d: ex.select_name(ex.score_candidates(view(s, d, "fx_candidates"))))
+    taken = ", ".join(f"({i}, '{reason}')" for i, (_, reason) in enumerate(LINES))
+    r.add("x7_filter_name_lines", f"SELECT p_partkey AS id, reason FROM part JOIN (VALUES {taken}) v(t, reason) ON v.t = p_partkey % 16")(
+        lambda s, d: ex.filter_name_lines(view(s, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(t) for t, _ in LINES]), (F.col("p_partkey") % 16 + 1).cast("int")).alias("text"))).select("id", "reason")
+    )
+    r.add("x8_trim_windows", f"WITH {DUCK_NAMES} SELECT case_id, id, first, n, span FROM n, (VALUES (2, 1, 'Sons'), (2, 2, 'Sons Cellars'), (3, 1, 'Cellars')) w(first, n, span) WHERE n.t = 4")(lambda s, d: ex.trim_windows(named(s, d)))
+    r.add("x9_merge_adjacent_seeds", f"""WITH {DUCK_NAMES}, s AS (SELECT *, positive::INT * 2 + informative + evidence + height / 100 AS seed FROM n), o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY case_id, pass_id, line, key ORDER BY seed DESC, id) = 1), b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY case_id, pass_id, line ORDER BY seed DESC, id) <= 3),
+        m AS (SELECT a.case_id, a.pass_id, a.line, a.id AS upper, b.id AS lower, a.text || ' ' || b.text AS value, greatest(greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) / least(a.width, b.width), 1 - abs(a.x + a.width / 2 - b.x - b.width / 2) / greatest(a.width, b.width)) AS al, 1 - greatest(0, b.y - a.y - a.height) / (0.75::DOUBLE * (a.height + b.height)) AS pr
+          FROM b a JOIN b ON b.case_id = a.case_id AND b.pass_id = a.pass_id AND b.line = a.line + 1 WHERE (a.positive OR b.positive) AND a.words + b.words <= 6 AND a.alpha + b.alpha <= 3)
+        SELECT case_id, pass_id, line, upper, lower, value, round(greatest(0, least(1, al)), 6) AS alignment, round(greatest(0, least(1, pr)), 6) AS proximity FROM m WHERE al >= 0.3::DOUBLE AND pr > 0""")(lambda s, d: ex.merge_adjacent_seeds(named(s, d)))
+    listed = ", ".join(f"f_{f}" for f in FACTORS)
+    r.add("x10_score_candidates", f"WITH {DUCK_NAMES}, {DUCK_SCORED} SELECT case_id, id, {listed}, total FROM k")(lambda s, d: ex.score_candidates(named(s, d)).select("case_id", "id", *[f"f_{f}" for f in FACTORS], "total"))
+    r.add("x11_select_name", f"""WITH {DUCK_NAMES}, {DUCK_SCORED}, fam AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY case_id, line ORDER BY total DESC, evidence DESC, id) = 1),
+        sup AS (SELECT case_id, key, string_agg(DISTINCT pass_id, ',' ORDER BY pass_id) AS passes FROM fam GROUP BY ALL), one AS (SELECT * FROM fam QUALIFY row_number() OVER (PARTITION BY case_id, key ORDER BY total DESC, evidence DESC, id) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY height > 0.4::DOUBLE * top + 1 DESC, CASE WHEN height > 0.4::DOUBLE * top + 1 THEN total ELSE height END DESC, CASE WHEN height > 0.4::DOUBLE * top + 1 THEN height ELSE evidence END DESC, CASE WHEN height > 0.4::DOUBLE * top + 1 THEN evidence ELSE total END DESC, key) AS place FROM one),
+        b AS (SELECT * FROM r WHERE place = 1), c AS (SELECT b.case_id, count(r.id) FILTER (r.height >= 0.8::DOUBLE * b.height) AS rivals, count(r.id) AS others FROM b LEFT JOIN r ON r.case_id = b.case_id AND r.place > 1 AND NOT contains(r.key, b.key) AND NOT contains(b.key, r.key) GROUP BY 1)
+        SELECT b.case_id, b.id, b.text AS value, b.total, passes, rivals, CASE WHEN rivals > 0 OR (evidence < 0.6::DOUBLE AND others > 0) OR NOT positive OR evidence < 0.6::DOUBLE THEN 'AMBIGUOUS' ELSE 'OBSERVED' END AS state,
+          CASE WHEN rivals > 0 OR (evidence < 0.6::DOUBLE AND others > 0) THEN 'competing_candidates' WHEN NOT positive OR evidence < 0.6::DOUBLE THEN 'single_unconfirmed_candidate' END AS reason FROM b JOIN c ON c.case_id = b.case_id JOIN sup ON sup.case_id = b.case_id AND sup.key = b.key""")(lambda s, d: ex.select_name(ex.score_candidates(named(s, d))))
     r.add("x12_merge_support", duck("fx_candidates", sql="SELECT case_id, value, string_agg(DISTINCT CAST(priority AS VARCHAR), ',' ORDER BY CAST(priority AS VARCHAR)) AS passes, max(score) AS score FROM fx_candidates GROUP BY ALL"))(lambda s, d: ex.merge_support(view(s, d, "fx_candidates")))
     r.add("x13_confidence_summary", f"WITH {WORDS} SELECT case_id, count(*) AS words, round(avg(raw_confidence), 4) AS mean, min(raw_confidence) AS low, max(raw_confidence) AS high, count(*) - count(raw_confidence) AS missing, round(greatest(0, least(1, avg(raw_confidence) / 100)), 6) AS score FROM words GROUP BY 1")(lambda s, d: ex.confidence_summary(words(s, d), ["case_id"]))
-    q = "SELECT p_brand AS grp, concat(p_name, ' ', CAST(p_size AS {s}), CASE WHEN p_partkey % 3 = 0 THEN ' cl' WHEN p_partkey % 3 = 1 THEN ' ml' ELSE ' L' END) AS text FROM {t}"
-    r.add("x20_quantity_summary", "SELECT p_brand AS grp, count(*) AS n, count(*) AS found, CAST(min(ml) AS DOUBLE) AS low, CAST(max(ml) AS DOUBLE) AS high, round(avg(ml), 4) AS mean FROM (SELECT p_brand, p_size * CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 1000 END AS ml FROM part) GROUP BY 1")(lambda s, d: ex.quantity_summary(s.sql(q.format(s="STRING", t="{p}"), p=view(s, d, "part"))))
+    q = "SELECT p_brand AS grp, concat(p_name, ' ', CAST(p_size AS {s}), CASE WHEN p_partkey % 3 = 0 THEN ' cl' WHEN p_partkey % 3 = 1 THEN ' ml x' ELSE ' L' END, CASE WHEN p_partkey % 4 = 0 THEN ', 0.5 litre' ELSE '' END) AS text FROM {t}"
+    r.add("x20_quantity_summary", "WITH m AS (SELECT p_brand AS grp, p_size * CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 1000 END AS ml FROM part UNION ALL SELECT p_brand, 500 FROM part WHERE p_partkey % 4 = 0) SELECT m.grp, n, count(*) AS found, CAST(min(ml) AS DOUBLE) AS low, CAST(max(ml) AS DOUBLE) AS high, round(avg(ml), 4) AS mean FROM m JOIN (SELECT p_brand AS grp, count(*) AS n FROM part GROUP BY 1) c ON c.grp = m.grp GROUP BY m.grp, n")(lambda s, d: ex.quantity_summary(s.sql(q.format(s="STRING", t="{p}"), p=view(s, d, "part"))))
     names = "SELECT concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '!' WHEN p_partkey % 4 = 1 THEN ' ' ELSE '' END) AS text FROM {}"
     r.add("x21_key_groups", f"WITH n AS ({names.format('part')}) SELECT {KEY.format('text')} AS key, count(*) AS n, count(DISTINCT text) AS variants, min(text) AS sample FROM n GROUP BY 1")(lambda s, d: ex.key_groups(s.sql(names.format("{p}"), p=view(s, d, "part")), tx.canonical(F.col("text"))))
     pair = "SELECT p_partkey AS id, p_name AS declared, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), '!') WHEN 2 THEN p_type ELSE concat(p_name, 's') END AS observed FROM {}"

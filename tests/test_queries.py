@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.catalog import REGISTRY
-from auditloom.functions import text
+from auditloom.functions import statements, text
 from auditloom.functions.scores import alcohol_class, brand_class
 from auditloom.operators import checks, extraction, grids, logs, review, sealing
 from auditloom.sources import tables
@@ -79,16 +79,31 @@ def test_failure_classes(spark):
 
 def test_statements(spark):
     cases = {"12.5% by vol": ("direct", 1250, 1250), "ALC. 12,50 %  VOL.": ("direct", 1250, 1250), "alcohol 13 by volume": ("direct", 1300, 1300), "12% alc/vol": ("direct", 1200, 1200), "alc 11% to 14% by vol.": ("range", 1100, 1400), "14-11% by vol": ("malformed", None, None), "80 proof": ("proof", None, None), "12.555% by vol": ("malformed", None, None), "101% by vol": ("malformed", None, None), "about 12% by vol": ("malformed", None, None), "12": ("malformed", None, None)}
-    got = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", text.statement(F.col("t")).alias("s")).select("t", "s.*").collect()
+    got = statements.stated(spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string"), "t").collect()
     assert {r["t"]: (r["kind"], r["low"], r["high"]) for r in got} == cases | {None: ("malformed", None, None)}
 
 
+WINDOWS = {
+    "12.5% by vol": ("direct", 1250, 1250, "explicit-percent-by-volume"), "ALC13% BY VOL.": ("direct", 1300, 1300, "explicit-percent-alc-vol"), "a1c. I3.5% by v0l": ("direct", 1350, 1350, "explicit-percent-alc-vol"),
+    "ALC % 13,5 BY VOL": ("direct", 1350, 1350, "explicit-percent-alc-vol"), "13 . 5 % ALC . / VOL": ("rejected", None, None, "unsupported-pattern"), "13.5% alc./vol.": ("direct", 1350, 1350, "explicit-percent-alc-vol"),
+    "alc 14% vol": ("direct", 1400, 1400, "explicit-percent-alc-vol"), "alcohol 14 by volume": ("direct", 1400, 1400, "explicit-percentless-alcohol-by-volume"), "ALC 135 VOL": ("direct", 1350, 1350, "explicit-percentless-alcohol-by-volume"),
+    "13% abv": ("direct", 1300, 1300, "explicit-percent-by-volume"), "13% byvol": ("direct", 1300, 1300, "explicit-percent-by-volume"), "11% to 14% by vol": ("range", 1100, 1400, "explicit-percent-by-volume"), "alc 14-11% by vol": ("rejected", None, None, "unsupported-pattern"),
+    "no digits by vol": ("rejected", None, None, "no-supported-number"), "80 proof": ("rejected", None, None, "proof-only"), "80 proof by vol": ("rejected", None, None, "proof-only"), "13%": ("rejected", None, None, "missing-volume-marker"),
+    "13 by vol": ("rejected", None, None, "missing-explicit-alcohol-marker"), "13% vol": ("rejected", None, None, "bare-volume-marker-too-weak"), "about 13% by vol": ("rejected", None, None, "unsupported-pattern"),
+}
+
+
+def test_windows(spark):
+    got = statements.matched(spark.createDataFrame([(k,) for k in WINDOWS] + [(None,)], "t string"), "t").collect()
+    assert {r["t"]: (r["kind"], r["low"], r["high"], r["reason"]) for r in got} == WINDOWS | {None: ("rejected", None, None, "no-supported-number")}
+
+
 def test_brands_and_texts(spark):
     rows = [("Acme, Inc.", "acme"), ("ACME  L.L.C.", "acme"), ("Co Cellars", "co cellars"), ("Inc.", "inc."), ("O’Neil Co.", "o'neil"), ("Plain", "plain")]
     got = spark.createDataFrame(rows, "b string, k string").select(text.brand_key(F.col("b")).alias("got"), "k").collect()
     assert all(r["got"] == r["k"] for r in got)
-    r = spark.range(1).select(text.canonical(F.lit(" It’s, A-B!\u00a0C ")).alias("c"), text.millilitres(F.lit("Bottle 0.75 L x")).alias("m"), text.similarity(F.lit("kitten"), F.lit("sitting")).alias("s")).first()
-    assert (r["c"], r["m"], r["s"]) == ("it's a-b c", 750.0, 0.57)
+    r = spark.range(1).select(text.canonical(F.lit(" It’s, A-B!\u00a0C ")).alias("c"), text.quantities(F.lit("Bottle 0.75 L x, 33cl; 5 lit")).alias("m"), text.similarity(F.lit("kitten"), F.lit("sitting")).alias("s")).first()
+    assert (r["c"], r["m"], r["s"]) == ("it's a-b c", [750.0, 330.0], 0.57)
 
 
 def test_multiset_diff_keeps_counts(spark):
