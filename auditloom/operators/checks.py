@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.grids import in_cells
 from auditloom.sources.tables import shared_dir
 
 # Findings that may stand with an execution status.
@@ -85,30 +86,48 @@ def support_gates(trials: DataFrame) -> DataFrame:
     return g.withColumn("decision", F.when(F.col("n") < 100, "too_few").when(F.col("hard") * 4 > F.col("n"), "unstable").when(F.col("worst") > 1000, "too_slow").otherwise("supported"))
 
 
-def region_coverage(boxes: DataFrame, passes: DataFrame, words: DataFrame) -> DataFrame:
-    """For each target whether a pass covers 0.9 of it, and how many words' centres lie in it. All in one frame: case_id, x0, y0, x1, y1; boxes: target."""
-    p = passes.select("case_id", F.struct("x0", "y0", "x1", "y1").alias("p"))
+def region_coverage(boxes: DataFrame, passes: DataFrame, words: DataFrame, cells: int = 32) -> DataFrame:
+    """For each target whether a pass covers 0.9 of it, and how many words' centres lie in it. All in one frame: case_id, x0, y0, x1, y1; boxes: target.
+
+    A pass that covers 0.9 of a target covers its centre, so they meet in that point's cell; words meet targets in the cell of
+    their own centre.
+    """
+    at = ["case_id", "cx", "cy"]
+    middle = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) / 2
+    where = in_cells(boxes.select("target", "case_id", *[F.struct("x0", "y0", "x1", "y1").alias("t")], middle("x0", "x1").alias("x0"), middle("y0", "y1").alias("y0")).withColumns({"x1": F.col("x0"), "y1": F.col("y0")}), cells).select("target", *at, "t.*")
+    p = in_cells(passes, cells).select(*at, F.struct("x0", "y0", "x1", "y1").alias("p"))
     wide = F.greatest(F.lit(0.0), F.least("x1", "p.x1") - F.greatest("x0", "p.x0"))
     high = F.greatest(F.lit(0.0), F.least("y1", "p.y1") - F.greatest("y0", "p.y0"))
-    covered = boxes.join(p, "case_id").groupBy("target").agg(F.bool_or(wide * high >= 0.9 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("covered"))
-    w = words.select("case_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    inside = boxes.join(w, "case_id").filter("cx >= x0 AND cx <= x1 AND cy >= y0 AND cy <= y1").groupBy("target").agg(F.count("*").alias("words"))
+    covered = where.join(p, at).groupBy("target").agg(F.bool_or(wide * high >= 0.9 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("covered"))
+    w = words.select("case_id", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
+    points = in_cells(w.withColumns({"x0": F.col("px"), "x1": F.col("px"), "y0": F.col("py"), "y1": F.col("py")}), cells).select(*at, "px", "py")
+    inside = in_cells(boxes, cells).join(points, at).filter("px >= x0 AND px <= x1 AND py >= y0 AND py <= y1").groupBy("target").agg(F.count("*").alias("words"))
     j = boxes.select("target").join(covered, "target", "left").join(inside, "target", "left")
     n = F.coalesce("words", F.lit(0)).cast("long")
     return j.select("target", F.coalesce("covered", F.lit(False)).alias("covered"), n.alias("words"), F.when(F.coalesce("covered", F.lit(False)) & (n > 0), "read").when(F.coalesce("covered", F.lit(False)), "covered_unread").when(n > 0, "partly").otherwise("missed").alias("category"))
 
 
-def containment_join(texts: DataFrame, phrases: DataFrame, most: int = 1000) -> DataFrame:
-    """The best phrase for each text: text contains phrase (2000 less the difference in length) or phrase contains text (1000 less it). texts: id, text; phrases: pid, phrase, `most` rows at most.
+def containment_join(texts: DataFrame, phrases: DataFrame, size: int = 6) -> DataFrame:
+    """The best phrase for each text: text contains phrase (2000 less the difference in length) or phrase contains text (1000 less it). texts: id, text; phrases: pid, phrase.
 
-    Phrases go to every task, so their number is checked first.
+    The shorter of two that contain each other is looked for by its first `size` characters, or all it has, among the runs of as
+    many characters of the other; then the whole is compared. Empty texts and phrases are contained in nothing.
     """
-    if phrases.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} phrases: use an index of word runs")
-    delta = F.abs(F.length("text") - F.length("phrase"))
-    score = F.when(F.expr("contains(text, phrase)"), 2000 - delta).when(F.expr("contains(phrase, text)"), 1000 - delta)
-    hits = texts.join(F.broadcast(phrases), F.expr("contains(text, phrase) OR contains(phrase, text)")).withColumn("score", score)
-    return hits.groupBy("id").agg(F.max(F.struct("score", (-F.col("pid")).alias("p"))).alias("b")).select("id", (-F.col("b.p")).alias("pid"), F.col("b.score").cast("long").alias("score"))
+
+    def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """(outer's o, inner's i) where o contains i. Both: one string column named so, and k."""
+        n = F.least(F.lit(size), F.length("i"))
+        heads = inner.filter("i <> ''").select(F.col("k").alias("ik"), "i", n.alias("n"), F.substring(F.col("i"), F.lit(1), n).alias("g"))
+        lengths = heads.select("n").distinct()  # `size` rows at most
+        runs = outer.filter("o <> ''").join(F.broadcast(lengths), F.length("o") >= F.col("n")).select(F.col("k").alias("ok"), "o", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("o") - F.col("n") + 1), lambda a: F.substring(F.col("o"), a, F.col("n"))))).alias("g"))
+        return runs.join(heads, ["n", "g"]).filter(F.expr("contains(o, i)"))
+
+    t, p = texts.select(F.col("id").alias("k"), "text"), phrases.select(F.col("pid").alias("k"), "phrase")
+    delta = F.abs(F.length("o") - F.length("i"))
+    holds = contained(p.withColumnRenamed("phrase", "i"), t.withColumnRenamed("text", "o")).select(F.col("ok").alias("id"), F.col("ik").alias("pid"), (2000 - delta).alias("score"))
+    held = contained(t.withColumnRenamed("text", "i"), p.withColumnRenamed("phrase", "o")).filter("i <> o").select(F.col("ik").alias("id"), F.col("ok").alias("pid"), (1000 - delta).alias("score"))
+    best = holds.unionByName(held).groupBy("id").agg(F.max(F.struct("score", (-F.col("pid")).alias("p"))).alias("b"))
+    return best.select("id", (-F.col("b.p")).alias("pid"), F.col("b.score").cast("long").alias("score"))
 
 
 def failure_cause(candidates: DataFrame) -> DataFrame:
@@ -140,13 +159,29 @@ def provenance_reconcile(a: DataFrame, b: DataFrame, c: DataFrame, key: str) ->
     return j.select(key, code.alias("code")).filter("code IS NOT NULL")
 
 
-def pairwise_fingerprints(prints: DataFrame, columns: list[str], most: int = 500) -> DataFrame:
-    """Every pair of runs and how many of their digests differ. prints: run_id and columns, `most` rows at most."""
-    if prints.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} runs")
-    l, r = prints.select(F.col("run_id").alias("a"), *[F.col(c).alias(f"l{c}") for c in columns]), prints.select(F.col("run_id").alias("b"), *[F.col(c).alias(f"r{c}") for c in columns])
-    differ = sum((F.when(F.col(f"l{c}").eqNullSafe(F.col(f"r{c}")), 0).otherwise(1) for c in columns), F.lit(0))
-    return l.join(F.broadcast(r), F.col("a") < F.col("b")).select("a", "b", differ.cast("int").alias("differing"))
+def fingerprint_classes(prints: DataFrame, columns: list[str]) -> DataFrame:
+    """Membership: (run_id, class_id) with the least run of equal digests as their class."""
+    return prints.withColumn("class_id", F.min("run_id").over(Window.partitionBy(*columns))).select("run_id", "class_id", *columns)
+
+
+def pairwise_fingerprints(prints: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, n_a, n_b, differing): pairs of classes that share a digest, their runs, and how many digests differ. prints: run_id and columns.
+
+    Runs with equal digests are one class (fingerprint_classes tells which run is in which), so copies make no pairs.
+    Classes meet through the digests that they share, each pair in the first of these; classes that share none differ in all.
+    """
+    classes = prints.groupBy(*columns).agg(F.min("run_id").alias("run_id"), F.count("*").alias("n"))
+    l, r = classes.select(F.col("run_id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"l{c}") for c in columns]), classes.select(F.col("run_id").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"r{c}") for c in columns])
+    same = [F.col(f"l{c}").eqNullSafe(F.col(f"r{c}")) for c in columns]
+    differ = sum((F.when(x, 0).otherwise(1) for x in same), F.lit(0))
+    found = None
+    for i in range(len(columns)):
+        first = same[i] & (F.col("a") < F.col("b"))
+        for x in same[:i]:
+            first &= ~x
+        part = l.join(r, first).select("a", "b", "n_a", "n_b", differ.cast("int").alias("differing"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def token_coverage(words: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Which status may follow which.
 TRANSITIONS = [("claim", "release"), ("claim", "internally_accepted"), ("claim", "changes_requested"), ("release", "claim"), ("changes_requested", "waiting_for_agent_review"), ("waiting_for_agent_review", "claim")]
@@ -108,10 +114,70 @@ def idempotent_ingest(events: DataFrame) -> DataFrame:
     return events.select("event_id", "idem_key", outcome.alias("outcome"))
 
 
+def carried(rows: DataFrame, key: str, order: list[str], columns: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], new: str) -> DataFrame:
+    """Rows of each key in order, with what a step says of each: a state is carried from row to row, and none but it is held, however many rows a key has.
+
+    step: (state, values of `columns`) to (state, values of the new columns); new: their names and types. Adds the new columns.
+    """
+    ordered = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)  # hashed: see extraction.group_lines
+    schema = T.StructType([*ordered.schema.fields, *T.StructType.fromDDL(new).fields])
+    kinds, names = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(new).fields], [f.name for f in schema.fields]
+    at, key_at = [ordered.columns.index(c) for c in columns], ordered.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state = False, None, start
+        for batch in batches:
+            out = []
+            for k, *values in zip(batch.column(key_at).to_pylist(), *(batch.column(i).to_pylist() for i in at)):
+                if not begun or k != now:
+                    begun, now, state = True, k, start
+                state, told = step(state, tuple(values))
+                out.append(told)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds))], names=names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def append_head(log: DataFrame) -> DataFrame:
-    """The batch twin of the stream: an append stands if it names the digest before it as its head. log: log_key, sequence, entry_id, names."""
-    w = Window.partitionBy("log_key").orderBy("sequence", "entry_id")
-    return log.withColumn("head", F.coalesce(F.lag("entry_id").over(w), F.lit("")))
+    """The batch twin of the stream: an append stands (outcome accepted) if it names the entry that is its log's head, and then is the head; else it is stale. log: log_key, sequence, entry_id, names."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (head,), (entry, names) = state, row
+        good = names == head
+        head = entry if good else head
+        return (head,), ("accepted" if good else "stale", head)
+
+    return carried(log, "log_key", ["sequence", "entry_id"], ["entry_id", "names"], ("",), step, "outcome string, head string").select("log_key", "sequence", "entry_id", "outcome", "head")
+
+
+def review_state(events: DataFrame) -> DataFrame:
+    """The batch twin of the stream: (event_id, submission_id, outcome, status, version) of each action on a submission."""
+    told = carried(events, "submission_id", ["recorded_at", "event_id"], ["action"], REVIEW_START, review_step, "outcome string, status string, version long")
+    return told.select("event_id", "submission_id", "outcome", "status", "version")
+
+
+#: Status, version and whether a submission is claimed, before its first action.
+REVIEW_START = ("waiting_for_agent_review", 0, False)
+
+
+def review_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """What an action makes of a submission.
+
+    A claim needs a waiting submission that nobody holds; release and decisions need a claim; asking for changes ends in
+    changes_requested until the submission waits again.
+    """
+    (status, version, held), (action,) = state, row
+    if status == "internally_accepted":
+        outcome = "closed"
+    elif action == "claim":
+        outcome = "already_claimed" if held else "accepted" if status == "waiting_for_agent_review" else "not_waiting"
+    elif action == "waiting_for_agent_review":
+        outcome = "accepted" if status == "changes_requested" else "not_requested"
+    else:
+        outcome = "accepted" if held else "not_claimed"
+    if outcome == "accepted":
+        status, version, held = {"claim": "in_agent_review", "release": "waiting_for_agent_review"}.get(action, action), version + 1, action == "claim"
+    return (status, version, held), (outcome, status, version)
 
 
 def issue_rows(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -18,7 +18,7 @@ RES = "SELECT l_orderkey AS case_id, l_linenumber AS position, min(CASE WHEN l_p
 STORE = "SELECT l_orderkey * 10 + l_linenumber AS id, concat(CASE WHEN l_partkey % 13 = 0 THEN 'old-' ELSE 'rev-' END, {c}, '/', md5({k}), CASE WHEN l_suppkey % 17 = 0 THEN 'x' ELSE '' END) AS storage_key, l_linenumber AS revision, md5({k}) AS checksum FROM {t}"
 META = "SELECT p_partkey AS id, p_size AS bytes, p_type AS kind, p_brand AS checksum FROM {}"
 ARTS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS bytes, CASE WHEN p_partkey % 7 = 0 THEN 'X' ELSE p_type END AS kind, p_brand AS checksum FROM {} WHERE p_partkey % 11 <> 0"
-PRINTS = "SELECT s_suppkey AS run_id, s_nationkey % 3 AS a, s_nationkey % 5 AS b, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 2 END AS c FROM {} WHERE s_suppkey < 100"
+PRINTS = "SELECT s_suppkey AS run_id, s_nationkey % 3 AS a, s_nationkey % 5 AS b, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 2 END AS c FROM {}"
 CODES = "SELECT l_orderkey AS case_id, l_linenumber AS repetition, l_returnflag AS code FROM {}"
 CAUSE = "SELECT case_id, kept, score, candidate_id, candidate_id % 5 = 0 AS holds, reason FROM {}"
 RULES = {"upper": ("^[A-Z]", 50), "comma": (",", 45), "end": ("[.]$", 60), "short": ("^.{1,20}$", 20)}
@@ -68,9 +68,9 @@ def register(r: Registry) -> None:
         SELECT t.target, coalesce(covered, false) AS covered, coalesce(n, 0) AS words, CASE WHEN covered AND n > 0 THEN 'read' WHEN covered THEN 'covered_unread' WHEN n > 0 THEN 'partly' ELSE 'missed' END AS category FROM t LEFT JOIN c USING (target) LEFT JOIN w USING (target)"""))(
         lambda s, d: ck.region_coverage(boxes(s, d).filter("role = 'target'").withColumnRenamed("vec_id", "target"), boxes(s, d).filter("role = 'proposal'"), boxes(s, d).filter("role = 'proposal' AND vec_id % 2 = 0"))
     )
-    r.add("j14_containment_join", """WITH h AS (SELECT p_partkey AS id, s.n_nationkey AS pid, CASE WHEN contains(p_name, ph) THEN 2000 - abs(length(p_name) - length(ph)) ELSE 1000 - abs(length(p_name) - length(ph)) END AS score FROM part JOIN (SELECT n_nationkey, ['red', 'blue widget', 'ring', 'small ring x', 'green', 'bolt'][n_nationkey % 6 + 1] AS ph FROM nation WHERE n_nationkey < 6) s ON contains(p_name, ph) OR contains(ph, p_name))
+    r.add("j14_containment_join", """WITH h AS (SELECT p_partkey AS id, s.n_nationkey AS pid, CASE WHEN contains(p_name, ph) THEN 2000 - abs(length(p_name) - length(ph)) ELSE 1000 - abs(length(p_name) - length(ph)) END AS score FROM part JOIN (SELECT n_nationkey, ['red', 'blue widget', 'ring', 'small ring x', 'green', 'bolt'][n_nationkey % 6 + 1] AS ph FROM nation) s ON contains(p_name, ph) OR contains(ph, p_name))
         SELECT id, pid, CAST(score AS BIGINT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pid) = 1""")(
-        lambda s, d: ck.containment_join(view(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), view(s, d, "nation").filter("n_nationkey < 6").select(F.col("n_nationkey").alias("pid"), F.element_at(F.array(*map(F.lit, ["red", "blue widget", "ring", "small ring x", "green", "bolt"])), F.col("n_nationkey") % 6 + 1).alias("phrase")))
+        lambda s, d: ck.containment_join(view(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), view(s, d, "nation").select(F.col("n_nationkey").alias("pid"), F.element_at(F.array(*map(F.lit, ["red", "blue widget", "ring", "small ring x", "green", "bolt"])), F.col("n_nationkey") % 6 + 1).alias("phrase")))
     )
     r.add("j15_failure_cause", duck("fx_candidates", sql=f"WITH c AS ({CAUSE.format('fx_candidates')}), t AS (SELECT *, CASE WHEN holds AND NOT kept THEN 3 WHEN holds THEN 2 ELSE 1 END AS tier FROM c) SELECT case_id, CASE tier WHEN 3 THEN 'rejected:' || reason WHEN 2 THEN 'over_extended' ELSE 'not_seen' END AS cause, candidate_id FROM t QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY tier DESC, score DESC, candidate_id DESC, reason DESC) = 1"))(lambda s, d: ck.failure_cause(s.sql(CAUSE.format("{c}"), c=view(s, d, "fx_candidates"))))
     tops = "SELECT case_id, text AS token FROM {} WHERE line = 0 AND ix < 3"
@@ -79,7 +79,9 @@ def register(r: Registry) -> None:
         SELECT case_id, span, CAST(d AS INT) AS distance, CASE WHEN d <= 2 THEN 'near_miss' WHEN d * 2 <= len THEN 'partial' ELSE 'none' END AS kind FROM b""")(lambda s, d: nearest(lined(s, d)))
     r.add("j21_category_readiness", bx(", c AS (SELECT case_id, target, bool_or(coverage >= 0.5 AND (proposal + target) % 3 > 0) AS clear FROM ov GROUP BY ALL) SELECT case_id, count(*) AS targets, count(*) FILTER (clear) AS clear, bool_and(clear) AS ready FROM c GROUP BY 1"))(lambda s, d: ck.category_readiness(g.overlap_join(boxes(s, d)).withColumn("agrees", F.expr("(proposal + target) % 3 > 0"))))
     r.add("j22_provenance_reconcile", duck("fx_expected", "fx_actual", sql="SELECT * FROM (SELECT e.case_id, CASE WHEN a.case_id IS NULL THEN 'ANALYZER_ABSENT' WHEN e.digest <> a.digest THEN 'ANALYZER_DIFFERS' WHEN e.case_id % 19 = 0 THEN 'RUN_ABSENT' END AS code FROM fx_expected e LEFT JOIN fx_actual a ON a.case_id = e.case_id) WHERE code IS NOT NULL"))(lambda s, d: ck.provenance_reconcile(view(s, d, "fx_expected"), view(s, d, "fx_actual"), view(s, d, "fx_actual").filter("case_id % 19 <> 0"), "case_id"))
-    r.add("j24_pairwise_fingerprints", f"WITH p AS ({PRINTS.format('supplier')}) SELECT x.run_id AS a, y.run_id AS b, (x.a IS DISTINCT FROM y.a)::INT + (x.b IS DISTINCT FROM y.b)::INT + (x.c IS DISTINCT FROM y.c)::INT AS differing FROM p x JOIN p y ON x.run_id < y.run_id")(lambda s, d: ck.pairwise_fingerprints(s.sql(PRINTS.format("{p}"), p=view(s, d, "supplier")), ["a", "b", "c"]))
+    runs = lambda s, d: s.sql(PRINTS.format("{p}"), p=view(s, d, "supplier"))
+    r.add("j24_pairwise_fingerprints", f"WITH p AS (SELECT min(run_id) AS id, count(*) AS n, a, b, c FROM ({PRINTS.format('supplier')}) GROUP BY a, b, c), q AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, (x.a IS DISTINCT FROM y.a)::INT + (x.b IS DISTINCT FROM y.b)::INT + (x.c IS DISTINCT FROM y.c)::INT AS differing FROM p x JOIN p y ON x.id < y.id) SELECT * FROM q WHERE differing < 3")(lambda s, d: ck.pairwise_fingerprints(runs(s, d), ["a", "b", "c"]))
+    r.add("j24_fingerprint_classes", f"SELECT run_id, min(run_id) OVER (PARTITION BY a, b, c) AS class_id FROM ({PRINTS.format('supplier')})")(lambda s, d: ck.fingerprint_classes(runs(s, d), ["a", "b", "c"]).select("run_id", "class_id"))
     r.add("a20_token_coverage", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, lower(text) AS t, lower(text || lead(text) OVER (PARTITION BY case_id ORDER BY ix)) AS t2 FROM lined WHERE ix >= 3), e AS (SELECT case_id, lower(token) AS token FROM ({tops.format('lined')})),
         x AS (SELECT e.*, EXISTS (SELECT 1 FROM k WHERE k.case_id = e.case_id AND k.t = e.token) AS w, EXISTS (SELECT 1 FROM k WHERE k.case_id = e.case_id AND k.t2 = e.token) AS s FROM e) SELECT case_id, count(*) AS expected, count(*) FILTER (w) AS present, count(*) FILTER (s AND NOT w) AS fragmented, count(*) FILTER (NOT s AND NOT w) AS missing FROM x GROUP BY 1""")(
         lambda s, d: ck.token_coverage(lined(s, d).filter("ix >= 3"), s.sql(tops.format("{w}"), w=lined(s, d)))
@@ -87,7 +89,8 @@ def register(r: Registry) -> None:
     r.add("a28_code_agreement", f"WITH c AS (SELECT case_id, repetition, list_sort(list(DISTINCT code)) AS codes FROM ({CODES.format('lineitem')}) GROUP BY ALL) SELECT a.case_id, count(*) AS pairs, bool_and(a.codes = b.codes) AS exact, round(avg(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes)))::DOUBLE), 6) AS jaccard FROM c a JOIN c b ON a.case_id = b.case_id AND a.repetition < b.repetition GROUP BY 1")(lambda s, d: ck.code_agreement(s.sql(CODES.format("{l}"), l=view(s, d, "lineitem"))))
     r.add("a30_orientation_breakdown", duck("fx_cases", sql="SELECT orientation, state, count(*) AS n, count(*) FILTER (detected) AS detected, round(count(*) FILTER (detected) / count(*)::DOUBLE, 6) AS recall FROM fx_cases GROUP BY ALL"))(lambda s, d: ck.orientation_breakdown(view(s, d, "fx_cases")))
     ids = lambda s, d: boxes(s, d).withColumnRenamed("vec_id", "id")
-    r.add("x14_word_components")(lambda s, d: ck.word_components(ids(s, d), 0.005))
+    near = "SELECT a.id, o.id AS other FROM w a JOIN w o ON a.case_id = o.case_id AND greatest(o.x0 - a.x1, a.x0 - o.x1) <= 0.005::DOUBLE AND greatest(o.y0 - a.y1, a.y0 - o.y1) <= 0.005::DOUBLE"
+    r.add("x14_word_components", duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), w AS (SELECT vec_id AS id, case_id, x0, y0, x1, y1 FROM b), e AS ({near}), reach AS (SELECT id, other FROM e UNION SELECT reach.id, e.other FROM reach JOIN e ON e.id = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))(lambda s, d: ck.word_components(ids(s, d), 0.005))
     r.add("x15_focus_regions", duck("fx_candidates", sql="WITH c AS (SELECT case_id, priority AS component, count(*) AS words FROM fx_candidates GROUP BY ALL) SELECT case_id, component, round(words / (sum(words) OVER (PARTITION BY case_id))::DOUBLE, 6) AS share, coalesce(lead(words) OVER w * 2 >= words, false) AS has_peer FROM c WINDOW w AS (PARTITION BY case_id ORDER BY words DESC, component) QUALIFY row_number() OVER w = 1"))(lambda s, d: ck.focus_regions(view(s, d, "fx_candidates").groupBy("case_id", F.col("priority").alias("component")).agg(F.count("*").alias("words"))))
     r.add("x16_plan_recovery", f"""WITH {WORDS}, c AS (SELECT case_id, count(*) AS n, avg(raw_confidence) AS m, count(*) - count(raw_confidence) AS k, max(y1) AS t FROM words GROUP BY 1), p AS (SELECT case_id, list_filter([CASE WHEN n < 20 THEN 'upscale' END, CASE WHEN m < 70 THEN 'contrast' END, CASE WHEN k * 15 > n THEN 'reread' END, CASE WHEN t > 500 THEN 'tile' END, CASE WHEN n > 300 THEN 'crop' END], lambda x: x IS NOT NULL)[1:4] AS l FROM c)
         SELECT case_id, CAST(generate_subscripts(l, 1) AS INT) AS position, unnest(l) AS pass_kind FROM p""")(lambda s, d: ck.plan_recovery(words(s, d)))

@@ -26,7 +26,7 @@ def register(r: Registry) -> None:
         SELECT f.field, s.scenario, k.scale, coalesce(n, 0) AS n, coalesce(present, 0) AS present, CASE WHEN n > 0 THEN round(correct / n::DOUBLE, 6) END AS correct_rate, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round(similarity, 6) AS similarity, p50, p95
         FROM (SELECT DISTINCT field FROM fx_results) f CROSS JOIN (SELECT DISTINCT scenario FROM fx_results) s CROSS JOIN (SELECT DISTINCT scale FROM fx_results) k LEFT JOIN c ON c.field = f.field AND c.scenario = s.scenario AND c.scale = k.scale"""))(lambda s, d: g.scenario_metrics(results(s, d)))
     r.add("a12_contribution_metrics", res("SELECT field, scenario, scale, count(DISTINCT case_id) AS cases, count(*) FILTER (correct) AS correct, count(*) FILTER (tokens_present > 0) AS any_token, count(*) FILTER (tokens_present = tokens) AS all_tokens, round(avg(tokens_present), 6) AS mean_tokens FROM fx_results GROUP BY ALL"))(lambda s, d: g.contribution_metrics(results(s, d)))
-    r.add("a13_recovery_ledger", res(f"WITH {BASE}, l AS (SELECT case_id, field, scenario, bool_or(correct) AS now FROM fx_results WHERE scenario <> 'baseline' GROUP BY ALL) SELECT scenario, field, count(*) AS n, min(case_id) AS first_case, max(case_id) AS last_case FROM l JOIN base USING (case_id, field) WHERE now AND NOT base GROUP BY ALL"))(lambda s, d: g.recovery_ledger(results(s, d)))
+    r.add("a13_recovery_ledger", res(f"WITH {BASE}, l AS (SELECT case_id, field, scenario, bool_or(correct) AS now FROM fx_results WHERE scenario <> 'baseline' GROUP BY ALL) SELECT scenario, field, case_id, count(*) OVER (PARTITION BY scenario, field) AS n FROM l JOIN base USING (case_id, field) WHERE now AND NOT base"))(lambda s, d: g.recovery_ledger(results(s, d)))
     r.add("a14_regression_summary", res(f"WITH {BASE} SELECT scenario, scale, count(*) AS n, count(DISTINCT case_id) AS cases FROM fx_results JOIN base USING (case_id, field) WHERE scenario <> 'baseline' AND base AND NOT correct GROUP BY GROUPING SETS ((scenario), (scenario, scale))"))(lambda s, d: g.regression_summary(results(s, d)))
     r.add("a15_scale_analysis", res("WITH p AS (SELECT case_id, field, scale, bool_or(correct) AS c FROM fx_results GROUP BY ALL) SELECT p.scale, count(*) FILTER (p.c AND NOT q.c) AS improved, count(*) FILTER (q.c AND NOT p.c) AS worsened, count(*) FILTER (p.c = q.c) AS unchanged FROM p JOIN p q ON p.case_id = q.case_id AND p.field = q.field AND q.scale = 1.5 AND p.scale <> 1.5 GROUP BY p.scale"))(lambda s, d: g.scale_analysis(results(s, d)))
     r.add("a16_latency_comparison", res(f"WITH {BASE}, l AS (SELECT case_id, field, scenario, min(latency_ms) AS extra FROM fx_results WHERE scenario <> 'baseline' GROUP BY ALL), m AS (SELECT scenario, count(*) AS n, quantile_disc(base_ms, 0.5) AS base, quantile_disc(extra, 0.5) AS extra, quantile_disc(base_ms + extra, 0.5) AS combined FROM l JOIN base USING (case_id, field) GROUP BY scenario) SELECT *, combined - base AS delta FROM m"))(lambda s, d: g.latency_comparison(results(s, d)))
@@ -58,9 +58,9 @@ def register(r: Registry) -> None:
     r.add("a41_inventory_summary", duck("fx_entries", sql="SELECT 'category' AS level, category AS key, count(*) AS n FROM fx_entries GROUP BY ALL UNION ALL SELECT 'status', status, count(*) FROM fx_entries GROUP BY ALL UNION ALL SELECT 'all', NULL, count(*) FROM fx_entries"))(lambda s, d: g.inventory_summary(view(s, d, "fx_entries")))
     bx = lambda sql: duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), {PAIRS} {sql}")
     r.add("a33_bounding_union", bx("SELECT case_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b GROUP BY 1"))(lambda s, d: g.bounding_union(boxes(s, d)))
-    r.add("a32_union_area", bx(""", few AS (SELECT * FROM b WHERE vec_id % 8 = 0), e AS (SELECT case_id, x0 AS x FROM few UNION SELECT case_id, x1 FROM few), sl AS (SELECT case_id, x, lead(x) OVER (PARTITION BY case_id ORDER BY x) AS xto FROM e),
+    r.add("a32_union_area", bx(""", few AS (SELECT * FROM b), e AS (SELECT case_id, x0 AS x FROM few UNION SELECT case_id, x1 FROM few), sl AS (SELECT case_id, x, lead(x) OVER (PARTITION BY case_id ORDER BY x) AS xto FROM e),
         i AS (SELECT s.case_id, x, xto, y0, y1, max(y1) OVER (PARTITION BY s.case_id, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM sl s JOIN few ON few.case_id = s.case_id AND x0 <= x AND x1 >= xto WHERE xto IS NOT NULL)
-        SELECT case_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(upto, y0))) * (xto - x)), 9) AS area FROM i GROUP BY 1"""))(lambda s, d: g.union_area(boxes(s, d).filter("vec_id % 8 = 0")))
+        SELECT case_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(upto, y0))) * (xto - x)), 9) AS area FROM i GROUP BY 1"""))(lambda s, d: g.union_area(boxes(s, d)))
     r.add("j11_overlap_join", bx("SELECT * FROM ov"))(lambda s, d: g.overlap_join(boxes(s, d)))
     r.add("j12_best_proposal", bx(", z AS (SELECT *, round(10 * coverage + 5 * precision + 3 * iou - 0.25::DOUBLE * area, 7) AS score FROM ov) SELECT target, proposal, score, coverage >= 0.5 AS hit FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, proposal) = 1"))(lambda s, d: g.best_proposal(g.overlap_join(boxes(s, d))))
     r.add("w10_representative", bx("SELECT target, proposal, coverage FROM ov QUALIFY row_number() OVER (PARTITION BY target ORDER BY coverage DESC, area, proposal) = 1"))(lambda s, d: g.representatives(g.overlap_join(boxes(s, d))))

@@ -11,7 +11,7 @@ from auditloom.registry import Registry
 TOKENS = "SELECT event_id % 200 AS case_id, user_id % 6 AS pass_order, props AS token FROM {}"
 CANDS = "SELECT case_id, priority AS pass, value, score FROM {}"
 DECS = "SELECT event_id AS decision_id, user_id AS submission_id, event_id % 40 AS revision_number, event_id AS version_before, CASE WHEN event_id % 13 = 0 THEN event_id + 2 ELSE event_id + 1 END AS version_after FROM {}"
-RUNS = "SELECT user_id AS run_id, event_id AS sequence, CAST(floor(event_id / (user_id % 5 + 1)) + CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN 100 ELSE 0 END AS BIGINT) AS measure FROM {} WHERE event_id < 2000"
+RUNS = "SELECT user_id AS run_id, event_id AS sequence, CAST(floor(event_id / (user_id % 5 + 1)) + CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN 100 ELSE 0 END AS BIGINT) AS measure FROM {}"
 
 
 def register(r: Registry) -> None:
@@ -37,7 +37,10 @@ def register(r: Registry) -> None:
     r.add("t4_pool_passes", duck("fx_passes", sql="SELECT event_id, case_id, 'base' AS pool FROM fx_passes WHERE pass_kind = 'view' UNION ALL SELECT event_id, case_id, 'extra' FROM fx_passes WHERE pass_kind = 'click'"))(lambda s, d: lg.pool_passes(view(s, d, "fx_passes").filter("pass_kind = 'view'"), view(s, d, "fx_passes").filter("pass_kind = 'click'")).select("event_id", "case_id", "pool"))
     r.add("t5_counterbalanced_order", "WITH k AS (SELECT doc_id AS case_id, row_number() OVER (ORDER BY md5('s|' || doc_id), doc_id) AS rank FROM documents) SELECT case_id, rank, 1 AS block, CASE WHEN rank % 2 = 1 THEN 'A' ELSE 'B' END AS mode FROM k UNION ALL SELECT case_id, rank, 2, CASE WHEN rank % 2 = 1 THEN 'B' ELSE 'A' END FROM k")(lambda s, d: lg.counterbalanced_order(view(s, d, "documents").withColumnRenamed("doc_id", "case_id"), "s"))
     r.add("st1_idempotent_ingest_batch", duck("fx_events", sql="SELECT event_id, idem_key, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN request_hash = first(request_hash) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM fx_events WINDOW w AS (PARTITION BY idem_key ORDER BY recorded_at, event_id)"))(lambda s, d: lg.idempotent_ingest(view(s, d, "fx_events")))
-    r.add("st3_append_head_batch", duck("fx_history", sql="SELECT log_key, sequence, entry_id, coalesce(lag(entry_id) OVER (PARTITION BY log_key ORDER BY sequence, entry_id), '') AS head FROM fx_history"))(lambda s, d: lg.append_head(view(s, d, "fx_history")).select("log_key", "sequence", "entry_id", "head"))
+    names = "SELECT log_key, sequence, entry_id, CASE WHEN log_key % 5 = 0 AND sequence % 3 = 2 THEN 'other' ELSE coalesce(lag(entry_id) OVER (PARTITION BY log_key ORDER BY sequence, entry_id), '') END AS names FROM {}"
+    r.add("st3_append_head_batch", duck("fx_history", sql=f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY log_key ORDER BY sequence, entry_id) AS k FROM ({names.format('fx_history')})),
+        w AS (SELECT log_key, k, sequence, entry_id, names = '' AS good, CASE WHEN names = '' THEN entry_id ELSE '' END AS head FROM n WHERE k = 1 UNION ALL SELECT n.log_key, n.k, n.sequence, n.entry_id, n.names = w.head, CASE WHEN n.names = w.head THEN n.entry_id ELSE w.head END FROM w JOIN n ON n.log_key = w.log_key AND n.k = w.k + 1)
+        SELECT log_key, sequence, entry_id, CASE WHEN good THEN 'accepted' ELSE 'stale' END AS outcome, head FROM w""", recursive=True))(lambda s, d: lg.append_head(s.sql(names.format("{h}"), h=view(s, d, "fx_history"))))
     rules = {"no_category": "category IS NULL", "too_early": "recorded_at < started_at", "too_late": "completed_at > recorded_at", "burden": "total_burden < part_a + part_b", "flagged": "has_issue"}
     r.add("v3_manifest_issues", duck("fx_entries", sql=" UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM fx_entries WHERE {c}" for k, c in rules.items())))(lambda s, d: lg.issue_rows(ent(s, d), "case_id", {k: F.expr(c) for k, c in rules.items()}))
     r.add("v4_timestamp_chain_issues", duck("fx_entries", sql="SELECT case_id, CASE WHEN completed_at IS NULL THEN 'open' ELSE 'order' END AS issue FROM fx_entries WHERE completed_at IS NULL OR NOT (started_at <= completed_at AND completed_at <= recorded_at)"))(
@@ -45,8 +48,10 @@ def register(r: Registry) -> None:
     )
     r.add("v5_burden_issues", duck("fx_entries", sql="SELECT case_id, total_burden, part_a + part_b AS parts FROM fx_entries WHERE total_burden < part_a + part_b"))(lambda s, d: ent(s, d).filter("total_burden < part_a + part_b").select("case_id", "total_burden", F.expr("part_a + part_b").alias("parts")))
     r.add("v9_duplicate_digests", duck("fx_entries", sql="SELECT digest, count(*) AS n, count(DISTINCT owner) AS owners, min(case_id) AS first_case FROM fx_entries GROUP BY 1 HAVING count(*) > 1"))(lambda s, d: lg.duplicate_digests(ent(s, d)))
-    gaps = "SELECT l_partkey AS id FROM {} WHERE l_partkey % 37 <> 5 AND l_linenumber = 1"
-    r.add("v10_id_range_gaps", f"WITH x AS ({gaps.format('lineitem')}) SELECT i AS id, 'missing' AS issue FROM range(0, 1001) t(i) WHERE i NOT IN (SELECT id FROM x) UNION ALL SELECT id, 'repeated' FROM x GROUP BY id HAVING count(*) > 1")(lambda s, d: lg.id_range_gaps(s.sql(gaps.format("{l}"), l=view(s, d, "lineitem")), "id", 0, 1000))
+    gaps = "SELECT l_partkey + CASE WHEN l_partkey % 37 = 5 THEN 1 ELSE 0 END AS id FROM {}"
+    r.add("v10_id_range_gaps", f"WITH x AS ({gaps.format('lineitem')}), m AS (SELECT max(p_partkey) AS most FROM part) SELECT i AS id, 'missing' AS issue FROM (SELECT unnest(range(0, most + 11)) AS i FROM m) WHERE i NOT IN (SELECT id FROM x) UNION ALL SELECT id, 'repeated' FROM x GROUP BY id HAVING count(*) > 1")(
+        lambda s, d: lg.id_range_gaps(s.sql(gaps.format("{l}"), l=view(s, d, "lineitem")), "id", 0, view(s, d, "part").agg(F.max("p_partkey")).first()[0] + 10)
+    )
     r.add("v11_candidate_accounting", duck("fx_entries", sql="SELECT CASE WHEN category IS NULL THEN 'no_category' WHEN completed_at IS NULL THEN 'not_completed' WHEN has_issue THEN 'has_issue' ELSE 'primary' END AS state, count(*) AS n, count(DISTINCT owner) AS owners FROM fx_entries GROUP BY 1"))(lambda s, d: lg.candidate_accounting(ent(s, d)))
     r.add("v13_evidence_gate", duck("fx_traces", sql=" UNION ALL ".join(f"SELECT '{c}' AS gate, bool_and({e}) AS passed, count(*) FILTER (NOT ({e})) AS failures FROM fx_traces" for c, e in (("proposed", "proposed"), ("trusted", "trusted"), ("case_id", "case_id = 0")))))(lambda s, d: lg.evidence_gate(view(s, d, "fx_traces"), ["proposed", "trusted"], ["case_id"]))
     r.add("v14_category_coverage", duck("fx_entries", sql="SELECT v.category, count(e.case_id) AS n, count(e.case_id) >= 2000 AS met FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) v(category) LEFT JOIN fx_entries e ON e.category = v.category GROUP BY 1"))(lambda s, d: lg.category_coverage(ent(s, d), ["1-URGENT", "2-HIGH", "9-NONE"], 2000))

@@ -18,10 +18,13 @@ MANIFEST = T.StructType().add("version", "string").add("records", T.ArrayType(T.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine where spark.checkpoint.dir is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset and all runs in this process (tests), a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -49,6 +52,12 @@ def artifact_inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("kind"))
 
 
+def write_manifests(records: DataFrame, path: str, version: str) -> None:
+    """Manifests as JSON files, one for each value of the column `file`. records: file, id, sha256, bytes; a file's records make one JSON object, so they are to be bounded."""
+    whole = records.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("id", "sha256", "bytes"))).alias("records")).withColumn("version", F.lit(version))
+    whole.repartition(F.col("file")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def write_changed_csv(changed: DataFrame, path: str) -> None:
     """Changed cases as CSV files with a header."""
     changed.write.mode("overwrite").option("header", True).csv(path)

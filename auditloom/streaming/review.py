@@ -1,4 +1,8 @@
-"""Streams over the append-only logs: idempotent ingestion, review state, head checks."""
+"""Streams over the append-only logs: idempotent ingestion, review state, head checks.
+
+A key's rows of one micro-batch are sorted together, so micro-batches are to be bounded (maxFilesPerTrigger); over a whole log
+with keys of any size run the batch twins in operators/logs.py, which carry the state over sorted rows.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auditloom.operators.logs import REVIEW_START, review_step
 from auditloom.sources.tables import shared_dir
 
 
@@ -35,28 +40,15 @@ def idempotent_ingest(stream: DataFrame) -> DataFrame:
 def review_state(stream: DataFrame) -> DataFrame:
     """(event_id, submission_id, outcome, status, version): each action on a submission, accepted or with the reason why not.
 
-    A claim needs a waiting submission that nobody holds; release and decisions need a claim; asking for changes ends in
-    changes_requested until the submission waits again. State: status, version, whether it is claimed.
+    The rules are those of logs.review_step. State: status, version, whether it is claimed.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, version, held = state.get if state.exists else ("waiting_for_agent_review", 0, False)
-        rows = []
+        now, rows = state.get if state.exists else REVIEW_START, []
         for e, action in ordered(batches, ["recorded_at", "event_id"])[["event_id", "action"]].itertuples(index=False):
-            if status == "internally_accepted":
-                outcome = "closed"
-            elif action == "claim":
-                outcome = "already_claimed" if held else "accepted" if status == "waiting_for_agent_review" else "not_waiting"
-            elif action == "waiting_for_agent_review":
-                outcome = "accepted" if status == "changes_requested" else "not_requested"
-            else:
-                outcome = "accepted" if held else "not_claimed"
-            if outcome == "accepted":
-                version += 1
-                held = action == "claim"
-                status = {"claim": "in_agent_review", "release": "waiting_for_agent_review"}.get(action, action)
-            rows.append((e, key[0], outcome, status, version))
-        state.update((status, version, held))
+            now, told = review_step(now, (action,))
+            rows.append((e, key[0], *told))
+        state.update(now)
         yield pd.DataFrame(rows, columns=["event_id", "submission_id", "outcome", "status", "version"])
 
     return stream.groupBy("submission_id").applyInPandasWithState(step, "event_id long, submission_id long, outcome string, status string, version long", "status string, version long, held boolean", "append", GroupStateTimeout.NoTimeout)
