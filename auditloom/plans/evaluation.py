@@ -7,21 +7,26 @@ from auditloom.functions.scores import CLASSES
 from auditloom.operators import evaluation as ev
 from auditloom.registry import Registry
 
-BRAND = """CASE
-  WHEN NOT brand_present THEN CASE WHEN state <> 'NOT_OBSERVED' AND has_value THEN 'false-certainty' ELSE 'correct' END
-  WHEN ambiguous THEN CASE WHEN state IN ('AMBIGUOUS', 'LOW_CONFIDENCE') THEN 'correct-uncertainty' WHEN state = 'OBSERVED' THEN 'false-certainty' ELSE 'candidate-generation-failure' END
-  WHEN exact OR normalized THEN CASE WHEN state = 'AMBIGUOUS' THEN 'correct-uncertainty' ELSE 'correct' END
-  WHEN state = 'OBSERVED' THEN 'false-certainty' WHEN top3 THEN 'candidate-ranking-failure' WHEN in_candidate THEN 'candidate-ranking-failure' WHEN in_line THEN 'candidate-filtering-failure'
-  WHEN (in_recovery_candidate OR in_recovery_line) AND NOT in_primary_candidate AND NOT in_primary_line THEN 'region-coverage-failure'
-  WHEN in_recovery_ocr AND NOT in_primary_ocr THEN 'region-coverage-failure' WHEN in_ocr THEN 'line-reconstruction-failure'
-  WHEN state = 'NOT_OBSERVED' THEN 'candidate-generation-failure' ELSE 'ocr-recognition-failure' END"""
-ALCOHOL = """CASE
-  WHEN NOT alcohol_present THEN CASE WHEN detected THEN 'false-certainty' ELSE 'correct' END
-  WHEN detected THEN CASE WHEN parsed_ok THEN 'correct' ELSE 'parser-failure' END
-  WHEN parser_rejected THEN 'parser-failure' WHEN filter_rejected THEN 'candidate-filtering-failure' WHEN recovery_evidence AND NOT primary_evidence THEN 'region-coverage-failure'
-  WHEN adjacent_evidence THEN 'line-reconstruction-failure' WHEN same_line_evidence THEN 'candidate-generation-failure' WHEN NOT number_in_ocr THEN 'ocr-recognition-failure' WHEN NOT marker_in_ocr THEN 'ocr-recognition-failure'
-  ELSE 'candidate-generation-failure' END"""
-SCORES = f"WITH scores AS (SELECT *, {BRAND} AS brand_class, {ALCOHOL} AS alcohol_class, (state <> 'NOT_OBSERVED' AND has_value) AS seen FROM fx_cases)"
+#: Conditions with their class and rank; a case has the class of its least rank.
+BRAND = [
+    (0, "false-certainty", "(NOT brand_present AND state <> 'NOT_OBSERVED' AND has_value) OR (brand_present AND state = 'OBSERVED' AND (ambiguous OR NOT (exact OR normalized)))"),
+    (0, "correct", "(NOT brand_present AND NOT (state <> 'NOT_OBSERVED' AND has_value)) OR (brand_present AND NOT ambiguous AND (exact OR normalized) AND state <> 'AMBIGUOUS')"),
+    (0, "correct-uncertainty", "brand_present AND ((ambiguous AND state IN ('AMBIGUOUS', 'LOW_CONFIDENCE')) OR (NOT ambiguous AND (exact OR normalized) AND state = 'AMBIGUOUS'))"), (0, "candidate-generation-failure", "brand_present AND ambiguous AND state = 'NOT_OBSERVED'"),
+    (1, "candidate-ranking-failure", "top3"), (1, "candidate-ranking-failure", "in_candidate"), (2, "candidate-filtering-failure", "in_line"), (3, "region-coverage-failure", "(in_recovery_candidate OR in_recovery_line) AND NOT in_primary_candidate AND NOT in_primary_line"), (3, "region-coverage-failure", "in_recovery_ocr AND NOT in_primary_ocr"),
+    (4, "line-reconstruction-failure", "in_ocr"), (5, "candidate-generation-failure", "state = 'NOT_OBSERVED'"), (6, "ocr-recognition-failure", "true"),
+]
+ALCOHOL = [
+    (0, "correct", "NOT alcohol_present AND NOT detected"), (0, "correct", "alcohol_present AND detected AND parsed_ok"), (0, "false-certainty", "NOT alcohol_present AND detected"), (0, "parser-failure", "alcohol_present AND detected AND NOT parsed_ok"), (1, "parser-failure", "parser_rejected"), (2, "candidate-filtering-failure", "filter_rejected"),
+    (3, "region-coverage-failure", "recovery_evidence AND NOT primary_evidence"), (4, "line-reconstruction-failure", "adjacent_evidence"), (5, "candidate-generation-failure", "same_line_evidence"), (6, "ocr-recognition-failure", "NOT number_in_ocr OR NOT marker_in_ocr"), (7, "candidate-generation-failure", "true"),
+]
+
+
+def _least(rules: list[tuple[int, str, str]], name: str) -> str:
+    ranked = " UNION ALL ".join(f"SELECT case_id, {rank} AS rank, '{c}' AS class FROM fx_cases WHERE {where}" for rank, c, where in rules)
+    return f"{name} AS (SELECT case_id, min_by(class, rank) AS {name} FROM ({ranked}) GROUP BY case_id)"
+
+
+SCORES = f"WITH {_least(BRAND, 'brand_class')}, {_least(ALCOHOL, 'alcohol_class')}, scores AS (SELECT *, (state <> 'NOT_OBSERVED' AND has_value) AS seen FROM fx_cases JOIN brand_class USING (case_id) JOIN alcohol_class USING (case_id))"
 SLICES = {"vertical": "orientation = 'vertical'", "rotated": "orientation = 'rotated-180'", "any_orientation": "orientation <> 'horizontal'", "english": "lang = 'en'", "none": "lang = 'xx'"}
 
 
