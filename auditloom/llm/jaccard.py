@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from auditloom.llm.common import cut, dealt, partitions
 from auditloom.llm.components import components
@@ -66,15 +65,15 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def tokens(shingled: np.ndarray, n: int = TOKENS) -> list[int]:
-    """The set in n sampled tokens: its least shingle under each of n orders, as 32 bits. Two sets share a token with the probability of their similarity."""
+def tokens(shingled: np.ndarray, n: int = TOKENS) -> bytes:
+    """The set in n sampled tokens: its least shingle under each of n orders, as 4 bytes. Two sets share a token with the probability of their similarity."""
     if not len(shingled):
-        return [0] * n
+        return bytes(4 * n)
     out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingled), 4096):
         x = (shingled[None, start : start + 4096] ^ _XOR[:n]) * _MUL[:n]
         out = np.minimum(out, (x ^ (x >> np.uint64(31))).min(1))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+    return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def described(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -91,9 +90,9 @@ def described(docs: DataFrame, text: str, size: int) -> DataFrame:
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     rows.append(tokens(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=names)
 
-    schema = docs.select("row", "key").schema.add("cls", "binary").add("size", "long").add("tokens", T.ArrayType(T.IntegerType()))
+    schema = docs.select("row", "key").schema.add("cls", "binary").add("size", "long").add("tokens", "binary")
     return docs.select("row", "key", F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -118,7 +117,7 @@ def leaves(classes: DataFrame, runs: range, similarity: float, small: int | None
         pick = F.element_at("free", (F.pmod(F.pmod(F.xxhash64("path"), F.lit(1 << 20)) + F.col("x.b") * 7, F.size("free")) + 1).cast("int"))
         pick = F.when(F.size("used") == 0, first).otherwise(pick).cast("int")
         token = free.withColumn("pick", pick)
-        return token.select("cls", "run", F.xxhash64("path", "pick", F.element_at("tokens", F.col("pick") + 1)).alias("path"), F.array_append("used", F.col("pick")).alias("used"), "before")
+        return token.select("cls", "run", F.xxhash64("path", "pick", F.expr("substring(tokens, 4 * pick + 1, 4)")).alias("path"), F.array_append("used", F.col("pick")).alias("used"), "before")
 
     roots = F.explode(F.array(*[F.lit(r) for r in runs]))
     of = classes.filter("size > 0").select("cls", "tokens")
@@ -170,44 +169,102 @@ def counted(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
-def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, similarity: float, runs: int) -> DataFrame:
-    """(cls, n, weight, root): for each bucket and class in it the number and copies of classes linked to it there, and the least class it hangs together with there.
+def shared_least(similarity: float, missed: float = 0.001) -> int:
+    """Sampled tokens that a pair of the similarity shares at least, but for a probability of `missed`."""
+    left, least = 0.0, 0
+    while (left := left + math.comb(TOKENS, least) * similarity**least * (1 - similarity) ** (TOKENS - least)) <= missed:
+        least += 1
+    return least
 
-    A pair that shares several leaves counts in the first of them alone, by run and leaf, so sums over buckets count every
-    pair once. A leaf whose classes all shared a leaf of an earlier run is skipped. Leaves above BLOCK classes, which are dense,
-    become blocks of classes, and a task for each two blocks; what a leaf needs in memory is bounded by that.
+
+def candidates(found: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(cls, row, copies, own, at): the leaves of each class by run, and in which of them and in which part it has a candidate to be compared with.
+
+    Candidates share enough sampled tokens, and the leaf is the first, by run and leaf, that they share. So only tokens are
+    sent to every leaf, and whole sets only where they are needed. Leaves above BLOCK classes, which are dense, become
+    blocks of classes, and a part for each two blocks; what a task holds is bounded by that.
+    """
+    least = shared_least(similarity)
+    own = found.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("run", "leaf", "members"))).alias("own"))  # a few leaves a run
+    known = cut(own.join(classes.select("cls", "row", "copies", "tokens"), "cls"))
+    spread = known.select("cls", "tokens", F.transform("own", lambda x: x["leaf"]).alias("leaves"), F.explode("own").alias("x"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("x.members") / F.lit(BLOCK))).cast("long")
+    block = spread.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    # block 0 holds its own pairs too, so a single block is one part
+    parts = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    met = dealt(parts.select("cls", "tokens", "leaves", F.col("x.leaf").alias("leaf"), "part", "block"), partitions(found.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", "cls")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def solve() -> None:
+            n = len(held)
+            if n < 2:
+                return
+            leaf = held[0][3]
+            sketches = np.frombuffer(b"".join(x[1] for x in held), "<u4").reshape(n, TOKENS)
+            shared = np.zeros((n, n), np.uint8)
+            for c in sketches.T:
+                shared += c[:, None] == c[None, :]
+            near = shared >= least
+            np.fill_diagonal(near, False)
+            block = np.array([x[5] for x in held])
+            if block.min() != block.max():
+                near &= block[:, None] != block[None, :]
+            if near.any():
+                first_met(near, leaf, [x[2] for x in held])
+                out.extend((held[i][0], leaf, held[i][4], held[i][5]) for i in np.flatnonzero(near.any(1)).tolist())
+
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][3:5] != x[3:5]:
+                    solve()
+                    held.clear()
+                held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["cls", "leaf", "part", "block"])
+            out.clear()
+        solve()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["cls", "leaf", "part", "block"])
+
+    where = met.mapInArrow(check, "cls binary, leaf long, part long, block long").groupBy("cls").agg(F.collect_list(F.struct("leaf", "part", "block")).alias("at"))
+    return cut(known.select("cls", "row", "copies", F.transform("own", lambda x: x["leaf"]).alias("leaves")).join(where, "cls"))
+
+
+def first_met(near: np.ndarray, leaf: int, leaves_of: list[list[int]]) -> None:
+    """Takes from a matrix of pairs in a leaf those that share a leaf before it. leaves_of: the leaves of each row, in order."""
+    earlier: dict[int, list[int]] = {}
+    for i in np.flatnonzero(near.any(1)).tolist():
+        for x in leaves_of[i]:
+            if x == leaf:
+                break
+            earlier.setdefault(x, []).append(i)
+    for rows in earlier.values():
+        if len(rows) > 1:
+            near[np.ix_(rows, rows)] = False
+
+
+def links(docs: DataFrame, wanted: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(cls, n, weight, root): for each part of a leaf and class in it the number and copies of classes linked to it there, and the least class it hangs together with there.
+
+    A pair counts in the first leaf that it shares alone, so sums over leaves count every pair once.
     """
-    first = [F.min(F.when(F.col("run") == r, F.col("leaf"))).alias(f"l{r}") for r in range(runs)]
-    by_class = found.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("run", "leaf", "members"))).alias("own"), *first)
-    by_class = cut(by_class)  # a row a class, with a few leaves a run
-    wide = by_class.select("cls", F.explode("own").alias("x"), *[f"l{r}" for r in range(runs)]).select("cls", "x.run", "x.leaf", *[f"l{r}" for r in range(runs)])
-    same = [F.when((F.min("run") > q) & (F.count(f"l{q}") == F.count("*")) & (F.min(f"l{q}") == F.max(f"l{q}")), 1) for q in range(runs)]
-    needed = cut(wide.groupBy("leaf").agg(F.coalesce(*same).alias("skip")).filter("skip IS NULL").select("leaf"))
-    kept = wide.select("cls", "leaf").join(needed, "leaf", "left_semi").groupBy("cls").agg(F.collect_list("leaf").alias("at"))
-    wanted = kept.join(by_class.select("cls", "own"), "cls").join(classes.select("cls", "row", "copies"), "cls")
-    wanted = cut(wanted)
-    texts = docs.select("row", F.col("text").alias("_text")).join(wanted.hint("merge"), "row").select("_text", "cls", "copies", F.transform("own", lambda x: x["leaf"]).alias("leaves"), F.filter("own", lambda x: F.array_contains("at", x["leaf"])).alias("at"))
+    texts = docs.select("row", F.col("text").alias("_text")).join(wanted.hint("merge"), "row").select("_text", "cls", "copies", "leaves", "at")
+    names = ["leaf", "part", "block", "cls", "copies", "leaves", "set"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 rows: list[tuple] = []
                 for t, cls, copies, own, at in zip(*(whole.slice(start, 200).column(i).to_pylist() for i in range(5))):
                     s = shingles(t, size).tobytes()
                     own = np.array(own, "<i8").tobytes()  # in order of run and leaf
-                    for x in at:
-                        blocks = max(1, -(-x["members"] // BLOCK))
-                        block = int.from_bytes(cls[:8], "big") % blocks
-                        # block 0 holds its own pairs too, so a single block is one task
-                        for other in range(blocks):
-                            low, high = min(block, other), max(block, other)
-                            rows.append((x["leaf"], low * blocks + high, x["run"], block, cls, copies, own, s))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["leaf", "part", "run", "block", "cls", "copies", "leaves", "set"])
-
-    schema = "leaf long, part long, run long, block long, cls binary, copies long, leaves binary, set binary"
-    n = partitions(docs.sparkSession)
-    met = dealt(texts.mapInArrow(deal, schema), n, "leaf", "part").sortWithinPartitions("leaf", "part", "cls")
+                    rows += [(x["leaf"], x["part"], x["block"], cls, copies, own, s) for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+
+    schema = "leaf long, part long, block long, cls binary, copies long, leaves binary, set binary"
+    met = dealt(texts.mapInArrow(deal, schema), partitions(docs.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", "cls")
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -220,15 +277,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, simi
             block = np.array([x["block"] for x in rows])
             if block.min() != block.max():
                 near &= block[:, None] != block[None, :]
-            earlier: dict[int, list[int]] = {}  # leaves before this one: the rows in them
-            for i in np.flatnonzero(near.any(1)).tolist():
-                for leaf in np.frombuffer(rows[i]["leaves"], "<i8").tolist():
-                    if leaf == rows[i]["leaf"]:
-                        break
-                    earlier.setdefault(leaf, []).append(i)
-            for met_there in earlier.values():
-                if len(met_there) > 1:
-                    near[np.ix_(met_there, met_there)] = False
+            first_met(near, rows[0]["leaf"], [np.frombuffer(x["leaves"], "<i8").tolist() for x in rows])
             copies, root = np.array([x["copies"] for x in rows]), np.arange(len(rows))
             if not near.any():
                 return []
@@ -260,7 +309,7 @@ def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float
     """For each row its key, class_id (the least key of its group), copy_id (the least key with an equal set), n_copies (rows with an equal set, this one included), n_links (other rows whose set is at least as similar as `similarity`), is_first (true for one row a group, and for rows that repeat it in key and text), and row, a hash of key and text.
 
     Sets are those of the runs of `size` words. Rows whose sets are equal are one class, compared once and never paired
-    with each other; a group is a connected component of links. Links are found with probability `recall` at least if
+    with each other; a group is a connected component of links. Links are found with probability `recall` (and 0.999 for the check of sampled tokens) at least if
     their similarity is just the bound, nearly always if it is higher; no pair below the bound is a link. Null and empty
     texts and texts without words have the empty set: they are copies of each other and link to nothing else. Repeated
     rows count as copies. Null keys come last in choosing a least key.
@@ -272,8 +321,7 @@ def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float
     while runs < (needed := runs_for(similarity, recall, depth)):
         more, deep = leaves(classes, range(runs, needed), similarity)
         found, runs, depth = more if found is None else found.unionByName(more), needed, max(depth, deep)
-    found = cut(found)
-    near = cut(links(base, found, classes, size, similarity, runs))
+    near = cut(links(base, candidates(cut(found), classes, similarity), size, similarity))
     roots = components(near.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     sums = near.groupBy("cls").agg(F.sum("weight").alias("weight"))
     per = classes.select("cls", "least", "copies").join(sums, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
