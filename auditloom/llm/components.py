@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import cut
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
     Alternates two steps until nothing changes: every node links its greater neighbours to the least node around it,
@@ -19,13 +19,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = cut(pairs)
     nodes = cut(now.select(F.col("a").alias("node")).union(now.select("b")).distinct())
     now = cut(now.filter("a <> b"))
-    for _ in range(most):
+    while True:
         before = _mark(now)
         now = cut(_small(cut(_large(now))))
         if _mark(now) == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     least = now.groupBy("a").agg(F.min("b").alias("b"))
     return nodes.join(least, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
 
