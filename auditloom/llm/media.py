@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import fresh, partitions
+from auditloom.llm.common import dealt, fresh, partitions
 from auditloom.llm.markup import BLOCKS, Node, attributes, tree
 
 ROW = 576
+#: Digests that a task remembers.
+KEPT = 100_000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = T.ArrayType(T.StructType().add("position", T.IntegerType()).add("kind", "string").add("text", "string").add("ref", "string"))
 
@@ -143,35 +145,39 @@ def interleave(pages: DataFrame, source: str = "html") -> DataFrame:
 def store(payloads: DataFrame, payload: str) -> DataFrame:
     """One row (ref, media) for each different payload: its SHA-256 after padding, and the stored picture. Null counts as empty.
 
-    Each task lets a payload through once, and the exchange by digest meets it again; so a payload that a third of all
-    rows hold is sent once a task.
+    A task remembers the digests that it saw last, KEPT at most, and lets those payloads through once; so a payload that a
+    third of all rows hold is sent a few times a task. Behind the exchange by digest, equal digests are neighbours.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, None] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 refs, media = [], []
                 for p in whole.slice(start, 500).column(0).to_pylist():
                     samples = padded(p or b"")
                     digest = hashlib.sha256(samples)
-                    if digest.digest() not in seen:
-                        seen.add(digest.digest())
+                    known = digest.digest() in seen
+                    seen.pop(digest.digest(), None)
+                    seen[digest.digest()] = None  # the last one seen is the last to be forgotten
+                    if len(seen) > KEPT:
+                        del seen[next(iter(seen))]
+                    if not known:
                         refs.append(digest.hexdigest())
                         media.append(to_png(samples))
                 yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(media, pa.binary())], names=["ref", "media"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        last = None
         for batch in batches:
             keep = []
             for ref in batch.column(0).to_pylist():
-                keep.append(ref not in seen)
-                seen.add(ref)
+                keep.append(ref != last)
+                last = ref
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     sent = payloads.select(F.col(payload).cast("binary").alias("payload")).mapInArrow(write, "ref string, media binary")
-    return sent.repartition(partitions(payloads.sparkSession), "ref").mapInArrow(once, "ref string, media binary")
+    return dealt(sent, partitions(payloads.sparkSession), "ref").sortWithinPartitions("ref").mapInArrow(once, "ref string, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
