@@ -11,6 +11,8 @@ from auditloom.llm.common import cut, fresh
 
 #: Rows that one bucket of the shuffled order holds about; its running sums are one task's work.
 BUCKET_ROWS = 1_000
+#: Buckets of a block.
+BLOCK = 4096
 
 
 def words(text: Column) -> Column:
@@ -44,15 +46,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return level.select("source", "size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap).alias("target"))
 
 
-def running(rows: DataFrame, by: list[str], key: str, amount: str, out: str, buckets: int) -> DataFrame:
+def starts(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Adds _before to sums (by, bucket, _amount): what the buckets before a bucket hold within `by`.
+
+    Blocks of BLOCK buckets bound the rows that one window holds: one window is over the buckets of a block, one over the blocks.
+    """
+    upto = lambda *c: Window.partitionBy(*c).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.withColumn("_block", F.floor(F.col("bucket") / F.lit(BLOCK)))
+    whole = blocks.groupBy(*by, "_block").agg(F.sum("_amount").alias("_sum"))
+    first = whole.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(upto(*by).orderBy("_block")), F.lit(0)).alias("_start"))
+    same = F.col("_block") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.coalesce(F.sum("_amount").over(upto(*by, "_block").orderBy("bucket")), F.lit(0))
+    return blocks.withColumn("_in", inside).join(first, same).withColumn("_before", F.col("_in") + F.col("_start")).select(*by, "bucket", "_before")
+
+
+def running(rows: DataFrame, by: list[str], key: str, amount: str, out: str) -> DataFrame:
     """Adds the running sum of amount within `by`, in order of bucket and then of the columns key and row.
 
-    Three steps that never hold a group together: sums of each bucket, a running sum over buckets, and running sums
-    inside each bucket.
+    A group is never held together: sums of each bucket, what comes before each bucket, and running sums inside it.
     """
-    total = rows.groupBy(*by, "bucket").agg(F.sum(amount).alias("_amount"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = total.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bucket").alias("_bucket"), F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias("_before"))
+    total = starts(rows.groupBy(*by, "bucket").agg(F.sum(amount).alias("_amount")), by)
+    offsets = total.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bucket").alias("_bucket"), "_before")
     inside = Window.partitionBy(*by, "bucket").orderBy(key, "row").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_own", F.sum(amount).over(inside))
     same = F.col("bucket") == F.col("_bucket")
@@ -92,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     # The first 8 hexadecimal digits place a row in one of `buckets` equal ranges of the shuffled order.
     part = F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
     rows = slim.withColumn("bucket", part).withColumn("amount", F.col("size") * F.col("n"))
-    ordered = running(rows, ["source"], "hash", "amount", "so_far", buckets)
+    ordered = running(rows, ["source"], "hash", "amount", "so_far")
     full = goal.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target")
     placed = ordered.join(F.broadcast(full) if _few(goal) else full, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "bucket")
     rounds = math.ceil(most)
@@ -117,13 +133,9 @@ def _few(goal: DataFrame, most: int = 10_000) -> bool:
 def truncated(copies: DataFrame, budget: float, buckets: int) -> DataFrame:
     """The copies, in order of finish time, up to the total budget; the running sum is taken by buckets of the time."""
     n = 64 * buckets
-    at = copies.withColumn("bucket", F.least(F.floor(F.col("finish") * F.lit(n)), F.lit(2 * n)).cast("long")).withColumn("every", F.lit(0))
-    sums = at.groupBy("bucket").agg(F.sum(F.col("amount")).alias("_amount"))
-    # Blocks of buckets bound the rows that one window holds, however many buckets there are.
-    blocks = sums.withColumn("block", F.floor(F.col("bucket") / F.lit(4096)))
-    starts = blocks.groupBy("block").agg(F.sum("_amount").alias("_block")).withColumn("_start", F.coalesce(F.sum("_block").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_in", F.coalesce(F.sum("_amount").over(before), F.lit(0))).join(starts.drop("_block"), "block").select(F.col("bucket").alias("_bucket"), (F.col("_in") + F.col("_start")).alias("_before"))
+    at = copies.withColumn("bucket", F.least(F.floor(F.col("finish") * F.lit(n)), F.lit(2 * n)).cast("long"))
+    sums = at.groupBy("bucket").agg(F.sum(F.col("amount")).alias("_amount")).withColumn("all", F.lit(0))
+    offsets = starts(sums, ["all"]).select(F.col("bucket").alias("_bucket"), "_before")
     inside = Window.partitionBy("bucket").orderBy("finish", "hash", "row", "round").rowsBetween(Window.unboundedPreceding, 0)
     summed = at.join(offsets.filter(F.col("_before") < F.lit(budget)), F.col("bucket") == F.col("_bucket")).withColumn("_own", F.sum("amount").over(inside))
-    return summed.filter(F.col("_own") + F.col("_before") <= F.lit(budget)).drop("every", "_own", "_before", "_bucket", "bucket")
+    return summed.filter(F.col("_own") + F.col("_before") <= F.lit(budget)).drop("_own", "_before", "_bucket", "bucket")
