@@ -48,6 +48,20 @@ KEY = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s''-]'
 NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
+#: What is put behind a title and a document's plain words, from line 5 on, and what is wrong then.
+ENDS = [
+    ("Fine end.", []), ("```\ncode", [(5, "FENCE_UNCLOSED")]), ("~~~~\n~~~\n#no\n~~~~\nAll closed here.", []), ("## Last", [(5, "TRUNC_EMPTY_FINAL_HEADING")]), ("This goes on and the", [(5, "TRUNC_DANGLING_WORD")]), ("See here:", [(5, "TRUNC_TRAILING_COLON")]), ("Three words only", [(5, "TRUNC_PROSE_NO_TERMINAL")]), ("- an item", []),
+    ("#Heading\n\nEnd.", [(5, "HEADING_NO_SPACE")]), ("#1 is fine.", []), ("| a | b |\n|---|:-:-|", [(6, "TABLE_SEPARATOR_INVALID")]), ("A [link](x and more.", [(5, "LINK_MALFORMED")]), ("A [link] (x) more.", [(5, "LINK_MALFORMED")]), ("An [empty]() and [gone](#no-where) link.", [(5, "LINK_EMPTY"), (5, "LINK_ANCHOR_MISSING")]), ("To the [title](#the-title).", []),
+]
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown: a title, all letters of the text on one line, and an end by turns of ENDS."""
+    end = F.element_at(F.array(*[F.lit(e) for e, _ in ENDS]), (F.col("doc_id") % len(ENDS) + 1).cast("int"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")
+    return view(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# The title\n\n"), plain, F.lit(".\n\n"), end).alias("text"))
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window for each line item, by turns of WINDOWS."""
     base = spark.sql(READ.format("{l}"), l=view(spark, sf_dir, "lineitem"))
@@ -126,6 +140,6 @@ def register(r: Registry) -> None:
         SELECT *, reason IN ('BRAND_OBSERVATION_PRESENT', 'ALCOHOL_OBSERVATION_PRESENT', 'ALCOHOL_NOT_OBSERVED_BUT_PROCESSED') AS sufficient FROM x"""))(lambda s, d: ex.evidence_sufficiency(s.sql(suff.format("{c}"), c=view(s, d, "fx_cases"))))
     r.add("j16_contamination", f"SELECT doc_id, item_id FROM (SELECT doc_id, {NORM} AS body FROM documents) JOIN (SELECT item_id, {NORM} AS passage FROM benchmark) ON contains(' ' || body || ' ', passage)")(lambda s, d: ex.contamination(view(s, d, "documents"), view(s, d, "benchmark")))
     r.add("j27_broken_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) SELECT link, count(DISTINCT page_id) AS pages FROM l WHERE link NOT IN (SELECT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) FROM pages) GROUP BY 1")(lambda s, d: ex.broken_links(view(s, d, "pages")))
-    r.add("v17_document_lint", """WITH e AS (SELECT doc_id, coalesce(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-1]), '') AS e FROM documents),
-        i AS (SELECT doc_id, CASE WHEN e = '' THEN 'empty' WHEN prefix(e, '#') THEN 'ends_on_heading' WHEN regexp_matches(lower(e), '(?:^|\\s)(?:the|a|of|and|to)$') THEN 'dangling_word' WHEN suffix(e, ':') THEN 'ends_on_colon' WHEN NOT regexp_matches(e, '[.!?)"''*%#&$|]$') THEN 'no_final_punctuation' END AS issue FROM e) SELECT * FROM i WHERE issue IS NOT NULL""")(lambda s, d: ex.document_lint(view(s, d, "documents")))
+    ends = " UNION ALL ".join(f"SELECT {i} AS t, {line} AS line, '{code}' AS code" for i, (_, found) in enumerate(ENDS) for line, code in found)
+    r.add("v17_document_lint", f"SELECT doc_id, CAST(line AS INT) AS line, code FROM documents JOIN ({ends}) e ON e.t = doc_id % {len(ENDS)}")(lambda s, d: ex.document_lint(marked(s, d)))
     r.add("v18_duplicate_lines", "WITH l AS (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(line), '[^a-z0-9 ]', '', 'g')), ' +', '-', 'g') AS slug FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT doc_id, slug, count(*) AS n FROM l WHERE slug <> '' GROUP BY ALL HAVING count(*) > 1")(lambda s, d: ex.duplicate_lines(view(s, d, "documents")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.fixtures import duck, view
 from auditloom.operators import logs as lg
+from auditloom.operators import manifests as mf
 from auditloom.registry import Registry
 
 TOKENS = "SELECT event_id % 200 AS case_id, user_id % 6 AS pass_order, props AS token FROM {}"
@@ -14,6 +15,32 @@ DECS = "SELECT event_id AS decision_id, user_id AS submission_id, event_id % 40
 RUNS = "SELECT user_id AS run_id, event_id AS sequence, CAST(floor(event_id / (user_id % 5 + 1)) + CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN 100 ELSE 0 END AS BIGINT) AS measure FROM {}"
 
 
+#: Declarations of orders: every rule is broken by some.
+DECLARED = """SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 41 = 0 THEN 'v0' ELSE 'v1' END AS version, CASE WHEN o_orderkey % 43 = 0 THEN 'run-9' ELSE 'run-1' END AS run_id, CASE WHEN o_orderkey % 47 = 0 THEN ' ' ELSE 'img' END AS image_ref, CASE WHEN o_orderkey % 53 = 0 THEN 'x' ELSE concat(md5('a'), md5('b')) END AS sha256,
+  CASE WHEN o_orderkey % 59 = 0 THEN 'text/plain' ELSE 'image/png' END AS media_type, CASE WHEN o_orderkey % 61 = 0 THEN 0 ELSE 5 END AS bytes, CASE o_orderkey % 8 WHEN 0 THEN 'EXCLUDED' WHEN 1 THEN 'NON_BLIND_OPERATIONAL' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'BAD' ELSE 'PRIMARY_BLIND_CANDIDATE' END AS eligibility,
+  CASE o_orderkey % 9 WHEN 0 THEN 'ABSENT' WHEN 1 THEN 'ODD' ELSE 'PRESENT' END AS brand_state, CASE WHEN o_orderkey % 67 = 0 OR (o_orderkey % 9 < 2 AND o_orderkey % 71 <> 0) THEN NULL ELSE 'Acme  Wines' END AS brand_text, CASE WHEN o_orderkey % 73 = 0 THEN 'other' ELSE 'acme wines' END AS brand_normal,
+  CASE o_orderkey % 10 WHEN 0 THEN 'ABSENT' WHEN 1 THEN 'ODD' ELSE 'PRESENT' END AS alcohol_state, CASE WHEN o_orderkey % 83 = 0 OR o_orderkey % 10 < 2 THEN NULL WHEN o_orderkey % 79 = 0 THEN 'strong' ELSE '12.5% by vol' END AS alcohol_text, CASE WHEN o_orderkey % 89 = 0 THEN 1 ELSE 1250 END AS alcohol_normal,
+  CASE WHEN o_orderkey % 97 = 0 THEN -5 ELSE o_orderkey % 5 END AS search_ms, CASE WHEN o_orderkey % 29 = 0 THEN -1 ELSE o_orderkey % 7 END AS transcription_ms, CASE WHEN o_orderkey % 31 = 0 THEN -2 ELSE o_orderkey % 3 END AS verification_ms, CASE WHEN o_orderkey % 37 = 0 THEN -3 WHEN o_orderkey % 101 <> 0 THEN o_orderkey % 5 + o_orderkey % 7 + o_orderkey % 3 + o_orderkey % 4 - 1 END AS total_ms,
+  CASE WHEN o_orderkey % 23 <> 0 THEN o_orderdate END AS started_at, CASE WHEN o_orderkey % 103 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS completed_at, CASE WHEN o_orderkey % 107 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN o_orderdate - INTERVAL 3 DAY ELSE o_orderdate + INTERVAL 4 DAY END AS recorded_at,
+  CASE WHEN o_orderkey % 109 <> 0 THEN o_orderdate END AS accessed_at, CASE WHEN o_orderkey % 113 = 0 THEN 'BAD' WHEN o_orderkey % 127 <> 0 THEN 'ARCHIVE' END AS source_type, CASE WHEN o_orderkey % 131 = 0 THEN 'run-001/out' WHEN o_orderkey % 137 = 0 THEN '' ELSE 'book 4' END AS source_ref, CASE WHEN o_orderkey % 13 = 0 THEN 'case-7' END AS prior_identity,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'why' END AS exclusion_reason, CASE WHEN o_orderkey % 149 = 0 THEN '' ELSE 'own' END AS independence, CASE WHEN o_orderkey % 151 <> 0 THEN 'by hand' END AS method, CASE WHEN o_orderkey % 157 <> 0 THEN 'kay' END AS recorder, CASE WHEN o_orderkey % 163 = 0 THEN ' ' ELSE 'clerk' END AS recorder_role,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'bad' WHEN o_orderkey % 2 = 0 THEN concat(md5('d'), md5('d')) END AS digest, CASE WHEN o_orderkey % 19 = 0 THEN concat(md5('e'), md5('e')) ELSE concat(md5('d'), md5('d')) END AS digest_found FROM {}"""
+_PRIMARY = "eligibility = 'PRIMARY_BLIND_CANDIDATE' AND "
+#: What a primary candidate must have, and the conditions under which it hasn't.
+_NEEDED = {
+    "values": "brand_state <> 'PRESENT' OR alcohol_state <> 'PRESENT'", "source_type": "source_type IS NULL", "source_ref": "source_ref = ''", "access_date": "accessed_at IS NULL", "independence": "independence = ''", "method": "method IS NULL", "recorder": "recorder IS NULL OR recorder_role = ' '", "recorded_at": "recorded_at IS NULL", "started_at": "started_at IS NULL", "completed_at": "completed_at IS NULL",
+    **{f"{t}_ms": f"{t}_ms IS NULL OR {t}_ms < 0" for t in ("search", "transcription", "verification", "total")},
+}
+_ORDER = {"completed_before_start": "completed_at < started_at", "recorded_before_completion": "recorded_at < completed_at"} | {f"{a}_not_before_{t}": f"{b} >= {t}" for t in ("randomized_at", "exposed_at", "executed_at") for a, b in (("recorded", "recorded_at"), ("completed", "completed_at"))}
+_BURDEN = "total_ms < search_ms + transcription_ms + verification_ms"
+DECLARATION_RULES = {
+    "version": "run_version IS NULL OR version <> run_version", "run": "run_version IS NULL", "image_ref": "image_ref = ' '", "sha256": "sha256 = 'x'", "media_type": "media_type = 'text/plain'", "bytes": "bytes = 0", "eligibility": "eligibility = 'BAD'", "brand_state": "brand_state = 'ODD'", "brand_text": "(brand_state = 'PRESENT') = (brand_text IS NULL)",
+    "brand_normal": "brand_state = 'PRESENT' AND (brand_text IS NULL OR brand_normal = 'other')", "alcohol_state": "alcohol_state = 'ODD'", "alcohol_text": "(alcohol_state = 'PRESENT') = (alcohol_text IS NULL)", "alcohol_syntax": "alcohol_state = 'PRESENT' AND alcohol_text = 'strong'", "alcohol_normal": "alcohol_state = 'PRESENT' AND alcohol_text = '12.5% by vol' AND alcohol_normal = 1",
+    **{f"{t}_ms_negative": f"{t}_ms < 0" for t in ("search", "transcription", "verification", "total")}, "burden": _BURDEN, **_ORDER, "source_type": "source_type = 'BAD'", "source_forbidden": "source_ref = 'run-001/out'", "exposed_primary": f"{_PRIMARY}prior_identity = 'case-7'", "reason_missing": "eligibility IN ('EXCLUDED', 'NON_BLIND_OPERATIONAL') AND exclusion_reason IS NULL",
+    **{f"primary_{k}": f"{_PRIMARY}({c})" for k, c in _NEEDED.items()}, "primary_incomplete": f"{_PRIMARY}(" + " OR ".join(f"coalesce({c}, false)" for c in [*_NEEDED.values(), *_ORDER.values(), _BURDEN, "source_type = 'BAD'", "source_ref = 'run-001/out'"]) + ")", "digest": "digest = 'bad'", "digest_differs": "digest <> 'bad' AND digest <> digest_found",
+}
+
+
 def register(r: Registry) -> None:
     ent = lambda s, d: view(s, d, "fx_entries")
     obs = "SELECT l_orderkey * 10 + l_linenumber AS case_id, l_returnflag AS value, {a}(l_linestatus, CAST(l_linenumber AS {t})) AS alternates, CASE WHEN l_partkey % 3 = 0 THEN 'O' ELSE 'R' END AS truth FROM {lineitem}"
@@ -41,11 +68,25 @@ def register(r: Registry) -> None:
     r.add("st3_append_head_batch", duck("fx_history", sql=f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY log_key ORDER BY sequence, entry_id) AS k FROM ({names.format('fx_history')})),
         w AS (SELECT log_key, k, sequence, entry_id, names = '' AS good, CASE WHEN names = '' THEN entry_id ELSE '' END AS head FROM n WHERE k = 1 UNION ALL SELECT n.log_key, n.k, n.sequence, n.entry_id, n.names = w.head, CASE WHEN n.names = w.head THEN n.entry_id ELSE w.head END FROM w JOIN n ON n.log_key = w.log_key AND n.k = w.k + 1)
         SELECT log_key, sequence, entry_id, CASE WHEN good THEN 'accepted' ELSE 'stale' END AS outcome, head FROM w""", recursive=True))(lambda s, d: lg.append_head(s.sql(names.format("{h}"), h=view(s, d, "fx_history"))))
-    rules = {"no_category": "category IS NULL", "too_early": "recorded_at < started_at", "too_late": "completed_at > recorded_at", "burden": "total_burden < part_a + part_b", "flagged": "has_issue"}
-    r.add("v3_manifest_issues", duck("fx_entries", sql=" UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM fx_entries WHERE {c}" for k, c in rules.items())))(lambda s, d: lg.issue_rows(ent(s, d), "case_id", {k: F.expr(c) for k, c in rules.items()}))
-    r.add("v4_timestamp_chain_issues", duck("fx_entries", sql="SELECT case_id, CASE WHEN completed_at IS NULL THEN 'open' ELSE 'order' END AS issue FROM fx_entries WHERE completed_at IS NULL OR NOT (started_at <= completed_at AND completed_at <= recorded_at)"))(
-        lambda s, d: lg.issue_rows(ent(s, d), "case_id", {"open": F.col("completed_at").isNull(), "order": ~((F.col("started_at") <= F.col("completed_at")) & (F.col("completed_at") <= F.col("recorded_at")))})
-    )
+    runs = "SELECT 'run-1' AS run_id, 'v1' AS version, DATE '1996-01-01' AS randomized_at, DATE '1997-06-01' AS exposed_at, DATE '1998-07-01' AS executed_at"
+    declared = lambda s, d: s.sql(DECLARED.replace("VARCHAR", "STRING").format("{o}"), o=view(s, d, "orders"))
+    listed = " UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM j WHERE {c}" for k, c in DECLARATION_RULES.items())
+    joined = f"d AS ({DECLARED.format('orders')}), j AS (SELECT d.*, r.version AS run_version, randomized_at, exposed_at, executed_at FROM d LEFT JOIN ({runs}) r ON r.run_id = d.run_id)"
+    r.add("v3_manifest_issues", f"WITH {joined} {listed}")(lambda s, d: mf.manifest_issues(declared(s, d), s.sql(runs), "^run-", ["case-7"]))
+    order = [k for k in DECLARATION_RULES if "before" in k]
+    r.add("v4_timestamp_chain_issues", f"WITH {joined} " + " UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM j WHERE {DECLARATION_RULES[k]}" for k in order))(lambda s, d: mf.timestamp_chain_issues(declared(s, d), s.sql(runs)))
+    found = "SELECT l_orderkey AS case_id, l_linenumber AS position, min(l_partkey) AS k FROM {} GROUP BY l_orderkey, l_linenumber"
+    told = """SELECT case_id, position, CASE WHEN k % 17 = 0 THEN 'rule1' ELSE concat('rule', CAST(position AS VARCHAR)) END AS rule, CASE WHEN k % 19 = 0 THEN 'v2' ELSE 'v1' END AS rule_version, CASE WHEN k % 23 = 0 THEN 'q' ELSE 'p' END AS profile, '1' AS profile_version, CASE k % 4 WHEN 0 THEN 'brandName' WHEN 1 THEN 'alcoholStatement' WHEN 2 THEN 'colour' END AS ref_field,
+      CASE WHEN k % 29 = 0 THEN 'other' ELSE 'same' END AS ref_digest, CASE WHEN case_id % 3 = 0 THEN 'NOT_OBSERVED' WHEN k % 31 = 0 THEN 'AMBIGUOUS' ELSE 'OBSERVED' END AS ref_state, CASE WHEN k % 5 = 0 THEN 1 END AS ref_alternate FROM {}"""
+    ruled = "SELECT 1 AS position, 'rule1' AS rule, 'v1' AS rule_version UNION ALL SELECT 2, 'rule2', 'v1' UNION ALL SELECT 3, 'rule3', 'v1' UNION ALL SELECT 4, 'rule4', 'v1'"
+    cases = "SELECT o_orderkey AS case_id, 'p' AS profile, '1' AS profile_version, 'same' AS digest, CASE WHEN o_orderkey % 3 = 0 THEN 'NOT_OBSERVED' ELSE 'OBSERVED' END AS brand_state, CASE WHEN o_orderkey % 3 = 0 THEN 'NOT_OBSERVED' ELSE 'OBSERVED' END AS alcohol_state FROM {} WHERE o_orderkey % 37 <> 0"
+    known = "k % 4 IN (0, 1) AND r.case_id IS NOT NULL"
+    broken = {"order": "position <= 4 AND k % 17 = 0 AND position <> 1", "version": "position <= 4 AND k % 19 = 0", "profile": "k % 23 = 0 AND r.case_id IS NOT NULL", "repeated": "nth > 1", "no_result": "r.case_id IS NULL", "unknown_field": "k % 4 = 2", "reference_digest": f"{known} AND k % 29 = 0", "reference_state": f"{known} AND t.case_id % 3 <> 0 AND k % 31 = 0", "alternate_of_nothing": f"{known} AND t.case_id % 3 = 0 AND k % 5 = 0"}
+    r.add("v23_result_rules", f"""WITH n AS ({found.format('lineitem')}), r AS (SELECT DISTINCT case_id FROM ({cases.format('orders')})), t AS (SELECT *, row_number() OVER (PARTITION BY case_id, CASE WHEN k % 17 = 0 THEN 1 ELSE position END ORDER BY position) AS nth FROM n) """
+        + " UNION ALL ".join(f"SELECT t.case_id, position, '{name}' AS issue FROM t LEFT JOIN r ON r.case_id = t.case_id WHERE {c}" for name, c in broken.items())
+        + " UNION ALL SELECT r.case_id, NULL, 'count' FROM r LEFT JOIN (SELECT case_id, count(*) AS n FROM n GROUP BY 1) c ON c.case_id = r.case_id WHERE coalesce(c.n, 0) <> 4")(
+        lambda s, d: mf.result_rule_issues(s.sql(told.replace("VARCHAR", "STRING").format("({n})").replace("({n})", "{n}"), n=s.sql(found.format("{l}"), l=view(s, d, "lineitem"))), s.sql(ruled), s.sql(cases.format("{o}"), o=view(s, d, "orders").dropDuplicates(["o_orderkey"])))
+    )
     r.add("v5_burden_issues", duck("fx_entries", sql="SELECT case_id, total_burden, part_a + part_b AS parts FROM fx_entries WHERE total_burden < part_a + part_b"))(lambda s, d: ent(s, d).filter("total_burden < part_a + part_b").select("case_id", "total_burden", F.expr("part_a + part_b").alias("parts")))
     r.add("v9_duplicate_digests", duck("fx_entries", sql="SELECT digest, count(*) AS n, count(DISTINCT owner) AS owners, min(case_id) AS first_case FROM fx_entries GROUP BY 1 HAVING count(*) > 1"))(lambda s, d: lg.duplicate_digests(ent(s, d)))
     gaps = "SELECT l_partkey + CASE WHEN l_partkey % 37 = 5 THEN 1 ELSE 0 END AS id FROM {}"
