@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm.common import cut
 
@@ -51,31 +52,48 @@ def argument_issues(name: Column, arguments: Column, schemas: dict[str, dict]) -
 
 
 def positions(calls: DataFrame) -> DataFrame:
-    """(conv, call_id, position) of calls (conv, call_id, after): how many calls come before one on its chain; null on a cycle.
+    """(conv, call_id, position) of calls (conv, call_id, after: array of identifiers): the calls on the longest chain before one; null on a cycle and behind one.
 
-    Pointer doubling: every round doubles the distance that a call looks back, so the rounds grow with the logarithm of
-    the longest chain, and a conversation of any length is spread over all tasks.
+    Identifiers that no call has are left out. Where calls wait for one other at most, pointer doubling finds the
+    position: every round doubles the distance that a call looks back, so the rounds grow with the logarithm of the longest
+    chain. Otherwise calls are taken off in layers, those first whose calls before them are all taken off, a round a
+    layer. A conversation of any length is spread over all tasks.
     """
-    own = calls.select("conv", "call_id", "after")
-    ids = own.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"))
+    own = calls.select("conv", "call_id", F.explode_outer(F.array_distinct("after")).alias("after"))
+    ids = calls.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).distinct()
     same = lambda a, b: (F.col("conv") == F.col("_conv")) & (F.col(a) == F.col(b))
-    at = own.join(ids, same("after", "_id"), "left").select("conv", "call_id", F.col("_id").alias("up"), F.when(F.col("_id").isNull(), 0).otherwise(1).cast("long").alias("hops"))
-    at = cut(at)
-    for _ in range(2 + math.ceil(math.log2(max(2, at.count())))):
-        if at.filter("up IS NOT NULL").isEmpty():
-            break
-        far = at.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        at = cut(at.join(far, same("up", "_id"), "left").select("conv", "call_id", F.col("_up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
-    return at.select("conv", "call_id", F.when(F.col("up").isNull(), F.col("hops")).alias("position"))
+    edges = cut(own.join(ids, same("after", "_id")).select("conv", "call_id", F.col("after").alias("up")))
+    if edges.groupBy("conv", "call_id").count().filter("count > 1").isEmpty():
+        at = cut(calls.select("conv", "call_id").join(edges, ["conv", "call_id"], "left").withColumn("hops", F.col("up").isNotNull().cast("long")))
+        for _ in range(2 + math.ceil(math.log2(max(2, at.count())))):
+            if at.filter("up IS NOT NULL").isEmpty():
+                break
+            far = at.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
+            at = cut(at.join(far, same("up", "_id"), "left").select("conv", "call_id", F.col("_up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
+        return at.select("conv", "call_id", F.when(F.col("up").isNull(), F.col("hops")).alias("position"))
+    layer = cut(calls.select("conv", "call_id").join(edges, ["conv", "call_id"], "left_anti"))
+    found, depth = layer.withColumn("position", F.lit(0).cast("long")), 0
+    while not layer.isEmpty():
+        gone = layer.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"))
+        left = cut(edges.join(gone, same("up", "_id"), "left_anti"))
+        layer = cut(edges.select("conv", "call_id").distinct().join(left, ["conv", "call_id"], "left_anti"))
+        depth, edges = depth + 1, left
+        found = found.unionByName(layer.withColumn("position", F.lit(depth).cast("long")))
+    return calls.select("conv", "call_id").join(found, ["conv", "call_id"], "left")
+
+
+def in_order(linked: DataFrame) -> DataFrame:
+    """Rows in topological order within their conversation, by a global range sort: a call never comes before one that it waits for; other rows come behind, by seq."""
+    return linked.orderBy("conv", F.col("position").isNull(), "position", "seq", "call_id", "kind", "canonical")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each call, each result without a call, each further call or result of an identifier, and each other message.
 
     messages: conv, seq (place in the conversation), role, content, call_id, name, arguments (JSON text), after (the
-    call_id whose result a call waits for). A row with call_id and name is a call, one with call_id alone is the result
+    call_id whose result a call waits for, or an array of several). A row with call_id and name is a call, one with call_id alone is the result
     of that call, any other is a message. Returned: conv, kind ('linked', 'no_result', 'orphan_result', 'repeated_call',
-    'repeated_result', 'message'), call_id, seq (of the call, else of the row), position (calls before it on its chain;
+    'repeated_result', 'message'), call_id, seq (of the call, else of the row), position (calls on the longest chain before it;
     null off calls, on cycles and for repeated calls), n_repeats (rows that say the same call, result or message),
     issues, canonical (JSON, keys sorted at every depth, no white space, nulls written).
 
@@ -85,7 +103,8 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     out. Null conv or seq is a value like another for messages; a call or result with a null conv links to nothing and
     is kept as a message. Arguments that are no JSON object are an issue, not an error. Other columns are left out.
     """
-    m = messages.select("conv", "seq", "role", "content", "call_id", "name", "arguments", "after")
+    after = F.col("after") if isinstance(messages.schema["after"].dataType, T.ArrayType) else F.array_compact(F.array("after"))
+    m = messages.select("conv", "seq", "role", "content", "call_id", "name", "arguments", F.array_compact(after).alias("after"))
     tied = F.col("call_id").isNotNull() & F.col("conv").isNotNull()
     is_call, is_result = tied & F.col("name").isNotNull(), tied & F.col("name").isNull()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.chat import link
+from auditloom.llm.chat import in_order, link
 from auditloom.registry import Registry, read
 
 #: What a call must look like.
@@ -61,7 +61,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user, name(0)).when(answer, name(1)).alias("call_id"), F.when(user, F.lit("reply")).alias("name"),
         F.when(user, F.to_json(F.struct("text", "turn"))).alias("arguments"), F.when(user, name(2)).alias("after"),
     )
-    done = link(messages, SCHEMAS)
+    done = in_order(link(messages, SCHEMAS))
     return done.select(F.col("conv").alias("conv_id"), "kind", "call_id", F.col("seq").alias("turn"), "position", "n_repeats", F.array_join("issues", ",").alias("issues"), "canonical")
 
 

@@ -70,3 +70,15 @@ def test_chat_keeps_every_call_and_result(spark):
     # a linked row holds a call and a result, any other row that is no message holds one
     assert sum(r["n_repeats"] + (r["kind"] == "linked") for r in got) == len(rows)
     assert all(r["position"] is None and "repeated" in r["issues"] for r in got if r["kind"].startswith("repeated"))
+
+
+def test_chat_orders_calls_that_wait_for_several(spark):
+    waits = {"a": [], "b": ["a"], "c": ["a", "b"], "d": ["b", "gone"], "e": ["c", "d"], "x": ["y", "a"], "y": ["x"], "z": ["y", "e"]}
+    rows = [("c", 9 - i, "user", None, k, "reply", None, v) for i, (k, v) in enumerate(waits.items())] + [("c", 5, "system", "s", None, None, None, None), (None, 1, "user", "t", "a", "reply", None, ["b"])]
+    df = spark.createDataFrame(rows, "conv string, seq long, role string, content string, call_id string, name string, arguments string, after array<string>")
+    got = chat.in_order(chat.link(df, SCHEMAS)).collect()
+    at = {r["call_id"]: r["position"] for r in got if r["call_id"]}
+    assert at == {"a": 0, "b": 1, "c": 2, "d": 2, "e": 3, "x": None, "y": None, "z": None}
+    order = [r["call_id"] for r in got if r["position"] is not None]
+    assert all(order.index(w) < order.index(k) for k in order for w in waits[k] if w in order)
+    assert all("cycle" in r["issues"] for r in got if r["call_id"] in ("x", "y", "z"))
