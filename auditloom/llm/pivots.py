@@ -96,6 +96,11 @@ def cells(x: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
     return c, float(np.abs(c).max(initial=0.0))
 
 
+def within(bits: int, dim: int, a: float, b: float) -> bool:
+    """Whether a sum of `dim` products of numbers up to a and b stays below two to the power of bits."""
+    return a == 0 or b == 0 or (math.isfinite(a) and math.isfinite(b) and math.log2(a) + math.log2(b) + math.log2(max(1, dim)) < bits)
+
+
 def exact(a: np.ndarray, b: np.ndarray, scale: float) -> int:
     """The inner product of two vectors' cells, whatever their size."""
     whole = lambda v: math.floor(scale * v) if math.isfinite(scale * v) else math.floor(scale) * int(v)
@@ -119,10 +124,11 @@ def best_in_block(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray
     """
     cx, high_x = cells(x, scale)
     cq, high_q = cells(q, scale)
-    if not x.shape[1] * high_x * high_q < 1 << 52 or not x.shape[1] * max(high_x, high_q) ** 2 < 1 << 100:
+    high = max(high_x, high_q)
+    if not within(52, x.shape[1], high_x, high_q) or not within(100, x.shape[1], high, high):
         for i in range(len(q)):
-            scored = sorted(((-exact(q[i], x[j], scale), int(ids[j])) for j in range(len(x)) if j != own[i]))[:k]
-            yield i, [(max(LEAST, min(MOST, -s)), v) for s, v in scored]
+            scored = sorted((-max(LEAST, min(MOST, exact(q[i], x[j], scale))), int(ids[j])) for j in range(len(x)) if j != own[i])[:k]
+            yield i, [(-s, v) for s, v in scored]
         return
     norm_x, norm_q = (cx * cx).sum(1), (cq * cq).sum(1)
     for i in range(len(q)):
@@ -174,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
                 x, a = decoded(data, n, dim), np.frombuffer(ids, "<i8")
                 c, high = cells(x, scale)
                 p, high_p = cells(np.frombuffer(b"".join(pivots), "<f8").reshape(len(pivots), dim), scale)
-                fit = dim * max(high, high_p) ** 2 < 1 << 100
+                fit = within(100, dim, max(high, high_p), max(high, high_p))
                 table = distances(c, p) if fit else np.zeros((n, len(p)))
                 mine = np.flatnonzero(a % every == 0)
                 floor = np.full(len(mine), -np.inf)
