@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from auditloom.functions import vocabulary as vc
 from auditloom.operators.grids import in_cells
 from auditloom.sources.tables import shared_dir
 
@@ -38,24 +44,26 @@ def eval_manifest_issues(cases: DataFrame) -> DataFrame:
 
 
 def region_issues(regions: DataFrame, panels: DataFrame) -> DataFrame:
-    """Regions outside the frame or on no panel. regions: vec_id, case_id, x0, y0, x1, y1; panels: case_id."""
-    known = panels.select(F.col("case_id").alias("_case")).distinct()
+    """The first thing wrong with each region: its panel, its category, or its box in the frame. regions: vec_id, case_id, category, x0, y0, x1, y1; panels: case_id, category."""
+    known = panels.groupBy(F.col("case_id").alias("_case")).agg(F.collect_set("category").alias("_categories"))  # a few categories a panel
     j = regions.join(known, F.col("case_id") == F.col("_case"), "left")
-    issue = F.when(F.col("_case").isNull(), "no_panel").when((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > 1) | (F.col("y1") > 1), "outside").when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "empty")
+    issue = F.when(F.col("_case").isNull(), "no_panel").when(~F.array_contains("_categories", F.col("category")), "category").when((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > 1) | (F.col("y1") > 1), "outside").when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "empty")
     return j.select("vec_id", issue.alias("issue")).filter("issue IS NOT NULL")
 
 
-def preparation_complete(panels: DataFrame, roles: list[str]) -> DataFrame:
-    """Whether a submission has every role on its child side."""
-    n = F.countDistinct(F.when((F.col("side") == "child") & F.col("role").isin(roles), F.col("role")))
-    return panels.groupBy("submission_id").agg(n.alias("roles"), (n == len(roles)).alias("complete"))
+def preparation_complete(panels: DataFrame, roles: list[str], categories: list[str]) -> DataFrame:
+    """Whether a submission has every role on its child side, and every category in each of these roles. panels: submission_id, side, role, category."""
+    mine = (F.col("side") == "child") & F.col("role").isin(roles)
+    n, pairs = F.countDistinct(F.when(mine, F.col("role"))), F.countDistinct(F.when(mine & F.col("category").isin(categories), F.concat_ws("|", "role", "category")))
+    return panels.groupBy("submission_id").agg(n.alias("roles"), pairs.alias("filled"), ((n == len(roles)) & (pairs == len(roles) * len(categories))).alias("complete"))
 
 
-def record_set_lint(docs: DataFrame) -> DataFrame:
-    """Ids that repeat or aren't in the title. docs: id, name, title."""
-    n = docs.groupBy("name").agg(F.count("*").alias("n"))
-    issue = F.when(~F.col("title").contains(F.col("id").cast("string")), "id_not_in_title").when(F.col("n") > 1, "repeated_name")
-    return docs.join(n, "name").select("id", issue.alias("issue")).filter("issue IS NOT NULL")
+def record_set_lint(docs: DataFrame, statuses: list[str]) -> DataFrame:
+    """(id, issue) of records: an id that isn't in the title, a name that repeats, an id that repeats, a status that is missing or unknown. docs: id, name, title, status."""
+    names, ids = Window.partitionBy("name"), Window.partitionBy("id")
+    j = docs.withColumn("_names", F.count("*").over(names)).withColumn("_ids", F.count("*").over(ids))
+    rules = {"id_not_in_title": ~F.col("title").contains(F.col("id").cast("string")), "repeated_name": F.col("_names") > 1, "repeated_id": F.col("_ids") > 1, "no_status": F.col("status").isNull() | (F.trim("status") == ""), "unknown_status": ~F.col("status").isin(statuses) & (F.trim("status") != "")}
+    return j.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("issue"))
 
 
 def panel_identity_issues(panels: DataFrame) -> DataFrame:
@@ -130,19 +138,56 @@ def containment_join(texts: DataFrame, phrases: DataFrame, size: int = 6) -> Dat
     return best.select("id", (-F.col("b.p")).alias("pid"), F.col("b.score").cast("long").alias("score"))
 
 
-def failure_cause(candidates: DataFrame) -> DataFrame:
-    """What became of the right answer of each case: the best rejected candidate that holds it, else the best kept one. candidates: case_id, kept, score, candidate_id, holds, reason."""
-    tier = F.when(F.col("holds") & ~F.col("kept"), 3).when(F.col("holds"), 2).otherwise(1)
+def failure_cause(candidates: DataFrame, lines: DataFrame) -> DataFrame:
+    """What became of the right answer of each case, and with which candidate: the best rejected candidate that holds it, else the best kept one that holds more than it, else the best that holds a part, else a line.
+
+    candidates: case_id, kept, score, candidate_id, holds (the whole answer), partial (some of it), reason; lines: case_id, holds.
+    Of one tier, the best score counts, then the greatest candidate_id. Cases that only lines know have a row too.
+    """
+    tier = F.when(F.col("holds") & ~F.col("kept"), 4).when(F.col("holds"), 3).when(F.col("partial"), 2).otherwise(0)
     best = candidates.groupBy("case_id").agg(F.max(F.struct(tier.alias("tier"), "score", "candidate_id", "reason")).alias("b"))
-    cause = F.when(F.col("b.tier") == 3, F.concat(F.lit("rejected:"), F.col("b.reason"))).when(F.col("b.tier") == 2, "over_extended").otherwise("not_seen")
-    return best.select("case_id", cause.alias("cause"), F.col("b.candidate_id").alias("candidate_id"))
+    seen = lines.groupBy("case_id").agg(F.bool_or("holds").alias("line"))
+    j = best.join(seen, "case_id", "full")
+    t = F.coalesce("b.tier", F.lit(0))
+    cause = F.when(t == 4, F.concat(F.lit("rejected:"), F.coalesce("b.reason", F.lit("unknown")))).when(t == 3, "over_extended").when(t == 2, "partial").when(F.coalesce("line", F.lit(False)), "line_only").otherwise("not_seen")
+    return j.select("case_id", cause.alias("cause"), F.when(t > 0, F.col("b.candidate_id")).alias("candidate_id"))
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions, replacements and swaps of neighbours that make b of a."""
+    far = len(a) + len(b)
+    table = [[far] * (len(b) + 2)] + [[far, *range(len(b) + 1)]]
+    seen: dict[str, int] = {}
+    for i, x in enumerate(a, 1):
+        row, swap = [far, i], 0
+        for j, y in enumerate(b, 1):
+            k, l = seen.get(y, 0), swap
+            if x == y:
+                swap = j
+            row.append(min(table[i][j] + (x != y), row[j] + 1, table[i][j + 1] + 1, table[k][l] + (i - k - 1) + 1 + (j - l - 1)))
+        table.append(row)
+        seen[x] = i
+    return table[-1][-1]
 
 
 def nearest_span(spans: DataFrame, truth: DataFrame) -> DataFrame:
-    """The span nearest to each case's truth by edit distance among those of about as many words. spans: case_id, n, span; truth: case_id, truth."""
-    t = truth.withColumn("k", F.size(F.split("truth", " ")))
-    d = spans.join(t, "case_id").filter(F.abs(F.col("n") - F.col("k")) <= 1).withColumn("d", F.levenshtein(F.lower("span"), F.lower("truth")))
-    best = d.groupBy("case_id").agg(F.min(F.struct("d", "span")).alias("b"), F.max(F.length("truth")).alias("len"))
+    """The span nearest to each case's truth by edit distance, swaps of neighbours being one edit, among those of about as many words. spans: case_id, n, span; truth: case_id, truth.
+
+    A distance without swaps is twice one with them at most, so spans beyond twice the least distance without swaps can't be
+    nearest; only the others are measured with swaps.
+    """
+    t = truth.select("case_id", F.lower("truth").alias("truth"), F.size(F.split("truth", " ")).alias("k"))
+    d = spans.select("case_id", "n", "span").distinct().join(t, "case_id").filter(F.abs(F.col("n") - F.col("k")) <= 1).withColumn("plain", F.levenshtein(F.lower("span"), F.col("truth")))
+    least = d.groupBy("case_id").agg(F.min("plain").alias("least"))
+    close = d.join(least, "case_id").filter(F.col("plain") <= 2 * F.col("least")).select("case_id", "span", "truth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [edit_distance(x.lower(), y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["case_id", "span", "truth", "d"])
+
+    measured = close.mapInArrow(run, T.StructType([*close.schema.fields, T.StructField("d", T.IntegerType())]))
+    best = measured.groupBy("case_id").agg(F.min(F.struct("d", "span")).alias("b"), F.max(F.length("truth")).alias("len"))
     return best.select("case_id", F.col("b.span").alias("span"), F.col("b.d").alias("distance"), F.when(F.col("b.d") <= 2, "near_miss").when(F.col("b.d") * 2 <= F.col("len"), "partial").otherwise("none").alias("kind"))
 
 
@@ -185,13 +230,30 @@ def pairwise_fingerprints(prints: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def token_coverage(words: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected tokens that a case has whole, as two neighbours run together, or not at all. words: case_id, ix, text; expected: case_id, token."""
+    """Expected tokens that a case has whole, as two to four neighbours run together, or not at all. words: case_id, ix, text; expected: case_id, token."""
     w = Window.partitionBy("case_id").orderBy("ix")
-    both = words.select("case_id", F.lower("text").alias("t"), F.lower(F.concat("text", F.lead("text").over(w))).alias("t2"))
-    whole = both.select("case_id", F.col("t").alias("token")).distinct().withColumn("whole", F.lit(True))
-    split = both.filter("t2 IS NOT NULL").select("case_id", F.col("t2").alias("token")).distinct().withColumn("split", F.lit(True))
-    j = expected.select("case_id", F.lower("token").alias("token")).join(whole, ["case_id", "token"], "left").join(split, ["case_id", "token"], "left")
-    return j.groupBy("case_id").agg(F.count("*").alias("expected"), F.count("whole").alias("present"), F.count_if(F.col("whole").isNull() & F.col("split").isNotNull()).alias("fragmented"), F.count_if(F.col("whole").isNull() & F.col("split").isNull()).alias("missing"))
+    runs = [F.lower("text")]
+    for i in range(1, 4):
+        runs.append(F.concat(runs[-1], F.lower(F.lead("text", i).over(w))))
+    every = words.select("case_id", F.array(*runs).alias("runs")).select("case_id", F.posexplode("runs").alias("pieces", "token")).filter("token IS NOT NULL")
+    had = every.groupBy("case_id", "token").agg(F.min("pieces").alias("pieces"))
+    j = expected.select("case_id", F.lower("token").alias("token")).join(had, ["case_id", "token"], "left")
+    return j.groupBy("case_id").agg(F.count("*").alias("expected"), F.count_if(F.col("pieces") == 0).alias("present"), F.count_if(F.col("pieces") > 0).alias("fragmented"), F.count_if(F.col("pieces").isNull()).alias("missing"))
+
+
+def bigram_similarity(pairs: DataFrame) -> DataFrame:
+    """(id, similarity): twice the pairs of neighbouring characters that two texts share, with their counts, over all that they have. pairs: id, a, b.
+
+    Texts count without white space around and between words but one space; equal ones are 1, an empty one is 0, and a single character is a pair of its own.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    grams = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
+    p = pairs.select("id", norm(F.col("a")).alias("a"), norm(F.col("b")).alias("b"))
+    count = lambda c, n: p.filter(f"{c} <> ''").select("id", F.explode(grams(F.col(c))).alias("g")).groupBy("id", "g").agg(F.count("*").alias(n))
+    both = count("a", "n").join(count("b", "m"), ["id", "g"]).groupBy("id").agg(F.sum(F.least("n", "m")).alias("shared"))
+    size = lambda c: F.greatest(F.lit(1), F.length(c) - 1)
+    value = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).when(F.col("a") == F.col("b"), 1.0).otherwise(2 * F.coalesce("shared", F.lit(0)) / (size(F.col("a")) + size(F.col("b"))))
+    return p.join(both, "id", "left").select("id", F.round(value, 6).alias("similarity"))
 
 
 def code_agreement(runs: DataFrame) -> DataFrame:
@@ -202,9 +264,11 @@ def code_agreement(runs: DataFrame) -> DataFrame:
     return pairs.groupBy("case_id").agg(F.count("*").alias("pairs"), F.bool_and(F.col("x") == F.col("y")).alias("exact"), F.round(F.avg(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))), 6).alias("jaccard"))
 
 
-def orientation_breakdown(cases: DataFrame) -> DataFrame:
-    """Recall by orientation and state."""
-    return cases.groupBy("orientation", "state").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"), F.round(F.count_if("detected") / F.count("*"), 6).alias("recall"))
+def orientation_breakdown(targets: DataFrame) -> DataFrame:
+    """(level, key, n, detected, recall, agrees, agreement): recall and agreement by orientation, and by how sure the annotation is. targets: orientation, annotated, confidence (high, medium, low), detected; agreement is that of orientation and annotated."""
+    n, hit, same = F.count("*"), F.count_if("detected"), F.count_if(F.col("orientation") == F.col("annotated"))
+    g = targets.groupingSets([["orientation"], ["confidence"]], "orientation", "confidence").agg(n.alias("n"), hit.alias("detected"), F.round(hit / n, 6).alias("recall"), same.alias("agrees"), F.round(same / n, 6).alias("agreement"), F.grouping("orientation").alias("g"))
+    return g.select(F.when(F.col("g") == 0, "orientation").otherwise("confidence").alias("level"), F.when(F.col("g") == 0, F.col("orientation")).otherwise(F.col("confidence")).alias("key"), "n", "detected", "recall", "agrees", "agreement")
 
 
 def plan_recovery(words: DataFrame) -> DataFrame:
@@ -214,11 +278,28 @@ def plan_recovery(words: DataFrame) -> DataFrame:
     return c.select("case_id", F.posexplode(F.slice(wanted, 1, 4)).alias("position", "pass_kind")).select("case_id", (F.col("position") + 1).alias("position"), "pass_kind")
 
 
-def text_class_hypotheses(lines: DataFrame, rules: dict[str, tuple[str, int]]) -> DataFrame:
-    """The best class of each line and whether the next is within 10 points. rules: class to (pattern, points)."""
-    hits = lines.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(n).alias("points"), F.lit(k).alias("class"))) for k, (p, n) in rules.items()]))).alias("h")).select("id", "h.points", "h.class")
+def text_class_hypotheses(regions: DataFrame) -> DataFrame:
+    """(id, class, family, points, place): the classes that each region may be, the most points of a class, in order of points and name.
+
+    regions: id, text, reason (of filter_name_lines, or 'statement' for a candidate of the alcohol field; null: none), source (null,
+    'ocr_pass_region' or 'recovery_crop'). A region without any clue is unknown. Where the first two are within 10 points and of
+    different families, a conflict is one more class.
+    """
+    text = F.lower(F.trim(F.coalesce("text", F.lit(""))))
+    found = [F.when(F.col("source") == k, F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for k, (c, p) in vc.SOURCE_CLUES.items()]
+    found += [F.when(F.col("reason").isin(k.split()), F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for k, told in vc.REASON_CLUES.items() for c, p in told.items()]
+    for words, told in vc.TEXT_CLUES:
+        hit = text.rlike(words)
+        found += [F.when(hit, F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for c, p in told.items()]
+    found.append(F.when(F.size(F.split(text, r"\s+")) >= 8, F.struct(F.lit("decorative_prose").alias("class"), F.lit(70).alias("points"))))
+    nothing = F.array(F.struct(F.when(text != "", "unknown_text_region").otherwise("unknown_non_text_region").alias("class"), F.lit(50).alias("points")))
+    every = regions.select("id", F.array_compact(F.array(*found)).alias("h"), nothing.alias("none")).select("id", F.explode(F.when(F.size("h") > 0, F.col("h")).otherwise(F.col("none"))).alias("h"))
+    family = F.create_map(*[F.lit(x) for f, classes in vc.FAMILIES.items() for c in classes.split() for x in (c, f)])
+    most = every.groupBy("id", F.col("h.class").alias("class")).agg(F.max("h.points").alias("points")).withColumn("family", F.element_at(family, F.col("class")))
     w = Window.partitionBy("id").orderBy(F.desc("points"), "class")
-    return hits.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("points").over(w)).filter("k = 1").select("id", "class", "points", F.coalesce(F.col("points") - F.col("next") <= 10, F.lit(False)).alias("conflict"))
+    ranked = most.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead(F.struct("points", "family")).over(w))
+    clash = ranked.filter((F.col("place") == 1) & (F.col("points") - F.col("next.points") <= 10) & (F.col("family") != F.col("next.family"))).select("id", F.lit("conflicting_classification").alias("class"), F.lit(40).alias("points"), F.lit("unknown").alias("family"))
+    return most.unionByName(clash).withColumn("place", F.row_number().over(w)).select("id", "class", "family", "points", "place")
 
 
 def word_components(boxes: DataFrame, gap: float, cells: int = 64) -> DataFrame:

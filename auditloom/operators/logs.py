@@ -34,12 +34,13 @@ def cumulative_cost(passes: DataFrame) -> DataFrame:
     return passes.select("case_id", "pass_order", F.sum("execution_ms").over(w).alias("cost"))
 
 
-def prefix_selection(candidates: DataFrame, most: int = 5) -> DataFrame:
-    """The best candidate after each prefix of passes, and whether it changed. candidates: case_id, pass, value, score."""
+def prefix_selection(candidates: DataFrame, truth: DataFrame, most: int = 5) -> DataFrame:
+    """The best candidate after each prefix of passes, whether it changed, and whether the case is right for the first time. candidates: case_id, pass, value, score; truth: case_id, truth (a row a case)."""
     w = Window.partitionBy("case_id").orderBy("pass")
     best = candidates.filter(F.col("pass") <= most).groupBy("case_id", "pass").agg(F.max(F.struct("score", "value")).alias("b"))
-    upto = best.withColumn("b", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return upto.select("case_id", "pass", F.col("b.value").alias("value"), F.coalesce(F.lag("b.value").over(w) != F.col("b.value"), F.lit(False)).alias("changed"))
+    upto = best.withColumn("b", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(truth, "case_id", "left")
+    right = upto.withColumn("right", F.coalesce(F.col("b.value") == F.col("truth"), F.lit(False))).withColumn("before", F.coalesce(F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    return right.select("case_id", "pass", F.col("b.value").alias("value"), F.coalesce(F.lag("b.value").over(w) != F.col("b.value"), F.lit(False)).alias("changed"), (F.col("right") & ~F.col("before")).alias("newly_correct"))
 
 
 def history_issues(log: DataFrame) -> DataFrame:

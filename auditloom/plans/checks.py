@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.fixtures import duck, view
+from auditloom.functions import vocabulary as vc
 from auditloom.operators import checks as ck
 from auditloom.operators import extraction as ex
 from auditloom.operators import grids as g
@@ -20,17 +21,30 @@ META = "SELECT p_partkey AS id, p_size AS bytes, p_type AS kind, p_brand AS chec
 ARTS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS bytes, CASE WHEN p_partkey % 7 = 0 THEN 'X' ELSE p_type END AS kind, p_brand AS checksum FROM {} WHERE p_partkey % 11 <> 0"
 PRINTS = "SELECT s_suppkey AS run_id, s_nationkey % 3 AS a, s_nationkey % 5 AS b, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 2 END AS c FROM {}"
 CODES = "SELECT l_orderkey AS case_id, l_linenumber AS repetition, l_returnflag AS code FROM {}"
-CAUSE = "SELECT case_id, kept, score, candidate_id, candidate_id % 5 = 0 AS holds, reason FROM {}"
-RULES = {"upper": ("^[A-Z]", 50), "comma": (",", 45), "end": ("[.]$", 60), "short": ("^.{1,20}$", 20)}
+CAUSE = "SELECT case_id, kept, score, candidate_id, candidate_id % 5 = 0 AS holds, candidate_id % 7 = 0 AS partial, reason FROM {}"
+SEEN = "SELECT o_orderkey + 3 AS case_id, o_custkey % 2 = 0 AS holds FROM {}"
+#: Regions, with their reason and source, and the classes that they get.
+REGIONS = [
+    ("Bottled by Oak Hill", "producer-line", None, "producer_name_address:100 brand_bearing_display:45"), ("acme.wine", "domain-like", "ocr_pass_region", "domain:100 artifact:80 brand_bearing_display:55"), ("Pinot Noir 2019", "varietal-or-designation", None, "class_type:100 vintage:75 appellation:45"), ("Napa Valley", "location-or-appellation", None, "appellation:100 class_type:55"),
+    ("13% by vol", "statement", None, "alcohol_statement:95 mandatory_disclosure:70"), ("Net contents 750 ml", "non-brand-keyword", None, "net_contents:85 mandatory_disclosure:80 unknown_text_region:45"), ("", None, None, "unknown_non_text_region:50"), ("Hello", None, None, "unknown_text_region:50"),
+    ("Golden Fork", "candidate-plausible", "recovery_crop", "unknown_panel:80 brand_bearing_display:75 decorative_script:55 conflicting_classification:40 unknown_text_region:35"), ("GOVERNMENT WARNING: according to the surgeon general, women should not", None, None, "government_warning:100 mandatory_disclosure:85 decorative_prose:70"),
+]
 
 
 def nearest(lined):
-    """Spans of one or two words, letters alone, against the first word of each case."""
+    """All spans of two to four words from the ninth word on, letters alone, against the first three words of each case."""
     plain = lined.withColumn("text", F.regexp_replace("text", "[^a-zA-Z]", ""))
-    two = F.concat_ws(" ", "text", F.lead("text").over(Window.partitionBy("case_id", "line").orderBy("ix")))
-    last = F.lead("text").over(Window.partitionBy("case_id", "line").orderBy("ix")).isNull()
-    spans = plain.withColumn("two", F.when(~last, two)).filter("ix >= 8").select("case_id", F.explode(F.array_compact(F.array(F.struct(F.lit(1).alias("n"), F.col("text").alias("span")), F.when(F.col("two").isNotNull(), F.struct(F.lit(2).alias("n"), F.col("two").alias("span")))))).alias("x"))
-    return ck.nearest_span(spans.select("case_id", "x.n", "x.span"), plain.filter("ix = 0").select("case_id", F.col("text").alias("truth")))
+    w = Window.partitionBy("case_id").orderBy("ix")
+    spans = [F.when(F.lead("text", n - 1).over(w).isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.lead("text", i).over(w) for i in range(n)]).alias("span"))) for n in (2, 3, 4)]
+    every = plain.filter("ix >= 8").select("case_id", F.array(*spans).alias("x")).select("case_id", F.explode(F.array_compact("x")).alias("x")).select("case_id", "x.n", "x.span")
+    truth = plain.withColumn("truth", F.concat_ws(" ", *[F.lead("text", i).over(w) for i in range(3)])).withColumn("enough", F.lead("text", 2).over(w).isNotNull()).filter("ix = 0 AND enough")
+    return ck.nearest_span(every, truth.select("case_id", "truth"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each part, by turns of REGIONS."""
+    turn = lambda k: F.element_at(F.array(*[F.lit(x[k]).cast("string") for x in REGIONS]), (F.col("p_partkey") % len(REGIONS) + 1).cast("int"))
+    return view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), turn(0).alias("text"), turn(1).alias("reason"), turn(2).alias("source"))
 
 
 def register(r: Registry) -> None:
@@ -47,11 +61,17 @@ def register(r: Registry) -> None:
         UNION ALL SELECT case_id, 'shared_digest' FROM fx_entries JOIN o USING (digest) WHERE n > 1"""))(lambda s, d: ck.corpus_issues(view(s, d, "fx_entries")))
     rules = {"ambiguous_without_brand": "ambiguous AND NOT brand_present", "exact_without_brand": "exact AND NOT brand_present", "upright_rotated": "orientation = 'rotated-180' AND in_line", "top3_not_top5": "top3 AND NOT top5"}
     r.add("v7_eval_manifest_issues", duck("fx_cases", sql=" UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM fx_cases WHERE {c}" for k, c in rules.items())))(lambda s, d: ck.eval_manifest_issues(view(s, d, "fx_cases")))
-    r.add("v15_region_issues", bx("SELECT vec_id, CASE WHEN case_id >= 7 THEN 'no_panel' ELSE 'outside' END AS issue FROM b WHERE case_id >= 7 OR x0 < 0 OR y0 < 0 OR x1 > 1 OR y1 > 1"))(lambda s, d: ck.region_issues(boxes(s, d), boxes(s, d).filter("case_id < 7")))
-    r.add("v16_preparation_complete", duck("fx_panels", sql="SELECT submission_id, count(DISTINCT role) FILTER (side = 'child' AND role IN ('A', 'N')) AS roles, count(DISTINCT role) FILTER (side = 'child' AND role IN ('A', 'N')) = 2 AS complete FROM fx_panels GROUP BY 1"))(lambda s, d: ck.preparation_complete(view(s, d, "fx_panels"), ["A", "N"]))
-    lint = "SELECT p_partkey AS id, p_name AS name, concat(p_name, ' ', {}) AS title FROM {}"
-    r.add("v19_record_set_lint", f"WITH x AS ({lint.format('CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_partkey AS VARCHAR) END', 'part')}), y AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM x) SELECT id, CASE WHEN NOT contains(title, CAST(id AS VARCHAR)) THEN 'id_not_in_title' ELSE 'repeated_name' END AS issue FROM y WHERE NOT contains(title, CAST(id AS VARCHAR)) OR n > 1")(
-        lambda s, d: ck.record_set_lint(s.sql(lint.format("CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_partkey AS STRING) END", "{p}"), p=view(s, d, "part")))
+    r.add("v15_region_issues", bx("SELECT * FROM (SELECT vec_id, CASE WHEN case_id >= 7 THEN 'no_panel' WHEN vec_id % 6 <> 0 AND vec_id % 3 = 1 AND case_id % 2 = 0 THEN 'category' WHEN x0 < 0 OR y0 < 0 OR x1 > 1 OR y1 > 1 THEN 'outside' END AS issue FROM b) WHERE issue IS NOT NULL"))(
+        lambda s, d: ck.region_issues(boxes(s, d).withColumn("category", F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string"))), boxes(s, d).filter("case_id < 7").select("case_id", F.explode(F.when(F.col("case_id") % 2 == 0, F.array(F.lit("c0"), F.lit("c2"))).otherwise(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2")))).alias("category")))
+    )
+    child = "side = 'child' AND role IN ('A', 'N')"
+    r.add("v16_preparation_complete", duck("fx_panels", sql=f"WITH p AS (SELECT *, substr(checksum, 1, 1) < '8' AS early FROM fx_panels) SELECT submission_id, count(DISTINCT role) FILTER ({child}) AS roles, count(DISTINCT role || early) FILTER ({child}) AS filled, count(DISTINCT role) FILTER ({child}) = 2 AND count(DISTINCT role || early) FILTER ({child}) = 4 AS complete FROM p GROUP BY 1"))(
+        lambda s, d: ck.preparation_complete(view(s, d, "fx_panels").withColumn("category", F.when(F.substring("checksum", 1, 1) < "8", "early").otherwise("late")), ["A", "N"], ["early", "late"])
+    )
+    lint = "SELECT CAST(p_partkey - CASE WHEN p_partkey % 19 = 0 THEN 1 ELSE 0 END AS BIGINT) AS id, p_name AS name, concat(p_name, ' ', {}) AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'odd' ELSE 'open' END AS status FROM {}"
+    titled = "CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_partkey AS {}) END"
+    r.add("v19_record_set_lint", f"WITH x AS ({lint.format(titled.format('VARCHAR'), 'part')}), y AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, count(*) OVER (PARTITION BY id) AS m FROM x) SELECT id, 'id_not_in_title' AS issue FROM y WHERE NOT contains(title, CAST(id AS VARCHAR)) UNION ALL SELECT id, 'repeated_name' FROM y WHERE n > 1 UNION ALL SELECT id, 'repeated_id' FROM y WHERE m > 1 UNION ALL SELECT id, 'no_status' FROM y WHERE status IS NULL UNION ALL SELECT id, 'unknown_status' FROM y WHERE status = 'odd'")(
+        lambda s, d: ck.record_set_lint(s.sql(lint.format(titled.format("STRING"), "{p}"), p=view(s, d, "part")), ["open", "closed"])
     )
     keys = lambda t, c: STORE.format(c=f"CAST(l_linenumber AS {t})", k=f"CAST(l_partkey AS {t})", t=c)
     r.add("v20_panel_identity_issues", f"WITH x AS ({keys('VARCHAR', 'lineitem')}) SELECT id, CASE WHEN NOT prefix(storage_key, 'rev-' || revision || '/') THEN 'prefix' ELSE 'checksum' END AS issue FROM x WHERE NOT prefix(storage_key, 'rev-' || revision || '/') OR NOT suffix(storage_key, checksum)")(lambda s, d: ck.panel_identity_issues(s.sql(keys("STRING", "{l}"), l=view(s, d, "lineitem"))))
@@ -72,27 +92,39 @@ def register(r: Registry) -> None:
         SELECT id, pid, CAST(score AS BIGINT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pid) = 1""")(
         lambda s, d: ck.containment_join(view(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), view(s, d, "nation").select(F.col("n_nationkey").alias("pid"), F.element_at(F.array(*map(F.lit, ["red", "blue widget", "ring", "small ring x", "green", "bolt"])), F.col("n_nationkey") % 6 + 1).alias("phrase")))
     )
-    r.add("j15_failure_cause", duck("fx_candidates", sql=f"WITH c AS ({CAUSE.format('fx_candidates')}), t AS (SELECT *, CASE WHEN holds AND NOT kept THEN 3 WHEN holds THEN 2 ELSE 1 END AS tier FROM c) SELECT case_id, CASE tier WHEN 3 THEN 'rejected:' || reason WHEN 2 THEN 'over_extended' ELSE 'not_seen' END AS cause, candidate_id FROM t QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY tier DESC, score DESC, candidate_id DESC, reason DESC) = 1"))(lambda s, d: ck.failure_cause(s.sql(CAUSE.format("{c}"), c=view(s, d, "fx_candidates"))))
+    r.add("j15_failure_cause", duck("fx_candidates", sql=f"WITH c AS ({CAUSE.format('fx_candidates')}), t AS (SELECT *, CASE WHEN holds AND NOT kept THEN 4 WHEN holds THEN 3 WHEN partial THEN 2 ELSE 0 END AS tier FROM c), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY tier DESC, score DESC, candidate_id DESC, reason DESC) = 1), l AS (SELECT case_id, bool_or(holds) AS line FROM ({SEEN.format('orders')}) GROUP BY 1) SELECT coalesce(b.case_id, l.case_id) AS case_id, CASE WHEN tier = 4 THEN 'rejected:' || reason WHEN tier = 3 THEN 'over_extended' WHEN tier = 2 THEN 'partial' WHEN line THEN 'line_only' ELSE 'not_seen' END AS cause, CASE WHEN tier > 0 THEN candidate_id END AS candidate_id FROM b FULL JOIN l ON l.case_id = b.case_id"))(
+        lambda s, d: ck.failure_cause(s.sql(CAUSE.format("{c}"), c=view(s, d, "fx_candidates")), s.sql(SEEN.format("{o}"), o=view(s, d, "orders")))
+    )
     tops = "SELECT case_id, text AS token FROM {} WHERE line = 0 AND ix < 3"
-    r.add("j17_nearest_span", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, line, ix, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS text FROM lined), s AS (SELECT case_id, span FROM (SELECT case_id, ix, text AS span FROM k UNION ALL SELECT case_id, ix, text || ' ' || lead(text) OVER (PARTITION BY case_id, line ORDER BY ix) FROM k) WHERE ix >= 8 AND span IS NOT NULL), t AS (SELECT case_id, text AS truth FROM k WHERE ix = 0),
-        d AS (SELECT s.case_id, span, levenshtein(lower(span), lower(truth)) AS d, length(truth) AS len FROM s JOIN t ON t.case_id = s.case_id), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY d, encode(span)) = 1)
+    r.add("j17_nearest_span", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, ix, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS text FROM lined), v AS (SELECT *, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3 FROM k WINDOW w AS (PARTITION BY case_id ORDER BY ix)),
+        s AS (SELECT case_id, text || ' ' || t1 AS span FROM v WHERE ix >= 8 AND t1 IS NOT NULL UNION SELECT case_id, text || ' ' || t1 || ' ' || t2 FROM v WHERE ix >= 8 AND t2 IS NOT NULL UNION SELECT case_id, text || ' ' || t1 || ' ' || t2 || ' ' || t3 FROM v WHERE ix >= 8 AND t3 IS NOT NULL), t AS (SELECT case_id, text || ' ' || t1 || ' ' || t2 AS truth FROM v WHERE ix = 0 AND t2 IS NOT NULL),
+        d AS (SELECT s.case_id, span, damerau_levenshtein(lower(span), lower(truth)) AS d, length(truth) AS len FROM s JOIN t ON t.case_id = s.case_id), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY d, encode(span)) = 1)
         SELECT case_id, span, CAST(d AS INT) AS distance, CASE WHEN d <= 2 THEN 'near_miss' WHEN d * 2 <= len THEN 'partial' ELSE 'none' END AS kind FROM b""")(lambda s, d: nearest(lined(s, d)))
     r.add("j21_category_readiness", bx(", c AS (SELECT case_id, target, bool_or(coverage >= 0.5 AND (proposal + target) % 3 > 0) AS clear FROM ov GROUP BY ALL) SELECT case_id, count(*) AS targets, count(*) FILTER (clear) AS clear, bool_and(clear) AS ready FROM c GROUP BY 1"))(lambda s, d: ck.category_readiness(g.overlap_join(boxes(s, d)).withColumn("agrees", F.expr("(proposal + target) % 3 > 0"))))
     r.add("j22_provenance_reconcile", duck("fx_expected", "fx_actual", sql="SELECT * FROM (SELECT e.case_id, CASE WHEN a.case_id IS NULL THEN 'ANALYZER_ABSENT' WHEN e.digest <> a.digest THEN 'ANALYZER_DIFFERS' WHEN e.case_id % 19 = 0 THEN 'RUN_ABSENT' END AS code FROM fx_expected e LEFT JOIN fx_actual a ON a.case_id = e.case_id) WHERE code IS NOT NULL"))(lambda s, d: ck.provenance_reconcile(view(s, d, "fx_expected"), view(s, d, "fx_actual"), view(s, d, "fx_actual").filter("case_id % 19 <> 0"), "case_id"))
     runs = lambda s, d: s.sql(PRINTS.format("{p}"), p=view(s, d, "supplier"))
     r.add("j24_pairwise_fingerprints", f"WITH p AS (SELECT min(run_id) AS id, count(*) AS n, a, b, c FROM ({PRINTS.format('supplier')}) GROUP BY a, b, c), q AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, (x.a IS DISTINCT FROM y.a)::INT + (x.b IS DISTINCT FROM y.b)::INT + (x.c IS DISTINCT FROM y.c)::INT AS differing FROM p x JOIN p y ON x.id < y.id) SELECT * FROM q WHERE differing < 3")(lambda s, d: ck.pairwise_fingerprints(runs(s, d), ["a", "b", "c"]))
     r.add("j24_fingerprint_classes", f"SELECT run_id, min(run_id) OVER (PARTITION BY a, b, c) AS class_id FROM ({PRINTS.format('supplier')})")(lambda s, d: ck.fingerprint_classes(runs(s, d), ["a", "b", "c"]).select("run_id", "class_id"))
-    r.add("a20_token_coverage", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, lower(text) AS t, lower(text || lead(text) OVER (PARTITION BY case_id ORDER BY ix)) AS t2 FROM lined WHERE ix >= 3), e AS (SELECT case_id, lower(token) AS token FROM ({tops.format('lined')})),
-        x AS (SELECT e.*, EXISTS (SELECT 1 FROM k WHERE k.case_id = e.case_id AND k.t = e.token) AS w, EXISTS (SELECT 1 FROM k WHERE k.case_id = e.case_id AND k.t2 = e.token) AS s FROM e) SELECT case_id, count(*) AS expected, count(*) FILTER (w) AS present, count(*) FILTER (s AND NOT w) AS fragmented, count(*) FILTER (NOT s AND NOT w) AS missing FROM x GROUP BY 1""")(
-        lambda s, d: ck.token_coverage(lined(s, d).filter("ix >= 3"), s.sql(tops.format("{w}"), w=lined(s, d)))
+    want = "SELECT case_id, text || lead(text) OVER w || lead(text, 2) OVER w AS token FROM {} WHERE ix BETWEEN 3 AND 5 WINDOW w AS (PARTITION BY case_id ORDER BY ix)"
+    r.add("a20_token_coverage", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, lower(text) AS t, lead(lower(text)) OVER w AS t1, lead(lower(text), 2) OVER w AS t2, lead(lower(text), 3) OVER w AS t3 FROM lined WHERE ix >= 3 WINDOW w AS (PARTITION BY case_id ORDER BY ix)), e AS (SELECT case_id, lower(token) AS token FROM ({tops.format('lined')} UNION ALL SELECT * FROM ({want.format('lined')}) WHERE token IS NOT NULL)),
+        p AS (SELECT case_id, t AS token, 0 AS n FROM k UNION SELECT case_id, t || t1, 1 FROM k UNION SELECT case_id, t || t1 || t2, 1 FROM k UNION SELECT case_id, t || t1 || t2 || t3, 1 FROM k), h AS (SELECT case_id, token, min(n) AS n FROM p WHERE token IS NOT NULL GROUP BY ALL)
+        SELECT e.case_id, count(*) AS expected, count(*) FILTER (n = 0) AS present, count(*) FILTER (n = 1) AS fragmented, count(*) FILTER (n IS NULL) AS missing FROM e LEFT JOIN h ON h.case_id = e.case_id AND h.token = e.token GROUP BY 1""")(
+        lambda s, d: ck.token_coverage(lined(s, d).filter("ix >= 3"), s.sql(tops.format("{w}") + " UNION ALL SELECT * FROM (" + want.format("{w}") + ") WHERE token IS NOT NULL", w=lined(s, d)))
     )
+    pairs = "SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_type, '  ', p_name) WHEN 2 THEN 'x' ELSE '' END AS b FROM {}"
+    grams = "SELECT id, g, count(*) AS n FROM (SELECT id, unnest(CASE WHEN length({c}) < 2 THEN [{c}] ELSE list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)) END) AS g FROM p WHERE {c} <> '') GROUP BY ALL"
+    r.add("a20_bigram_similarity", f"WITH p AS (SELECT id, trim(regexp_replace(lower(a), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(b), '\\s+', ' ', 'g')) AS b FROM ({pairs.format('part')})), x AS ({grams.format(c='a')}), y AS ({grams.format(c='b')}), s AS (SELECT x.id, sum(least(x.n, y.n)) AS n FROM x JOIN y ON x.id = y.id AND x.g = y.g GROUP BY 1) SELECT p.id, round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE 2 * coalesce(s.n, 0) / (greatest(1, length(a) - 1) + greatest(1, length(b) - 1))::DOUBLE END, 6) AS similarity FROM p LEFT JOIN s ON s.id = p.id")(
+        lambda s, d: ck.bigram_similarity(s.sql(pairs.format("{p}"), p=view(s, d, "part")))
+    )
     r.add("a28_code_agreement", f"WITH c AS (SELECT case_id, repetition, list_sort(list(DISTINCT code)) AS codes FROM ({CODES.format('lineitem')}) GROUP BY ALL) SELECT a.case_id, count(*) AS pairs, bool_and(a.codes = b.codes) AS exact, round(avg(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes)))::DOUBLE), 6) AS jaccard FROM c a JOIN c b ON a.case_id = b.case_id AND a.repetition < b.repetition GROUP BY 1")(lambda s, d: ck.code_agreement(s.sql(CODES.format("{l}"), l=view(s, d, "lineitem"))))
-    r.add("a30_orientation_breakdown", duck("fx_cases", sql="SELECT orientation, state, count(*) AS n, count(*) FILTER (detected) AS detected, round(count(*) FILTER (detected) / count(*)::DOUBLE, 6) AS recall FROM fx_cases GROUP BY ALL"))(lambda s, d: ck.orientation_breakdown(view(s, d, "fx_cases")))
+    turned = "SELECT orientation, CASE WHEN case_id % 7 = 0 THEN 'horizontal' ELSE orientation END AS annotated, CASE n_chars % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, detected FROM {}"
+    facts = "count(*) AS n, count(*) FILTER (detected) AS detected, round(count(*) FILTER (detected) / count(*)::DOUBLE, 6) AS recall, count(*) FILTER (orientation = annotated) AS agrees, round(count(*) FILTER (orientation = annotated) / count(*)::DOUBLE, 6) AS agreement FROM t GROUP BY 2"
+    r.add("a30_orientation_breakdown", duck("fx_cases", sql=f"WITH t AS ({turned.format('fx_cases')}) SELECT 'orientation' AS level, orientation AS key, {facts} UNION ALL SELECT 'confidence', confidence, {facts}"))(lambda s, d: ck.orientation_breakdown(s.sql(turned.format("{c}"), c=view(s, d, "fx_cases"))))
     ids = lambda s, d: boxes(s, d).withColumnRenamed("vec_id", "id")
     near = "SELECT a.id, o.id AS other FROM w a JOIN w o ON a.case_id = o.case_id AND greatest(o.x0 - a.x1, a.x0 - o.x1) <= 0.005::DOUBLE AND greatest(o.y0 - a.y1, a.y0 - o.y1) <= 0.005::DOUBLE"
     r.add("x14_word_components", duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), w AS (SELECT vec_id AS id, case_id, x0, y0, x1, y1 FROM b), e AS ({near}), reach AS (SELECT id, other FROM e UNION SELECT reach.id, e.other FROM reach JOIN e ON e.id = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))(lambda s, d: ck.word_components(ids(s, d), 0.005))
     r.add("x15_focus_regions", duck("fx_candidates", sql="WITH c AS (SELECT case_id, priority AS component, count(*) AS words FROM fx_candidates GROUP BY ALL) SELECT case_id, component, round(words / (sum(words) OVER (PARTITION BY case_id))::DOUBLE, 6) AS share, coalesce(lead(words) OVER w * 2 >= words, false) AS has_peer FROM c WINDOW w AS (PARTITION BY case_id ORDER BY words DESC, component) QUALIFY row_number() OVER w = 1"))(lambda s, d: ck.focus_regions(view(s, d, "fx_candidates").groupBy("case_id", F.col("priority").alias("component")).agg(F.count("*").alias("words"))))
     r.add("x16_plan_recovery", f"""WITH {WORDS}, c AS (SELECT case_id, count(*) AS n, avg(raw_confidence) AS m, count(*) - count(raw_confidence) AS k, max(y1) AS t FROM words GROUP BY 1), p AS (SELECT case_id, list_filter([CASE WHEN n < 20 THEN 'upscale' END, CASE WHEN m < 70 THEN 'contrast' END, CASE WHEN k * 15 > n THEN 'reread' END, CASE WHEN t > 500 THEN 'tile' END, CASE WHEN n > 300 THEN 'crop' END], lambda x: x IS NOT NULL)[1:4] AS l FROM c)
         SELECT case_id, CAST(generate_subscripts(l, 1) AS INT) AS position, unnest(l) AS pass_kind FROM p""")(lambda s, d: ck.plan_recovery(words(s, d)))
-    cls = " UNION ALL ".join(f"SELECT p_partkey AS id, '{k}' AS class, {n} AS points FROM part WHERE regexp_matches(p_name, '{p}')" for k, (p, n) in RULES.items())
-    r.add("x17_text_class_hypotheses", f"WITH h AS ({cls}) SELECT id, class, points, coalesce(points - lead(points) OVER w <= 10, false) AS conflict FROM h WINDOW w AS (PARTITION BY id ORDER BY points DESC, class) QUALIFY row_number() OVER w = 1")(lambda s, d: ck.text_class_hypotheses(view(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), RULES))
+    classes = [(i, k, c.split(":")[0], c.split(":")[1], next(f for f, v in vc.FAMILIES.items() if c.split(":")[0] in v.split())) for i, (*_, told) in enumerate(REGIONS) for k, c in enumerate(told.split(), 1)]
+    r.add("x17_text_class_hypotheses", "SELECT p_partkey AS id, class, family, points, place FROM part JOIN (VALUES " + ", ".join(f"({i}, {k}, '{c}', {n}, '{f}')" for i, k, c, n, f in classes) + f") v(t, place, class, points, family) ON v.t = p_partkey % {len(REGIONS)}")(lambda s, d: ck.text_class_hypotheses(regions(s, d)))

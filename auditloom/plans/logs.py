@@ -49,8 +49,12 @@ def register(r: Registry) -> None:
     )
     r.add("w2_first_seen_tokens", f"WITH w AS ({TOKENS.format('events')}), f AS (SELECT case_id, token, min(pass_order) AS pass_order FROM w GROUP BY ALL) SELECT case_id, pass_order, count(*) AS new_tokens FROM f GROUP BY ALL")(lambda s, d: lg.first_seen_tokens(s.sql(TOKENS.format("{e}"), e=view(s, d, "events"))))
     r.add("w3_cumulative_cost", duck("fx_passes", sql="SELECT case_id, pass_order, CAST(sum(execution_ms) OVER (PARTITION BY case_id ORDER BY pass_order) AS BIGINT) AS cost FROM fx_passes"))(lambda s, d: lg.cumulative_cost(view(s, d, "fx_passes")))
-    r.add("w4_prefix_selection", duck("fx_candidates", sql=f"""WITH c AS ({CANDS.format('fx_candidates')}), p AS (SELECT DISTINCT case_id, pass FROM c WHERE pass <= 5), b AS (SELECT p.case_id, p.pass, max_by(value, {{'s': score, 'v': value}}) AS value FROM p JOIN c ON c.case_id = p.case_id AND c.pass <= p.pass GROUP BY ALL)
-        SELECT case_id, pass, value, coalesce(lag(value) OVER (PARTITION BY case_id ORDER BY pass) <> value, false) AS changed FROM b"""))(lambda s, d: lg.prefix_selection(s.sql(CANDS.format("{c}"), c=view(s, d, "fx_candidates"))))
+    right = "SELECT o_orderkey AS case_id, min(CAST(o_custkey % 97 AS {})) AS truth FROM {} GROUP BY o_orderkey"
+    r.add("w4_prefix_selection", duck("fx_candidates", sql=f"""WITH c AS ({CANDS.format('fx_candidates')}), p AS (SELECT DISTINCT case_id, pass FROM c WHERE pass <= 5), b AS (SELECT p.case_id, p.pass, max_by(value, {{'s': score, 'v': value}}) AS value FROM p JOIN c ON c.case_id = p.case_id AND c.pass <= p.pass GROUP BY ALL),
+        t AS (SELECT b.*, coalesce(value = truth, false) AS good FROM b LEFT JOIN ({right.format('VARCHAR', 'orders')}) r ON r.case_id = b.case_id)
+        SELECT case_id, pass, value, coalesce(lag(value) OVER w <> value, false) AS changed, good AND NOT coalesce(bool_or(good) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS newly_correct FROM t WINDOW w AS (PARTITION BY case_id ORDER BY pass)"""))(
+        lambda s, d: lg.prefix_selection(s.sql(CANDS.format("{c}"), c=view(s, d, "fx_candidates")), s.sql(right.format("STRING", "{o}"), o=view(s, d, "orders")))
+    )
     hist = "SELECT log_key, CASE WHEN log_key % 10 = 0 AND sequence > 2 THEN sequence + 1 ELSE sequence END AS sequence, CASE WHEN log_key % 7 = 0 THEN 'same' ELSE entry_id END AS entry_id FROM {}"
     r.add("w5_history_issues", duck("fx_history", sql=f"WITH h AS ({hist.format('fx_history')}), n AS (SELECT *, row_number() OVER (PARTITION BY log_key ORDER BY sequence, entry_id) AS due, count(*) OVER (PARTITION BY log_key, entry_id) AS n FROM h) SELECT log_key, sequence, CASE WHEN sequence <> due THEN 'sequence' ELSE 'repeated_id' END AS issue FROM n WHERE sequence <> due OR n > 1"))(lambda s, d: lg.history_issues(s.sql(hist.format("{h}"), h=view(s, d, "fx_history"))))
     r.add("w6_append_log", duck("fx_history", sql="""WITH old AS (SELECT * FROM fx_history WHERE sequence <= 3), new AS (SELECT DISTINCT log_key, entry_id FROM fx_history WHERE sequence >= 3 AND (log_key, entry_id) NOT IN (SELECT log_key, entry_id FROM old))
