@@ -271,11 +271,57 @@ def orientation_breakdown(targets: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("g") == 0, "orientation").otherwise("confidence").alias("level"), F.when(F.col("g") == 0, F.col("orientation")).otherwise(F.col("confidence")).alias("key"), "n", "detected", "recall", "agrees", "agreement")
 
 
-def plan_recovery(words: DataFrame) -> DataFrame:
-    """Which passes a case needs, four at most. words: case_id, word_ix, raw_confidence, x1, y1."""
-    c = words.groupBy("case_id").agg(F.count("*").alias("n"), F.avg("raw_confidence").alias("mean"), F.count_if(F.col("raw_confidence").isNull()).alias("missing"), F.max("y1").alias("tall"))
-    wanted = F.array_compact(F.array(F.when(F.col("n") < 20, "upscale"), F.when(F.col("mean") < 70, "contrast"), F.when(F.col("missing") * 15 > F.col("n"), "reread"), F.when(F.col("tall") > 500, "tile"), F.when(F.col("n") > 300, "crop")))
-    return c.select("case_id", F.posexplode(F.slice(wanted, 1, 4)).alias("position", "pass_kind")).select("case_id", (F.col("position") + 1).alias("position"), "pass_kind")
+# Words below which a picture has little text and below which it may be upside down; passes beside the first; widths of side strips of the whole picture and of a focus, and their least width.
+SPARSE, FEW, MORE_PASSES, SIDE, FOCUS_SIDE, STRIP = 18, 6, 4, 0.44, 0.22, 72
+# Least words of a picture for a focus, its area's least and greatest share, its padding's share and least width, gap to another component and greatest crop as shares of the picture.
+FOCUS_WORDS, FOCUS_AREA, FOCUS_PAD, FOCUS_GAP, FOCUS_MOST = 4, (0.08, 0.82), (0.08, 24), 0.12, 0.92
+
+
+def focus_regions(components: DataFrame, wide: int, high: int) -> DataFrame:
+    """(case_id, component, x0, y0, x1, y1, edge) of cases whose largest component is worth a look of its own, as a padded crop of a picture of wide x high.
+
+    components: case_id, component, words, x, y, width, height. The component with the most words, then area, then the least id has
+    to cover neither too little nor too much, with another far from it in x or y; and its crop must be less than the picture.
+    edge: the side with the larger margin if one is wide enough for a strip, else null.
+    """
+    w = Window.partitionBy("case_id")
+    r = components.withColumn("area", F.col("width") * F.col("height")).withColumn("k", F.row_number().over(w.orderBy(F.desc("words"), F.desc("area"), "component"))).withColumn("all", F.sum("words").over(w))
+    b = F.first(F.struct("x", "y", "width", "height")).over(w.orderBy("k"))
+    gap = lambda a, n: F.greatest(F.col(a) - F.col(f"b.{a}") - F.col(f"b.{n}"), F.col(f"b.{a}") - F.col(a) - F.col(n))
+    far = (gap("x", "width") > FOCUS_GAP * wide) | (gap("y", "height") > FOCUS_GAP * high)
+    told = r.withColumn("b", b).withColumn("far", F.max(F.when(F.col("k") > 1, far).otherwise(F.lit(False))).over(w)).filter((F.col("k") == 1) & F.col("far") & (F.col("all") >= FOCUS_WORDS) & F.col("area").between(FOCUS_AREA[0] * wide * high, FOCUS_AREA[1] * wide * high))
+    pad = lambda n: F.greatest(F.lit(FOCUS_PAD[1]), F.floor(F.col(n) * FOCUS_PAD[0] + 0.5))
+    clamp = lambda c, low, most: F.greatest(low, F.least(F.lit(most), c)).cast("double")
+    crop = told.withColumns({"x0": clamp(F.col("x") - pad("width"), F.lit(0), wide - 1), "y0": clamp(F.col("y") - pad("height"), F.lit(0), high - 1)})
+    crop = crop.withColumns({"x1": clamp(F.col("x") + F.col("width") + pad("width"), F.col("x0") + 1, wide), "y1": clamp(F.col("y") + F.col("height") + pad("height"), F.col("y0") + 1, high)})
+    left, right, n = F.col("x") - F.col("x0"), F.col("x1") - F.col("x") - F.col("width"), F.col("x1") - F.col("x0")
+    edge = F.when(F.greatest(left, right) >= FOCUS_GAP * n, F.when(right >= left, "right").otherwise("left"))
+    return crop.filter((n < FOCUS_MOST * wide) | (F.col("y1") - F.col("y0") < FOCUS_MOST * high)).select("case_id", "component", "x0", "y0", "x1", "y1", edge.alias("edge"))
+
+
+def plan_recovery(cases: DataFrame, words: DataFrame, focus: DataFrame, wide: int, high: int) -> DataFrame:
+    """(case_id, position, pass_kind, x0, y0, x1, y1, reasons): the passes over parts of a picture that a case needs, MORE_PASSES at most.
+
+    cases: case_id, needs_brand, needs_alcohol; words: case_id, x0, x1; focus: of focus_regions. A missing statement is looked for at both
+    sides, then in the focus and at its edge; a picture with hardly a word is turned.
+    """
+    mid = (F.col("x0") + F.col("x1")) / 2
+    seen = words.groupBy("case_id").agg(F.count("*").alias("n"), F.bool_or((mid <= 0.2 * wide) | (mid >= 0.8 * wide)).alias("edges"))
+    f = focus.select("case_id", F.struct("x0", "y0", "x1", "y1").alias("f"), "edge")
+    c = cases.filter("needs_brand OR needs_alcohol").join(seen, "case_id", "left").join(f, "case_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    why = F.array(F.when(F.col("needs_brand"), "brand-not-observed"), F.when(F.col("needs_alcohol"), "alcohol-not-observed"), F.when(F.col("n") < SPARSE, "low-text-density"), F.when(F.col("edges"), "edge-text-heuristic"))
+    num = lambda x: (F.lit(x) if isinstance(x, (int, float)) else x).cast("double")
+    box = lambda name, x0, y0, x1, y1, *more: F.struct(F.lit(name).alias("kind"), num(x0).alias("x0"), num(y0).alias("y0"), num(x1).alias("x1"), num(y1).alias("y1"), F.array(*map(F.lit, more)).cast("array<string>").alias("more"))
+    strip = lambda n, share: F.least(n, F.greatest(F.lit(float(STRIP)), F.floor(n * share + 0.5)))
+    side, fw = strip(F.lit(float(wide)), SIDE), strip(F.col("f.x1") - F.col("f.x0"), FOCUS_SIDE)
+    lost, has = F.col("needs_alcohol"), F.col("needs_alcohol") & F.col("f").isNotNull()
+    plan = [
+        F.when(lost, box("left-edge", 0, 0, side, high)), F.when(lost, box("right-edge", F.lit(wide) - side, 0, wide, high)), F.when(has, box("focus", F.col("f.x0"), F.col("f.y0"), F.col("f.x1"), F.col("f.y1"), "focus-crop-distinct")),
+        F.when(has & (F.col("edge") == "left"), box("focus-left-edge", F.col("f.x0"), F.col("f.y0"), F.col("f.x0") + fw, F.col("f.y1"), "focus-crop-distinct", "edge-text-heuristic")), F.when(has & (F.col("edge") == "right"), box("focus-right-edge", F.col("f.x1") - fw, F.col("f.y0"), F.col("f.x1"), F.col("f.y1"), "focus-crop-distinct", "edge-text-heuristic")),
+        F.when(F.col("n") <= FEW, box("rotated-180", 0, 0, wide, high, "orientation-fallback")),
+    ]
+    out = c.select("case_id", F.array_compact(why).alias("why"), F.posexplode(F.slice(F.array_compact(F.array(*plan)), 1, MORE_PASSES)).alias("position", "p"))
+    return out.select("case_id", (F.col("position") + 1).alias("position"), F.col("p.kind").alias("pass_kind"), *[f"p.{x}" for x in ("x0", "y0", "x1", "y1")], F.array_join(F.array_distinct(F.concat("why", "p.more")), ",").alias("reasons"))
 
 
 def text_class_hypotheses(regions: DataFrame) -> DataFrame:
@@ -324,10 +370,3 @@ def word_components(boxes: DataFrame, gap: float, cells: int = 64) -> DataFrame:
         if moved.filter("new <> component").isEmpty():
             return label
         label = moved.select("id", F.col("new").alias("component"))
-
-
-def focus_regions(components: DataFrame) -> DataFrame:
-    """The largest component of each case, its share of the words, and whether another comes near. components: case_id, component, words."""
-    w = Window.partitionBy("case_id").orderBy(F.desc("words"), "component")
-    r = components.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("words").over(w)).withColumn("all", F.sum("words").over(Window.partitionBy("case_id")))
-    return r.filter("k = 1").select("case_id", "component", F.round(F.col("words") / F.col("all"), 6).alias("share"), F.coalesce(F.col("next") * 2 >= F.col("words"), F.lit(False)).alias("has_peer"))

@@ -23,6 +23,8 @@ PRINTS = "SELECT s_suppkey AS run_id, s_nationkey % 3 AS a, s_nationkey % 5 AS b
 CODES = "SELECT l_orderkey AS case_id, l_linenumber AS repetition, l_returnflag AS code FROM {}"
 CAUSE = "SELECT case_id, kept, score, candidate_id, candidate_id % 5 = 0 AS holds, candidate_id % 7 = 0 AS partial, reason FROM {}"
 SEEN = "SELECT o_orderkey + 3 AS case_id, o_custkey % 2 = 0 AS holds FROM {}"
+#: Components of pictures of 800 x 600.
+PARTS = "SELECT l_orderkey AS case_id, l_linenumber AS component, CAST(max(l_quantity) AS INT) % 9 + 1 AS words, CAST(l_linenumber * 90 + max(l_partkey) % 60 AS DOUBLE) AS x, CAST(max(l_suppkey) % 40 * 9 AS DOUBLE) AS y, CAST(100 + max(l_partkey) % 7 * 60 AS DOUBLE) AS width, CAST(60 + max(l_suppkey) % 6 * 60 AS DOUBLE) AS height FROM {} GROUP BY l_orderkey, l_linenumber"
 #: Regions, with their reason and source, and the classes that they get.
 REGIONS = [
     ("Bottled by Oak Hill", "producer-line", None, "producer_name_address:100 brand_bearing_display:45"), ("acme.wine", "domain-like", "ocr_pass_region", "domain:100 artifact:80 brand_bearing_display:55"), ("Pinot Noir 2019", "varietal-or-designation", None, "class_type:100 vintage:75 appellation:45"), ("Napa Valley", "location-or-appellation", None, "appellation:100 class_type:55"),
@@ -123,8 +125,23 @@ def register(r: Registry) -> None:
     ids = lambda s, d: boxes(s, d).withColumnRenamed("vec_id", "id")
     near = "SELECT a.id, o.id AS other FROM w a JOIN w o ON a.case_id = o.case_id AND greatest(o.x0 - a.x1, a.x0 - o.x1) <= 0.005::DOUBLE AND greatest(o.y0 - a.y1, a.y0 - o.y1) <= 0.005::DOUBLE"
     r.add("x14_word_components", duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), w AS (SELECT vec_id AS id, case_id, x0, y0, x1, y1 FROM b), e AS ({near}), reach AS (SELECT id, other FROM e UNION SELECT reach.id, e.other FROM reach JOIN e ON e.id = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))(lambda s, d: ck.word_components(ids(s, d), 0.005))
-    r.add("x15_focus_regions", duck("fx_candidates", sql="WITH c AS (SELECT case_id, priority AS component, count(*) AS words FROM fx_candidates GROUP BY ALL) SELECT case_id, component, round(words / (sum(words) OVER (PARTITION BY case_id))::DOUBLE, 6) AS share, coalesce(lead(words) OVER w * 2 >= words, false) AS has_peer FROM c WINDOW w AS (PARTITION BY case_id ORDER BY words DESC, component) QUALIFY row_number() OVER w = 1"))(lambda s, d: ck.focus_regions(view(s, d, "fx_candidates").groupBy("case_id", F.col("priority").alias("component")).agg(F.count("*").alias("words"))))
-    r.add("x16_plan_recovery", f"""WITH {WORDS}, c AS (SELECT case_id, count(*) AS n, avg(raw_confidence) AS m, count(*) - count(raw_confidence) AS k, max(y1) AS t FROM words GROUP BY 1), p AS (SELECT case_id, list_filter([CASE WHEN n < 20 THEN 'upscale' END, CASE WHEN m < 70 THEN 'contrast' END, CASE WHEN k * 15 > n THEN 'reread' END, CASE WHEN t > 500 THEN 'tile' END, CASE WHEN n > 300 THEN 'crop' END], lambda x: x IS NOT NULL)[1:4] AS l FROM c)
-        SELECT case_id, CAST(generate_subscripts(l, 1) AS INT) AS position, unnest(l) AS pass_kind FROM p""")(lambda s, d: ck.plan_recovery(words(s, d)))
+    parts = PARTS.format('lineitem')
+    gaps = "greatest(o.x - b.x - b.width, b.x - o.x - o.width) > 96 OR greatest(o.y - b.y - b.height, b.y - o.y - o.height) > 72"
+    focus = f"""c AS ({parts}), b AS (SELECT * FROM (SELECT *, sum(words) OVER (PARTITION BY case_id) AS total FROM c) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY words DESC, width * height DESC, component) = 1), k AS (SELECT b.*, greatest(24, floor(width * 0.08::DOUBLE + 0.5)) AS px, greatest(24, floor(height * 0.08::DOUBLE + 0.5)) AS py FROM b WHERE total >= 4 AND width * height BETWEEN 0.08::DOUBLE * 480000 AND 0.82::DOUBLE * 480000
+          AND EXISTS (SELECT 1 FROM c o WHERE o.case_id = b.case_id AND o.component <> b.component AND ({gaps}))), l AS (SELECT *, greatest(0, least(799, x - px)) AS x0, greatest(0, least(599, y - py)) AS y0, greatest(greatest(0, least(799, x - px)) + 1, least(800, x + width + px)) AS x1, greatest(greatest(0, least(599, y - py)) + 1, least(600, y + height + py)) AS y1 FROM k),
+        focus AS (SELECT case_id, component, x0, y0, x1, y1, CASE WHEN greatest(x - x0, x1 - x - width) >= 0.12::DOUBLE * (x1 - x0) THEN CASE WHEN x1 - x - width >= x - x0 THEN 'right' ELSE 'left' END END AS edge FROM l WHERE x1 - x0 < 0.92::DOUBLE * 800 OR y1 - y0 < 0.92::DOUBLE * 600)"""
+    focused = lambda s, d: ck.focus_regions(s.sql(PARTS.format("{l}"), l=view(s, d, "lineitem")), 800, 600)
+    r.add("x15_focus_regions", f"WITH {focus} SELECT * FROM focus")(focused)
+    needs = "SELECT o_orderkey AS case_id, bool_or(o_custkey % 3 = 0) AS needs_brand, bool_or(o_custkey % 2 = 0) AS needs_alcohol FROM {} GROUP BY o_orderkey"
+    spots = "SELECT l_orderkey AS case_id, CAST(l_partkey % 800 AS DOUBLE) AS x0, CAST(l_partkey % 800 AS DOUBLE) + 10 AS x1 FROM {} WHERE l_orderkey % 5 <> 0"
+    r.add("x16_plan_recovery", f"""WITH {focus}, n AS ({needs.format('orders')}), w AS (SELECT case_id, count(*) AS n, bool_or((x0 + x1) / 2 <= 160 OR (x0 + x1) / 2 >= 640) AS edges FROM ({spots.format('lineitem')}) GROUP BY 1),
+        a AS (SELECT n.case_id, needs_brand, needs_alcohol, coalesce(w.n, 0) AS n, coalesce(edges, false) AS edges, f.x0, f.y0, f.x1, f.y1, edge, least(f.x1 - f.x0, greatest(72, floor((f.x1 - f.x0) * 0.22::DOUBLE + 0.5))) AS fw FROM n LEFT JOIN w ON w.case_id = n.case_id LEFT JOIN focus f ON f.case_id = n.case_id WHERE needs_brand OR needs_alcohol),
+        p AS (SELECT case_id, 1 AS k, 'left-edge' AS pass_kind, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 352.0::DOUBLE AS x1, 600.0::DOUBLE AS y1, '' AS more FROM a WHERE needs_alcohol UNION ALL SELECT case_id, 2, 'right-edge', 448, 0, 800, 600, '' FROM a WHERE needs_alcohol UNION ALL SELECT case_id, 3, 'focus', x0, y0, x1, y1, 'focus-crop-distinct' FROM a WHERE needs_alcohol AND x0 IS NOT NULL
+          UNION ALL SELECT case_id, 4, 'focus-' || edge || '-edge', CASE edge WHEN 'left' THEN x0 ELSE x1 - fw END, y0, CASE edge WHEN 'left' THEN x0 + fw ELSE x1 END, y1, 'focus-crop-distinct,edge-text-heuristic' FROM a WHERE needs_alcohol AND edge IS NOT NULL UNION ALL SELECT case_id, 5, 'rotated-180', 0, 0, 800, 600, 'orientation-fallback' FROM a WHERE n <= 6),
+        q AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY k) AS position FROM p)
+        SELECT q.case_id, CAST(position AS INT) AS position, pass_kind, q.x0, q.y0, q.x1, q.y1, array_to_string(list_filter([CASE WHEN needs_brand THEN 'brand-not-observed' END, CASE WHEN needs_alcohol THEN 'alcohol-not-observed' END, CASE WHEN n < 18 THEN 'low-text-density' END, CASE WHEN edges AND NOT contains(more, 'edge-text') THEN 'edge-text-heuristic' END,
+          CASE WHEN edges AND contains(more, 'edge-text') THEN 'edge-text-heuristic,focus-crop-distinct' WHEN more <> '' THEN more END], lambda x: x IS NOT NULL), ',') AS reasons FROM q JOIN a ON a.case_id = q.case_id WHERE position <= 4""")(
+        lambda s, d: ck.plan_recovery(s.sql(needs.format("{o}"), o=view(s, d, "orders")), s.sql(spots.format("{l}"), l=view(s, d, "lineitem")), focused(s, d), 800, 600)
+    )
     classes = [(i, k, c.split(":")[0], c.split(":")[1], next(f for f, v in vc.FAMILIES.items() if c.split(":")[0] in v.split())) for i, (*_, told) in enumerate(REGIONS) for k, c in enumerate(told.split(), 1)]
     r.add("x17_text_class_hypotheses", "SELECT p_partkey AS id, class, family, points, place FROM part JOIN (VALUES " + ", ".join(f"({i}, {k}, '{c}', {n}, '{f}')" for i, k, c, n, f in classes) + f") v(t, place, class, points, family) ON v.t = p_partkey % {len(REGIONS)}")(lambda s, d: ck.text_class_hypotheses(regions(s, d)))
