@@ -30,19 +30,6 @@ def accepted_scores(scores: DataFrame, thresholds: dict[str, float]) -> DataFram
     return scores.withColumn("short_of", short).withColumn("accepted", short.isNull())
 
 
-def corpus_issues(entries: DataFrame) -> DataFrame:
-    """Entries that break a rule of availability or category, or share their digest with another owner."""
-    shared = entries.groupBy("digest").agg(F.countDistinct("owner").alias("owners"))
-    rules = {"no_category": F.col("category").isNull(), "open_but_done": (F.col("status") == "O") & F.col("completed_at").isNotNull(), "shared_digest": F.col("owners") > 1}
-    return entries.join(shared, "digest").select("case_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("issue"))
-
-
-def eval_manifest_issues(cases: DataFrame) -> DataFrame:
-    """Records whose annotation contradicts itself."""
-    rules = {"ambiguous_without_brand": F.col("ambiguous") & ~F.col("brand_present"), "exact_without_brand": F.col("exact") & ~F.col("brand_present"), "upright_rotated": (F.col("orientation") == "rotated-180") & F.col("in_line"), "top3_not_top5": F.col("top3") & ~F.col("top5")}
-    return cases.select("case_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("issue"))
-
-
 def region_issues(regions: DataFrame, panels: DataFrame) -> DataFrame:
     """The first thing wrong with each region: its panel, its category, or its box in the frame. regions: vec_id, case_id, category, x0, y0, x1, y1; panels: case_id, category."""
     known = panels.groupBy(F.col("case_id").alias("_case")).agg(F.collect_set("category").alias("_categories"))  # a few categories a panel

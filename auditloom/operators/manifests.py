@@ -95,3 +95,66 @@ def result_rule_issues(findings: DataFrame, manifest: DataFrame, results: DataFr
     rows = j.select("case_id", "position", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in rules.items()]))).alias("issue"))
     counts = results.select("case_id").join(findings.groupBy("case_id").count(), "case_id", "left").filter(F.coalesce("count", F.lit(0)) != n)
     return rows.unionByName(counts.select("case_id", F.lit(None).cast("int").alias("position"), F.lit("count").alias("issue")))
+
+
+# Roles of fixtures that are inventory, and the fields that only these have, all of them or approved candidates.
+INVENTORY = ["candidate", "wine_multi_artifact_candidate", "category_sentinel"]
+INVENTORY_FIELDS = ["source_stratum", "independence", "eligibility", "annotation", "split", "acquired_on"]
+WINE_FIELDS = ["colour", "multi_panel", "decimal_comma"]
+
+
+def corpus_issues(entries: DataFrame) -> DataFrame:
+    """(id, issue) of each rule that a fixture of a corpus breaks.
+
+    entries: id, role, category, sentinel_category, availability, unavailable_reason, synthetic (boolean), evidence, from_picture, directory, image, manifest, expectations, derived_from, INVENTORY_FIELDS, WINE_FIELDS. Ids and paths that
+    repeat are told for every row but the first by row contents.
+    """
+    c = F.col
+    away, sentinel, inventory = c("availability") == "unavailable", c("role") == "category_sentinel", c("role").isin(INVENTORY)
+    assets = c("image").isNotNull() | c("manifest").isNotNull()
+    any_of = lambda names: F.coalesce(*[c(x).cast("string") for x in names]).isNotNull()
+    lacks = lambda names: F.greatest(*[c(x).isNull().cast("int") for x in names]) == 1
+    order = ["role", "image", "manifest", "derived_from"]
+    e = entries.withColumns({"nth_id": F.row_number().over(Window.partitionBy("id").orderBy(*order)), "nth_path": F.row_number().over(Window.partitionBy("directory", "image").orderBy("id", *order))})
+    ids = entries.select(c("id").alias("_parent")).distinct()
+    e = e.join(ids, c("derived_from") == c("_parent"), "left")
+    rules = {
+        "repeated_id": c("nth_id") > 1, "repeated_image": c("image").isNotNull() & c("directory").isNotNull() & (c("nth_path") > 1),
+        "reason_missing": away & c("unavailable_reason").isNull(), "unavailable_real": away & c("from_picture"), "unavailable_assets": away & assets, "reason_of_available": ~away & c("unavailable_reason").isNotNull(),
+        "synthetic_assets": c("synthetic") & assets, "synthetic_real": c("synthetic") & c("from_picture"), "evidence_missing": c("synthetic") & c("evidence").isNull(), "evidence_of_real": ~c("synthetic") & c("evidence").isNotNull(), "real_incomplete": c("from_picture") & lacks(["image", "manifest", "directory"]),
+        "sentinel_wine": sentinel & (c("category") == "wine"), "sentinel_unnamed": sentinel & c("sentinel_category").isNull(), "sentinel_differs": sentinel & (c("sentinel_category") != c("category")), "category": ~sentinel & (c("category") != "wine"), "sentinel_of_other": ~sentinel & c("sentinel_category").isNotNull(),
+        "inventory_expectations": inventory & c("expectations").isNotNull(), "inventory_annotated": inventory & ~c("annotation").eqNullSafe("unannotated"), "inventory_assigned": inventory & ~c("split").eqNullSafe("unassigned"), "inventory_real": inventory & c("from_picture"), "inventory_synthetic": inventory & (c("synthetic") | c("evidence").isNotNull()),
+        "inventory_unavailable": inventory & (c("availability") != "available"), "inventory_image": inventory & lacks(["image", "directory"]), "inventory_manifest": inventory & c("manifest").isNotNull(), "inventory_fields": inventory & lacks(INVENTORY_FIELDS), "wine_fields": (c("role") == "candidate") & lacks(WINE_FIELDS), "wine_fields_of_other": inventory & (c("role") != "candidate") & any_of(WINE_FIELDS),
+        "expectations_missing": ~inventory & c("expectations").isNull(), "inventory_fields_of_other": ~inventory & any_of(INVENTORY_FIELDS + WINE_FIELDS), "parent_unknown": c("derived_from").isNotNull() & c("_parent").isNull(), "parent_itself": c("derived_from") == c("id"),
+    }
+    return issue_rows(e, "id", rules)
+
+
+# Reasons of a review that each exclusion has to state one of.
+STATED = {
+    "excluded_usage_or_provenance_concern": ["uncertain-usage-provenance"], "excluded_uncertain_truth": ["uncertain-brand-identity", "illegible-alcohol-text", "conflicting-front-back-presentations", "unclear-crop-or-wraparound-context", "other"],
+    "excluded_unreadable": ["uncertain-brand-identity", "illegible-alcohol-text", "other"], "excluded_other": ["other"],
+}
+
+
+def eval_manifest_issues(records: DataFrame) -> DataFrame:
+    """(case_id, issue) of each rule that a record of an evaluation breaks.
+
+    records: case_id, path, media_type, wide, high, orientation, sha256, usage, status, reasons (array), strata (array), category,
+    ambiguous, alcohol (present, absent), annotated_on, reviewed_on. Ids, paths and included digests that repeat are told for every
+    row but the first.
+    """
+    c = F.col
+    has = lambda column, value: F.coalesce(F.array_contains(column, value), F.lit(False))
+    included, wine = c("status") == "included", c("category") == "wine"
+    nth = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("case_id", "path"))
+    r = records.withColumns({"nth_id": nth(["case_id"]), "nth_path": nth(["path"]), "nth_digest": nth(["sha256", "status"])})
+    shape = F.when(c("wide") == c("high"), "square").when(c("wide") > c("high"), "landscape").otherwise("portrait")
+    media = F.when(F.lower("path").endswith(".png"), "image/png").otherwise("image/jpeg")
+    rules = {
+        "repeated_id": c("nth_id") > 1, "repeated_path": c("nth_path") > 1, "included_twice": included & (c("nth_digest") > 1), "media_type": c("media_type") != media, "orientation": ~c("orientation").isin("unknown") & (c("orientation") != shape),
+        "usage": (c("usage") == "usage-or-provenance-concern") != (c("status") == "excluded_usage_or_provenance_concern"), "included_uncertain": included & has("reasons", "uncertain-usage-provenance"), "not_wine": included & ~wine, "scope": (c("status") == "excluded_outside_current_scope") & (wine | ~has("strata", "out-of-scope-category")),
+        "ambiguous": included & (c("ambiguous") != has("strata", "genuinely-ambiguous")), "alcohol": included & ((c("alcohol") == "absent") != has("strata", "missing-alcohol-statement")), "reviewed_early": included & (c("reviewed_on") < c("annotated_on")),
+        **{f"unstated_{k}": (c("status") == k) & ~F.coalesce(F.arrays_overlap("reasons", F.array(*map(F.lit, told))), F.lit(False)) for k, told in STATED.items()},
+    }
+    return issue_rows(r, "case_id", rules)

@@ -10,6 +10,7 @@ from auditloom.functions import vocabulary as vc
 from auditloom.operators import checks as ck
 from auditloom.operators import extraction as ex
 from auditloom.operators import grids as g
+from auditloom.operators import manifests as mf
 from auditloom.plans.extraction import LINED, WORDS
 from auditloom.plans.grids import BOX, BOX_DUCK, PAIRS
 from auditloom.registry import Registry
@@ -23,6 +24,32 @@ PRINTS = "SELECT s_suppkey AS run_id, s_nationkey % 3 AS a, s_nationkey % 5 AS b
 CODES = "SELECT l_orderkey AS case_id, l_linenumber AS repetition, l_returnflag AS code FROM {}"
 CAUSE = "SELECT case_id, kept, score, candidate_id, candidate_id % 5 = 0 AS holds, candidate_id % 7 = 0 AS partial, reason FROM {}"
 SEEN = "SELECT o_orderkey + 3 AS case_id, o_custkey % 2 = 0 AS holds FROM {}"
+#: Fixtures of orders, and what each rule finds there.
+FIXTURES = """SELECT CASE WHEN o_orderkey % 53 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS id, CASE o_orderkey % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'wine_multi_artifact_candidate' WHEN 2 THEN 'category_sentinel' ELSE 'baseline' END AS role, CASE WHEN o_orderkey % 7 = 0 THEN 'beer' ELSE 'wine' END AS category, CASE WHEN o_orderkey % 11 < 2 THEN 'beer' END AS sentinel_category,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'unavailable' ELSE 'available' END AS availability, CASE WHEN o_orderkey % 26 = 0 OR o_orderkey % 17 = 0 THEN 'lost' END AS unavailable_reason, o_orderkey % 9 = 0 AS synthetic, CASE WHEN o_orderkey % 18 = 0 OR o_orderkey % 19 = 0 THEN 'lines' END AS evidence, o_orderkey % 4 = 0 AS from_picture, CASE WHEN o_orderkey % 23 <> 0 THEN 'dir' END AS directory,
+  CASE WHEN o_orderkey % 6 <> 0 THEN concat('i', CAST(o_orderkey - CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS VARCHAR)) END AS image, CASE WHEN o_orderkey % 8 = 0 THEN 'm' END AS manifest, CASE WHEN o_orderkey % 3 = 0 THEN 'known' END AS expectations, CASE WHEN o_orderkey % 31 = 0 THEN o_orderkey WHEN o_orderkey % 37 = 0 THEN -1 WHEN o_orderkey % 41 = 0 THEN 1 END AS derived_from,
+  CASE WHEN o_orderkey % 5 < 3 THEN 'shop' END AS source_stratum, CASE WHEN o_orderkey % 5 < 3 THEN 'own' END AS independence, CASE WHEN o_orderkey % 5 < 3 AND o_orderkey % 43 <> 0 THEN 'yes' END AS eligibility, CASE WHEN o_orderkey % 5 < 3 THEN CASE WHEN o_orderkey % 47 = 0 THEN 'done' ELSE 'unannotated' END END AS annotation, CASE WHEN o_orderkey % 5 < 3 THEN CASE WHEN o_orderkey % 59 = 0 THEN 'test' ELSE 'unassigned' END END AS split,
+  CASE WHEN o_orderkey % 5 < 3 OR o_orderkey % 61 = 0 THEN 'day' END AS acquired_on, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 67 = 0 THEN 'red' END AS colour, CASE WHEN o_orderkey % 5 = 0 THEN 'one' END AS multi_panel, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 71 <> 0 THEN 'no' END AS decimal_comma FROM {}"""
+_INVENTORY = "role <> 'baseline' AND "
+FIXTURE_RULES = {
+    "repeated_id": "nth_id > 1", "repeated_image": "image IS NOT NULL AND directory IS NOT NULL AND nth_path > 1", "reason_missing": "availability = 'unavailable' AND unavailable_reason IS NULL", "unavailable_real": "availability = 'unavailable' AND from_picture", "unavailable_assets": "availability = 'unavailable' AND (image IS NOT NULL OR manifest IS NOT NULL)", "reason_of_available": "availability = 'available' AND unavailable_reason IS NOT NULL",
+    "synthetic_assets": "synthetic AND (image IS NOT NULL OR manifest IS NOT NULL)", "synthetic_real": "synthetic AND from_picture", "evidence_missing": "synthetic AND evidence IS NULL", "evidence_of_real": "NOT synthetic AND evidence IS NOT NULL", "real_incomplete": "from_picture AND (image IS NULL OR manifest IS NULL OR directory IS NULL)", "sentinel_wine": "role = 'category_sentinel' AND category = 'wine'",
+    "sentinel_unnamed": "role = 'category_sentinel' AND sentinel_category IS NULL", "sentinel_differs": "role = 'category_sentinel' AND sentinel_category <> category", "category": "role <> 'category_sentinel' AND category <> 'wine'", "sentinel_of_other": "role <> 'category_sentinel' AND sentinel_category IS NOT NULL", "inventory_expectations": f"{_INVENTORY}expectations IS NOT NULL", "inventory_annotated": f"{_INVENTORY}annotation <> 'unannotated'",
+    "inventory_assigned": f"{_INVENTORY}split <> 'unassigned'", "inventory_real": f"{_INVENTORY}from_picture", "inventory_synthetic": f"{_INVENTORY}(synthetic OR evidence IS NOT NULL)", "inventory_unavailable": f"{_INVENTORY}availability = 'unavailable'", "inventory_image": f"{_INVENTORY}(image IS NULL OR directory IS NULL)", "inventory_manifest": f"{_INVENTORY}manifest IS NOT NULL", "inventory_fields": f"{_INVENTORY}eligibility IS NULL",
+    "wine_fields": "role = 'candidate' AND decimal_comma IS NULL", "wine_fields_of_other": f"{_INVENTORY}role <> 'candidate' AND colour IS NOT NULL", "expectations_missing": "role = 'baseline' AND expectations IS NULL", "inventory_fields_of_other": "role = 'baseline' AND (acquired_on IS NOT NULL OR colour IS NOT NULL)", "parent_unknown": "derived_from IS NOT NULL AND derived_from NOT IN (SELECT id FROM f)", "parent_itself": "derived_from = id",
+}
+#: Records of documents, and what each rule finds there.
+RECORDS = """SELECT doc_id AS case_id, concat('p', CAST(doc_id - CASE WHEN doc_id % 31 = 0 AND doc_id > 0 THEN 1 ELSE 0 END AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END) AS path, CASE WHEN doc_id % 2 = 0 OR doc_id % 17 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS media_type, doc_id % 3 AS wide, 1 AS high,
+  CASE WHEN doc_id % 13 = 0 THEN 'unknown' WHEN doc_id % 11 = 0 THEN 'square' ELSE CASE doc_id % 3 WHEN 0 THEN 'portrait' WHEN 1 THEN 'square' ELSE 'landscape' END END AS orientation, md5(CAST(doc_id % 97 AS VARCHAR)) AS sha256, CASE WHEN doc_id % 19 = 0 THEN 'usage-or-provenance-concern' ELSE 'fine' END AS usage,
+  CASE doc_id % 8 WHEN 0 THEN 'excluded_usage_or_provenance_concern' WHEN 1 THEN 'excluded_uncertain_truth' WHEN 2 THEN 'excluded_unreadable' WHEN 3 THEN 'excluded_outside_current_scope' WHEN 4 THEN 'excluded_other' ELSE 'included' END AS status, CASE doc_id % 5 WHEN 0 THEN {array}('other') WHEN 1 THEN {array}('uncertain-usage-provenance') WHEN 2 THEN {array}('illegible-alcohol-text', 'other') WHEN 3 THEN {array}('unclear-crop-or-wraparound-context') ELSE {array}('small') END AS reasons,
+  CASE doc_id % 7 WHEN 0 THEN {array}('out-of-scope-category') WHEN 1 THEN {array}('genuinely-ambiguous') WHEN 2 THEN {array}('missing-alcohol-statement') ELSE {array}('plain') END AS strata, CASE WHEN doc_id % 23 = 0 OR doc_id % 16 = 3 THEN 'beer' ELSE 'wine' END AS category, doc_id % 6 = 1 AS ambiguous, CASE WHEN doc_id % 10 = 2 THEN 'absent' ELSE 'present' END AS alcohol, 5 AS annotated_on, doc_id % 9 + 1 AS reviewed_on FROM {}"""
+_HAS = lambda *values: " OR ".join(f"list_contains(reasons, '{v}')" for v in values)
+RECORD_RULES = {
+    "repeated_path": "nth_path > 1", "included_twice": "status = 'included' AND nth_digest > 1", "media_type": "(suffix(path, '.png') AND media_type = 'image/jpeg') OR (suffix(path, '.jpg') AND media_type = 'image/png')", "orientation": "orientation <> 'unknown' AND orientation <> CASE wide WHEN 0 THEN 'portrait' WHEN 1 THEN 'square' ELSE 'landscape' END", "usage": "(usage <> 'fine') <> (status = 'excluded_usage_or_provenance_concern')", "included_uncertain": f"status = 'included' AND ({_HAS('uncertain-usage-provenance')})", "not_wine": "status = 'included' AND category <> 'wine'",
+    "scope": "status = 'excluded_outside_current_scope' AND (category = 'wine' OR NOT list_contains(strata, 'out-of-scope-category'))", "ambiguous": "status = 'included' AND ambiguous <> list_contains(strata, 'genuinely-ambiguous')", "alcohol": "status = 'included' AND (alcohol = 'absent') <> list_contains(strata, 'missing-alcohol-statement')", "reviewed_early": "status = 'included' AND reviewed_on < 5",
+    "unstated_excluded_usage_or_provenance_concern": f"status = 'excluded_usage_or_provenance_concern' AND NOT ({_HAS('uncertain-usage-provenance')})", "unstated_excluded_uncertain_truth": f"status = 'excluded_uncertain_truth' AND NOT ({_HAS('uncertain-brand-identity', 'illegible-alcohol-text', 'conflicting-front-back-presentations', 'unclear-crop-or-wraparound-context', 'other')})",
+    "unstated_excluded_unreadable": f"status = 'excluded_unreadable' AND NOT ({_HAS('illegible-alcohol-text', 'uncertain-brand-identity', 'other')})", "unstated_excluded_other": f"status = 'excluded_other' AND NOT ({_HAS('other')})",
+}
 #: Components of pictures of 800 x 600.
 PARTS = "SELECT l_orderkey AS case_id, l_linenumber AS component, CAST(max(l_quantity) AS INT) % 9 + 1 AS words, CAST(l_linenumber * 90 + max(l_partkey) % 60 AS DOUBLE) AS x, CAST(max(l_suppkey) % 40 * 9 AS DOUBLE) AS y, CAST(100 + max(l_partkey) % 7 * 60 AS DOUBLE) AS width, CAST(60 + max(l_suppkey) % 6 * 60 AS DOUBLE) AS height FROM {} GROUP BY l_orderkey, l_linenumber"
 #: Regions, with their reason and source, and the classes that they get.
@@ -59,10 +86,10 @@ def register(r: Registry) -> None:
     r.add("v12_accepted_scores", "SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_quantity < 10 THEN 'l_quantity' WHEN l_discount < 0.02 THEN 'l_discount' WHEN l_tax < 0.01 THEN 'l_tax' END AS short_of, NOT (l_quantity < 10 OR l_discount < 0.02 OR l_tax < 0.01) AS accepted FROM lineitem")(
         lambda s, d: ck.accepted_scores(view(s, d, "lineitem"), {"l_quantity": 10, "l_discount": 0.02, "l_tax": 0.01}).select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), "short_of", "accepted")
     )
-    r.add("v6_corpus_issues", duck("fx_entries", sql="""WITH o AS (SELECT digest, count(DISTINCT owner) AS n FROM fx_entries GROUP BY 1) SELECT case_id, 'no_category' AS issue FROM fx_entries WHERE category IS NULL UNION ALL SELECT case_id, 'open_but_done' FROM fx_entries WHERE status = 'O' AND completed_at IS NOT NULL
-        UNION ALL SELECT case_id, 'shared_digest' FROM fx_entries JOIN o USING (digest) WHERE n > 1"""))(lambda s, d: ck.corpus_issues(view(s, d, "fx_entries")))
-    rules = {"ambiguous_without_brand": "ambiguous AND NOT brand_present", "exact_without_brand": "exact AND NOT brand_present", "upright_rotated": "orientation = 'rotated-180' AND in_line", "top3_not_top5": "top3 AND NOT top5"}
-    r.add("v7_eval_manifest_issues", duck("fx_cases", sql=" UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM fx_cases WHERE {c}" for k, c in rules.items())))(lambda s, d: ck.eval_manifest_issues(view(s, d, "fx_cases")))
+    known = f"f AS ({FIXTURES.format('orders')}), e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY role, image NULLS FIRST, manifest NULLS FIRST, derived_from NULLS FIRST) AS nth_id, row_number() OVER (PARTITION BY directory, image ORDER BY id, role, manifest NULLS FIRST, derived_from NULLS FIRST) AS nth_path FROM f)"
+    r.add("v6_corpus_issues", f"WITH {known} " + " UNION ALL ".join(f"SELECT id, '{k}' AS issue FROM e WHERE {c}" for k, c in FIXTURE_RULES.items()))(lambda s, d: mf.corpus_issues(s.sql(FIXTURES.replace("VARCHAR", "STRING").format("{o}"), o=view(s, d, "orders"))))
+    told = f"r AS ({RECORDS.replace('{array}', 'list_value').format('documents')}), x AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY case_id) AS nth_path, row_number() OVER (PARTITION BY sha256, status ORDER BY case_id) AS nth_digest FROM r)"
+    r.add("v7_eval_manifest_issues", f"WITH {told} " + " UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM x WHERE {c}" for k, c in RECORD_RULES.items()))(lambda s, d: mf.eval_manifest_issues(s.sql(RECORDS.replace("{array}", "array").replace("VARCHAR", "STRING").format("{d}"), d=view(s, d, "documents"))))
     r.add("v15_region_issues", bx("SELECT * FROM (SELECT vec_id, CASE WHEN case_id >= 7 THEN 'no_panel' WHEN vec_id % 6 <> 0 AND vec_id % 3 = 1 AND case_id % 2 = 0 THEN 'category' WHEN x0 < 0 OR y0 < 0 OR x1 > 1 OR y1 > 1 THEN 'outside' END AS issue FROM b) WHERE issue IS NOT NULL"))(
         lambda s, d: ck.region_issues(boxes(s, d).withColumn("category", F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string"))), boxes(s, d).filter("case_id < 7").select("case_id", F.explode(F.when(F.col("case_id") % 2 == 0, F.array(F.lit("c0"), F.lit("c2"))).otherwise(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2")))).alias("category")))
     )
