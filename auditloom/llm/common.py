@@ -33,13 +33,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Rows in n partitions by keys, each key's rows in one of them.
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """Rows in n partitions by keys, each key's rows in one of them; for n None, in as many as their size asks for.
 
     The keys are hashed first, so that the exchange differs from that of a join on the same keys. Otherwise it is left out
     behind such a join, and where adaptive planning then broadcasts the join's other side, a key's rows come apart.
     """
-    return df.repartition(n, F.xxhash64(*keys))
+    return df.repartition(F.xxhash64(*keys)) if n is None else df.repartition(n, F.xxhash64(*keys))
 
 
 def partitions(spark: SparkSession) -> int:

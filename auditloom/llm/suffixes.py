@@ -205,18 +205,20 @@ def sampled_suffixes(data: bytes, row: int, length: int) -> Iterator[tuple[bytes
         yield data[a : a + KEY], (row, s, e, a, whole.digest())
 
 
-def splitters(slim: DataFrame, parts: int, length: int, sample: int = 500) -> list[bytes]:
-    """Keys that cut the sorted suffixes in about equal parts, from the documents of the least hashes, `sample` at most. They bear on balance alone."""
+def splitters(slim: DataFrame, parts: int, length: int, sample: int = 500, most: int = 20_000) -> list[bytes]:
+    """Keys that cut the sorted suffixes in about equal parts: about `most` suffixes of about `sample` documents, both chosen by hash. They bear on balance alone."""
+    n = slim.count()
+    # whether a document can be in the sample is told by its hash alone, before any text is moved
+    near = slim.filter(F.pmod("row", F.lit(max(1, n // sample))) == 0).limit(2 * sample)
+    size = near.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    stride = max(1, size // (length // 3) // most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k for t in batch.column(0).to_pylist() for i, (k, _) in enumerate(sampled_suffixes(t or b"", 0, length)) if i % 8 == 0]
+            keys = [k for t in batch.column(0).to_pylist() for k, _ in sampled_suffixes(t or b"", 0, length) if xxhash.xxh3_64_intdigest(k) % stride == 0]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
-    # whether a document can be in the sample is told by its hash alone, before any text is moved
-    n = slim.count()
-    near = slim.filter(F.pmod("row", F.lit(max(1, n // sample))) == 0).limit(2 * sample)
-    keys = sorted({r["key"] for r in near.select("data").mapInArrow(run, "key binary").limit(200_000).collect()})
+    keys = sorted({r["key"] for r in near.select("data").mapInArrow(run, "key binary").limit(2 * most).collect()})
     return [keys[len(keys) * i // parts] for i in range(1, parts)] if len(keys) >= parts else keys
 
 
@@ -414,7 +416,8 @@ def step_three(small: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
     left, found = stored(texts.mapInArrow(deal, schema)), []
     while True:
-        few = dealt(left.filter("large = 0"), n, "grp").sortWithinPartitions("grp", "row", "first")
+        # later rounds have little: not a task for each partition
+        few = dealt(left.filter("large = 0"), None if found else n, "grp").sortWithinPartitions("grp", "row", "first")
         found.append(few.select("grp", "row", "first", "last", "data").mapInArrow(meet, "row long, first long, last long"))
         many = left.filter("large = 1")
         if many.isEmpty():
