@@ -70,7 +70,7 @@ def findings(text: str | None) -> Iterator[tuple[int, str]]:
         line, bare = lines[i], lines[i].strip()
         if _UNSPACED.match(line):
             yield i + 1, "HEADING_NO_SPACE"
-        if i and lines[i - 1].strip().startswith("|") and "|" in bare and "-" in bare and not bare.strip("|:- \t") and not all(re.fullmatch(r"\s*:?-+:?\s*", c) for c in bare.removeprefix("|").removesuffix("|").split("|")):
+        if i and lines[i - 1].strip().startswith("|") and "|" in bare and "-" in bare and not bare.strip("|:- \t") and not all(re.match(r"\s*:?-+:?\s*$", c) for c in bare.removeprefix("|").removesuffix("|").split("|")):
             yield i + 1, "TABLE_SEPARATOR_INVALID"
         if (re.search(r"\][ \t]*\([^)]*$", line) and not re.match(r"\s*\[[^\]]*\]:\s", line)) or re.search(r"\][ \t]+\(\S", line):
             yield i + 1, "LINK_MALFORMED"
