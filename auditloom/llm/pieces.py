@@ -172,9 +172,10 @@ class Transducer:
     def path(self, word: str) -> bytes:
         """Ids (little-endian 32-bit) on the shortest path through a word's lattice.
 
-        States are places in the word with the piece that ends there. Places are relaxed from left to right. Only
-        states of finite weight go on; as every prefix has one merge segmentation, each place has one such state, and the
-        first arc of finite weight into it is on the shortest path. A run of markers alone has pieces of equal rank, where pairs
+        States are places in the word with the piece that ends there. Only states of
+        finite weight go on; as every prefix has one merge segmentation, each place has one such state, and the first arc of
+        finite weight into it is on the shortest path. So the lattice is unfolded as it is searched: from the place that was
+        reached last, longest arcs first, and no place twice. A run of markers alone has pieces of equal rank, where pairs
         don't decide: it goes through the merges themselves.
         """
         if len(word) > 1 and word[:2] == MARK * 2:
@@ -185,11 +186,11 @@ class Transducer:
         last: list[str | None] = [None] * (n + 1)  # of each place the piece on the shortest path to it, with the path's weight
         weights = [0.0] * (n + 1)
         last[0] = ""
-        for at in range(n):
+        trail, arcs = [0], [iter(reach.get(word[:3], (2, 1)))]
+        while trail and last[n] is None:
+            at = trail[-1]
             before, so_far = last[at], weights[at]
-            if before is None:
-                continue
-            for size in reach.get(word[at : at + 3], (2, 1)):
+            for size in arcs[-1]:
                 end = at + size
                 if end > n or last[end] is not None:
                     continue
@@ -201,6 +202,12 @@ class Transducer:
                         if not (self.linked(before, piece) if link is None else link):
                             continue
                     last[end], weights[end] = piece, so_far + (ARC if known else BYTE * len(piece.encode("utf-8", "surrogatepass")))
+                    trail.append(end)
+                    arcs.append(iter(reach.get(word[end : end + 3], (2, 1))))
+                    break
+            else:
+                trail.pop()
+                arcs.pop()
         if last[n] is None:  # no finite path: merge as the vocabulary says
             return self._ids(self.merged(word))
         parts, at = [], n
