@@ -259,6 +259,8 @@ def links(docs: DataFrame, wanted: DataFrame, size: int, similarity: float) -> D
                 rows: list[tuple] = []
                 for t, cls, copies, own, at in zip(*(whole.slice(start, 200).column(i).to_pylist() for i in range(5))):
                     s = shingles(t, size).tobytes()
+                    if xxhash.xxh3_128_digest(s) != cls:
+                        continue  # another text with the same row hash
                     own = np.array(own, "<i8").tobytes()  # in order of run and leaf
                     rows += [(x["leaf"], x["part"], x["block"], cls, copies, own, s) for x in at]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
@@ -329,4 +331,4 @@ def join(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float
     groups = cut(per.groupBy("root").agg(F.min("least").alias("first")))
     # cut, so that a class with very many copies can be split over tasks by the join
     answer = cut(per.join(groups, "root").select(F.col("cls").alias("_cls"), F.col("first.key").alias("class_id"), F.col("first.row").alias("first_row"), F.col("least.key").alias("copy_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")))
-    return known.select("row", "key", "cls").join(answer, F.col("cls") == F.col("_cls")).select("row", F.col("key").alias(key), "class_id", "copy_id", "n_copies", "n_links", (F.col("row") == F.col("first_row")).alias("is_first"))
+    return known.select("row", "key", "cls").join(answer, F.col("cls") == F.col("_cls")).select("row", F.col("key").alias(key), "class_id", "copy_id", "n_copies", "n_links", ((F.col("row") == F.col("first_row")) & F.col("key").eqNullSafe(F.col("class_id"))).alias("is_first"))
