@@ -45,7 +45,7 @@ def read_manifest(spark: SparkSession, path: str, version: str) -> tuple[DataFra
 
 
 def artifact_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, digest, size and kind (by the first bytes) of every file at a path."""
+    """Name, digest, size and kind (by the first bytes) of every file at a path. A file is one row with its bytes, so files are to be below 2 GB."""
     head = F.hex(F.substring("content", 1, 8))
     kind = F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("50415231"), "parquet").when(head.startswith("25504446"), "pdf").otherwise("other")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
