@@ -7,6 +7,7 @@ from auditloom.registry import Registry
 REGISTRY = Registry()
 
 from auditloom.llm import (  # noqa: E402
+    queries_align,
     queries_chat,
     queries_jaccard,
     queries_markup,
@@ -19,5 +20,5 @@ from auditloom.llm import (  # noqa: E402
     queries_toxicity,
 )
 
-for module in (queries_chat, queries_jaccard, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_suffixes, queries_toxicity):
+for module in (queries_align, queries_chat, queries_jaccard, queries_markup, queries_media, queries_mix, queries_pieces, queries_pivots, queries_spans, queries_suffixes, queries_toxicity):
     module.register(REGISTRY)
