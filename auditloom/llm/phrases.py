@@ -26,8 +26,6 @@ from auditloom.llm.common import partitions, stored
 
 #: Symbols of a shard at most, words and borders: three of their numbers fit in 63 bits.
 SYMBOLS = 1 << 21
-#: Symbols that a task holds in open shards, and words of one text that are added at once.
-OPEN, STEP = 2 * SYMBOLS, SYMBOLS // 4
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 16
 #: The bit filter of pairs has so many bits for each of them, up to 2 ** FILTER.
@@ -139,12 +137,14 @@ class Fm:
         return Phrases(np.hstack([old, column]), moved, at, count)
 
 
-def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Indexes of bounded runs of words of one language: lang, sign, n_words, words, before, behind.
+def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang", size: int = SYMBOLS) -> DataFrame:
+    """Indexes of runs of words of one language, of `size` symbols at most: lang, sign, n_words, words, before, behind.
 
+    A task holds twice as many symbols in open shards.
     A piece longer than a shard is cut, with as many words of overlap as a phrase may reach over the cut; what lies wholly
     in the overlap is in two shards and, with sign -1, in a third.
     """
+    step = size // 4
 
     def closed(key: tuple[str, int], x: _Open) -> pa.RecordBatch:
         s = np.frombuffer(x.symbols, np.int32)
@@ -161,14 +161,14 @@ def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang")
         def add(key: tuple[str, int], words: list[bytes]) -> Iterator[pa.RecordBatch]:
             nonlocal held
             x = open_.setdefault(key, _Open())
-            if len(x.symbols) + len(words) + 1 > SYMBOLS:
+            if len(x.symbols) + len(words) + 1 > size:
                 yield closed(key, x)
                 held -= len(x.symbols)
                 x = open_[key] = _Open()
             n = len(x.symbols)
             x.add(words)
             held += len(x.symbols) - n
-            if held > OPEN:
+            if held > 2 * size:
                 largest = max(open_, key=lambda k: len(open_[k].symbols))
                 yield closed(largest, open_[largest])
                 held -= len(open_.pop(largest).symbols)
@@ -178,11 +178,12 @@ def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang")
                 part = batch.slice(start, 500)
                 for t, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     words = (t or "").encode("utf-8", "surrogatepass").translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")
-                    while len(words) > STEP:
-                        end = next((i for i in range(STEP, STEP // 2, -1) if words[i] == b"\n"), None)
-                        if end is None:  # no border: cut behind STEP symbols
-                            real = [i for i in range(STEP, min(len(words), STEP + SYMBOLS // 4)) if words[i]][: depth - 1]
-                            end, over = STEP, [words[i] for i in real]
+                    if len(words) > step:
+                        words = [w for w in words if w]
+                    while len(words) > step:
+                        end = next((i for i in range(step, step // 2, -1) if words[i] == b"\n"), None)
+                        if end is None:  # no border: cut there, with overlap
+                            end, over = step, words[step : step + depth - 1]
                             yield from add((name, -1), over)
                             yield from add((name, 1), words[:end] + over)
                         else:
@@ -279,9 +280,9 @@ def summed(counts: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
 
 
-def frequent(docs: DataFrame, least: int, depth: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, least: int, depth: int, text: str = "text", lang: str = "lang", size: int = SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to `depth` words with f >= least (lang, k, phrase, f), and the words of each language (lang, n)."""
-    found = stored(shards(docs, depth, text, lang))
+    found = stored(shards(docs, depth, text, lang, size))
     few = stored(summed(short(found), least))
     more = summed(long(found, filter_of(few.filter("k = 2")), depth), least)
     words = found.groupBy("lang").agg(F.sum(F.col("n_words") * F.col("sign")).alias("n"))
@@ -313,7 +314,7 @@ def inside(phrases: DataFrame) -> DataFrame:
     return phrases.filter("k >= 3").select("lang", F.explode(parts).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
 
 
-def collocations(docs: DataFrame, least: int = 100, depth: int = 5, share: int = 100, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, depth: int = 5, share: int = 100, top: int = 2000, text: str = "text", lang: str = "lang", size: int = SYMBOLS) -> DataFrame:
     """The `top` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     Letters A-Z count as a-z. Pieces end at `[.,;:!?]` and line ends, words at spaces and tabs; null texts have none, a null
@@ -323,7 +324,7 @@ def collocations(docs: DataFrame, least: int = 100, depth: int = 5, share: int =
     first of equals. Ties: higher a, then smaller phrase by code point. An empty table gives no rows. Repeated rows count as
     often as they are there, and other columns of docs play no part.
     """
-    phrases, words = frequent(docs, least, depth, text, lang)
+    phrases, words = frequent(docs, least, depth, text, lang, size)
     whole = inside(phrases).withColumnsRenamed({"lang": "_lang", "phrase": "_phrase"})
     best = scored(phrases, words).join(whole, (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase")), "left").filter(F.coalesce(F.col("longest") * 100 < F.col("a") * share, F.lit(True)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
