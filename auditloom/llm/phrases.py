@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import partitions, stored
 
 #: Symbols of a shard at most, words and borders: three of their numbers fit in 63 bits.
-SYMBOLS = 1 << 21
+SYMBOLS = 1 << 20
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 16
 #: The bit filter of pairs has so many bits for each of them, up to 2 ** FILTER.
