@@ -27,8 +27,8 @@ from auditloom.llm.common import dealt, fresh, partitions, stored
 K, SIZE, TAKEN, DIGITS = 8, 128, 2, 4
 #: Bytes of a text that are looked at together when runs are hashed.
 CHUNK = 1 << 22
-#: Rows whose keys the driver gets to choose the borders of parts.
-SAMPLE = 20_000
+#: Rows whose keys the driver gets to choose the borders of parts, and parts for each partition.
+SAMPLE, PARTS = 20_000, 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,11 +128,12 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     order = [none, down, tie, at]
     # descending keys, nulls last
     keyed = docs.withColumns({none: F.col(key).isNull().cast("int"), down: F.bitwise_not(F.coalesce(F.col(key).cast("long"), F.lit(0))), tie: F.xxhash64(F.coalesce(text, F.lit(""))), at: F.monotonically_increasing_id()})
-    n_parts = 4 * partitions(docs.sparkSession)
+    n_parts = PARTS * partitions(docs.sparkSession)
     n_rows = docs.count()
-    sample = keyed.select(*order) if n_rows <= SAMPLE else keyed.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(n_rows)) < SAMPLE)
+    sized = keyed.select(*order, F.coalesce(F.length(text), F.lit(0)))
+    sample = sized if n_rows <= SAMPLE else sized.filter(F.pmod(F.xxhash64(*order), F.lit(n_rows)) < SAMPLE)
     drawn = sorted(tuple(r) for r in sample.collect())  # about SAMPLE rows
-    borders = sorted({drawn[i * len(drawn) // n_parts] for i in range(1, n_parts)}) if drawn else []
+    borders = _borders(drawn, n_parts)
     placed = keyed.withColumn(part, _part_of(keyed, order, borders))
     firsts = sorted((tuple(r[0]), r[1]) for r in placed.groupBy(part).agg(F.min(F.struct(*order)).alias("f")).select("f", part).collect())  # one row a part
     # the first row of a part goes behind the part before it, that of the first part behind the last
@@ -169,6 +170,18 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return dealt_out.select(*kept, text, part, extra).mapInArrow(run, schema)
 
 
+def _borders(drawn: list[tuple], n: int) -> list[tuple]:
+    """Keys that cut rows (key..., characters) in order into n parts of about as many characters, each row counting for some more."""
+    room = 1 + sum(r[-1] + 200 for r in drawn) // n
+    held, borders = 0, []
+    for r in drawn:
+        if held >= room:
+            borders.append(r[:-1])
+            held = 0
+        held += r[-1] + 200
+    return borders
+
+
 def _scan(df: DataFrame) -> bool:
     """Whether a table is read from files without anything in between that moves rows."""
     nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
