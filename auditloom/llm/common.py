@@ -26,10 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder; for wide rows, where a checkpoint takes more room."""
+def stored(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder; for wide rows, where a checkpoint takes more room. rows: how many a file has at most; 0: any number."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import partitions, stored
 
-#: Symbols of a shard at most, words and borders: three of their numbers fit in 63 bits.
-SYMBOLS = 1 << 20
+#: Symbols of a shard at most, words and borders: three of their numbers fit in 63 bits. Shards of a file, which one task reads together.
+SYMBOLS, SHARDS = 1 << 18, 8
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 16
 #: The bit filter of pairs has so many bits for each of them, up to 2 ** FILTER.
@@ -140,7 +140,7 @@ class Fm:
 def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang", size: int = SYMBOLS) -> DataFrame:
     """Indexes of runs of words of one language, of `size` symbols at most: lang, sign, n_words, words, before, behind.
 
-    A task holds twice as many symbols in open shards.
+    A task holds eight times as many symbols in open shards.
     A piece longer than a shard is cut, with as many words of overlap as a phrase may reach over the cut; what lies wholly
     in the overlap is in two shards and, with sign -1, in a third.
     """
@@ -168,7 +168,7 @@ def shards(docs: DataFrame, depth: int, text: str = "text", lang: str = "lang",
             n = len(x.symbols)
             x.add(words)
             held += len(x.symbols) - n
-            if held > 2 * size:
+            if held > 8 * size:
                 largest = max(open_, key=lambda k: len(open_[k].symbols))
                 yield closed(largest, open_[largest])
                 held -= len(open_.pop(largest).symbols)
@@ -282,7 +282,7 @@ def summed(counts: DataFrame, least: int) -> DataFrame:
 
 def frequent(docs: DataFrame, least: int, depth: int, text: str = "text", lang: str = "lang", size: int = SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to `depth` words with f >= least (lang, k, phrase, f), and the words of each language (lang, n)."""
-    found = stored(shards(docs, depth, text, lang, size))
+    found = stored(shards(docs, depth, text, lang, size), SHARDS)
     few = stored(summed(short(found), least))
     more = summed(long(found, filter_of(few.filter("k = 2")), depth), least)
     words = found.groupBy("lang").agg(F.sum(F.col("n_words") * F.col("sign")).alias("n"))
