@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions import vocabulary as vc
-from auditloom.operators.grids import in_cells
-from auditloom.sources.tables import shared_dir
+from auditloom.operators.spatial import met
 
 # Findings that may stand with an execution status.
 LEGAL = [("executed", "PASS"), ("executed", "WARN"), ("executed", "FAIL"), ("executed", "NEEDS_REVIEW"), ("not_run_insufficient_evidence", "not_run"), ("not_run_external_dependency", "not_run")]
@@ -81,22 +80,22 @@ def support_gates(trials: DataFrame) -> DataFrame:
     return g.withColumn("decision", F.when(F.col("n") < 100, "too_few").when(F.col("hard") * 4 > F.col("n"), "unstable").when(F.col("worst") > 1000, "too_slow").otherwise("supported"))
 
 
-def region_coverage(boxes: DataFrame, passes: DataFrame, words: DataFrame, cells: int = 32) -> DataFrame:
+def region_coverage(boxes: DataFrame, passes: DataFrame, words: DataFrame) -> DataFrame:
     """For each target whether a pass covers 0.9 of it, and how many words' centres lie in it. All in one frame: case_id, x0, y0, x1, y1; boxes: target.
 
-    A pass that covers 0.9 of a target covers its centre, so they meet in that point's cell; words meet targets in the cell of
-    their own centre.
+    A pass that covers 0.9 of a target covers its centre, so passes meet targets by their centres, as words do.
     """
-    at = ["case_id", "cx", "cy"]
+    sides = ("x0", "y0", "x1", "y1")
     middle = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) / 2
-    where = in_cells(boxes.select("target", "case_id", *[F.struct("x0", "y0", "x1", "y1").alias("t")], middle("x0", "x1").alias("x0"), middle("y0", "y1").alias("y0")).withColumns({"x1": F.col("x0"), "y1": F.col("y0")}), cells).select("target", *at, "t.*")
-    p = in_cells(passes, cells).select(*at, F.struct("x0", "y0", "x1", "y1").alias("p"))
-    wide = F.greatest(F.lit(0.0), F.least("x1", "p.x1") - F.greatest("x0", "p.x0"))
-    high = F.greatest(F.lit(0.0), F.least("y1", "p.y1") - F.greatest("y0", "p.y0"))
-    covered = where.join(p, at).groupBy("target").agg(F.bool_or(wide * high >= 0.9 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("covered"))
-    w = words.select("case_id", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
-    points = in_cells(w.withColumns({"x0": F.col("px"), "x1": F.col("px"), "y0": F.col("py"), "y1": F.col("py")}), cells).select(*at, "px", "py")
-    inside = in_cells(boxes, cells).join(points, at).filter("px >= x0 AND px <= x1 AND py >= y0 AND py <= y1").groupBy("target").agg(F.count("*").alias("words"))
+    point = lambda x, y: {"x0": x, "x1": x, "y0": y, "y1": y}
+    t = boxes.select("target", "case_id", *sides)
+    centres = t.select("target", "case_id", F.struct(*sides).alias("t"), *[c.alias(k) for k, c in point(middle("x0", "x1"), middle("y0", "y1")).items()])
+    p = met(centres, passes.select("case_id", *sides), ["case_id"]).select("l.target", "l.t", "r")
+    wide = F.greatest(F.lit(0.0), F.least("t.x1", "r.x1") - F.greatest("t.x0", "r.x0"))
+    high = F.greatest(F.lit(0.0), F.least("t.y1", "r.y1") - F.greatest("t.y0", "r.y0"))
+    covered = p.groupBy("target").agg(F.bool_or(wide * high >= 0.9 * F.expr("t.x1 - t.x0") * F.expr("t.y1 - t.y0")).alias("covered"))
+    points = words.select("case_id", *[c.alias(k) for k, c in point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2).items()])
+    inside = met(points, t, ["case_id"]).groupBy("r.target").agg(F.count("*").alias("words"))
     j = boxes.select("target").join(covered, "target", "left").join(inside, "target", "left")
     n = F.coalesce("words", F.lit(0)).cast("long")
     return j.select("target", F.coalesce("covered", F.lit(False)).alias("covered"), n.alias("words"), F.when(F.coalesce("covered", F.lit(False)) & (n > 0), "read").when(F.coalesce("covered", F.lit(False)), "covered_unread").when(n > 0, "partly").otherwise("missed").alias("category"))
@@ -333,27 +332,3 @@ def text_class_hypotheses(regions: DataFrame) -> DataFrame:
     ranked = most.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead(F.struct("points", "family")).over(w))
     clash = ranked.filter((F.col("place") == 1) & (F.col("points") - F.col("next.points") <= 10) & (F.col("family") != F.col("next.family"))).select("id", F.lit("conflicting_classification").alias("class"), F.lit(40).alias("points"), F.lit("unknown").alias("family"))
     return most.unionByName(clash).withColumn("place", F.row_number().over(w)).select("id", "class", "family", "points", "place")
-
-
-def word_components(boxes: DataFrame, gap: float, cells: int = 64) -> DataFrame:
-    """Connected components of boxes of a case that come within a gap: (id, component), the least id. boxes: case_id, id, x0, y0, x1, y1.
-
-    Boxes meet through the grid cells that they, grown by half the gap, touch; labels then move to the least neighbour
-    and jump to their label's label, with a checkpoint each round, until none changes.
-    """
-    shared_dir(boxes.sparkSession)
-    half = gap / 2
-    at = lambda c, d: F.floor((F.col(c) + d) * cells)
-    spread = boxes.withColumn("cx", F.explode(F.sequence(at("x0", -half), at("x1", half)))).withColumn("cy", F.explode(F.sequence(at("y0", -half), at("y1", half))))
-    other = spread.select("case_id", "cx", "cy", F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = spread.join(other, ["case_id", "cx", "cy"]).filter((F.col("id") != F.col("other")) & (F.greatest(F.col("ox0") - F.col("x1"), F.col("x0") - F.col("ox1")) <= gap) & (F.greatest(F.col("oy0") - F.col("y1"), F.col("y0") - F.col("oy1")) <= gap))
-    edges = near.select("id", "other").distinct().checkpoint()
-    label = boxes.select("id", F.col("id").alias("component")).checkpoint()
-    while True:
-        low = edges.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("low"))
-        moved = label.join(low, "id", "left").select("id", "component", F.least("component", "low").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("component").alias("over"))
-        moved = moved.join(jump, "new").select("id", "component", F.least("new", "over").alias("new")).checkpoint()
-        if moved.filter("new <> component").isEmpty():
-            return label
-        label = moved.select("id", F.col("new").alias("component"))

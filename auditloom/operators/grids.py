@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.spatial import met
+
 from auditloom.functions.scores import nearest_rank, rate
 
 
@@ -174,60 +176,22 @@ def inventory_summary(entries: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("g") == 1, "category").when(F.col("g") == 2, "status").otherwise("all").alias("level"), F.coalesce("category", "status").alias("key"), "n")
 
 
-def in_cells(boxes: DataFrame, cells: int) -> DataFrame:
-    """One row (cx, cy) for each cell of a grid over the unit square that a box touches; what lies outside counts to the border's cells."""
-    at = lambda c: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.col(c) * cells))).cast("int")
-    return boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-
-
-def in_cell(x: Column, y: Column, cells: int) -> Column:
-    """Whether a point's cell is (cx, cy)."""
-    at = lambda c: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(c * cells)))
-    return (F.col("cx") == at(x)) & (F.col("cy") == at(y))
-
-
-def union_area(boxes: DataFrame, cells: int = 64) -> DataFrame:
-    """Exact area of the union of each case's boxes (x0, y0, x1, y1), summed over the cells of a grid.
-
-    A cell that one box fills counts whole, so that what many boxes cover costs no more than one. In the others, different
-    parts of boxes are measured in slabs between neighbouring x edges, gaps and islands of y in each.
-    """
-    low, high = lambda c: F.when(F.col(c) == 0, -1e9).otherwise(F.col(c) / cells), lambda c: F.when(F.col(c) == cells - 1, 1e9).otherwise((F.col(c) + 1) / cells)
-    cut = in_cells(boxes, cells).select("case_id", "cx", "cy", F.greatest("x0", low("cx")).alias("x0"), F.greatest("y0", low("cy")).alias("y0"), F.least("x1", high("cx")).alias("x1"), F.least("y1", high("cy")).alias("y1")).filter("x1 > x0 AND y1 > y0").distinct()
-    where = ["case_id", "cx", "cy"]
-    whole = F.bool_or((F.col("x0") <= F.col("cx") / cells) & (F.col("y0") <= F.col("cy") / cells) & (F.col("x1") >= (F.col("cx") + 1) / cells) & (F.col("y1") >= (F.col("cy") + 1) / cells) & ~F.col("cx").isin(0, cells - 1) & ~F.col("cy").isin(0, cells - 1))
-    full = cut.groupBy(*where).agg(whole.alias("full")).filter("full")
-    filled = full.groupBy("case_id").agg((F.count("*") / (cells * cells)).alias("area"))
-    rest = cut.join(full.select(*where), where, "left_anti")
-    edges = rest.select(*where, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    slabs = edges.withColumn("to", F.lead("x").over(Window.partitionBy(*where).orderBy("x"))).filter("to IS NOT NULL")
-    inside = slabs.join(rest, where).filter("x0 <= x AND x1 >= to")
-    upto = F.max("y1").over(Window.partitionBy(*where, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
-    lines = inside.withColumn("upto", upto).withColumn("new", F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce("upto", F.col("y0")))))
-    parts = lines.groupBy("case_id").agg(F.sum(F.col("new") * (F.col("to") - F.col("x"))).alias("area"))
-    return filled.unionByName(parts).groupBy("case_id").agg(F.round(F.sum("area"), 9).alias("area"))
-
-
 def bounding_union(boxes: DataFrame) -> DataFrame:
     """The box around each case's boxes."""
     return boxes.groupBy("case_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def overlap_join(boxes: DataFrame, least: float = 0.08, cells: int = 32) -> DataFrame:
-    """Pairs of a case's proposals and targets with enough of the target covered, or its centre inside.
-
-    Boxes meet in the cells of a grid that they touch; a pair counts in the cell where what both cover begins.
-    """
-    boxes = in_cells(boxes, cells)
-    p = boxes.filter("role = 'proposal'").select("case_id", "cx", "cy", F.col("vec_id").alias("proposal"), F.struct("x0", "y0", "x1", "y1").alias("p"))
-    t = boxes.filter("role = 'target'").select("case_id", "cx", "cy", F.col("vec_id").alias("target"), F.struct("x0", "y0", "x1", "y1").alias("t"))
-    wide = F.greatest(F.lit(0.0), F.least("p.x1", "t.x1") - F.greatest("p.x0", "t.x0"))
-    high = F.greatest(F.lit(0.0), F.least("p.y1", "t.y1") - F.greatest("p.y0", "t.y0"))
+def overlap_join(boxes: DataFrame, least: float = 0.08) -> DataFrame:
+    """Pairs of a case's proposals and targets with enough of the target covered, or its centre inside."""
+    sides = ("x0", "y0", "x1", "y1")
+    p, t = (boxes.filter(F.col("role") == role).select("case_id", "vec_id", *sides) for role in ("proposal", "target"))
+    wide = F.greatest(F.lit(0.0), F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0"))
+    high = F.greatest(F.lit(0.0), F.least("l.y1", "r.y1") - F.greatest("l.y0", "r.y0"))
     area = lambda b: (F.col(f"{b}.x1") - F.col(f"{b}.x0")) * (F.col(f"{b}.y1") - F.col(f"{b}.y0"))
-    cx, cy = (F.col("t.x0") + F.col("t.x1")) / 2, (F.col("t.y0") + F.col("t.y1")) / 2
-    centre = (cx >= F.col("p.x0")) & (cx <= F.col("p.x1")) & (cy >= F.col("p.y0")) & (cy <= F.col("p.y1"))
-    both = p.join(t, ["case_id", "cx", "cy"]).filter(in_cell(F.greatest("p.x0", "t.x0"), F.greatest("p.y0", "t.y0"), cells)).withColumn("common", wide * high).withColumn("coverage", F.col("common") / area("t")).filter((F.col("coverage") >= least) | centre)
-    return both.select("case_id", "proposal", "target", F.round("coverage", 9).alias("coverage"), F.round(F.col("common") / area("p"), 9).alias("precision"), F.round(F.col("common") / (area("p") + area("t") - F.col("common")), 9).alias("iou"), F.round(area("p"), 9).alias("area"))
+    cx, cy = (F.col("r.x0") + F.col("r.x1")) / 2, (F.col("r.y0") + F.col("r.y1")) / 2
+    centre = (cx >= F.col("l.x0")) & (cx <= F.col("l.x1")) & (cy >= F.col("l.y0")) & (cy <= F.col("l.y1"))
+    both = met(p, t, ["case_id"]).withColumn("common", wide * high).withColumn("coverage", F.col("common") / area("r")).filter((F.col("coverage") >= least) | centre)
+    return both.select("case_id", F.col("l.vec_id").alias("proposal"), F.col("r.vec_id").alias("target"), F.round("coverage", 9).alias("coverage"), F.round(F.col("common") / area("l"), 9).alias("precision"), F.round(F.col("common") / (area("l") + area("r") - F.col("common")), 9).alias("iou"), F.round(area("l"), 9).alias("area"))
 
 
 def best_proposal(pairs: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ from auditloom.operators import checks as ck
 from auditloom.operators import extraction as ex
 from auditloom.operators import grids as g
 from auditloom.operators import manifests as mf
+from auditloom.operators import spatial as sp
 from auditloom.plans.extraction import LINED, WORDS
 from auditloom.plans.grids import BOX, BOX_DUCK, PAIRS
 from auditloom.registry import Registry
 
+#: Words of 16 to 32 pixels on a page of 1600 by 1600, from vectors.
+WORD_BOX = "SELECT id, case_id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (SELECT vec_id AS id, case_id, (CAST(e0 AS DOUBLE) + 1) * 800 AS x0, (CAST(e1 AS DOUBLE) + 1) * 800 AS y0, 20 + (CAST(e2 AS DOUBLE) + 1) * 20 AS w, 4 + (CAST(e3 AS DOUBLE) + 1) * 20 AS h FROM {})"
 FIND = "SELECT l_orderkey * 10 + l_linenumber AS finding_id, CASE l_partkey % 3 WHEN 0 THEN 'executed' WHEN 1 THEN 'not_run_external_dependency' ELSE 'not_run_insufficient_evidence' END AS execution, CASE l_suppkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'not_run' ELSE 'NEEDS_REVIEW' END AS finding FROM {}"
 RES = "SELECT l_orderkey AS case_id, l_linenumber AS position, min(CASE WHEN l_partkey % 11 = 0 THEN 'other' ELSE concat('rule', {c}) END) AS rule FROM {t} GROUP BY l_orderkey, l_linenumber"
 STORE = "SELECT l_orderkey * 10 + l_linenumber AS id, concat(CASE WHEN l_partkey % 13 = 0 THEN 'old-' ELSE 'rev-' END, {c}, '/', md5({k}), CASE WHEN l_suppkey % 17 = 0 THEN 'x' ELSE '' END) AS storage_key, l_linenumber AS revision, md5({k}) AS checksum FROM {t}"
@@ -149,9 +152,10 @@ def register(r: Registry) -> None:
     turned = "SELECT orientation, CASE WHEN case_id % 7 = 0 THEN 'horizontal' ELSE orientation END AS annotated, CASE n_chars % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, detected FROM {}"
     facts = "count(*) AS n, count(*) FILTER (detected) AS detected, round(count(*) FILTER (detected) / count(*)::DOUBLE, 6) AS recall, count(*) FILTER (orientation = annotated) AS agrees, round(count(*) FILTER (orientation = annotated) / count(*)::DOUBLE, 6) AS agreement FROM t GROUP BY 2"
     r.add("a30_orientation_breakdown", duck("fx_cases", sql=f"WITH t AS ({turned.format('fx_cases')}) SELECT 'orientation' AS level, orientation AS key, {facts} UNION ALL SELECT 'confidence', confidence, {facts}"))(lambda s, d: ck.orientation_breakdown(s.sql(turned.format("{c}"), c=view(s, d, "fx_cases"))))
-    ids = lambda s, d: boxes(s, d).withColumnRenamed("vec_id", "id")
-    near = "SELECT a.id, o.id AS other FROM w a JOIN w o ON a.case_id = o.case_id AND greatest(o.x0 - a.x1, a.x0 - o.x1) <= 0.005::DOUBLE AND greatest(o.y0 - a.y1, a.y0 - o.y1) <= 0.005::DOUBLE"
-    r.add("x14_word_components", duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), w AS (SELECT vec_id AS id, case_id, x0, y0, x1, y1 FROM b), e AS ({near}), reach AS (SELECT id, other FROM e UNION SELECT reach.id, e.other FROM reach JOIN e ON e.id = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))(lambda s, d: ck.word_components(ids(s, d), 0.005))
+    reach = "greatest(o.x0 - a.x1, a.x0 - o.x1) <= greatest(24, 2.5::DOUBLE * greatest(a.y1 - a.y0, o.y1 - o.y0)) AND greatest(o.y0 - a.y1, a.y0 - o.y1) <= greatest(24, 2 * greatest(a.y1 - a.y0, o.y1 - o.y0))"
+    r.add("x14_word_components", duck("fx_boxes", sql=f"WITH w AS ({WORD_BOX.format('fx_boxes')}), e AS (SELECT a.id, o.id AS other FROM w a JOIN w o ON a.case_id = o.case_id AND {reach}), reach AS (SELECT id, other FROM e UNION SELECT reach.id, e.other FROM reach JOIN e ON e.id = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY id", recursive=True))(
+        lambda s, d: sp.word_components(s.sql(WORD_BOX.format("{b}"), b=view(s, d, "fx_boxes")))
+    )
     parts = PARTS.format('lineitem')
     gaps = "greatest(o.x - b.x - b.width, b.x - o.x - o.width) > 96 OR greatest(o.y - b.y - b.height, b.y - o.y - o.height) > 72"
     focus = f"""c AS ({parts}), b AS (SELECT * FROM (SELECT *, sum(words) OVER (PARTITION BY case_id) AS total FROM c) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY words DESC, width * height DESC, component) = 1), k AS (SELECT b.*, greatest(24, floor(width * 0.08::DOUBLE + 0.5)) AS px, greatest(24, floor(height * 0.08::DOUBLE + 0.5)) AS py FROM b WHERE total >= 4 AND width * height BETWEEN 0.08::DOUBLE * 480000 AND 0.82::DOUBLE * 480000

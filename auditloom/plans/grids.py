@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from auditloom.fixtures import duck, view
 from auditloom.operators import grids as g
+from auditloom.operators import spatial as sp
 from auditloom.registry import Registry
 
 STAGES = ["proposed", "class_kept", "recovered", "assembled", "projected", "ranked", "trusted"]
@@ -60,7 +61,7 @@ def register(r: Registry) -> None:
     r.add("a33_bounding_union", bx("SELECT case_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b GROUP BY 1"))(lambda s, d: g.bounding_union(boxes(s, d)))
     r.add("a32_union_area", bx(""", few AS (SELECT * FROM b), e AS (SELECT case_id, x0 AS x FROM few UNION SELECT case_id, x1 FROM few), sl AS (SELECT case_id, x, lead(x) OVER (PARTITION BY case_id ORDER BY x) AS xto FROM e),
         i AS (SELECT s.case_id, x, xto, y0, y1, max(y1) OVER (PARTITION BY s.case_id, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM sl s JOIN few ON few.case_id = s.case_id AND x0 <= x AND x1 >= xto WHERE xto IS NOT NULL)
-        SELECT case_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(upto, y0))) * (xto - x)), 9) AS area FROM i GROUP BY 1"""))(lambda s, d: g.union_area(boxes(s, d)))
+        SELECT case_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(upto, y0))) * (xto - x)), 9) AS area FROM i GROUP BY 1"""))(lambda s, d: sp.union_area(boxes(s, d)))
     r.add("j11_overlap_join", bx("SELECT * FROM ov"))(lambda s, d: g.overlap_join(boxes(s, d)))
     r.add("j12_best_proposal", bx(", z AS (SELECT *, round(10 * coverage + 5 * precision + 3 * iou - 0.25::DOUBLE * area, 7) AS score FROM ov) SELECT target, proposal, score, coverage >= 0.5 AS hit FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, proposal) = 1"))(lambda s, d: g.best_proposal(g.overlap_join(boxes(s, d))))
     r.add("w10_representative", bx("SELECT target, proposal, coverage FROM ov QUALIFY row_number() OVER (PARTITION BY target ORDER BY coverage DESC, area, proposal) = 1"))(lambda s, d: g.representatives(g.overlap_join(boxes(s, d))))
