@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from auditloom.sources.tables import shared_dir
+
 # Which status may follow which.
 TRANSITIONS = [("claim", "release"), ("claim", "internally_accepted"), ("claim", "changes_requested"), ("release", "claim"), ("changes_requested", "waiting_for_agent_review"), ("waiting_for_agent_review", "claim")]
 
@@ -95,14 +97,24 @@ def pool_passes(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.withColumn("pool", F.lit("base")).unionByName(extra.withColumn("pool", F.lit("extra")))
 
 
-def counterbalanced_order(cases: DataFrame, seed: str) -> DataFrame:
-    """Two blocks in which every case stands once, in opposite modes; half of the cases start in mode A. cases: case_id, unique.
+def global_ranks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds rank (from 1) in the order of some columns over the whole table.
 
-    The random order is that of a digest; ranks come from counts by digest prefix and ranks inside a prefix, so no task sorts all cases.
+    Rows are dealt by ranges of the order, as many as their size asks for; each range is numbered by itself and starts behind
+    the rows of all ranges before it, of which only the numbers meet in one place. Ties are broken by all other columns.
     """
-    h = cases.select("case_id", F.md5(F.concat_ws("|", F.lit(seed), F.col("case_id").cast("string"))).alias("h")).withColumn("part", F.substring("h", 1, 2))
-    before = h.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = h.join(before, "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("h", "case_id")))
+    shared_dir(rows.sparkSession)
+    every = [*order, *(c for c in rows.columns if c not in order)]
+    dealt = rows.repartitionByRange(*every).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*every))
+    return dealt.withColumn("_own", inside).join(F.broadcast(before), F.col("_range") == F.col("_at")).withColumn("rank", F.col("_before") + F.col("_own")).select(*rows.columns, "rank")  # a row for each range
+
+
+def counterbalanced_order(cases: DataFrame, seed: str) -> DataFrame:
+    """Two blocks in which every case stands once, in opposite modes; half of the cases start in mode A. cases: case_id, unique. The random order is that of a digest."""
+    ranked = global_ranks(cases.select("case_id", F.md5(F.concat_ws("|", F.lit(seed), F.col("case_id").cast("string"))).alias("h")), ["h"])
     mode = lambda flip: F.when((F.col("rank") % 2 == 1) != F.lit(flip), "A").otherwise("B")
     return ranked.select("case_id", "rank", F.explode(F.array(F.struct(F.lit(1).alias("block"), mode(False).alias("mode")), F.struct(F.lit(2).alias("block"), mode(True).alias("mode")))).alias("x")).select("case_id", "rank", "x.block", "x.mode")
 
