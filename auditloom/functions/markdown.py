@@ -11,7 +11,8 @@ _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 _HEADING = re.compile(r" {0,3}(#{1,6})(\s|$)")
 _UNSPACED = re.compile(r" {0,3}#{1,6}[^#\s\d]")
 _LIST = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
-_FINAL = re.compile(r"[.!?][)\"'*_`\s]*$")
+#: What may stand behind the mark that ends a sentence.
+_CLOSERS = ")\"'*_` \t\r\n\x0b\x0c"
 _LINK = re.compile(r"\[[^\]]*\]\(([^)]*)\)")
 
 
@@ -33,23 +34,38 @@ def slug(heading: str) -> str:
     return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]", "", heading.strip().lower()))
 
 
+class Last:
+    """The last line of a text, taken apart once."""
+
+    def __init__(self, line: str) -> None:
+        bare = line.strip()
+        self.words = bare.split()
+        self.heading = bool(_HEADING.match(line))
+        self.structure = bare[:1] == "|" or bool(_LIST.match(line))
+        self.colon = bare[-1:] == ":"
+        self.closed = bare.rstrip(_CLOSERS)[-1:] in (".", "!", "?")
+        letters = [w.lstrip("'-") for w in re.split(r"[^A-Za-z'-]+", bare)]
+        self.last = next((w.lower() for w in reversed(letters) if w), "")
+        stem, _, ending = bare.rpartition(".")
+        self.path = bool(stem) and 1 <= len(ending) <= 5 and ending.isascii() and ending.isalnum() and ("/" in bare or "\\" in bare)
+        self.prose = not self.structure and bare[:1].isascii() and bare[:1].isalpha()
+
+
+#: What a last line may be, in this order: the first that holds tells whether the text was cut off, and how.
+ENDINGS = [
+    (lambda x: x.heading, "TRUNC_EMPTY_FINAL_HEADING"),
+    (lambda x: x.last in DANGLING and not x.closed, "TRUNC_DANGLING_WORD"),
+    (lambda x: x.structure, None),
+    (lambda x: x.colon, "TRUNC_TRAILING_COLON"),
+    (lambda x: x.closed or x.path, None),
+    (lambda x: x.prose and len(x.words) >= 3, "TRUNC_PROSE_NO_TERMINAL"),
+]
+
+
 def ending(line: str) -> str | None:
     """The one thing that tells that a text was cut off at its last line, if any."""
-    bare = line.strip()
-    if _HEADING.match(line):
-        return "TRUNC_EMPTY_FINAL_HEADING"
-    structure = bare.startswith("|") or bool(_LIST.match(line))
-    words = re.findall(r"[A-Za-z][A-Za-z'-]*", re.sub(r"[*_`>~]+", " ", line))
-    if not _FINAL.search(bare) and words and words[-1].lower() in DANGLING and re.search(r"[A-Za-z'-][^A-Za-z]*$", bare):
-        return "TRUNC_DANGLING_WORD"
-    if structure:
-        return None
-    if bare.endswith(":"):
-        return "TRUNC_TRAILING_COLON"
-    path = re.search(r"[/\\]", bare) and re.search(r"\.[A-Za-z0-9]{1,5}$", bare)
-    if not _FINAL.search(bare) and bare[:1].isascii() and bare[:1].isalpha() and len(bare.split()) >= 3 and not path:
-        return "TRUNC_PROSE_NO_TERMINAL"
-    return None
+    last = Last(line)
+    return next((code for test, code in ENDINGS if test(last)), None)
 
 
 def findings(text: str | None) -> Iterator[tuple[int, str]]:

@@ -1,7 +1,7 @@
 """Alcohol statements: a text becomes a row of tokens, and the order of its tokens tells what it states.
 
 Each token is one letter of the text's shape: N number, P percent sign, L alcohol, A alc, B by, V volume, S slash, T to or dash,
-X proof. What is no token stays in the shape as it is, so that such a text has a shape that nothing allows.
+X proof. What is no such token stays in the shape as it is, so that such a text has a shape that nothing allows.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"\d+(?:[.,]\d+)?"
-#: Tokens in the order in which they are looked for; numbers come last, as only they are read again.
-TOKENS = [(r"%", "P"), (r"\balcohol\b", "L"), (r"\balc\b\.?", "A"), (r"\bvolume\b|\bvol\b\.?", "V"), (r"\bby\b", "B"), (r"/", "S"), (r"\bthrough\b|\bto\b|[-–—]", "T"), (r"\bproof\b", "X"), (NUMBER, "N"), (r"\s+", "")]
 VOLUME = ["BV", "ASV", "ABV"]
 #: Shapes of whole statements: one value, or a lower and an upper one.
 DIRECT = [f"NP{v}" for v in VOLUME] + [f"{a}N{p}{v}" for a in "AL" for p in ("", "P") for v in ("BV", "V")]
@@ -21,11 +19,11 @@ ACCEPTED = {
     **{f"{a}N{p}TNPBV": "explicit-percent-by-volume" for a in ("", "A", "L") for p in ("", "P")}, "NPBV": "explicit-percent-by-volume",
     **dict.fromkeys(["NPASV", "NPABV", *(f"{a}{x}" for a in "AL" for x in ("NPBV", "PNBV", "NPV"))], "explicit-percent-alc-vol"), **dict.fromkeys([f"{a}N{v}" for a in "AL" for v in ("BV", "V")], "explicit-percentless-alcohol-by-volume"),
 }
-#: Readings of letters for digits and the like, made in this order.
-READINGS = [
-    (r"\ba[1il]c\.?(?=[0-9oil]+(?:[.,%\s]|$))", "alc "), (r"\ba[1il]c\b", "alc"), (r"\bv[o0][l1i]ume\b", "volume"), (r"\bv[o0][l1i]\b", "vol"), (r"\babv\b", "by vol"), (r"\bby(vol(?:ume)?)\b", "by $1"), (r"%(?=by\b)", "% "),
-    (r"(?<=\d)\s*,\s*(?=\d{1,2}\b)", "."), (r"(?<=\d)\s*\.\s*(?=\d{1,2}\b)", "."),
-]
+# How marker words are spelled, by what a picture may make of them once 0, 1 and i are read as o and l; and words that stand for two.
+MARKERS = {"alc": "alc", "vol": "vol", "volume": "volume"}
+DOUBLES = {"abv": "by vol", "byvol": "by vol", "byvolume": "by volume"}
+#: What letters of a token are, beside those that are read as digits.
+SHAPES = {"%": "P", "alcohol": "L", "alc": "A", "volume": "V", "vol": "V", "by": "B", "/": "S", "through": "T", "to": "T", "-": "T", "–": "T", "—": "T", "proof": "X"}
 
 
 def plain(text: Column) -> Column:
@@ -34,9 +32,13 @@ def plain(text: Column) -> Column:
 
 
 def shape(norm: Column) -> Column:
-    for pattern, letter in TOKENS:
-        norm = F.regexp_replace(norm, pattern, letter and f" {letter} ")
-    return norm
+    """The letters of a text's tokens. A point behind a marker belongs to it; a word that goes on from a number is a number and a question mark."""
+    found = F.regexp_extract_all(norm, F.lit(r"\d+[.,]\d+(?!\w)|[\p{L}\p{N}_]+|\S"), 0)
+    known = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
+    digits = lambda t: F.translate(t, "0123456789", "")
+    letter = lambda t: F.coalesce(F.try_element_at(known, t), F.when(digits(t).isin("", ".", ",") & (digits(t) != t), "N").when(digits(t) != t, F.concat(F.lit("N"), digits(t), F.lit("?"))).otherwise(t))
+    whole = F.array_join(F.transform(found, letter), "")
+    return F.replace(F.replace(whole, F.lit("A."), F.lit("A")), F.lit("V."), F.lit("V"))
 
 
 def number(norm: Column, n: int) -> Column:
@@ -62,16 +64,37 @@ def stated(rows: DataFrame, text: str) -> DataFrame:
 
 
 def repaired(text: Column) -> Column:
-    """A text read from a picture, with letters that stand for digits in numbers, and markers, put right."""
-    norm = plain(text)
-    for pattern, by in READINGS[:7]:
-        norm = F.regexp_replace(norm, pattern, by)
-    # o, i and l between digits, or beside one at the border of a number
-    norm = F.regexp_replace(norm, r"(?<![a-z])o(?=[0-9oil.,]*[0-9%])|(?<=[0-9])o(?![a-z])|(?<=[0-9])o(?=[0-9oil])", "0")
-    norm = F.regexp_replace(norm, r"(?<![a-z])[il](?=[0-9oil.,]*[0-9%])|(?<=[0-9])[il](?![a-z])|(?<=[0-9])[il](?=[0-9oil])", "1")
-    for pattern, by in READINGS[7:]:
-        norm = F.regexp_replace(norm, pattern, by)
-    return norm
+    """A text (of `plain`) read from a picture, token by token, with letters that stand for digits in numbers, and markers, put right.
+
+    A token of digits and the letters o, i and l is a number if it has a digit or if a percent sign, or the rest of a number, follows.
+    """
+    tokens = F.regexp_extract_all(text, F.lit("[a-z0-9]+|[^a-z0-9]"), 0)
+    folded = lambda t: F.translate(t, "01i", "oll")
+    digits = lambda t: F.translate(t, "oil", "011")
+    alike = lambda t: F.translate(t, "0123456789oil", "") == ""
+    digit = lambda t: F.translate(t, "0123456789", "") != t
+    ends = lambda t: t.isNull() | t.isin(".", ",", "%", " ")
+    markers, doubles = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) for d in (MARKERS, DOUBLES))
+
+    def read(t: Column, at: Column) -> Column:
+        ahead = lambda n: F.try_element_at(tokens, at + n + 1)
+        before = F.when(at > 0, F.element_at(tokens, F.greatest(at, F.lit(1))))
+        percent = F.coalesce(ahead(1) == "%", F.lit(False))
+        goes_on = F.coalesce(ahead(1).isin(".", ",") & alike(ahead(2)) & (digit(ahead(2)) | F.coalesce(ahead(3) == "%", F.lit(False))), F.lit(False))
+        rest = F.substring(t, 4, 99)
+        glued = F.startswith(folded(t), F.lit("alc")) & (F.length(t) > 3) & alike(rest) & ends(ahead(1))
+        point = (t == ".") & F.coalesce(folded(before) == "alc", F.lit(False)) & F.coalesce(alike(ahead(1)), F.lit(False)) & ends(ahead(2))
+        return (
+            F.when(t == " ", t)
+            .when(alike(t), F.when(digit(t) | percent | goes_on, digits(t)).otherwise(t))
+            .when(t == "%", F.when(F.coalesce((ahead(1) == "by") | F.array_contains(F.map_keys(doubles), ahead(1)), F.lit(False)), "% ").otherwise(t))
+            .when(point, " ")
+            .when(glued, F.concat(F.lit("alc "), F.when(digit(rest) | percent, digits(rest)).otherwise(rest)))
+            .otherwise(F.coalesce(F.try_element_at(doubles, t), F.try_element_at(markers, folded(t)), t))
+        )
+
+    joined = F.array_join(F.transform(tokens, read), "")
+    return F.regexp_replace(joined, r"(\d) ?[.,] ?(?=\d\d?\b)", "$1.")  # one point between the parts of a decimal
 
 
 def read_number(text: Column) -> Column:
@@ -87,7 +110,8 @@ def matched(rows: DataFrame, text: str) -> DataFrame:
     """
     norm, low, high, s = F.col("_norm"), F.col("_low"), F.col("_high"), F.col("_shape")
     r = rows.withColumn("_plain", plain(F.col(text))).withColumn("_norm", repaired(F.col("_plain")))
-    r = r.withColumns({"_shape": shape(norm), "_low": read_number(number(norm, 1)), "_high": read_number(number(norm, 2))})
+    r = r.withColumns({"_shape": shape(norm), "_first": number(norm, 1), "_second": number(norm, 2)})
+    r = r.withColumns({"_low": read_number(F.col("_first")), "_high": read_number(F.col("_second"))})
     accepted = F.create_map(*[F.lit(x) for pair in ACCEPTED.items() for x in pair])
     is_range = s.contains("T")
     fits = s.isin(*ACCEPTED) & low.isNotNull() & (~is_range | (low <= high))
@@ -102,7 +126,7 @@ def matched(rows: DataFrame, text: str) -> DataFrame:
     )
     r = r.withColumn("reason", reason).withColumn("kind", F.when(~F.coalesce(fits, F.lit(False)), "rejected").when(is_range, "range").otherwise("direct"))
     done = F.array_compact(F.array(
-        F.when(norm != F.col("_plain"), "text-repaired"), F.when(s.isin("APNBV", "LPNBV"), "percent-before-number-reordered"), F.when(number(norm, 1).rlike(r"^\d{3}$"), "implicit-decimal-recovery"),
+        F.when(norm != F.col("_plain"), "text-repaired"), F.when(s.isin("APNBV", "LPNBV"), "percent-before-number-reordered"), F.when(F.col("_first").rlike(r"^\d{3}$"), "implicit-decimal-recovery"),
     ))
     ok = F.col("kind") != "rejected"
-    return r.withColumn("low", F.when(ok, low)).withColumn("high", F.when(F.col("kind") == "range", high).when(ok, F.col("low"))).withColumn("operations", F.when(ok, F.array_join(done, ","))).drop("_plain", "_norm", "_shape", "_low", "_high")
+    return r.withColumn("low", F.when(ok, low)).withColumn("high", F.when(F.col("kind") == "range", high).when(ok, F.col("low"))).withColumn("operations", F.when(ok, F.array_join(done, ","))).drop("_plain", "_norm", "_shape", "_first", "_second", "_low", "_high")

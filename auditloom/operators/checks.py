@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.functions import clues
 from auditloom.functions import vocabulary as vc
 from auditloom.operators.spatial import met
 
@@ -320,10 +321,8 @@ def text_class_hypotheses(regions: DataFrame) -> DataFrame:
     text = F.lower(F.trim(F.coalesce("text", F.lit(""))))
     found = [F.when(F.col("source") == k, F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for k, (c, p) in vc.SOURCE_CLUES.items()]
     found += [F.when(F.col("reason").isin(k.split()), F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for k, told in vc.REASON_CLUES.items() for c, p in told.items()]
-    for words, told in vc.TEXT_CLUES:
-        hit = text.rlike(words)
-        found += [F.when(hit, F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for c, p in told.items()]
-    found.append(F.when(F.size(F.split(text, r"\s+")) >= 8, F.struct(F.lit("decorative_prose").alias("class"), F.lit(70).alias("points"))))
+    for name, hit in clues.tests(text).items():
+        found += [F.when(hit, F.struct(F.lit(c).alias("class"), F.lit(p).alias("points"))) for c, p in vc.TEXT_CLUES[name].items()]
     nothing = F.array(F.struct(F.when(text != "", "unknown_text_region").otherwise("unknown_non_text_region").alias("class"), F.lit(50).alias("points")))
     every = regions.select("id", F.array_compact(F.array(*found)).alias("h"), nothing.alias("none")).select("id", F.explode(F.when(F.size("h") > 0, F.col("h")).otherwise(F.col("none"))).alias("h"))
     family = F.create_map(*[F.lit(x) for f, classes in vc.FAMILIES.items() for c in classes.split() for x in (c, f)])

@@ -64,7 +64,8 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window for each line item, by turns of WINDOWS."""
-    base = spark.sql(READ.format("{l}"), l=view(spark, sf_dir, "lineitem"))
+    # reading a window takes far longer than sending it: rows of one file go to all tasks
+    base = spark.sql(READ.format("{l}"), l=view(spark, sf_dir, "lineitem")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.element_at(F.array(*[F.lit(w[0]) for w in WINDOWS]), F.col("t") + 1)
     return base.withColumn("statement", F.replace(F.replace(text, F.lit("{q}"), F.col("q").cast("string")), F.lit("{d}"), (F.col("q") % 10).cast("string")))
 
