@@ -26,6 +26,7 @@ _AROUND = re.compile(r"(?:ads?|adv|advert\w*|adsense|adslot|banner|breadcrumbs?|
 #: Parts that say of the part behind them that it is absent or stands elsewhere.
 _OF_ANOTHER = frozenset("has have no non not with without hide hides hidden show shows free toggle enable enabled disable disabled".split())
 _COMMENTS = frozenset("comment comments commentary commentlist disqus replies respond".split())
+_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PARTS = re.compile(r"[\s_-]+")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?=$|[\s_-])")
 SCORED = frozenset("html p pre td blockquote div section article main body li dd h1 h2 h3 h4 h5 h6".split())
@@ -134,19 +135,20 @@ STAYS, GOES, TITLE = 0, 1, 2
 def around(node: Node, inside: bool, whole: int) -> int:
     """Whether an element belongs to what surrounds an article, as STAYS, GOES or TITLE.
 
-    inside: it stands in an article or main element. whole: characters of the page. Classes count as whole names, cut
+    inside: it stands in an article or main element. whole: characters of the page. A form around half of the page's text is
+    no form to fill in. What a style hides goes. Classes count as whole names, cut
     at dashes: a part that follows has, no, with and the like says nothing about the element itself. Nor does one in a
     longer name, if the element holds half of the page's text, or in any, if it holds the main element, or a top heading and a third of the text. Of a header
     inside an article the headings stay.
     """
     if node.tag == "header":
         return TITLE if inside else GOES
-    if node.tag in NEVER:
+    if node.tag in NEVER and not (node.tag in ("form", "fieldset") and 2 * node.own[0] >= whole):
         return GOES
     if not node.attrs or node.tag in ("body", "html", "article", "main"):
         return STAYS
     a = attributes(node.attrs)
-    if "hidden" in a or a.get("aria-hidden") == "true":
+    if "hidden" in a or a.get("aria-hidden") == "true" or _HIDES.search(a.get("style", "")):
         return GOES
     found = STAYS
     for kind in ("class", "id", "role"):
@@ -225,6 +227,7 @@ def measure(root: Node) -> list[Node]:
 def best(root: Node) -> list[Node]:
     """The nodes that hold the article: the container of the best score, and siblings that belong to it."""
     order = measure(root)
+    given: dict[int, float] = {}  # points that a container gets from its own paragraphs
     for at in order:
         direct = any(isinstance(x, str) and x.strip() for x in at.children) or any(not isinstance(x, str) and x.tag not in BLOCKS and x.own[0] for x in at.children)
         if at.tag not in SCORED or not direct or not at.own[0]:
@@ -232,6 +235,8 @@ def best(root: Node) -> list[Node]:
         chars, linked, commas = at.own[:3]
         points = (1 + commas + min(chars / 100, 3)) * (1 - linked / chars)
         up, depth = at.parent if at.tag not in ("html", "body", "article", "main", "div", "section") else at, 0
+        if up is not None:
+            given[id(up)] = given.get(id(up), 0.0) + points
         while up is not None and depth < 6:
             up.score += points / (1 if depth == 0 else 2 * depth)
             up, depth = up.parent, depth + 1
@@ -249,16 +254,46 @@ def best(root: Node) -> list[Node]:
         if up.tag == "article" or (up.tag == "main" and not any(x.tag == "article" for x in _upwards(top))):
             top = up
             break
-    if top.parent is None or top.tag in ("article", "main", "body"):
+    return gathered(top, order, given)
+
+
+def gathered(top: Node, order: list[Node], given: dict[int, float]) -> list[Node]:
+    """The best container with what belongs to it, in page order.
+
+    Beside a main or body element nothing does. Beside an article, other articles and sections do, and a top heading; beside
+    any other container, elements of a fifth of its score, and paragraphs and headings. What stands there or beside its
+    ancestors also belongs to it if a container in it gets, from its own paragraphs, a quarter of the points that one in the
+    best gets: columns that are nested alike. What is mostly links never does. All bars are relative, so short pages keep their parts as long ones do.
+    """
+    if top.parent is None or top.tag in ("main", "body"):
         return [top]
-    least, found = max(5.0, 0.2 * top.score), []
-    for x in top.parent.children:
-        if isinstance(x, str):
-            continue
+    peak: dict[int, float] = {}  # the most points given to a node or one below it
+    for x in order:
+        peak[id(x)] = max([given.get(id(x), 0.0), *(peak.get(id(c), 0.0) for c in x.children if not isinstance(c, str))])
+
+    def belongs(x: Node, beside: bool) -> bool:
         chars, linked = x.own[:2]
         density = linked / max(1, chars)
-        if x is top or x.score >= least or (x.tag in ("p", "pre", "blockquote") and (chars > 80 and density < 0.25 or 0 < chars <= 80 and density == 0)) or (x.tag in ("h1", "h2", "h3", "h4") and chars and density == 0):
-            found.append(x)
+        if not chars or density >= 0.5:
+            return False
+        if x.tag in ("article", "section") and (beside or top.tag == "article"):
+            return True
+        if top.tag == "article":
+            return x.tag == "h1" and density == 0
+        if density < 0.25 and peak[id(x)] >= 0.25 * peak[id(top)]:
+            return True
+        if not beside:
+            return False
+        if x.tag in ("p", "pre", "blockquote"):
+            return density < 0.25 if chars > 80 else density == 0
+        return x.score >= 0.2 * top.score or (x.tag in ("h1", "h2", "h3", "h4") and density == 0)
+
+    found, at = [top], top
+    while at.parent is not None and at.tag not in ("main", "body"):
+        place = next(i for i, x in enumerate(at.parent.children) if x is at)
+        kept = [(i > place, x) for i, x in enumerate(at.parent.children) if i != place and not isinstance(x, str) and belongs(x, at is top)]
+        found = [x for behind, x in kept if not behind] + found + [x for behind, x in kept if behind]
+        at = at.parent
     return found
 
 
@@ -320,7 +355,8 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     Elements that never hold article text, and those whose class, id or role names a menu, notice, advert, comment list
     or the like, go first (of a header inside an article the headings stay). Paragraphs then pass points for length and commas to their ancestors (full to the parent,
     less with each step up), discounted by the share of their text inside links; the container of the best score is
-    kept with the siblings that belong to it. Null, empty and text-free pages have the text ''. Rows are independent:
+    kept with the siblings that belong to it, and with columns beside its ancestors (`gathered`). Points reach the six nearest
+    ancestors; those farther up would get less than a tenth of them. Null, empty and text-free pages have the text ''. Rows are independent:
     repeated rows and ties give equal results, nothing is shuffled, whole pages are read whatever their length. New
     columns replace columns of the same names.
     """
