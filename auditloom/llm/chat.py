@@ -54,32 +54,41 @@ def argument_issues(name: Column, arguments: Column, schemas: dict[str, dict]) -
 def positions(calls: DataFrame) -> DataFrame:
     """(conv, call_id, position) of calls (conv, call_id, after: array of identifiers): the calls on the longest chain before one; null on a cycle and behind one.
 
-    Identifiers that no call has are left out. Where calls wait for one other at most, pointer doubling finds the
-    position: every round doubles the distance that a call looks back, so the rounds grow with the logarithm of the longest
-    chain. Otherwise calls are taken off in layers, those first whose calls before them are all taken off, a round a
-    layer. A conversation of any length is spread over all tasks.
+    Identifiers that no call has are left out. Chains of calls that wait for one other each are contracted first, by pointer
+    doubling: every round doubles the distance that a call looks back, up to its anchor, a call that waits for none or for
+    several. Then only anchors are taken off in layers, those first whose anchors before them have their positions, a round a
+    layer. So rounds grow with the logarithm of the longest chain and with the number of calls on a chain that wait for
+    several. A conversation of any length is spread over all tasks.
     """
     own = calls.select("conv", "call_id", F.explode_outer(F.array_distinct("after")).alias("after"))
     ids = calls.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).distinct()
     same = lambda a, b: (F.col("conv") == F.col("_conv")) & (F.col(a) == F.col(b))
     edges = cut(own.join(ids, same("after", "_id")).select("conv", "call_id", F.col("after").alias("up")))
-    if edges.groupBy("conv", "call_id").count().filter("count > 1").isEmpty():
-        at = cut(calls.select("conv", "call_id").join(edges, ["conv", "call_id"], "left").withColumn("hops", F.col("up").isNotNull().cast("long")))
-        for _ in range(2 + math.ceil(math.log2(max(2, at.count())))):
-            if at.filter("up IS NOT NULL").isEmpty():
+    waits = edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    at = cut(calls.select("conv", "call_id").join(waits, ["conv", "call_id"], "left").select("conv", "call_id", F.when(one, F.col("up")).otherwise(F.col("call_id")).alias("to"), one.cast("long").alias("hops"), (~one).alias("there"), F.coalesce("n", F.lit(0)).alias("n")))
+    for _ in range(2 + math.ceil(math.log2(max(2, at.count())))):
+        if at.filter("NOT there").isEmpty():
+            break
+        far = at.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("there").alias("_there"))
+        at = cut(at.join(far, same("to", "_id")).select("conv", "call_id", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_there").alias("there"), "n"))
+    known = cut(at.filter("n = 0").select("conv", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("position")))
+    if not at.filter("n > 1").isEmpty():
+        # what an anchor waits for, as anchors with the distance; behind a cycle there is none
+        reach = at.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.when(F.col("there"), F.col("to")).alias("before"), (F.col("hops") + 1).alias("far"))
+        several = at.filter("n > 1").select("conv", F.col("call_id").alias("anchor"))
+        left = cut(edges.withColumnRenamed("call_id", "anchor").join(several, ["conv", "anchor"]).join(reach, same("up", "_id")).select("conv", "anchor", "before", "far"))
+        while True:
+            found = known.select(F.col("conv").alias("_conv"), F.col("anchor").alias("_id"), "position")
+            tried = left.join(found, same("before", "_id"), "left").groupBy("conv", "anchor").agg(F.count_if(F.col("position").isNull()).alias("open"), F.max(F.col("position") + F.col("far")).alias("position"))
+            layer = cut(tried.filter("open = 0").select("conv", "anchor", "position"))
+            if layer.isEmpty():
                 break
-            far = at.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-            at = cut(at.join(far, same("up", "_id"), "left").select("conv", "call_id", F.col("_up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
-        return at.select("conv", "call_id", F.when(F.col("up").isNull(), F.col("hops")).alias("position"))
-    layer = cut(calls.select("conv", "call_id").join(edges, ["conv", "call_id"], "left_anti"))
-    found, depth = layer.withColumn("position", F.lit(0).cast("long")), 0
-    while not layer.isEmpty():
-        gone = layer.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"))
-        left = cut(edges.join(gone, same("up", "_id"), "left_anti"))
-        layer = cut(edges.select("conv", "call_id").distinct().join(left, ["conv", "call_id"], "left_anti"))
-        depth, edges = depth + 1, left
-        found = found.unionByName(layer.withColumn("position", F.lit(depth).cast("long")))
-    return calls.select("conv", "call_id").join(found, ["conv", "call_id"], "left")
+            known = cut(known.unionByName(layer))
+            left = cut(left.join(layer.select("conv", "anchor"), ["conv", "anchor"], "left_anti"))
+    found = known.select(F.col("conv").alias("_conv"), F.col("anchor").alias("_id"), F.col("position").alias("_first"))
+    placed = at.filter("there").join(found, same("to", "_id")).select("conv", "call_id", (F.col("_first") + F.col("hops")).alias("position"))
+    return calls.select("conv", "call_id").join(placed, ["conv", "call_id"], "left")
 
 
 def in_order(linked: DataFrame) -> DataFrame:
@@ -95,13 +104,15 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     of that call, any other is a message. Returned: conv, kind ('linked', 'no_result', 'orphan_result', 'repeated_call',
     'repeated_result', 'message'), call_id, seq (of the call, else of the row), position (calls on the longest chain before it;
     null off calls, on cycles and for repeated calls), n_repeats (rows that say the same call, result or message),
-    issues, canonical (JSON, keys sorted at every depth, no white space, nulls written).
+    issues, canonical (JSON, keys sorted at every depth, no white space, nulls written). It holds all that a row says: of a
+    call after, arguments, content, id, issues, name, position, role, and its result as an object of after, arguments, content and
+    role; of a message after, arguments, content, id, name and role.
 
     Calls and results meet by a hash join on (conv, call_id). Where an identifier repeats, the call and the result of
     the least seq, then the least content, are linked. Every other call or result of it, different in any column, has
     a row of its own with its n_repeats, and so have the rows that say the linked result once more: no row is left
     out. Null conv or seq is a value like another for messages; a call or result with a null conv links to nothing and
-    is kept as a message. Arguments that are no JSON object are an issue, not an error. Other columns are left out.
+    is kept as a message with all its fields. Arguments that are no JSON object are an issue, not an error. Other columns are left out.
     """
     after = F.col("after") if isinstance(messages.schema["after"].dataType, T.ArrayType) else F.array_compact(F.array("after"))
     m = messages.select("conv", "seq", "role", "content", "call_id", "name", "arguments", F.array_compact(after).alias("after"))
@@ -129,17 +140,18 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     repeated = F.col("kind").startswith("repeated")
     issues = F.when(F.col("call").isNotNull(), argument_issues(F.col("call.name"), F.col("call.arguments"), schemas)).when(repeated, F.array().cast("array<string>")).otherwise(F.array(F.lit("orphan")))
     issues = F.when(repeated, F.array_append(issues, F.lit("repeated"))).when(F.col("call").isNotNull() & F.col("position").isNull(), F.array_append(issues, F.lit("cycle"))).otherwise(issues)
-    arguments = F.coalesce(F.try_parse_json(F.col("call.arguments")), F.when(F.col("call.arguments").isNotNull(), F.col("call.arguments")).cast("variant"))
+    arguments = lambda c: F.coalesce(F.try_parse_json(c), F.when(c.isNotNull(), c).cast("variant"))
     flat = both.select(
         "conv", "kind", "call_id", F.coalesce("call.seq", "result.seq").alias("seq"), "position",
-        F.coalesce("n", "n_results").alias("n_repeats"), issues.alias("issues"), arguments.alias("arguments"),
-        F.col("call.name").alias("name"), F.col("result.content").alias("content"),
+        F.coalesce("n", "n_results").alias("n_repeats"), issues.alias("issues"), arguments(F.col("call.arguments")).alias("arguments"),
+        F.col("call.name").alias("name"), F.col("call.after").alias("after"), F.col("call.content").alias("content"), F.col("call.role").alias("role"),
+        F.when(F.col("result").isNotNull(), F.struct(F.col("result.after").alias("after"), arguments(F.col("result.arguments")).alias("arguments"), F.col("result.content").alias("content"), F.col("result.role").alias("role"))).alias("result"),
     )
-    body = F.struct("arguments", F.col("call_id").alias("id"), "issues", "name", "position", F.col("content").alias("result"))
+    body = F.struct("after", "arguments", "content", F.col("call_id").alias("id"), "issues", "name", "position", "result", "role")
     linked = flat.select("conv", "kind", "call_id", "seq", "position", "n_repeats", "issues", F.to_json(body, {"ignoreNullFields": "false"}).alias("canonical"))
-    said = m.filter(~(is_call | is_result)).groupBy("conv", "seq", "role", "content").agg(F.count("*").alias("n_repeats"))
+    said = m.filter(~(is_call | is_result)).groupBy("conv", "seq", "role", "content", "call_id", "name", "arguments", "after").agg(F.count("*").alias("n_repeats"))
     plain = said.select(
         "conv", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), "seq", F.lit(None).cast("long").alias("position"), "n_repeats", F.array().cast("array<string>").alias("issues"),
-        F.to_json(F.struct("content", "role"), {"ignoreNullFields": "false"}).alias("canonical"),
+        F.to_json(F.struct("after", arguments(F.col("arguments")).alias("arguments"), "content", F.col("call_id").alias("id"), "name", "role"), {"ignoreNullFields": "false"}).alias("canonical"),
     )
     return linked.unionByName(plain)

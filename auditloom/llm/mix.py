@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     new = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c.lower() not in new]
     id_name, k, s, r = fresh([*kept, *new], "_row", "_k", "_s", "_r")
-    shuffled = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    # rows of one key come apart by their texts
+    shuffled = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     base = docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), shuffled.alias("hash"),
         F.xxhash64(key, text).alias("row"),

@@ -42,11 +42,13 @@ judged AS (
   FROM linked)
 SELECT conv_id, kind, call_id, turn, CAST(position AS BIGINT) AS position, n_repeats, array_to_string(issues, ',') AS issues,
   CAST(json_object(
+    'after', CASE WHEN call_turn IS NOT NULL THEN [conv_id || ':' || (call_turn - 2)] END,
     'arguments', CASE WHEN call_turn IS NULL THEN NULL WHEN asked IS NULL THEN json_object('turn', call_turn) ELSE json_object('text', asked, 'turn', call_turn) END,
-    'id', call_id, 'issues', issues, 'name', CASE WHEN call_turn IS NOT NULL THEN 'reply' END, 'position', position, 'result', answer) AS VARCHAR) AS canonical
+    'content', NULL, 'id', call_id, 'issues', issues, 'name', CASE WHEN call_turn IS NOT NULL THEN 'reply' END, 'position', position,
+    'result', CASE WHEN kind <> 'no_result' THEN json_object('after', [], 'arguments', NULL, 'content', answer, 'role', 'assistant') END, 'role', CASE WHEN call_turn IS NOT NULL THEN 'user' END) AS VARCHAR) AS canonical
 FROM judged
 UNION ALL
-SELECT conv_id, 'message', NULL, turn, NULL, count(*), '', CAST(json_object('content', text, 'role', role) AS VARCHAR)
+SELECT conv_id, 'message', NULL, turn, NULL, count(*), '', CAST(json_object('after', [], 'arguments', NULL, 'content', text, 'id', NULL, 'name', NULL, 'role', role) AS VARCHAR)
 FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY conv_id, turn, text, role
 """
 

@@ -11,7 +11,7 @@ from auditloom.registry import Registry, read
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix|' || CAST(doc_id AS VARCHAR)) AS hash
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS hash
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM docs GROUP BY source),
 turns AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM sizes),

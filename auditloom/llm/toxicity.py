@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Three fifths of them, by another hash, fill the dictionaries: the toxic one with the words whose document frequencies
     differ more between the labels, by the log likelihood ratio, than chance explains, the ordinary one with all others
     that two or more ordinary texts hold. The rest sets threshold and weights, with rows weighted so that the labels keep
-    their share. Of contradicting labels of one key, toxic counts. Rows whose label is neither 0 nor 1 and rows without a
+    their share. Of contradicting labels of one key, toxic counts; of several texts of one key, that of the least hash. Rows whose label is neither 0 nor 1 and rows without a
     key are left out. Without labels of both kinds the score is the share of 1.
 
     The contents are raw-content dictionaries in the order of use. Dictionaries made by the compressor's own trainer tell
@@ -151,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for value in (0, 1):
         part = good.filter(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(sample)
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("key"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("key"))  # 2 * sample keys
+    # one row a key, however many rows have it
+    rows = rows.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_least")).select("key", "label", "_least.text")
     rows = cut(rows.select("label", (F.pmod(F.xxhash64("key", F.lit("half")), F.lit(5)) < 3).alias("first"), "text"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
