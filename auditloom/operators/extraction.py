@@ -13,6 +13,7 @@ from auditloom.functions import text as tx
 from auditloom.functions import vocabulary as vc
 from auditloom.functions.markdown import findings
 from auditloom.functions.statements import basis_points, matched, stated
+from auditloom.operators.rules import Profile, Rule, evaluated
 
 
 def words_of(docs: DataFrame) -> DataFrame:
@@ -149,8 +150,10 @@ def score_candidates(candidates: DataFrame, wide: int = 800, high: int = 600) ->
         "evidence": F.col("evidence"), "prominence": F.coalesce(F.col("height") / F.nullif(F.max("height").over(case), F.lit(0)), F.lit(0.0)), "area": area / F.max(area).over(case),
         "centrality": F.greatest(F.lit(0.0), 1 - off / 2), "alignment": F.coalesce("alignment", F.lit(1.0)), "proximity": F.coalesce("proximity", F.lit(1.0)),
     }
-    told = candidates.withColumns({f"f_{k}": F.round(c, 6) for k, c in factors.items()})
-    return told.withColumn("total", F.round(sum((F.col(f"f_{k}") * w for k, w in vc.WEIGHTS.items()), F.lit(0.0)), 8))
+    # factors are whole millionths and weights whole hundredths, so their sum is exact whatever the order
+    told = candidates.withColumns({f"_{k}": F.floor(c * 1_000_000 + 0.5).cast("long") for k, c in factors.items()})
+    total = sum((F.col(f"_{k}") * F.lit(round(100 * w)) for k, w in vc.WEIGHTS.items()), F.lit(0).cast("long")) / F.lit(100_000_000.0)
+    return told.withColumn("total", total).withColumns({f"f_{k}": F.col(f"_{k}") / F.lit(1_000_000.0) for k in factors}).drop(*[f"_{k}" for k in factors])
 
 
 def select_name(scored: DataFrame) -> DataFrame:
@@ -206,27 +209,27 @@ def declared_vs_observed(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", F.when(F.col("declared") == F.col("observed"), "exact").when(a == b, "equivalent").otherwise("different").alias("equivalence"), tx.similarity(a, b).alias("similarity"))
 
 
-def evaluate_rules(cases: DataFrame) -> DataFrame:
-    """One finding for each case and rule. cases: case_id, sufficient, state, statement, declared, brand, declared_brand.
+def evaluate_rules(cases: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """One finding for each case and rule of a profile, that of wine labels if none is given. cases: case_id, sufficient, and what the profile's rules and its preparation read (the given one: state, statement, declared, brand, declared_brand)."""
+    return evaluated(cases, profile or wine_profile())
 
-    Rules over what is declared or observed run where the evidence suffices; rules that need evidence from elsewhere never run.
-    """
-    declared = basis_points(F.regexp_replace(F.trim("declared"), r"\s*%$", ""))
+
+def wine_profile() -> Profile:
+    """The rules for wine labels; those that need evidence from elsewhere never run."""
     seen = (F.col("state") != "NOT_OBSERVED") & F.col("statement").isNotNull()
+    unsure = F.col("state") == "AMBIGUOUS"
     blank = F.col("declared").isNull() | (F.trim("declared") == "")
-    syntax = F.when(~seen | (F.col("state") == "AMBIGUOUS"), "NEEDS_REVIEW").when(F.col("kind").isin("direct", "range"), "PASS").otherwise("FAIL")
-    compare = (
-        F.when(blank | ~seen | (F.col("state") == "AMBIGUOUS") | (F.col("kind") != "direct") | F.col("points").isNull(), "NEEDS_REVIEW")
-        .when(F.col("points") == F.col("low"), "PASS").otherwise("FAIL")
-    )
-    no_brand = F.col("brand").isNull() | F.col("declared_brand").isNull() | (F.trim("declared_brand") == "") | (F.col("state") == "AMBIGUOUS")
-    brand = F.when(no_brand, "NEEDS_REVIEW").when(tx.brand_base(F.col("brand")) == tx.brand_base(F.col("declared_brand")), "PASS").when(tx.brand_key(F.col("brand")) == tx.brand_key(F.col("declared_brand")), "PASS").otherwise("FAIL")
-    rules = [("brand-name", brand), ("alcohol-syntax", syntax), ("alcohol-declared", compare)] + [(x, None) for x in ("actual-tolerance", "omission-eligibility", "class-boundary")]
-    rows = [
-        F.struct(F.lit(n).alias("rule"), (F.lit("not_run_external_dependency") if c is None else F.when(F.col("sufficient"), "executed").otherwise("not_run_insufficient_evidence")).alias("execution"), (F.lit("not_run") if c is None else F.when(F.col("sufficient"), c).otherwise("not_run")).alias("finding"))
-        for n, c in rules
-    ]
-    return stated(cases, "statement").withColumn("points", declared).select("case_id", F.explode(F.array(*rows)).alias("f")).select("case_id", "f.*")
+    syntax = F.when(~seen | unsure, "NEEDS_REVIEW").when(F.col("kind").isin("direct", "range"), "PASS").otherwise("FAIL")
+    compare = F.when(blank | ~seen | unsure | (F.col("kind") != "direct") | F.col("points").isNull(), "NEEDS_REVIEW").when(F.col("points") == F.col("low"), "PASS").otherwise("FAIL")
+    no_brand = F.col("brand").isNull() | F.col("declared_brand").isNull() | (F.trim("declared_brand") == "") | unsure
+    alike = (tx.brand_base(F.col("brand")) == tx.brand_base(F.col("declared_brand"))) | (tx.brand_key(F.col("brand")) == tx.brand_key(F.col("declared_brand")))
+    brand = F.when(no_brand, "NEEDS_REVIEW").when(alike, "PASS").otherwise("FAIL")
+
+    def prepare(cases: DataFrame) -> DataFrame:
+        return stated(cases, "statement").withColumn("points", basis_points(F.regexp_replace(F.trim("declared"), r"\s*%$", "")))
+
+    elsewhere = [Rule(x, "1", "external-evidence-dependent") for x in ("actual-tolerance", "omission-eligibility", "class-boundary")]
+    return Profile("wine", "1", [Rule("alcohol-syntax", "1", "syntax-validation", syntax), Rule("brand-name", "1", "canonical-text-comparison", brand), Rule("alcohol-declared", "1", "numeric-agreement", compare), *elsewhere], prepare)
 
 
 def evidence_sufficiency(cases: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ NAMES = """SELECT l_orderkey AS case_id, l_linenumber AS id, CAST(floor((l_linen
   CAST(12 + min(l_suppkey) % 30 AS DOUBLE) AS height, CAST(40 + min(l_partkey) % 60 AS DOUBLE) / 100 AS evidence, min(l_returnflag) AS pass_id FROM {} GROUP BY l_orderkey, l_linenumber"""
 DUCK_NAMES = "n AS (SELECT * FROM ({}) b JOIN (VALUES {}) v(t, text, key, positive, chars, informative, alpha, short, words, odd) ON v.t = b.t)".format(NAMES.format("lineitem"), ", ".join(f"({i}, '{x[0].replace(chr(39), chr(39) * 2)}', '{x[1]}', {str(x[2]).lower()}, {', '.join(map(str, x[3:]))})" for i, x in enumerate(NAMED)))
 DUCK_SCORED = """f AS (SELECT *, max(height) OVER c AS top, max(width * height) OVER c AS most FROM n WINDOW c AS (PARTITION BY case_id)),
-  g AS (SELECT *, CASE WHEN positive THEN 1.0::DOUBLE ELSE 0 END AS f_positive, round(least(1, chars / 14::DOUBLE), 6) AS f_meaningful, round(least(1, (informative + (alpha > 1)::INT + positive::INT) / 4::DOUBLE), 6) AS f_structure, round(evidence, 6) AS f_evidence, round(height / top, 6) AS f_prominence, round(width * height / most, 6) AS f_area,
-    round(greatest(0, 1 - (abs(x + width / 2 - 400) / 400 + abs(y + height / 2 - 300) / 300) / 2), 6) AS f_centrality, 1.0::DOUBLE AS f_alignment, 1.0::DOUBLE AS f_proximity, round(short / alpha::DOUBLE, 6) AS f_low_information, round(odd / words::DOUBLE, 6) AS f_residual FROM f),
-  k AS (SELECT *, round(0.0::DOUBLE + f_positive * 2.0::DOUBLE + f_meaningful * 1.6::DOUBLE + f_structure * 1.2::DOUBLE + f_evidence * 1.0::DOUBLE + f_prominence * 0.8::DOUBLE + f_area * 0.6::DOUBLE + f_centrality * 0.3::DOUBLE + f_alignment * 0.25::DOUBLE + f_proximity * 0.2::DOUBLE - f_low_information * 1.8::DOUBLE - f_residual * 1.4::DOUBLE, 8) AS total FROM g)"""
+  g AS (SELECT *, CASE WHEN positive THEN 1.0::DOUBLE ELSE 0 END AS f_positive, floor((least(1, chars / 14::DOUBLE)) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_meaningful, floor((least(1, (informative + (alpha > 1)::INT + positive::INT) / 4::DOUBLE)) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_structure, floor((evidence) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_evidence, floor((height / top) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_prominence, floor((width * height / most) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_area,
+    floor((greatest(0, 1 - (abs(x + width / 2 - 400) / 400 + abs(y + height / 2 - 300) / 300) / 2)) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_centrality, 1.0::DOUBLE AS f_alignment, 1.0::DOUBLE AS f_proximity, floor((short / alpha::DOUBLE) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_low_information, floor((odd / words::DOUBLE) * 1000000 + 0.5::DOUBLE) / 1000000::DOUBLE AS f_residual FROM f),
+  k AS (SELECT *, (CAST(round(f_positive * 1000000) AS BIGINT) * 200 + CAST(round(f_meaningful * 1000000) AS BIGINT) * 160 + CAST(round(f_structure * 1000000) AS BIGINT) * 120 + CAST(round(f_evidence * 1000000) AS BIGINT) * 100 + CAST(round(f_prominence * 1000000) AS BIGINT) * 80 + CAST(round(f_area * 1000000) AS BIGINT) * 60 + CAST(round(f_centrality * 1000000) AS BIGINT) * 30 + CAST(round(f_alignment * 1000000) AS BIGINT) * 25 + CAST(round(f_proximity * 1000000) AS BIGINT) * 20 + CAST(round(f_low_information * 1000000) AS BIGINT) * (-180) + CAST(round(f_residual * 1000000) AS BIGINT) * (-140)) / 100000000.0::DOUBLE AS total FROM g)"""
 FACTORS = ["positive", "meaningful", "structure", "evidence", "prominence", "area", "centrality", "alignment", "proximity", "low_information", "residual"]
 KEY = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s''-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
