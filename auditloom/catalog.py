@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import checks, evaluation, extraction, grids, logs, review, sources, texts
+from auditloom.plans import checks, evaluation, extraction, grids, histories, logs, review, sources, texts
 from auditloom.registry import Registry
 
 REGISTRY = Registry()
-for _module in (evaluation, review, grids, logs, extraction, sources, checks, texts):
+for _module in (evaluation, review, grids, logs, extraction, sources, checks, texts, histories):
     _module.register(REGISTRY)
 
 

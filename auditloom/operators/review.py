@@ -32,6 +32,24 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 25, most
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], last: list[Column] | None, size: int = 25, most: int = 50) -> DataFrame:
+    """The page of at most `most` rows that comes behind a row. order: columns and whether they ascend, the last one unique and none of them null; last: that row's values, None for the first page.
+
+    What comes before is left out by a predicate on the columns, which reaches the scan, so a page far behind costs no more than the first.
+    """
+    behind = F.lit(False)
+    for i, (c, up) in enumerate(order if last else []):
+        same = F.lit(True)
+        for (b, _), v in zip(order[:i], last):
+            same &= F.col(b) == v
+        behind |= same & ((F.col(c) > last[i]) if up else (F.col(c) < last[i]))
+    found = rows.filter(behind) if last else rows
+    if last:  # implied by the rest, and simple enough for the scan
+        c, up = order[0]
+        found = found.filter((F.col(c) >= last[0]) if up else (F.col(c) <= last[0]))
+    return found.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).limit(max(1, min(size, most)))
+
+
 def review_queue(submissions: DataFrame, revisions: DataFrame, users: DataFrame, queue: str, number: int, size: int, now: str) -> DataFrame:
     """A page of a queue, oldest first, with the latest revision and who sent it. The page is cut before the join, so a submission without a revision leaves it short."""
     cut = page(queue_filter(submissions, queue), [F.col("created_at"), F.col("submission_id")], number, size)
