@@ -32,13 +32,14 @@ def plain(text: Column) -> Column:
 
 
 def shape(norm: Column) -> Column:
-    """The letters of a text's tokens. A point behind a marker belongs to it; a word that goes on from a number is a number and a question mark."""
-    found = F.regexp_extract_all(norm, F.lit(r"\d+[.,]\d+(?!\w)|[\p{L}\p{N}_]+|\S"), 0)
+    """The letters of a text's tokens. A point right behind a marker belongs to it; a word that goes on from a number is a number and a question mark."""
+    found = F.regexp_extract_all(norm, F.lit(r"\d+[.,]\d+(?!\w)|[\p{L}\p{N}_]+\.?|\S"), 0)
     known = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
     digits = lambda t: F.translate(t, "0123456789", "")
     letter = lambda t: F.coalesce(F.try_element_at(known, t), F.when(digits(t).isin("", ".", ",") & (digits(t) != t), "N").when(digits(t) != t, F.concat(F.lit("N"), digits(t), F.lit("?"))).otherwise(t))
-    whole = F.array_join(F.transform(found, letter), "")
-    return F.replace(F.replace(whole, F.lit("A."), F.lit("A")), F.lit("V."), F.lit("V"))
+    base = lambda t: F.when(F.length(t) > 1, F.rtrim(t, F.lit("."))).otherwise(t)
+    pointed = lambda t: F.when((base(t) != t) & ~letter(base(t)).isin("A", "V"), ".").otherwise("")
+    return F.array_join(F.transform(found, lambda t: F.concat(letter(base(t)), pointed(t))), "")
 
 
 def number(norm: Column, n: int) -> Column:

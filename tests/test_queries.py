@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditloom.catalog import REGISTRY
 from auditloom.functions import statements, text
 from auditloom.functions.scores import alcohol_class, brand_class
-from auditloom.operators import checks, extraction, grids, logs, review, sealing
+from auditloom.operators import extraction, grids, logs, review, sealing, spatial
 from auditloom.sources import tables
 from auditloom.streaming import review as streams
 
@@ -124,7 +124,7 @@ def test_multiset_diff_keeps_counts(spark):
 
 def test_union_area(spark):
     boxes = [(1, 0.0, 0.0, 0.5, 0.5), (1, 0.25, 0.25, 0.75, 0.75), (1, 0.0, 0.0, 0.1, 0.1), (2, 0.0, 0.0, 0.2, 0.2), (2, 0.5, 0.0, 0.6, 1.0)]
-    got = {r["case_id"]: r["area"] for r in grids.union_area(spark.createDataFrame(boxes, "case_id int, x0 double, y0 double, x1 double, y1 double")).collect()}
+    got = {r["case_id"]: r["area"] for r in spatial.union_area(spark.createDataFrame(boxes, "case_id int, x0 double, y0 double, x1 double, y1 double")).collect()}
     assert got == {1: pytest.approx(0.4375), 2: pytest.approx(0.14)}
 
 
@@ -220,7 +220,7 @@ def test_lines_are_grouped_first_fit(spark):
 
 def test_word_components(spark):
     boxes = [(c, 100 * c + i, x, y, x + 0.04, y + 0.03) for c in range(2) for i in range(40) for x, y in [(random.random() * 0.9, random.random() * 0.9)]]
-    got = {r["id"]: r["component"] for r in checks.word_components(spark.createDataFrame(boxes, "case_id int, id int, x0 double, y0 double, x1 double, y1 double"), 0.02, 16).collect()}
+    got = {r["id"]: r["component"] for r in spatial.word_components(spark.createDataFrame(boxes, "case_id int, id int, x0 double, y0 double, x1 double, y1 double"), 0.02, 0.0, 0.0).collect()}
     root = {b[1]: b[1] for b in boxes}
     changed = True
     while changed:
