@@ -334,8 +334,8 @@ def test_chat(spark):
     assert [got[k]["position"] for k in "abdef"] == [0, 1, 2, None, None]
     assert got["a"]["issues"] == [] and got["b"]["issues"] == ["additional", "missing:turn", "short:text"] and got["b"]["n_repeats"] == 2
     assert got["d"]["issues"] == ["arguments_not_object", "unknown_tool"] and got["e"]["issues"] == ["arguments_not_object", "cycle"]
-    assert got["a"]["canonical"] == '{"arguments":{"text":"long enough to be fine","turn":2},"id":"a","issues":[],"name":"reply","position":0,"result":"ok"}'
-    assert got[0]["canonical"] == '{"content":"say \\"hi\\"\\n","role":"system"}'
+    assert got["a"]["canonical"] == '{"after":[],"arguments":{"text":"long enough to be fine","turn":2},"content":null,"id":"a","issues":[],"name":"reply","position":0,"result":{"after":[],"arguments":null,"content":"ok","role":"assistant"},"role":"user"}'
+    assert got[0]["canonical"] == '{"after":[],"arguments":null,"content":"say \\"hi\\"\\n","id":null,"name":null,"role":"system"}'
     assert chat.link(df.limit(0), SCHEMAS).count() == 0
 
 

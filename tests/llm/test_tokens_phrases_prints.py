@@ -143,7 +143,7 @@ def slowly_collocated(rows, least, depth, share, top):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, found in out.items() for i, (score, a, p, left, right) in enumerate(sorted(found)[:top]))
 
 
-@pytest.mark.parametrize("size", [64, 1 << 21])
+@pytest.mark.parametrize("size", [64, phrases.SYMBOLS])
 @pytest.mark.parametrize("share", [100, 60])
 def test_phrases_equal_brute_force(spark, size, share):
     rng = random.Random(5)

@@ -21,7 +21,7 @@ def test_calls_and_results_keep_all_their_fields(spark):
         (None, 4, "user", None, "k", "f", '{"x":1}', ["z"]), (None, 5, "tool", "lone", "k", None, None, None),
     ]
     got = chat.link(spark.createDataFrame(rows, MESSAGES), SCHEMA).collect()
-    said = sorted((r["kind"], json.loads(r["canonical"])) for r in got if True) if False else {(r["kind"], r["seq"]): json.loads(r["canonical"]) for r in got}
+    said = {(r["kind"], r["seq"]): json.loads(r["canonical"]) for r in got}
     assert len(got) == 5
     first, second = said["linked", 0], said["repeated_call", 1]
     assert (first["content"], second["content"], first["role"]) == ("call text A", "call text B", "assistant")
