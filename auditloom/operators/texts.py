@@ -36,6 +36,7 @@ def run_signals(runs: DataFrame, size: int = 5) -> DataFrame:
 
     An index of first sequences by token takes the place of a look at all earlier runs. A token meets texts by the rarest of its runs
     of `size` characters (of all it has, if it is shorter), so a run that all texts have is looked for only if a token has no other.
+    All sides come out of explodes, whose size Spark takes for that of the table before; the hint keeps them from being broadcast.
     """
     key = ["log", "sequence", "run_id"]
     texts = runs.select(*key, folded(F.col("text")).alias("body")).filter("body <> ''").distinct()
@@ -46,16 +47,17 @@ def run_signals(runs: DataFrame, size: int = 5) -> DataFrame:
     lengths = sorted(r["n"] for r in parts.select("n").distinct().collect())  # `size` numbers at most
     if not lengths:
         lengths = [size]
-    of_length = lambda x: F.transform(_grams(F.col("body"), F.lit(x)), lambda g: F.struct(F.lit(x).alias("n"), g.alias("g")))
+    # a look ahead from each place takes time linear in the text, a substring at each place takes the square of it
+    of_length = lambda x: F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{x}}}))"), 1)), lambda g: F.struct(F.lit(x).alias("n"), g.alias("g")))
     each = F.flatten(F.array(*map(of_length, lengths)))
     grams = texts.select(*key, F.xxhash64("body").alias("text_id"), F.explode(each).alias("x")).select(*key, "text_id", "x.n", "x.g")
     often = grams.groupBy("log", "n", "g").agg(F.count("*").alias("texts"))
     # all of a token's runs are in some text, or the token is in none
-    rarest = parts.join(often, ["log", "n", "g"], "left").groupBy("log", "token").agg(F.min(F.struct("texts", "n", "g")).alias("a"), F.count_if(F.col("texts").isNull()).alias("unseen")).filter("unseen = 0")
-    anchors = rarest.select("log", "token", "a.n", "a.g").join(first, ["log", "token"])
-    met = grams.join(anchors, ["log", "n", "g"]).filter(F.col("sequence") > F.col("first_sequence")).select(*key, "text_id", "kind", "token", "first_sequence")
-    held = met.join(texts.withColumn("text_id", F.xxhash64("body")), [*key, "text_id"]).filter(F.expr("contains(body, token)")).select(*key, "kind", "token", "first_sequence").distinct()
-    foreign = held.join(brought, [*key, "kind", "token"], "left_anti")
+    rarest = parts.join(often.hint("merge"), ["log", "n", "g"], "left").groupBy("log", "token").agg(F.min(F.struct("texts", "n", "g")).alias("a"), F.count_if(F.col("texts").isNull()).alias("unseen")).filter("unseen = 0")
+    anchors = rarest.select("log", "token", "a.n", "a.g").join(first.hint("merge"), ["log", "token"])
+    met = grams.join(anchors.hint("merge"), ["log", "n", "g"]).filter(F.col("sequence") > F.col("first_sequence")).select(*key, "text_id", "kind", "token", "first_sequence")
+    held = met.join(texts.withColumn("text_id", F.xxhash64("body")).hint("merge"), [*key, "text_id"]).filter(F.expr("contains(body, token)")).select(*key, "kind", "token", "first_sequence").distinct()
+    foreign = held.join(brought.hint("merge"), [*key, "kind", "token"], "left_anti")
     words = F.array_intersect(F.array(*map(F.lit, COMPARING)), F.regexp_extract_all("body", F.lit(r"[A-Z0-9_]+"), 0))
     compared = texts.select(*key, F.lit("comparison").alias("kind"), F.explode(words).alias("token"), F.lit(None).cast(first.schema["first_sequence"].dataType).alias("first_sequence")).distinct()
     return foreign.select(*key, "kind", "token", "first_sequence").unionByName(compared)

@@ -39,6 +39,13 @@ def test_run_signals_equal_brute_force(spark):
     assert tx.run_signals(spark.createDataFrame([], got.sparkSession.createDataFrame(rows[:1], "log string, sequence int, run_id string, text string, tokens array<struct<kind:string,token:string>>").schema)).collect() == []
 
 
+def test_run_signals_broadcast_no_exploded_side(spark):
+    rows = [("a", 1, "r1", "😀lpha beta", [("k", "Alpha")]), ("a", 2, "r2", "x😀lpha  beta gone", [("k", "😀lpha b")]), ("a", 3, "r3", "one 😀LPHA beta", [])]
+    got = tx.run_signals(spark.createDataFrame(rows, "log string, sequence int, run_id string, text string, tokens array<struct<kind:string,token:string>>"))
+    assert {tuple(r) for r in got.collect()} == slow_signals(rows)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_common(a: str, b: str):
     for n in range(len(a), 0, -1):
         for i in range(len(a) - n + 1):
