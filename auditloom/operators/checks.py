@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window
@@ -157,25 +158,126 @@ def edit_distance(a: str, b: str) -> int:
     return table[-1][-1]
 
 
-def nearest_span(spans: DataFrame, truth: DataFrame) -> DataFrame:
-    """The span nearest to each case's truth by edit distance, swaps of neighbours being one edit, among those of about as many words. spans: case_id, n, span; truth: case_id, truth.
+def prefix_distances(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, goals: np.ndarray, wides: np.ndarray) -> np.ndarray:
+    """edit_distance to a goal of each part text[start : start + length], by length and start; length up to the start's size.
 
-    A distance without swaps is twice one with them at most, so spans beyond twice the least distance without swaps can't be
-    nearest; only the others are measured with swaps.
+    text: characters as numbers; sizes: descending; goals: by character and start, wides: how many of these count.
+    A swap is worth its price only where the two characters are neighbours in the text or in the goal: else replacing is as
+    cheap. So a cell looks at what is least among the goal's columns before it, and among the text's rows before it.
+    """
+    n, wide, most = len(starts), len(goals), int(sizes.max(initial=0))
+    longest = most + wide + max(most, wide) + 2  # the most that is counted up to
+    kind = np.int8 if longest < 127 else np.int16 if longest < 32767 else np.int32
+    far = kind(most + wide + 2)
+    column, each = np.arange(wide + 1, dtype=kind)[:, None], np.arange(n)
+    out = np.full((most + 1, n), far, kind)
+    out[0] = wides
+    before = np.repeat(column, n, 1)
+    old = last = None
+    upper = np.full((wide, n), far, kind)  # by column: the least that a swap with a row before costs, less the row that it ends in
+    for i in range(1, most + 1):
+        m = n - int(np.searchsorted(sizes[::-1], i))  # starts whose text is so long
+        if m < before.shape[1]:
+            before, upper, goals = before[:, :m], upper[:, :m], goals[:, :m]
+            old, last = (None, None) if old is None else (old[:, :m], last[:, :m])
+        other = text[starts[:m] + (i - 1)] != goals
+        bar = np.where(other, far, -far)  # what is no swap counts as far
+        row = np.empty((wide + 1, m), kind)
+        row[0] = i
+        np.add(before[:-1], other, out=row[1:])
+        np.minimum(row[1:], before[1:] + kind(1), out=row[1:])
+        if old is not None and wide > 1:
+            left = np.maximum(old[:-1] - column[1:], bar)
+            for j in range(1, wide):
+                np.minimum(left[j], left[j - 1], out=left[j])
+            np.minimum(row[2:], np.maximum(left[:-1] + column[2:], last[1:]), out=row[2:])
+            np.minimum(row[2:], np.maximum(upper[1:] + kind(i), bar[:-1]), out=row[2:])
+        for j in range(1, wide + 1):
+            np.minimum(row[j], row[j - 1] + kind(1), out=row[j])
+        if wide > 1:
+            np.minimum(upper[1:], np.maximum(before[:-2] - kind(i), bar[1:]), out=upper[1:])
+        old, before, last = before, row, bar
+        out[i, :m] = row[wides[:m], each[:m]]
+    return out
+
+
+#: Starts of spans whose tables are filled at once, and cells of these tables, at most.
+STARTS, CELLS = 4096, 1 << 24
+
+
+def nearest_of(cases: list[tuple[list[str], str]]) -> list[tuple[str, int] | None]:
+    """For each case (words, truth) the run of words nearest to its truth, of as many words, one fewer or one more, and how far it is; of equal ones the least. The longest run from a word on tells of the shorter ones."""
+    low = [[w.lower() for w in words] for words, _ in cases]
+    goals = [truth.lower() for _, truth in cases]
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+    text = codes("\n".join(map(" ".join, low)))
+    table = np.zeros((max(map(len, goals)), len(cases)), "<u4")
+    for i, g in enumerate(goals):
+        table[: len(g), i] = codes(g)
+    kind = np.uint8 if max(text.max(initial=0), table.max(initial=0)) < 256 else np.uint32
+    text, table, wides = text.astype(kind), table.astype(kind), np.array([*map(len, goals)])
+    parts, begin = [], 0
+    for i, ((_, truth), words) in enumerate(zip(cases, low)):
+        ends = begin + np.cumsum([len(w) + 1 for w in words]) - 1
+        starts, n, k = np.concatenate([[begin], ends[:-1] + 1]), len(words), len(truth.split(" "))
+        # by number of words: the length of the span from each start on, -1 if the words don't suffice
+        sizes = [np.concatenate([ends[c - 1 :] - starts[: n - c + 1], np.full(c - 1, -1)]) if 0 < c <= n else np.full(n, -1) for c in (k - 1, k, k + 1)]
+        if n:
+            parts.append((np.full(n, i), np.arange(n), starts, *sizes))
+            begin = ends[-1] + 1
+        else:
+            begin += 1
+    found: list[tuple[int, str] | None] = [None] * len(cases)
+    if not parts:
+        return found
+    case, word, starts, *sizes = map(np.concatenate, zip(*parts))
+    sizes = np.stack(sizes)
+    # no distance is above the longer length, and none is below the difference of lengths: what is longer than the truth by more than the best bound can't be nearest
+    upper = np.full(len(cases), 1 << 30)
+    np.minimum.at(upper, case, np.where(sizes >= 0, np.maximum(sizes, wides[case]), 1 << 30).min(0))
+    sizes = np.where(sizes - wides[case] > upper[case], -1, sizes)
+    most = sizes.max(0)
+    order = np.argsort(-most, kind="stable")
+    order = order[most[order] >= 0]
+    while len(order):
+        n = max(1, min(STARTS, CELLS // (int(most[order[0]]) + len(table) + 2)))
+        at, order = order[:n], order[n:]
+        far = prefix_distances(text, starts[at], most[at], table[:, case[at]], wides[case[at]])
+        size, of = sizes[:, at], case[at]
+        d = np.where(size >= 0, far[size.clip(0), np.arange(len(at))].astype(np.int32), 1 << 30)
+        least = np.full(len(cases), 1 << 29, np.int32)
+        np.minimum.at(least, of, d.min(0))
+        for q, j in zip(*np.nonzero(d == least[of])):
+            i, w = of[j], word[at[j]]
+            k = len(cases[i][1].split(" ")) - 1 + q
+            span = int(d[q, j]), " ".join(cases[i][0][w : w + k])
+            found[i] = span if found[i] is None else min(found[i], span)
+    return [f and (f[1], f[0]) for f in found]
+
+
+def nearest_span(cases: DataFrame, start: int = 0) -> DataFrame:
+    """(case_id, span, distance, kind): the span nearest to each case's truth by edit distance, swaps of neighbours being one edit, the least span of equal ones.
+
+    cases: case_id, truth, words (array), one row a case. Spans are the runs of words from place `start` on that have as many words as the
+    truth, one fewer or one more; case doesn't count. Cases without truth or span have no row. A case is measured where it stands: no span is shuffled.
     """
-    t = truth.select("case_id", F.lower("truth").alias("truth"), F.size(F.split("truth", " ")).alias("k"))
-    d = spans.select("case_id", "n", "span").distinct().join(t, "case_id").filter(F.abs(F.col("n") - F.col("k")) <= 1).withColumn("plain", F.levenshtein(F.lower("span"), F.col("truth")))
-    least = d.groupBy("case_id").agg(F.min("plain").alias("least"))
-    close = d.join(least, "case_id").filter(F.col("plain") <= 2 * F.col("least")).select("case_id", "span", "truth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [edit_distance(x.lower(), y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["case_id", "span", "truth", "d"])
-
-    measured = close.mapInArrow(run, T.StructType([*close.schema.fields, T.StructField("d", T.IntegerType())]))
-    best = measured.groupBy("case_id").agg(F.min(F.struct("d", "span")).alias("b"), F.max(F.length("truth")).alias("len"))
-    return best.select("case_id", F.col("b.span").alias("span"), F.col("b.d").alias("distance"), F.when(F.col("b.d") <= 2, "near_miss").when(F.col("b.d") * 2 <= F.col("len"), "partial").otherwise("none").alias("kind"))
+            ids, truths, words = (c.to_pylist() for c in batch.columns)
+            rows, held, n = [], [], 0
+            order = sorted(range(len(ids)), key=lambda i: len(truths[i]))  # truths of like lengths together
+            for at in order:
+                held.append(at)
+                n += len(words[at])
+                if n >= STARTS or at == order[-1]:
+                    rows += [(ids[i], *b, len(truths[i])) for i, b in zip(held, nearest_of([(words[i][start:], truths[i]) for i in held])) if b]
+                    held, n = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32()))], names=["case_id", "span", "distance", "len"])
+
+    given = cases.select("case_id", "truth", "words").filter("truth IS NOT NULL AND words IS NOT NULL")
+    found = given.mapInArrow(run, T.StructType([given.schema["case_id"], T.StructField("span", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("len", T.IntegerType())]))
+    return found.select("case_id", "span", "distance", F.when(F.col("distance") <= 2, "near_miss").when(F.col("distance") * 2 <= F.col("len"), "partial").otherwise("none").alias("kind"))
 
 
 def category_readiness(pairs: DataFrame) -> DataFrame:

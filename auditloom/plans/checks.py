@@ -63,14 +63,11 @@ REGIONS = [
 ]
 
 
-def nearest(lined):
-    """All spans of two to four words from the ninth word on, letters alone, against the first three words of each case."""
-    plain = lined.withColumn("text", F.regexp_replace("text", "[^a-zA-Z]", ""))
-    w = Window.partitionBy("case_id").orderBy("ix")
-    spans = [F.when(F.lead("text", n - 1).over(w).isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.lead("text", i).over(w) for i in range(n)]).alias("span"))) for n in (2, 3, 4)]
-    every = plain.filter("ix >= 8").select("case_id", F.array(*spans).alias("x")).select("case_id", F.explode(F.array_compact("x")).alias("x")).select("case_id", "x.n", "x.span")
-    truth = plain.withColumn("truth", F.concat_ws(" ", *[F.lead("text", i).over(w) for i in range(3)])).withColumn("enough", F.lead("text", 2).over(w).isNotNull()).filter("ix = 0 AND enough")
-    return ck.nearest_span(every, truth.select("case_id", "truth"))
+def nearest(docs):
+    """The span nearest to the first three words of each text, letters alone, from the ninth word on."""
+    words = F.transform(F.split(F.trim("text"), r"\s+"), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    plain = docs.select(F.col("doc_id").alias("case_id"), words.alias("words")).filter(F.size("words") >= 3)
+    return ck.nearest_span(plain.withColumn("truth", F.array_join(F.slice("words", 1, 3), " ")), start=8)
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +128,7 @@ def register(r: Registry) -> None:
     r.add("j17_nearest_span", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, ix, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS text FROM lined), v AS (SELECT *, lead(text) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3 FROM k WINDOW w AS (PARTITION BY case_id ORDER BY ix)),
         s AS (SELECT case_id, text || ' ' || t1 AS span FROM v WHERE ix >= 8 AND t1 IS NOT NULL UNION SELECT case_id, text || ' ' || t1 || ' ' || t2 FROM v WHERE ix >= 8 AND t2 IS NOT NULL UNION SELECT case_id, text || ' ' || t1 || ' ' || t2 || ' ' || t3 FROM v WHERE ix >= 8 AND t3 IS NOT NULL), t AS (SELECT case_id, text || ' ' || t1 || ' ' || t2 AS truth FROM v WHERE ix = 0 AND t2 IS NOT NULL),
         d AS (SELECT s.case_id, span, damerau_levenshtein(lower(span), lower(truth)) AS d, length(truth) AS len FROM s JOIN t ON t.case_id = s.case_id), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY d, encode(span)) = 1)
-        SELECT case_id, span, CAST(d AS INT) AS distance, CASE WHEN d <= 2 THEN 'near_miss' WHEN d * 2 <= len THEN 'partial' ELSE 'none' END AS kind FROM b""")(lambda s, d: nearest(lined(s, d)))
+        SELECT case_id, span, CAST(d AS INT) AS distance, CASE WHEN d <= 2 THEN 'near_miss' WHEN d * 2 <= len THEN 'partial' ELSE 'none' END AS kind FROM b""")(lambda s, d: nearest(view(s, d, "documents")))
     r.add("j21_category_readiness", bx(", c AS (SELECT case_id, target, bool_or(coverage >= 0.5 AND (proposal + target) % 3 > 0) AS clear FROM ov GROUP BY ALL) SELECT case_id, count(*) AS targets, count(*) FILTER (clear) AS clear, bool_and(clear) AS ready FROM c GROUP BY 1"))(lambda s, d: ck.category_readiness(g.overlap_join(boxes(s, d)).withColumn("agrees", F.expr("(proposal + target) % 3 > 0"))))
     r.add("j22_provenance_reconcile", duck("fx_expected", "fx_actual", sql="SELECT * FROM (SELECT e.case_id, CASE WHEN a.case_id IS NULL THEN 'ANALYZER_ABSENT' WHEN e.digest <> a.digest THEN 'ANALYZER_DIFFERS' WHEN e.case_id % 19 = 0 THEN 'RUN_ABSENT' END AS code FROM fx_expected e LEFT JOIN fx_actual a ON a.case_id = e.case_id) WHERE code IS NOT NULL"))(lambda s, d: ck.provenance_reconcile(view(s, d, "fx_expected"), view(s, d, "fx_actual"), view(s, d, "fx_actual").filter("case_id % 19 <> 0"), "case_id"))
     runs = lambda s, d: s.sql(PRINTS.format("{p}"), p=view(s, d, "supplier"))

@@ -9,6 +9,7 @@ import unicodedata
 
 import pytest
 
+from auditloom.operators import checks as ck
 from auditloom.operators import texts as tx
 
 
@@ -111,6 +112,21 @@ def test_lines_of_one_side_tell_all_differences(spark):
         assert r["classes"] == holding and r["others"] > 0
 
 
+def test_nearest_spans_equal_brute_force_and_shuffle_none(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aBc😀"[: rng.randint(2, 4)]) for _ in range(rng.randint(0, 5)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 4))), [word() for _ in range(rng.randint(0, 9))]) for i in range(300)] + [(300, None, ["a"]), (301, "a", None), (302, "x" * 60 + "ba x", ["a" * 100 + "b", "ba", "x" * 70])]
+    want = {}
+    for i, truth, words in rows:
+        k, words = len((truth or "").split(" ")), (words or [])[1:]
+        spans = {" ".join(words[a : a + n]) for n in range(max(1, k - 1), k + 2) for a in range(len(words) - n + 1)}
+        if truth is not None and spans:
+            want[i] = min((ck.edit_distance(x.lower(), truth.lower()), x) for x in spans)
+    got = ck.nearest_span(spark.createDataFrame(rows, "case_id int, truth string, words array<string>"), start=1)
+    assert {r["case_id"]: (r["distance"], r["span"]) for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_tables(spark, n):
     lines = spark.createDataFrame([(1, 0, "x")][:n], "case_id int, line int, text string")
