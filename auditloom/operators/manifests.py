@@ -119,9 +119,11 @@ def corpus_issues(entries: DataFrame) -> DataFrame:
     any_of = lambda names: F.coalesce(*[c(x).cast("string") for x in names]).isNotNull()
     lacks = lambda names: F.greatest(*[c(x).isNull().cast("int") for x in names]) == 1
     order = ["role", "image", "manifest", "derived_from"]
-    e = entries.withColumns({"nth_id": F.row_number().over(Window.partitionBy("id").orderBy(*order)), "nth_path": F.row_number().over(Window.partitionBy("directory", "image").orderBy("id", *order))})
+    no_path = F.when(c("directory").isNull() | c("image").isNull(), c("id"))  # what has no path repeats none, so it needs no group of its own kind
+    e = entries.withColumns({"nth_id": F.row_number().over(Window.partitionBy("id").orderBy(*order)), "nth_path": F.row_number().over(Window.partitionBy("directory", "image", no_path).orderBy("id", *order))})
     ids = entries.select(c("id").alias("_parent")).distinct()
-    e = e.join(ids, c("derived_from") == c("_parent"), "left")
+    spread = F.xxhash64(F.coalesce(c("derived_from").cast("string"), c("id").cast("string")))  # rows without a parent would all meet in one task by their null
+    e = e.join(ids, (c("derived_from") == c("_parent")) & (spread == F.xxhash64(c("_parent").cast("string"))), "left")
     rules = {
         "repeated_id": c("nth_id") > 1, "repeated_image": c("image").isNotNull() & c("directory").isNotNull() & (c("nth_path") > 1),
         "reason_missing": away & c("unavailable_reason").isNull(), "unavailable_real": away & c("from_picture"), "unavailable_assets": away & assets, "reason_of_available": ~away & c("unavailable_reason").isNotNull(),

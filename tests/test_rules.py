@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,11 @@ def test_counterbalanced_order_is_balanced(spark):
     assert sum(v[1] == "A" for v in by_case.values()) == 251
     first = min(range(501), key=lambda i: hashlib.md5(f"s|{i}".encode()).hexdigest())
     assert next(r["rank"] for r in got if r["case_id"] == first) == 1
+
+
+def test_rows_without_a_path_or_parent_do_not_meet(spark):
+    from auditloom.catalog import REGISTRY
+
+    plan = REGISTRY.queries["v6_corpus_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(directory" in plan and not re.search(r"hashpartitioning\(directory#\d+, image#\d+, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\(derived_from#\d+L?, \d+\)", plan)
