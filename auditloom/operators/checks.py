@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window
@@ -318,31 +320,50 @@ def pairwise_fingerprints(prints: DataFrame, columns: list[str]) -> DataFrame:
     return found
 
 
-def token_coverage(words: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected tokens that a case has whole, as two to four neighbours run together, or not at all. words: case_id, ix, text; expected: case_id, token."""
-    w = Window.partitionBy("case_id").orderBy("ix")
-    runs = [F.lower("text")]
-    for i in range(1, 4):
-        runs.append(F.concat(runs[-1], F.lower(F.lead("text", i).over(w))))
-    every = words.select("case_id", F.array(*runs).alias("runs")).select("case_id", F.posexplode("runs").alias("pieces", "token")).filter("token IS NOT NULL")
-    had = every.groupBy("case_id", "token").agg(F.min("pieces").alias("pieces"))
-    j = expected.select("case_id", F.lower("token").alias("token")).join(had, ["case_id", "token"], "left")
-    return j.groupBy("case_id").agg(F.count("*").alias("expected"), F.count_if(F.col("pieces") == 0).alias("present"), F.count_if(F.col("pieces") > 0).alias("fragmented"), F.count_if(F.col("pieces").isNull()).alias("missing"))
+def token_coverage(cases: DataFrame) -> DataFrame:
+    """Expected tokens that a case has whole, as two to four neighbours run together, or not at all. cases: case_id, words (array), expected (array), one row a case; case doesn't count, null tokens are nowhere.
+
+    Each case is counted where it stands: no run of words is shuffled. Cases that expect nothing have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words, expected in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                low, n = [w.lower() for w in words or ()], [0, 0, 0, 0]
+                whole, told = set(low), {}
+                open_ = {t.lower() for t in expected if t is not None} - whole
+                if open_:
+                    for k in (2, 3, 4):
+                        told.update((t, k) for t in open_.intersection(map("".join, zip(*(low[i:] for i in range(k))))) if t not in told)
+                for t in expected:
+                    t = t and t.lower()
+                    n[0 if t in whole else 1 if t in told else 2] += 1
+                out.append((len(expected), *n[:3]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*out)]] if out else [batch.column(0), *[pa.array([], pa.int64())] * 4], names=["case_id", "expected", "present", "fragmented", "missing"])
+
+    asked = cases.select("case_id", "words", "expected").filter(F.size("expected") > 0)
+    return asked.mapInArrow(run, T.StructType([asked.schema["case_id"], *[T.StructField(c, T.LongType()) for c in ("expected", "present", "fragmented", "missing")]]))
+
+
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = lambda t: Counter(map("".join, zip(t, t[1:])) if len(t) > 1 else [t])
+    return pd.Series([sum((pairs(x) & pairs(y)).values()) for x, y in zip(a, b)], dtype="int64")
 
 
 def bigram_similarity(pairs: DataFrame) -> DataFrame:
     """(id, similarity): twice the pairs of neighbouring characters that two texts share, with their counts, over all that they have. pairs: id, a, b.
 
     Texts count without white space around and between words but one space; equal ones are 1, an empty one is 0, and a single character is a pair of its own.
+    Nothing is shuffled.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
-    grams = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
     p = pairs.select("id", norm(F.col("a")).alias("a"), norm(F.col("b")).alias("b"))
-    count = lambda c, n: p.filter(f"{c} <> ''").select("id", F.explode(grams(F.col(c))).alias("g")).groupBy("id", "g").agg(F.count("*").alias(n))
-    both = count("a", "n").join(count("b", "m"), ["id", "g"]).groupBy("id").agg(F.sum(F.least("n", "m")).alias("shared"))
+    shared = F.pandas_udf(_shared, T.LongType())("a", "b")
     size = lambda c: F.greatest(F.lit(1), F.length(c) - 1)
-    value = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).when(F.col("a") == F.col("b"), 1.0).otherwise(2 * F.coalesce("shared", F.lit(0)) / (size(F.col("a")) + size(F.col("b"))))
-    return p.join(both, "id", "left").select("id", F.round(value, 6).alias("similarity"))
+    p = p.withColumn("shared", shared)
+    value = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).when(F.col("a") == F.col("b"), 1.0).otherwise(2 * F.col("shared") / (size(F.col("a")) + size(F.col("b"))))
+    return p.select("id", F.round(value, 6).alias("similarity"))
 
 
 def code_agreement(runs: DataFrame) -> DataFrame:

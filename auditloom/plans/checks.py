@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from auditloom.fixtures import duck, view
 from auditloom.functions import vocabulary as vc
 from auditloom.operators import checks as ck
-from auditloom.operators import extraction as ex
 from auditloom.operators import grids as g
 from auditloom.operators import manifests as mf
 from auditloom.operators import spatial as sp
@@ -70,6 +69,13 @@ def nearest(docs):
     return ck.nearest_span(plain.withColumn("truth", F.array_join(F.slice("words", 1, 3), " ")), start=8)
 
 
+def expecting(docs):
+    """The words of each text from the fourth on; its first three words, and the three from the fourth on run together, are expected."""
+    w = docs.select(F.col("doc_id").alias("case_id"), F.split(F.trim("text"), r"\s+").alias("w"))
+    joined = F.when(F.size("w") >= 6, F.array(F.array_join(F.slice("w", 4, 3), ""))).otherwise(F.array().cast("array<string>"))
+    return w.select("case_id", F.slice("w", 4, 1 << 30).alias("words"), F.concat(F.slice("w", 1, 3), joined).alias("expected"))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region for each part, by turns of REGIONS."""
     turn = lambda k: F.element_at(F.array(*[F.lit(x[k]).cast("string") for x in REGIONS]), (F.col("p_partkey") % len(REGIONS) + 1).cast("int"))
@@ -77,8 +83,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(r: Registry) -> None:
-    words = lambda s, d: ex.words_of(view(s, d, "documents"))
-    lined = lambda s, d: words(s, d).select("case_id", F.floor(F.col("word_ix") / 8).cast("int").alias("line"), F.col("word_ix").alias("ix"), "text")
     boxes = lambda s, d: s.sql(BOX.format("{b}").replace("0.3", "0.3D").replace("0.05", "0.05D").replace("0.1 AS", "0.1D AS"), b=view(s, d, "fx_boxes"))
     bx = lambda sql: duck("fx_boxes", sql=f"WITH b AS ({BOX_DUCK}), {PAIRS} {sql}")
     legal = ", ".join(f"('{a}', '{b}')" for a, b in ck.LEGAL)
@@ -138,7 +142,7 @@ def register(r: Registry) -> None:
     r.add("a20_token_coverage", f"""WITH {WORDS}, {LINED}, k AS (SELECT case_id, lower(text) AS t, lead(lower(text)) OVER w AS t1, lead(lower(text), 2) OVER w AS t2, lead(lower(text), 3) OVER w AS t3 FROM lined WHERE ix >= 3 WINDOW w AS (PARTITION BY case_id ORDER BY ix)), e AS (SELECT case_id, lower(token) AS token FROM ({tops.format('lined')} UNION ALL SELECT * FROM ({want.format('lined')}) WHERE token IS NOT NULL)),
         p AS (SELECT case_id, t AS token, 0 AS n FROM k UNION SELECT case_id, t || t1, 1 FROM k UNION SELECT case_id, t || t1 || t2, 1 FROM k UNION SELECT case_id, t || t1 || t2 || t3, 1 FROM k), h AS (SELECT case_id, token, min(n) AS n FROM p WHERE token IS NOT NULL GROUP BY ALL)
         SELECT e.case_id, count(*) AS expected, count(*) FILTER (n = 0) AS present, count(*) FILTER (n = 1) AS fragmented, count(*) FILTER (n IS NULL) AS missing FROM e LEFT JOIN h ON h.case_id = e.case_id AND h.token = e.token GROUP BY 1""")(
-        lambda s, d: ck.token_coverage(lined(s, d).filter("ix >= 3"), s.sql(tops.format("{w}") + " UNION ALL SELECT * FROM (" + want.format("{w}") + ") WHERE token IS NOT NULL", w=lined(s, d)))
+        lambda s, d: ck.token_coverage(expecting(view(s, d, "documents")))
     )
     pairs = "SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_type, '  ', p_name) WHEN 2 THEN 'x' ELSE '' END AS b FROM {}"
     grams = "SELECT id, g, count(*) AS n FROM (SELECT id, unnest(CASE WHEN length({c}) < 2 THEN [{c}] ELSE list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)) END) AS g FROM p WHERE {c} <> '') GROUP BY ALL"

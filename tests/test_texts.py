@@ -127,6 +127,17 @@ def test_nearest_spans_equal_brute_force_and_shuffle_none(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_and_pairs_of_characters_are_counted_without_a_shuffle(spark):
+    rows = [(1, ["Ab", "c", "D", "e"], ["ab", "BC", "abcde", "x", None]), (2, None, ["a"]), (3, ["a"], []), (4, ["a", "a"], ["aa", "AA", "aaa"])]
+    got = ck.token_coverage(spark.createDataFrame(rows, "case_id int, words array<string>, expected array<string>"))
+    assert {tuple(r) for r in got.collect()} == {(1, 5, 1, 1, 3), (2, 1, 0, 0, 1), (4, 3, 0, 2, 1)}
+    pairs = [(1, "aaaa", "aa b"), (2, " A ", "a"), (3, None, "x"), (4, "a", "b"), (5, "n\u00e9 n\u00e9", "N\u00c9")]
+    alike = ck.bigram_similarity(spark.createDataFrame(pairs, "id int, a string, b string"))
+    assert {tuple(r) for r in alike.collect()} == {(1, round(2 / 6, 6)), (2, 1.0), (3, 0.0), (4, 0.0), (5, round(2 / 5, 6))}
+    for df in (got, alike):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_tables(spark, n):
     lines = spark.createDataFrame([(1, 0, "x")][:n], "case_id int, line int, text string")
