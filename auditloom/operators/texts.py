@@ -112,34 +112,51 @@ class Automaton:
         return best, at
 
 
+#: Characters of a truth whose parts are looked for one by one.
+SHORT = 128
+
+
+def common_part(truth: str, text: str, least: int) -> tuple[int, int]:
+    """Length of the longest part of at least so many characters that both have, and where it first starts in the truth; (0, 0) if there is none."""
+    best, at = least - 1, -1
+    for i in range(len(truth) - least + 1):
+        while i + best < len(truth) and truth[i : i + best + 1] in text:
+            best, at = best + 1, i
+    return (best, at) if at >= 0 else (0, 0)
+
+
 def common_parts(lines: DataFrame, truths: DataFrame, size: int = 5) -> DataFrame:
     """(case_id, truth_length, line, part, length): the longest part that a case's truth has in common with one of its lines.
 
     lines: case_id, line, text; truths: case_id, truth, one row a case. Case counts as it is written. Of equal lengths the
     smallest line counts, then the part that comes first in the truth. Parts of fewer than `size` characters (or than the truth
-    has) are no parts: only lines that share a run of so many characters with the truth are compared at all. A case without
-    one has a null line, part '' and length 0. Null texts hold nothing, a null truth is ''.
+    has) are no parts. A case without one has a null line, part '' and length 0. Null texts hold nothing, a null truth is ''.
+
+    Lines go to their case's truth as they are. Parts of a short truth are looked for in a line by the search for strings, which skips
+    most of it; a long truth becomes an automaton.
     """
     t = truths.select("case_id", F.coalesce("truth", F.lit("")).alias("truth"))
-    n = F.least(F.lit(size), F.length("truth"))
-    wanted = t.filter("truth <> ''").select("case_id", n.alias("n"), F.explode(_grams(F.col("truth"), n)).alias("g"))
-    numbered = lines.select("case_id", "line", F.coalesce("text", F.lit("")).alias("text")).filter("text <> ''").distinct().withColumn("text_id", F.xxhash64("text"))
-    kinds = t.select("case_id", n.alias("n")).filter("n > 0")
-    has = numbered.join(kinds, "case_id").select("case_id", "line", "text_id", "n", F.explode(_grams(F.col("text"), F.col("n"))).alias("g"))
-    close = has.join(wanted, ["case_id", "n", "g"], "left_semi").select("case_id", "line", "text_id").distinct()
-    pairs = close.join(numbered, ["case_id", "line", "text_id"]).join(t, "case_id").select("case_id", "line", "text", "truth")
+    texts = lines.select("case_id", "line", "text").filter("text <> ''")
+    pairs = texts.join(t.filter("truth <> ''").hint("merge"), "case_id").select("case_id", "line", "text", "truth")
     found = pairs.select("case_id", "line").schema.add("at", T.IntegerType()).add("length", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Automaton | None = None  # of the truth before, as lines of a case often stand together
         for batch in batches:
-            out = []
-            for text, truth in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if known is None or known.text != truth:
-                    known = Automaton(truth)
-                out.append(known.common(text))
+            keep, out = [], []
+            for i, (text, truth) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if len(truth) <= SHORT:
+                    part = common_part(truth, text, min(size, len(truth)))
+                else:
+                    if known is None or known.text != truth:
+                        known = Automaton(truth)
+                    part = known.common(text)
+                if part[0] >= min(size, len(truth)):
+                    keep.append(i)
+                    out.append(part)
             length, at = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.int32()), pa.array(length, pa.int32())], names=["case_id", "line", "at", "length"])
+            ids = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(length, pa.int32())], names=["case_id", "line", "at", "length"])
 
     best = pairs.mapInArrow(run, found).groupBy("case_id").agg(F.min(F.struct((-F.col("length")).alias("l"), "line", "at")).alias("b"))
     joined = t.join(best, "case_id", "left")

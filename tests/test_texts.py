@@ -82,6 +82,17 @@ def test_common_parts(spark):
         assert got[case] == want
 
 
+def test_common_parts_of_short_and_long_truths_make_no_grams(spark):
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé😀") for _ in range(rng.randint(1, 14))) for _ in range(2))
+        n, at = slow_common(a, b)
+        assert tx.common_part(a, b, min(3, len(a))) == ((n, at) if n >= min(3, len(a)) else (0, 0))
+    long = "".join(rng.choice("abc") for _ in range(tx.SHORT + 1))
+    got = tx.common_parts(spark.createDataFrame([(1, 0, "x" + long[7:40])], "case_id int, line int, text string"), spark.createDataFrame([(1, long)], "case_id int, truth string"))
+    assert got.first()["length"] == 33 and "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_compact_keys(spark):
     texts = ["Château Bonneau", "CHATEAU  BONNEAU", "chateau-bonneau", "İstanbul & Söhne", "ﬁne", "中文", "", None, "ÅÆØß 7"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.compact("text").alias("key")).collect()
