@@ -16,17 +16,25 @@ from auditloom.functions.statements import basis_points, matched, stated
 from auditloom.operators.rules import Profile, Rule, evaluated
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """A word table: one row for each token of a document with a box on a page of eight words a line."""
-    w = docs.select(F.col("doc_id").alias("case_id"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_ix", "text"))
+def words_of(docs: DataFrame, *more: str) -> DataFrame:
+    """A word table: one row for each token of a document with a box on a page of eight words a line, and more columns of the document."""
+    w = docs.select(F.col("doc_id").alias("case_id"), *more, F.posexplode(F.split(F.trim("text"), r"\s+")).alias("word_ix", "text"))
     n, ix = F.length("text"), F.col("word_ix")
     x0, y0 = 40 * (ix % 8), 28 * F.floor(ix / 8) + (n + ix) % 7
-    return w.select("case_id", "word_ix", "text", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 8 * n).cast("double").alias("x1"), (y0 + 16 + ix % 5).cast("double").alias("y1"), F.when(ix % 17 != 0, 40 + (7 * n + 13 * ix) % 61).cast("int").alias("raw_confidence"))
+    return w.select("case_id", *more, "word_ix", "text", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 8 * n).cast("double").alias("x1"), (y0 + 16 + ix % 5).cast("double").alias("y1"), F.when(ix % 17 != 0, 40 + (7 * n + 13 * ix) % 61).cast("int").alias("raw_confidence"))
 
 
 def map_word_geometry(words: DataFrame, passes: DataFrame) -> DataFrame:
-    """Word boxes in the frame of the whole picture: scale, turn and crop undone, clamped; boxes outside go. passes: case_id, rotate, scale, crop_x, crop_y, w, h."""
-    j = words.join(passes, "case_id")
+    """Word boxes in the frame of the whole picture: scale, turn and crop undone, clamped; boxes outside go. passes: case_id and PASS, one row a case."""
+    return in_frame(words.join(passes, "case_id"))
+
+
+#: Columns that tell how a pass saw its picture.
+PASS = ["rotate", "scale", "crop_x", "crop_y", "w", "h"]
+
+
+def in_frame(j: DataFrame) -> DataFrame:
+    """What map_word_geometry returns, for words that have the columns PASS of their case; nothing is shuffled."""
     u = {c: F.col(c) / F.col("scale") for c in ("x0", "y0", "x1", "y1")}
     pw, ph = F.col("w") / F.col("scale"), F.col("h") / F.col("scale")
     turn = lambda a, b, c, d: F.when(F.col("rotate") == 90, a).when(F.col("rotate") == 180, b).when(F.col("rotate") == 270, c).otherwise(d)

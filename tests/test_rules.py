@@ -60,3 +60,10 @@ def test_rows_without_a_path_or_parent_do_not_meet(spark):
     plan = REGISTRY.queries["v6_corpus_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(directory" in plan and not re.search(r"hashpartitioning\(directory#\d+, image#\d+, \d+\)", plan)
     assert not re.search(r"hashpartitioning\(derived_from#\d+L?, \d+\)", plan)
+
+
+def test_words_meet_their_pass_before_they_are_split(spark):
+    from auditloom.catalog import REGISTRY
+
+    plan = REGISTRY.queries["x1_map_word_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
