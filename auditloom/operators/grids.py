@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,22 +199,42 @@ def overlap_join(boxes: DataFrame, least: float = 0.08) -> DataFrame:
     return both.select("case_id", F.col("l.vec_id").alias("proposal"), F.col("r.vec_id").alias("target"), F.round("coverage", 9).alias("coverage"), F.round(F.col("common") / area("l"), 9).alias("precision"), F.round(F.col("common") / (area("l") + area("r") - F.col("common")), 9).alias("iou"), F.round(area("l"), 9).alias("area"))
 
 
+def leading(rows: DataFrame, key: list[str], order: list[tuple[str, str]]) -> DataFrame:
+    """Rows without those that a row of their own batch and key comes before, by (column, ascending or descending), nulls last. So rows of one key shrink where they are made, before any sort or shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = batch.take(pc.sort_indices(batch, sort_keys=[*((k, "ascending") for k in key), *order]))
+                new = np.zeros(found.num_rows, bool)
+                new[0] = True
+                for k in key:
+                    column = found.column(k)
+                    new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+                yield found.filter(pa.array(new))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def best_proposal(pairs: DataFrame) -> DataFrame:
     """The proposal of the best weighted overlap for each target."""
     score = F.round(10 * F.col("coverage") + 5 * F.col("precision") + 3 * F.col("iou") - 0.25 * F.col("area"), 7)
-    return pairs.withColumn("score", score).groupBy("target").agg(F.max(F.struct("score", (-F.col("proposal")).alias("p"), "coverage")).alias("b")).select("target", (-F.col("b.p")).alias("proposal"), "b.score", (F.col("b.coverage") >= 0.5).alias("hit"))
+    few = leading(pairs.select("target", "proposal", "coverage", score.alias("score")), ["target"], [("score", "descending"), ("proposal", "ascending")])
+    return few.groupBy("target").agg(F.max(F.struct("score", (-F.col("proposal")).alias("p"), "coverage")).alias("b")).select("target", (-F.col("b.p")).alias("proposal"), "b.score", (F.col("b.coverage") >= 0.5).alias("hit"))
 
 
 def representatives(pairs: DataFrame) -> DataFrame:
     """Best proposal by coverage, then smaller area, then id."""
+    few = leading(pairs.select("target", "proposal", "coverage", "area"), ["target"], [("coverage", "descending"), ("area", "ascending"), ("proposal", "ascending")])
     w = Window.partitionBy("target").orderBy(F.desc("coverage"), "area", "proposal")
-    return pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select("target", "proposal", "coverage")
+    return few.withColumn("k", F.row_number().over(w)).filter("k = 1").select("target", "proposal", "coverage")
 
 
 def matching_views(pairs: DataFrame) -> DataFrame:
     """Any match against a single representative: one row a case."""
     any_ = pairs.groupBy("case_id").agg(F.countDistinct("target").alias("any_match"), F.round(F.avg("coverage"), 6).alias("mean"), F.max("coverage").alias("best"))
-    once = pairs.groupBy("case_id", "proposal").agg(F.max(F.struct("coverage", "target")).alias("b")).groupBy("case_id").agg(F.countDistinct("b.target").alias("strict_match"))
+    few = leading(pairs.select("case_id", "proposal", "coverage", "target"), ["case_id", "proposal"], [("coverage", "descending"), ("target", "descending")])
+    once = few.groupBy("case_id", "proposal").agg(F.max(F.struct("coverage", "target")).alias("b")).groupBy("case_id").agg(F.countDistinct("b.target").alias("strict_match"))
     return any_.join(once, "case_id")
 
 

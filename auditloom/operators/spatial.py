@@ -45,7 +45,9 @@ def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
     here = cells(sides[0], "l", kinds[1], ("_lw", "_lh", "_rw", "_rh"))
     there = cells(sides[1], "r", kinds[0], ("_rw", "_rh", "_lw", "_lh"))
-    pairs = here.join(there, [*by, "_lw", "_lh", "_rw", "_rh", "_cx", "_cy"])
+    # cells are few bytes and many pairs: adaptive planning, which goes by bytes, would give them to a few tasks
+    cell, tasks = [*by, "_lw", "_lh", "_rw", "_rh", "_cx", "_cy"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = here.repartition(tasks, *cell).join(there.repartition(tasks, *cell), cell)
     touch = (F.col("_l_x0") <= F.col("_r_x1")) & (F.col("_r_x0") <= F.col("_l_x1")) & (F.col("_l_y0") <= F.col("_r_y1")) & (F.col("_r_y0") <= F.col("_l_y1"))
     begins = (F.col("_cx") == F.floor(F.greatest("_l_x0", "_r_x0") / F.col("_cw"))) & (F.col("_cy") == F.floor(F.greatest("_l_y0", "_r_y0") / F.col("_ch")))
     whole = lambda name, df: F.struct(*[F.col(f"_{name}_{c}").alias(c) for c in df.columns]).alias(name)

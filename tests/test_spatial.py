@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.operators import grids as gr
 from auditloom.operators import spatial as sp
 
 BOX = "case_id int, id int, x0 double, y0 double, x1 double, y1 double"
@@ -100,3 +101,14 @@ def test_components_of_a_crowded_cell(spark):
     start = time.time()
     assert {tuple(r) for r in sp.word_components(words).groupBy("component").count().collect()} == {(0, n // 2), (1, n // 2)}
     assert time.time() - start < 120
+
+
+def test_pairs_shrink_where_they_are_made(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), i, rng.choice([None, 0.1, 0.2, 0.9]), rng.choice([1.0, 2.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "target int, proposal int, coverage double, area double").coalesce(1)
+    few = gr.leading(df, ["target"], [("coverage", "descending"), ("area", "ascending"), ("proposal", "ascending")])
+    assert few.count() < 60
+    want = {t: min((-(c or -1), a, p) for k, p, c, a in rows if k == t)[2] for t in range(6)}
+    assert {r["target"]: r["proposal"] for r in gr.representatives(df).collect()} == want
+    assert "MapInArrow" in gr.representatives(df)._jdf.queryExecution().executedPlan().toString()
