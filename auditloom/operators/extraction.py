@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -251,24 +252,97 @@ def evidence_sufficiency(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", both.alias("x")).select("case_id", "x.check", "x.reason", F.col("x.reason").isin(fine).alias("sufficient"))
 
 
-def contamination(docs: DataFrame, passages: DataFrame, size: int = 8) -> DataFrame:
-    """(doc_id, item_id) of documents that contain a passage, white space apart: an inverted index of word runs, then the exact test.
+#: Bits of the filter that tells where an anchor may begin, at most; bytes of texts whose places are hashed at once; the multiplier of the hash, and what undoes it.
+FILTER, PIECE, TURN = 27, 1 << 18, 0x9E3779B97F4A7C15
+BACK = pow(TURN, -1, 1 << 64)
 
-    A passage is looked for by its first `size` words, so each document word joins at most once a run; passages of fewer words are looked for by all of them.
+
+def _place(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The first (k 0) or second (k 1) bit of a filter of 2 ** bits that stands for a hash."""
+    return (h * np.uint64(BACK) if k else h) >> np.uint64(64 - bits)
+
+
+def _anchored(passages: DataFrame, size: int) -> DataFrame:
+    """Adds n and h: of how many bytes a passage's anchor is, and its hash. An anchor is the passage's first bytes, the largest power of two that it has, up to `size`; none of an empty one."""
+    sizes = [1 << k for k in range(size.bit_length())]
+    length = F.coalesce(F.greatest(F.lit(0), *[F.when(F.octet_length("passage") >= k, k) for k in sizes]), F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for text, n in zip(batch.column("passage").to_pylist(), batch.column("n").to_pylist()):
+                h = sum(b * pow(TURN, k, 1 << 64) for k, b in enumerate(text.encode()[:n])) % (1 << 64)
+                told.append(h - (1 << 64) if h >> 63 else h)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.int64())], names=[*batch.schema.names, "h"])
+
+    rows = passages.select("item_id", "passage", length.alias("n"))
+    return rows.mapInArrow(run, rows.select("*").schema.add("h", "long"))
+
+
+def _filter(anchors: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A bit filter of n anchors: how many bits, and the bits by bytes; 2 ** FILTER bits at most, whatever n is."""
+    bits = min(FILTER, max(20, (n << 10).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_place(h, bits, k) for k in (0, 1)]).astype(np.int64) + 1)], names=["p"])
+
+    blocks = anchors.select("h").mapInArrow(run, "p long").groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for b, m in blocks.collect():  # 2 ** bits / 32768 rows of 4 kB at most
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
+    return bits, out
+
+
+def contamination(docs: DataFrame, passages: DataFrame, size: int = 64) -> DataFrame:
+    """(doc_id, item_id) of documents that contain a passage, white space apart: an index of the passages' anchors, then the exact test.
+
+    Every place of a document is hashed, as many bytes as anchors have, by differences of running sums; what the filter of
+    anchors lets through meets the anchors by a join. Texts are shuffled only where an anchor stands in them.
     """
-    norm = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    p = passages.select("item_id", norm("text").alias("passage")).withColumn("w", F.split("passage", " ")).withColumn("n", F.least(F.size("w"), F.lit(size)))
-    anchors = p.select("item_id", "passage", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")).alias("h"))
-    sizes = [r["n"] for r in anchors.select("n").distinct().collect()]  # at most `size` values
-    d = docs.select("doc_id", norm("text").alias("body")).withColumn("w", F.split("body", " "))
-
-    def at(n: int):
-        return lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("h"))
-
-    runs = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), at(n)) for n in sizes]
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.size("w") >= n, r).otherwise(F.array().cast("array<struct<n:int,h:bigint>>")) for n, r in zip(sizes, runs)])))).alias("g")).select("doc_id", "g.n", "g.h")
-    hits = grams.join(anchors, ["n", "h"]).select("doc_id", "item_id", "passage").distinct()
-    return hits.join(d.select("doc_id", "body"), "doc_id").filter(F.expr("contains(body, passage)")).select("doc_id", "item_id")
+    norm = lambda c: F.trim(F.regexp_replace(c, r"[\t\n\f\r ]+", " "))
+    anchors = _anchored(passages.select("item_id", norm("text").alias("passage")).filter("passage IS NOT NULL"), size)
+    counts = {r["n"]: r["count"] for r in anchors.groupBy("n").count().collect()}  # a row a power of two
+    sizes = sorted(n for n in counts if n)
+    most = max(sizes, default=1)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(anchors.filter("n > 0"), sum(counts[n] for n in sizes)))
+    d = docs.select("doc_id", norm("text").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = shared.value
+        powers, undone = (np.cumprod(np.r_[np.uint64(1), np.full(PIECE + most - 1, x, np.uint64)]) for x in (TURN, BACK))
+        for batch in batches:
+            texts = batch.column("body")
+            wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+            at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            found = [np.empty((3, 0), np.int64)]
+            if 0 in counts:
+                whole = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+                found.append(np.stack((whole, np.zeros_like(whole), np.zeros_like(whole))))
+            for start in range(at[0], at[-1], PIECE) if sizes else ():
+                piece = data[start : min(start + PIECE + most - 1, at[-1])]
+                sums = np.r_[np.uint64(0), np.cumsum(piece * powers[: len(piece)])]
+                for n in sizes:
+                    ends = min(PIECE, len(piece) - n + 1)
+                    if ends <= 0:
+                        continue
+                    h = (sums[n : n + ends] - sums[:ends]) * undone[:ends]
+                    here = np.arange(ends)
+                    for k in (0, 1):  # the second bit only where the first is set
+                        place = _place(h[here] if k else h, bits, k)
+                        here = here[(known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    row = np.searchsorted(at, start + here, "right") - 1
+                    inside = start + here + n <= at[row + 1]  # no anchor goes over the end of its text
+                    found.append(np.unique(np.stack((row[inside], np.full(inside.sum(), n), h[here[inside]].view(np.int64))), axis=1))
+            rows = np.unique(np.concatenate(found, axis=1), axis=1)
+            for k in range(0, rows.shape[1], 256):
+                row, n, h = rows[:, k : k + 256]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(n.astype(np.int32)), pa.array(np.ascontiguousarray(h))], names=[*batch.schema.names, "n", "h"])
+
+    hits = d.mapInArrow(run, d.select("*").schema.add("n", "integer").add("h", "long"))
+    return hits.join(anchors, ["n", "h"]).filter(F.expr("contains(body, passage)")).select("doc_id", "item_id")
 
 
 def broken_links(pages: DataFrame) -> DataFrame:

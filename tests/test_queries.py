@@ -230,3 +230,14 @@ def test_word_components(spark):
                 if a[0] == b[0] and max(b[2] - a[4], a[2] - b[4]) <= 0.02 and max(b[3] - a[5], a[3] - b[5]) <= 0.02 and root[a[1]] > root[b[1]]:
                     root[a[1]], changed = root[b[1]], True
     assert got == root
+
+
+def test_contamination_as_sql_says(spark):
+    docs = [(0, "plain text  of the\n river and a mill that stands by it"), (1, "ab"), (2, None), (3, ""), (4, "x\x0by"), (5, "  ein Fluß\tan der Mühle "), (6, "w " * 200_000 + "the far end"), (6, "the far end"), (7, "x y")]
+    items = [(0, "ain text of"), (1, "b"), (2, "far  en"), (3, " "), (4, None), (5, "x y"), (6, "ß an der M"), (7, "the river and a mill that stands by it"), (7, "the river and a mill that stands by it"), (8, "river and a mill that stands by it, and much further than the text goes on behind the place")]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    c.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = extraction.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(REGISTRY.sql["j16_contamination"]).fetchall())
