@@ -153,16 +153,19 @@ def merge_adjacent_seeds(candidates: DataFrame, top: int = 3, passes: str = "pas
 def score_candidates(candidates: DataFrame, wide: int = 800, high: int = 600) -> DataFrame:
     """Adds the eleven factors of each candidate and their weighted sum, total. Heights and areas count by the most of the case; wide, high: the picture's size."""
     case = Window.partitionBy("case_id")
-    area = F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
     off = F.abs(F.col("x") + F.col("width") / 2 - wide / 2) / (wide / 2) + F.abs(F.col("y") + F.col("height") / 2 - high / 2) / (high / 2)
-    factors = nm.word_factors(F.col("value"), F.col("words"), F.col("positive")) | {
-        "evidence": F.col("evidence"), "prominence": F.coalesce(F.col("height") / F.nullif(F.max("height").over(case), F.lit(0)), F.lit(0.0)), "area": area / F.max(area).over(case),
-        "centrality": F.greatest(F.lit(0.0), 1 - off / 2), "alignment": F.coalesce("alignment", F.lit(1.0)), "proximity": F.coalesce("proximity", F.lit(1.0)),
+    own = nm.word_factors(F.col("value"), F.col("words"), F.col("positive")) | {
+        "evidence": F.col("evidence"), "centrality": F.greatest(F.lit(0.0), 1 - off / 2), "alignment": F.coalesce("alignment", F.lit(1.0)), "proximity": F.coalesce("proximity", F.lit(1.0)),
     }
+    area = F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
+    of_case = {"prominence": F.coalesce(F.col("height") / F.nullif(F.max("height").over(case), F.lit(0)), F.lit(0.0)), "area": F.col("_size") / F.max("_size").over(case)}
     # factors are whole millionths and weights whole hundredths, so their sum is exact whatever the order
-    told = candidates.withColumns({f"_{k}": F.floor(c * 1_000_000 + 0.5).cast("long") for k, c in factors.items()})
-    total = sum((F.col(f"_{k}") * F.lit(round(100 * w)) for k, w in vc.WEIGHTS.items()), F.lit(0).cast("long")) / F.lit(100_000_000.0)
-    return told.withColumn("total", total).withColumns({f"f_{k}": F.col(f"_{k}") / F.lit(1_000_000.0) for k in factors}).drop(*[f"_{k}" for k in factors])
+    whole = lambda factors: {f"_{k}": F.floor(c * 1_000_000 + 0.5).cast("long") for k, c in factors.items()}
+    added = lambda names: sum((F.col(f"_{k}") * F.lit(round(100 * vc.WEIGHTS[k])) for k in names if k in vc.WEIGHTS), F.lit(0).cast("long"))
+    # what a candidate's own columns give is worked out before cases meet, so that its words needn't go along
+    told = candidates.withColumns(whole(own) | {"_size": area}).withColumn("_own", added(own)).withColumns(whole(of_case))
+    total = (F.col("_own") + added(of_case)) / F.lit(100_000_000.0)
+    return told.withColumn("total", total).withColumns({f"f_{k}": F.col(f"_{k}") / F.lit(1_000_000.0) for k in [*own, *of_case]}).drop(*[f"_{k}" for k in [*own, *of_case]], "_size", "_own")
 
 
 def select_name(scored: DataFrame) -> DataFrame:
@@ -176,13 +179,14 @@ def select_name(scored: DataFrame) -> DataFrame:
     best_of = lambda *by: Window.partitionBy("case_id", *by).orderBy(F.desc("total"), F.desc("evidence"), "id")
     named = scored.withColumn("key", nm.key(F.col("value"))).withColumn("top", F.max("height").over(Window.partitionBy("case_id")))
     family = named.withColumn("_k", F.row_number().over(best_of("line", "merged"))).filter("_k = 1")
+    # windows that can share an order stand behind each other, so that rows are sorted once for both
     support = F.array_sort(F.array_distinct(F.flatten(F.collect_list("passes").over(Window.partitionBy("case_id", "key")))))
-    one = family.withColumn("support", support).withColumn("_k", F.row_number().over(best_of("key"))).filter("_k = 1")
+    one = family.withColumn("_k", F.row_number().over(best_of("key"))).withColumn("support", support).filter("_k = 1")
     first = F.col("height") > vc.FLOOR * F.col("top") + vc.BUFFER
     order = [F.desc(first), F.desc(F.when(first, F.col("total")).otherwise(F.col("height"))), F.desc(F.when(first, F.col("height")).otherwise(F.col("evidence"))), F.desc(F.when(first, F.col("evidence")).otherwise(F.col("total"))), F.col("key")]
-    ranked = one.withColumn("_k", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
-    chosen = F.first(F.struct("key", "height")).over(Window.partitionBy("case_id").orderBy("_k"))
-    other = ranked.withColumn("_best", chosen).withColumn("other", (F.col("_k") > 1) & ~nm.corroborate(F.col("key"), F.col("_best.key")))
+    w = Window.partitionBy("case_id").orderBy(*order)
+    ranked = one.withColumns({"_k": F.row_number().over(w), "_best": F.first(F.struct("key", "height")).over(w)})
+    other = ranked.withColumn("other", (F.col("_k") > 1) & ~nm.corroborate(F.col("key"), F.col("_best.key")))
     told = other.groupBy("case_id").agg(F.min(F.when(F.col("_k") == 1, F.struct("id", "value", "total", "support", "evidence", "positive"))).alias("b"), F.count_if(F.col("other") & (F.col("height") >= vc.RIVAL * F.col("_best.height"))).alias("rivals"), F.count_if("other").alias("others"))
     contested = (F.col("rivals") > 0) | ((F.col("b.evidence") < vc.UNSURE) & (F.col("others") > 0))
     sure = F.col("b.positive") & (F.col("b.evidence") >= vc.UNSURE)

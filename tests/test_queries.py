@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditloom.catalog import REGISTRY
 from auditloom.functions import statements, text
 from auditloom.functions.scores import alcohol_class, brand_class
-from auditloom.operators import extraction, grids, logs, review, sealing, spatial
+from auditloom.operators import dealing, extraction, grids, logs, review, sealing, spatial
 from auditloom.sources import tables
 from auditloom.streaming import review as streams
 
@@ -241,3 +241,12 @@ def test_contamination_as_sql_says(spark):
     c.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     got = extraction.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted(c.execute(REGISTRY.sql["j16_contamination"]).fetchall())
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables here")
+def test_rows_are_dealt_by_their_number(spark):
+    rows = dealing.dealt(spark.range(5000).withColumn("k", F.col("id") % 700), "k", each=100)
+    assert rows.rdd.getNumPartitions() == 50 and dealing.tasks(spark.range(3)) == 4
+    assert rows.select("k", F.spark_partition_id().alias("p")).groupBy("k").agg(F.countDistinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
+    plan = REGISTRY.queries["x11_select_name"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1  # cases stay together from the table on
