@@ -36,10 +36,11 @@ def shape(norm: Column) -> Column:
     found = F.regexp_extract_all(norm, F.lit(r"\d+[.,]\d+(?!\w)|[\p{L}\p{N}_]+\.?|\S"), 0)
     known = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
     digits = lambda t: F.translate(t, "0123456789", "")
-    letter = lambda t: F.coalesce(F.try_element_at(known, t), F.when(digits(t).isin("", ".", ",") & (digits(t) != t), "N").when(digits(t) != t, F.concat(F.lit("N"), digits(t), F.lit("?"))).otherwise(t))
+    letter = lambda t: F.coalesce(F.try_element_at(known, t), F.when(t.rlike(r"^(?=[.,]?\d)\d*[.,]?\d*$"), "N").when(digits(t) != t, F.concat(F.lit("N"), digits(t), F.lit("?"))).otherwise(t))
     base = lambda t: F.when(F.length(t) > 1, F.rtrim(t, F.lit("."))).otherwise(t)
-    pointed = lambda t: F.when((base(t) != t) & ~letter(base(t)).isin("A", "V"), ".").otherwise("")
-    return F.array_join(F.transform(found, lambda t: F.concat(letter(base(t)), pointed(t))), "")
+    pointed = lambda x: F.when((x["b"] != x["t"]) & ~letter(x["b"]).isin("A", "V"), ".").otherwise("")
+    based = F.transform(found, lambda t: F.struct(t.alias("t"), base(t).alias("b")))  # a token's base is read several times
+    return F.array_join(F.transform(based, lambda x: F.concat(letter(x["b"]), pointed(x))), "")
 
 
 def number(norm: Column, n: int) -> Column:

@@ -235,11 +235,13 @@ def wine_profile() -> Profile:
     syntax = F.when(~seen | unsure, "NEEDS_REVIEW").when(F.col("kind").isin("direct", "range"), "PASS").otherwise("FAIL")
     compare = F.when(blank | ~seen | unsure | (F.col("kind") != "direct") | F.col("points").isNull(), "NEEDS_REVIEW").when(F.col("points") == F.col("low"), "PASS").otherwise("FAIL")
     no_brand = F.col("brand").isNull() | F.col("declared_brand").isNull() | (F.trim("declared_brand") == "") | unsure
-    alike = (tx.brand_base(F.col("brand")) == tx.brand_base(F.col("declared_brand"))) | (tx.brand_key(F.col("brand")) == tx.brand_key(F.col("declared_brand")))
+    alike = (F.col("_brand") == F.col("_declared_brand")) | (F.col("_brand_key") == F.col("_declared_brand_key"))
     brand = F.when(no_brand, "NEEDS_REVIEW").when(alike, "PASS").otherwise("FAIL")
 
     def prepare(cases: DataFrame) -> DataFrame:
-        return stated(cases, "statement").withColumn("points", basis_points(F.regexp_replace(F.trim("declared"), r"\s*%$", "")))
+        # each step is a projection of its own, so that what several others read is worked out once a case
+        told = stated(cases, "statement").withColumn("_points", F.regexp_replace(F.trim("declared"), r"\s*%$", "")).withColumn("points", basis_points(F.col("_points")))
+        return tx.with_brand_keys(told, "brand", "declared_brand")
 
     elsewhere = [Rule(x, "1", "external-evidence-dependent") for x in ("actual-tolerance", "omission-eligibility", "class-boundary")]
     return Profile("wine", "1", [Rule("alcohol-syntax", "1", "syntax-validation", syntax), Rule("brand-name", "1", "canonical-text-comparison", brand), Rule("alcohol-declared", "1", "numeric-agreement", compare), *elsewhere], prepare)

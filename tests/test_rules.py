@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.functions import text
 from auditloom.operators import extraction as ex
 from auditloom.operators import logs as lg
 from auditloom.operators.rules import Profile, Rule, category_counts, evaluated
@@ -67,3 +68,12 @@ def test_words_meet_their_pass_before_they_are_split(spark):
 
     plan = REGISTRY.queries["x1_map_word_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_each_brand_key_is_worked_out_once(spark):
+    rows = [(b,) for b in ("Acme, Inc.", "ACME  l.l.c", "Inc.", " Co ", "", None, "Oak‘s Hill Ltd.,", "a co inc", "Ünï  corp")]
+    keys = text.with_brand_keys(spark.createDataFrame(rows, "b string"), "b").select("_b", text.brand_base(F.col("b")), "_b_key", text.brand_key(F.col("b"))).collect()
+    assert len(keys) == len(rows) and all(r[0] == r[1] and r[2] == r[3] for r in keys)
+    cases = spark.range(3).selectExpr("id AS case_id", "true AS sufficient", "'OBSERVED' AS state", "concat('ALC. ', id) AS statement", "'5%' AS declared", "concat('b ', id) AS brand", "concat('B ', id) AS declared_brand")
+    plan = ex.evaluate_rules(cases)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(brand#") == plan.count("translate(declared_brand#") == 1 and plan.count("[.,\\s]+$") == 4
