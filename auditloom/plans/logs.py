@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.fixtures import duck, view
 from auditloom.operators import logs as lg
 from auditloom.operators import manifests as mf
+from auditloom.operators.dealing import dealt, tasks
 from auditloom.registry import Registry
 
 TOKENS = "SELECT event_id % 200 AS case_id, user_id % 6 AS pass_order, props AS token FROM {}"
@@ -79,6 +80,8 @@ def register(r: Registry) -> None:
     r.add("v3_manifest_issues", f"WITH {joined} {listed}")(lambda s, d: mf.manifest_issues(declared(s, d), s.sql(runs), "^run-", ["case-7"]))
     order = [k for k in DECLARATION_RULES if "before" in k]
     r.add("v4_timestamp_chain_issues", f"WITH {joined} " + " UNION ALL ".join(f"SELECT case_id, '{k}' AS issue FROM j WHERE {DECLARATION_RULES[k]}" for k in order))(lambda s, d: mf.timestamp_chain_issues(declared(s, d), s.sql(runs)))
+    items = lambda s, d: dealt(view(s, d, "lineitem"), "l_orderkey")
+    orders = lambda s, d: view(s, d, "orders").repartition(tasks(view(s, d, "lineitem")), "o_orderkey")  # as many as of items, which they meet
     found = "SELECT l_orderkey AS case_id, l_linenumber AS position, min(l_partkey) AS k FROM {} GROUP BY l_orderkey, l_linenumber"
     told = """SELECT case_id, position, CASE WHEN k % 17 = 0 THEN 'rule1' ELSE concat('rule', CAST(position AS VARCHAR)) END AS rule, CASE WHEN k % 19 = 0 THEN 'v2' ELSE 'v1' END AS rule_version, CASE WHEN k % 23 = 0 THEN 'q' ELSE 'p' END AS profile, '1' AS profile_version, CASE k % 4 WHEN 0 THEN 'brandName' WHEN 1 THEN 'alcoholStatement' WHEN 2 THEN 'colour' END AS ref_field,
       CASE WHEN k % 29 = 0 THEN 'other' ELSE 'same' END AS ref_digest, CASE WHEN case_id % 3 = 0 THEN 'NOT_OBSERVED' WHEN k % 31 = 0 THEN 'AMBIGUOUS' ELSE 'OBSERVED' END AS ref_state, CASE WHEN k % 5 = 0 THEN 1 END AS ref_alternate FROM {}"""
@@ -89,7 +92,7 @@ def register(r: Registry) -> None:
     r.add("v23_result_rules", f"""WITH n AS ({found.format('lineitem')}), r AS (SELECT DISTINCT case_id FROM ({cases.format('orders')})), t AS (SELECT *, row_number() OVER (PARTITION BY case_id, CASE WHEN k % 17 = 0 THEN 1 ELSE position END ORDER BY position) AS nth FROM n) """
         + " UNION ALL ".join(f"SELECT t.case_id, position, '{name}' AS issue FROM t LEFT JOIN r ON r.case_id = t.case_id WHERE {c}" for name, c in broken.items())
         + " UNION ALL SELECT r.case_id, NULL, 'count' FROM r LEFT JOIN (SELECT case_id, count(*) AS n FROM n GROUP BY 1) c ON c.case_id = r.case_id WHERE coalesce(c.n, 0) <> 4")(
-        lambda s, d: mf.result_rule_issues(s.sql(told.replace("VARCHAR", "STRING").format("({n})").replace("({n})", "{n}"), n=s.sql(found.format("{l}"), l=view(s, d, "lineitem"))), s.sql(ruled), s.sql(cases.format("{o}"), o=view(s, d, "orders").dropDuplicates(["o_orderkey"])))
+        lambda s, d: mf.result_rule_issues(s.sql(told.replace("VARCHAR", "STRING").format("({n})").replace("({n})", "{n}"), n=s.sql(found.format("{l}"), l=items(s, d))), s.sql(ruled), s.sql(cases.format("{o}"), o=orders(s, d).dropDuplicates(["o_orderkey"])))
     )
     r.add("v5_burden_issues", duck("fx_entries", sql="SELECT case_id, total_burden, part_a + part_b AS parts FROM fx_entries WHERE total_burden < part_a + part_b"))(lambda s, d: ent(s, d).filter("total_burden < part_a + part_b").select("case_id", "total_burden", F.expr("part_a + part_b").alias("parts")))
     r.add("v9_duplicate_digests", duck("fx_entries", sql="SELECT digest, count(*) AS n, count(DISTINCT owner) AS owners, min(case_id) AS first_case FROM fx_entries GROUP BY 1 HAVING count(*) > 1"))(lambda s, d: lg.duplicate_digests(ent(s, d)))
