@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.dealing import dealt
+
 # The statuses of each queue.
 QUEUES = {"waiting": ["waiting_for_agent_review"], "in_review": ["in_agent_review"], "changes": ["changes_requested"], "done": ["internally_accepted"]}
 
@@ -103,20 +105,26 @@ def verify_inventory(entries: DataFrame, inventory: DataFrame) -> DataFrame:
 def multiset_diff(panels: DataFrame) -> DataFrame:
     """How the child's panels of a role came from the parent's: unchanged, replaced, added or removed, with counts.
 
-    Equal checksums are matched one to one. What is left on both sides is paired in checksum order: a join of the
-    overlapping ranges of running counts, so no panel is unrolled.
+    Equal checksums are matched one to one. What is left on both sides is paired in checksum order: running counts of both
+    sides cut a role into ranges, and each range has the parent's and the child's checksum that reach over it, so no panel is
+    unrolled and nothing is joined. A role's rows meet once.
     """
     keys = ["submission_id", "role"]
-    n = panels.groupBy(*keys, "checksum").agg(F.count_if(F.col("side") == "parent").alias("p"), F.count_if(F.col("side") == "child").alias("c"))
-    same = n.select(*keys, F.lit("unchanged").alias("change"), F.col("checksum").alias("was"), F.col("checksum").alias("now"), F.least("p", "c").alias("n")).filter("n > 0")
+    n = dealt(panels, *keys).groupBy(*keys, "checksum").agg(F.count_if(F.col("side") == "parent").alias("p"), F.count_if(F.col("side") == "child").alias("c"))
     order = Window.partitionBy(*keys).orderBy("checksum").rowsBetween(Window.unboundedPreceding, 0)
-    left = lambda a, b, name: n.withColumn("n", F.col(a) - F.least("p", "c")).filter("n > 0").withColumn("end", F.sum("n").over(order)).select(*keys, F.col("checksum").alias(name), (F.col("end") - F.col("n")).alias(f"{b}0"), F.col("end").alias(f"{b}1"))
-    was, now = left("p", "x", "was"), left("c", "y", "now")
-    paired = was.join(now, keys).filter("x0 < y1 AND y0 < x1").select(*keys, F.lit("replaced").alias("change"), "was", "now", (F.least("x1", "y1") - F.greatest("x0", "y0")).alias("n"))
-    total = lambda f, end, name: f.groupBy(*keys).agg(F.max(end).alias(name))
-    gone = was.join(total(now, "y1", "m"), keys, "left").withColumn("n", F.col("x1") - F.greatest("x0", F.coalesce("m", F.lit(0)))).filter("n > 0").select(*keys, F.lit("removed").alias("change"), "was", F.lit(None).cast("string").alias("now"), "n")
-    more = now.join(total(was, "x1", "m"), keys, "left").withColumn("n", F.col("y1") - F.greatest("y0", F.coalesce("m", F.lit(0)))).filter("n > 0").select(*keys, F.lit("added").alias("change"), F.lit(None).cast("string").alias("was"), "now", "n")
-    return same.unionByName(paired).unionByName(gone).unionByName(more)
+    same, told = F.least("p", "c"), F.struct("checksum")
+    ends = n.withColumns({"x": F.sum(F.col("p") - same).over(order), "y": F.sum(F.col("c") - same).over(order)})
+    part = lambda when, left, end, was, now: F.when(when, F.struct(F.lit(left).alias("left"), end.alias("n"), was.alias("was"), now.alias("now")))
+    none = F.lit(None).cast(n.select(told.alias("t")).schema["t"].dataType)
+    parts = F.array_compact(F.array(part(same > 0, False, same, told, told), part(F.col("p") > F.col("c"), True, F.col("x"), told, none), part(F.col("c") > F.col("p"), True, F.col("y"), none, told)))
+    rows = ends.select(*keys, F.explode(parts).alias("e")).select(*keys, "e.*")
+    # from the last end to the first; of two equal ends the one that comes later has the range, the other an empty one
+    back = Window.partitionBy(*keys, "left").orderBy(F.desc("n"))
+    over = back.rowsBetween(Window.unboundedPreceding, 0)
+    ranged = rows.withColumns({"_start": F.lead("n", 1, 0).over(back), "_was": F.last("was", True).over(over), "_now": F.last("now", True).over(over)})
+    reach = lambda side: F.when(F.col("left"), F.col(f"_{side}")).otherwise(F.col(side))
+    change = F.when(~F.col("left"), "unchanged").when(F.col("_now").isNull(), "removed").when(F.col("_was").isNull(), "added").otherwise("replaced")
+    return ranged.select(*keys, change.alias("change"), reach("was")["checksum"].alias("was"), reach("now")["checksum"].alias("now"), F.when(F.col("left"), F.col("n") - F.col("_start")).otherwise(F.col("n")).alias("n")).filter("n > 0")
 
 
 def evidence_diff(parent: DataFrame, child: DataFrame, key: list[str]) -> DataFrame:

@@ -250,3 +250,21 @@ def test_rows_are_dealt_by_their_number(spark):
     assert rows.select("k", F.spark_partition_id().alias("p")).groupBy("k").agg(F.countDistinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
     plan = REGISTRY.queries["x11_select_name"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1  # cases stay together from the table on
+
+
+def test_multiset_diff_meets_once(spark):
+    rows = [(s % 3, side, "r", c) for s, side, c in [(0, "parent", "a"), (0, "parent", "a"), (0, "child", "b"), (0, "parent", "c"), (0, "child", "c"), (1, "parent", "a"), (1, "parent", "b"), (1, "child", "c"), (1, "child", "d"), (2, "child", "z"), (2, "child", "z")]]
+    got = review.multiset_diff(spark.createDataFrame(rows, "submission_id long, side string, role string, checksum string"))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(0, "r", "unchanged", "c", "c", 1), (0, "r", "replaced", "a", "b", 1), (0, "r", "removed", "a", None, 1), (1, "r", "replaced", "a", "c", 1), (1, "r", "replaced", "b", "d", 1), (2, "r", "added", None, "z", 2)]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables here")
+def test_result_rules_stay_where_they_were_dealt(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = REGISTRY.queries["v23_result_rules"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") >= 3
