@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import random
 import time
 from collections import Counter
@@ -198,6 +200,27 @@ def test_manifest_and_report(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
 
 
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    some = random.Random(3)
+    body = some.randbytes(200_000)
+    files = {"a b%20.bin": body, "mark.txt": b"\xef\xbb\xbf" + body[:30_000], "mark_end.txt": b"\xef\xbb\xbf\xef\xbb\xbf" + body[:90_000] + b"\n", "ends.pdf": b"%PDF" + body[:70_000] + b"\r\n\n", "ends_not.png": b"\x89PNG" + body[:70_000] + b"\n\r"}
+    files |= {"lines.bin": b"\n" * 120_000, "line.bin": b"x" * 600_000, "first.bin": b"\n" + body[:60_000], "small.bin": body[:999], "masked.pdf": b"\xef\xbb\xbf%PDF" + body[:3_000], "packed.gz": gzip.compress(body[:500]), "z.parquet": b"PAR1" + body[:100_000] + b"PAR1"}
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for i, (name, data) in enumerate(files.items()):
+        (tmp_path / "d" / ("e" if i % 2 else "") / name).write_bytes(data)
+    monkeypatch.setattr(tables, "PIECE", 50_000)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = tables.artifact_inventory(spark, str(tmp_path / "d")).collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    kinds = {"ends.pdf": "pdf", "ends_not.png": "png", "z.parquet": "parquet"}
+    assert sorted(tuple(r) for r in got) == sorted((n, hashlib.sha256(x).hexdigest(), len(x), kinds.get(n, "other")) for n, x in files.items())
+
+
 def test_seal_moves_with_any_row(spark):
     df = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
     one = sealing.seal(df, "id").first()["seal"]
