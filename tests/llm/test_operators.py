@@ -203,6 +203,20 @@ def test_suffixes(spark, docs, empty, length, monkeypatch):
     assert suffixes.dedup(empty, length).count() == 0
 
 
+def test_places_of_a_large_group_are_told_in_many_tasks(spark):
+    places = spark.range(6000).select(F.col("id").alias("row"), F.lit(3).cast("long").alias("first"), F.when(F.col("id") < 5000, 7).otherwise(F.col("id") % 10 + 100).cast("long").alias("grp"))
+    limits = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffixes.sized(places, 16).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert Counter((r["grp"], r["large"]) for r in got) == {(7, 1): 5000, **{(g, 0): 100 for g in range(100, 110)}}
+    assert max(Counter(r["task"] for r in got).values()) < 2000
+
+
 def test_loser_tree():
     keys = sorted(bytes(random.choice(b"ab") for _ in range(suffixes.KEY)) if i % 3 else b"a" * 40 + bytes(random.choice(b"abc") for _ in range(8)) for i in range(3000))
     runs = [[] for _ in range(7)]
