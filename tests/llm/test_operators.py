@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from auditloom.llm import chat, components, jaccard, markup, media, mix, pieces, pivots, spans, suffixes, toxicity
 from auditloom.llm.queries_chat import SCHEMAS
 from auditloom.llm.queries_pieces import MODEL
+from auditloom.llm.queries_suffixes import op3_suffix_dedup
 
 random.seed(3)
 WORDS = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 7))) for _ in range(400)]
@@ -203,6 +204,24 @@ def test_suffixes(spark, docs, empty, length, monkeypatch):
     assert suffixes.dedup(empty, length).count() == 0
 
 
+def test_query_of_suffixes_removes_planted_passages(spark, tmp_path):
+    rng = random.Random(11)
+
+    def said(n: int) -> str:
+        return " ".join(rng.choice(WORDS) for _ in range(n))
+
+    long, short = said(110), said(51)  # the second is below 400 bytes, so it stays
+    assert len(long) > 400 > len(short) + 2
+    rows = [(i, said(rng.choice((20, 90, 400)))) for i in range(90)]  # of all sizes, so a text's size doesn't tell what repeats
+    for i, passage in [(i, long) for i in range(0, 90, 6)] + [(i, short) for i in range(1, 90, 6)]:
+        rows[i] = (i, f"{rows[i][1]} #{passage}# {said(rng.choice((5, 300)))}")
+    spark.createDataFrame([*rows, (90, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = bytes_left([t.encode() for _, t in rows] + [b""], 400)
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(91)] == [(*w[:3], hashlib.sha256(w[3]).hexdigest()) for w in want]
+    assert {i for i, r in got.items() if r["n_removed"]} == set(range(0, 90, 6)) and all(got[i]["n_removed"] >= len(long) for i in range(0, 90, 6))
+
+
 def test_places_of_a_large_group_are_told_in_many_tasks(spark):
     places = spark.range(6000).select(F.col("id").alias("row"), F.lit(3).cast("long").alias("first"), F.when(F.col("id") < 5000, 7).otherwise(F.col("id") % 10 + 100).cast("long").alias("grp"))
     limits = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
