@@ -15,9 +15,25 @@ from pyspark.sql import types as T
 COMPARING = ["PREVIOUS", "BEFORE", "COMPARE", "COMPARISON"]
 
 
+# Characters whose upper case is several characters, each with the one that takes its place where every character stays one (or itself).
+SPELT = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x149, 0x110000)) if len(c.upper()) > 1}
+# Letters that got capitals only with Unicode 16: they stay.
+NEWER = {c: c for c in ["ƛ", "ɤ", "\u1c8a", "\ua7cd", "\ua7db", *map(chr, range(0x10D70, 0x10D86))]}
+
+
+def upper(text: Column) -> Column:
+    """Upper case character by character, as SQL engines without full case mapping have it: ß becomes ẞ, not SS, so it isn't taken for ss."""
+    apart, changed = "".join(SPELT | NEWER), {k: v for k, v in SPELT.items() if k != v}
+    # the range before the list keeps common characters from being looked for in all of it
+    is_apart, others = f"[\u0149-\U0010ffff&&[{apart}]]", f"[^{apart}]+"
+    one = lambda x: F.when(x.rlike(is_apart), F.translate(x, "".join(changed), "".join(changed.values()))).otherwise(F.upper(x))
+    each = lambda t: F.when(t.rlike(is_apart), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(f"(?s){others}|."), 0), one), "")).otherwise(F.upper(t))
+    return F.transform(F.array(F.replace(text, F.lit("ß"), F.lit("ẞ"))), each)[0]
+
+
 def folded(text: Column) -> Column:
-    """Upper case with single spaces; '' for null."""
-    return F.upper(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    """Upper case, character by character, with single spaces; '' for null. A vertical tab is no white space here."""
+    return upper(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\f\r]+", " ")))
 
 
 def _grams(text: Column, n: Column) -> Column:

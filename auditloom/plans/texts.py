@@ -45,8 +45,9 @@ VARIANTS = f"""WITH t AS ({NAMES.format('supplier')}), k AS (SELECT text, regexp
 
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What turns of a conversation repeat of earlier ones."""
-    runs = spark.sql(RUNS.format(s="STRING", t="{t}"), t=view(spark, sf_dir, "conversations"))
-    w = F.split("own", " ")
+    # the SQL's concat leaves nulls out, and a turn without text has a name
+    runs = spark.sql(RUNS.replace("concat(", "concat_ws('', ").format(s="STRING", t="{t}"), t=view(spark, sf_dir, "conversations"))
+    w = F.split(F.coalesce("own", F.lit("")), " ")
     token = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("token"))
     tokens = F.concat(F.transform(F.filter(w, lambda x: F.length(x) >= 11), lambda x: token("word", x)), F.array(token("opening", F.array_join(F.slice(w, 1, 3), " ")), token("name", F.col("run_id"))))
     return tx.run_signals(runs.withColumn("tokens", tokens))

@@ -6,9 +6,12 @@ import random
 import re
 import time
 import unicodedata
+from collections import Counter
 
+import duckdb
 import pytest
 
+from auditloom.catalog import REGISTRY
 from auditloom.operators import checks as ck
 from auditloom.operators import texts as tx
 
@@ -47,6 +50,19 @@ def test_run_signals_broadcast_no_exploded_side(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_run_signals_equal_sql_on_odd_texts(spark, tmp_path):
+    texts = ["Straßenbahnhof geht weiter", "zum STRASSENBAHNHOF", "die straßenbahnhof, geht weiter", None, "nichts", "ﬁnanzierungen ᾀ ŉ", "über FINANZIERUNGEN und ﬁnanzierungen ᾀ ŉ Ü", "eins\x0bzwei drei vier", "so eins zwei drei vier", "so Eins\x0bzwei  drei\nvier", "", "ɤabcdefghijkl", "x ɤABCDEFGHIJKL"]
+    rows = [(c, t, "user", x) for c in (1, 2, 5) for t, x in enumerate(texts)] + [(5, None, "user", "Straßenbahnhof compare"), (None, 3, "user", "before")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = Counter(c.execute(REGISTRY.sql["j16_run_signals"]).fetchall())
+    got = REGISTRY.queries["j16_run_signals"](spark, str(tmp_path)).select("log", "sequence", "run_id", "kind", "token", "first_sequence")
+    assert Counter(map(tuple, got.collect())) == want
+    tokens = {t for _, _, _, _, t, _ in want}
+    assert {"STRAẞENBAHNHOF", "RUN-1-3", "EINS\x0bZWEI DREI VIER", "ɤABCDEFGHIJKL"} <= tokens and "STRASSENBAHNHOF" not in tokens
+
+
 def slow_common(a: str, b: str):
     for n in range(len(a), 0, -1):
         for i in range(len(a) - n + 1):
