@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators.spatial import met
+from auditloom.operators.spatial import Leading, leading_met, met
 
 from auditloom.functions.scores import nearest_rank, rate
 
@@ -186,8 +187,80 @@ def bounding_union(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("case_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def overlap_join(boxes: DataFrame, least: float = 0.08) -> DataFrame:
-    """Pairs of a case's proposals and targets with enough of the target covered, or its centre inside."""
+def rounded(x: Column, places: int) -> Column:
+    """Doubles as SQL engines round them in binary: the product, to the next whole number with halves away from zero, divided again. Spark rounds the shortest decimal, which differs at halves."""
+    y = x * F.lit(10.0**places)
+    whole = F.when(F.abs(y - F.rint(y)) == 0.5, y + F.signum(y) * 0.5).otherwise(F.rint(y))
+    return F.when(F.abs(y) < F.lit(float("inf")), whole / F.lit(10.0**places)).otherwise(x)
+
+
+def rounded_array(x: np.ndarray, places: int) -> np.ndarray:
+    """The same for arrays."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = x * 10.0**places
+        whole = np.rint(y)
+        return np.where(np.isfinite(y), np.where(np.abs(y - whole) == 0.5, y + np.sign(y) * 0.5, whole) / 10.0**places, x)
+
+
+class ByCoverage(Leading):
+    """Proposals of a target by coverage, then smaller area, then id."""
+
+    slack = 1.1e-9
+
+    def __init__(self, right: list[np.ndarray], least: float) -> None:
+        super().__init__(right)
+        self.least = least
+
+    def near(self, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        _, x0, y0, x1, y1 = left
+        _, u0, v0, u1, v1 = (c[:, None] for c in right)
+        wide, high = np.minimum(x1, u1) - np.maximum(x0, u0), np.minimum(y1, v1) - np.maximum(y0, v0)
+        cx, cy = (u0 + u1) / 2, (v0 + v1) / 2
+        common = np.maximum(0.0, wide) * np.maximum(0.0, high)
+        area, other = (x1 - x0) * (y1 - y0), (u1 - u0) * (v1 - v0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            coverage = common / other
+            counts = (wide >= 0) & (high >= 0) & ((coverage >= self.least) | (cx >= x0) & (cx <= x1) & (cy >= y0) & (cy <= y1))
+            found = self.good(coverage, common, area, other)
+        good = np.where(counts, found[0], -np.inf)
+        good[np.isnan(good)] = np.inf  # boxes without area: not ours to leave out
+        return good, *found[1:]
+
+    def good(self, coverage: np.ndarray, common: np.ndarray, area: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        return coverage, coverage
+
+    def exact(self, left: tuple[np.ndarray, ...], *found: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(rounded_array(found[0], 9), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def ties(self, left: tuple[np.ndarray, ...]) -> np.ndarray:
+        _, x0, y0, x1, y1 = left
+        return rounded_array((x1 - x0) * (y1 - y0), 9)
+
+
+class ByScore(ByCoverage):
+    """Proposals of a target by the weighted overlap of `best_proposal`, then id."""
+
+    slack = 1.3e-7
+
+    def good(self, coverage: np.ndarray, common: np.ndarray, area: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        precision, iou = common / area, common / (area + other - common)
+        return 10 * coverage + 5 * precision + 3 * iou - 0.25 * area, coverage, precision, iou
+
+    def exact(self, left: tuple[np.ndarray, ...], *found: np.ndarray) -> np.ndarray:
+        _, x0, y0, x1, y1 = left
+        coverage, precision, iou = (rounded_array(x, 9) for x in found)
+        score = 10 * coverage + 5 * precision + 3 * iou - 0.25 * rounded_array((x1 - x0) * (y1 - y0), 9)
+        return np.nan_to_num(rounded_array(score, 7), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def ties(self, left: tuple[np.ndarray, ...]) -> np.ndarray:
+        return np.zeros(len(left[0]))
+
+
+def overlap_join(boxes: DataFrame, least: float = 0.08, leading: type[ByCoverage] | None = None) -> DataFrame:
+    """Pairs of a case's proposals and targets with enough of the target covered, or its centre inside.
+
+    `leading` leaves out pairs that aren't the first of their target in its order, before there is a row for any of them; some that aren't can stay.
+    """
     sides = ("x0", "y0", "x1", "y1")
     p, t = (boxes.filter(F.col("role") == role).select("case_id", "vec_id", *sides) for role in ("proposal", "target"))
     wide = F.greatest(F.lit(0.0), F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0"))
@@ -195,8 +268,9 @@ def overlap_join(boxes: DataFrame, least: float = 0.08) -> DataFrame:
     area = lambda b: (F.col(f"{b}.x1") - F.col(f"{b}.x0")) * (F.col(f"{b}.y1") - F.col(f"{b}.y0"))
     cx, cy = (F.col("r.x0") + F.col("r.x1")) / 2, (F.col("r.y0") + F.col("r.y1")) / 2
     centre = (cx >= F.col("l.x0")) & (cx <= F.col("l.x1")) & (cy >= F.col("l.y0")) & (cy <= F.col("l.y1"))
-    both = met(p, t, ["case_id"]).withColumn("common", wide * high).withColumn("coverage", F.col("common") / area("r")).filter((F.col("coverage") >= least) | centre)
-    return both.select("case_id", F.col("l.vec_id").alias("proposal"), F.col("r.vec_id").alias("target"), F.round("coverage", 9).alias("coverage"), F.round(F.col("common") / area("l"), 9).alias("precision"), F.round(F.col("common") / (area("l") + area("r") - F.col("common")), 9).alias("iou"), F.round(area("l"), 9).alias("area"))
+    pairs = met(p, t, ["case_id"]) if leading is None else leading_met(p, t, ["case_id"], "vec_id", partial(leading, least=least))
+    both = pairs.withColumn("common", wide * high).withColumn("coverage", F.col("common") / area("r")).filter((F.col("coverage") >= least) | centre)
+    return both.select("case_id", F.col("l.vec_id").alias("proposal"), F.col("r.vec_id").alias("target"), rounded(F.col("coverage"), 9).alias("coverage"), rounded(F.col("common") / area("l"), 9).alias("precision"), rounded(F.col("common") / (area("l") + area("r") - F.col("common")), 9).alias("iou"), rounded(area("l"), 9).alias("area"))
 
 
 def leading(rows: DataFrame, key: list[str], order: list[tuple[str, str]]) -> DataFrame:
@@ -218,7 +292,7 @@ def leading(rows: DataFrame, key: list[str], order: list[tuple[str, str]]) -> Da
 
 def best_proposal(pairs: DataFrame) -> DataFrame:
     """The proposal of the best weighted overlap for each target."""
-    score = F.round(10 * F.col("coverage") + 5 * F.col("precision") + 3 * F.col("iou") - 0.25 * F.col("area"), 7)
+    score = rounded(10 * F.col("coverage") + 5 * F.col("precision") + 3 * F.col("iou") - 0.25 * F.col("area"), 7)
     few = leading(pairs.select("target", "proposal", "coverage", score.alias("score")), ["target"], [("score", "descending"), ("proposal", "ascending")])
     return few.groupBy("target").agg(F.max(F.struct("score", (-F.col("proposal")).alias("p"), "coverage")).alias("b")).select("target", (-F.col("b.p")).alias("proposal"), "b.score", (F.col("b.coverage") >= 0.5).alias("hit"))
 

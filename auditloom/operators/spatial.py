@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ LEAST, MOST = -30, 60
 CROWD, PARTS = 64, 8
 #: Reaches are made so much wider where they only choose what is compared, as sums of doubles are rounded.
 WIDER = 1 + 2.0**-20
+#: Left and right boxes of a cell that one task compares at least; a cell with more is dealt in blocks.
+LEFT_BLOCK, RIGHT_BLOCK = 16384, 4096
 SIDES = ("x0", "y0", "x1", "y1")
 
 
@@ -21,14 +28,8 @@ def _size(low: Column, high: Column) -> Column:
     return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.log2(F.greatest(high - low, F.lit(2.0**LEAST)))))).cast("int")
 
 
-def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """(by, l, r): pairs of boxes of one group that overlap or touch, as structs of all columns of both sides. Boxes: x0, y0, x1, y1.
-
-    A box belongs to a kind, the powers of two that hold its width and its height. Two kinds meet in a grid whose cells are, on
-    each axis, as large as the larger of both; so a box touches few cells of each grid, and what else lies in them is near
-    for its size, however many boxes a group has and however unlike they are. A pair counts in the cell where what both
-    cover begins. Boxes with a null side meet nothing.
-    """
+def _cells(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides, a row for each cell that a box touches (own columns as _l_c and _r_c), and the columns that name a cell."""
     sides = []
     for name, df in (("l", left), ("r", right)):
         fit = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in SIDES) + " AND x1 >= x0 AND y1 >= y0")
@@ -45,8 +46,20 @@ def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
     here = cells(sides[0], "l", kinds[1], ("_lw", "_lh", "_rw", "_rh"))
     there = cells(sides[1], "r", kinds[0], ("_rw", "_rh", "_lw", "_lh"))
+    return here, there, [*by, "_lw", "_lh", "_rw", "_rh", "_cx", "_cy"]
+
+
+def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, l, r): pairs of boxes of one group that overlap or touch, as structs of all columns of both sides. Boxes: x0, y0, x1, y1.
+
+    A box belongs to a kind, the powers of two that hold its width and its height. Two kinds meet in a grid whose cells are, on
+    each axis, as large as the larger of both; so a box touches few cells of each grid, and what else lies in them is near
+    for its size, however many boxes a group has and however unlike they are. A pair counts in the cell where what both
+    cover begins. Boxes with a null side meet nothing.
+    """
+    here, there, cell = _cells(left, right, by)
     # cells are few bytes and many pairs: adaptive planning, which goes by bytes, would give them to a few tasks
-    cell, tasks = [*by, "_lw", "_lh", "_rw", "_rh", "_cx", "_cy"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = here.repartition(tasks, *cell).join(there.repartition(tasks, *cell), cell)
     touch = (F.col("_l_x0") <= F.col("_r_x1")) & (F.col("_r_x0") <= F.col("_l_x1")) & (F.col("_l_y0") <= F.col("_r_y1")) & (F.col("_r_y0") <= F.col("_l_y1"))
     begins = (F.col("_cx") == F.floor(F.greatest("_l_x0", "_r_x0") / F.col("_cw"))) & (F.col("_cy") == F.floor(F.greatest("_l_y0", "_r_y0") / F.col("_ch")))
@@ -54,6 +67,139 @@ def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return pairs.filter(touch & begins).select(*by, whole("l", left), whole("r", right))
 
 
+class Leading:
+    """Takes right boxes of a cell, then left ones bit by bit, and keeps the left box that is first for each right one. Boxes: id, x0, y0, x1, y1.
+
+    A subclass says how good a pair is (`near`, up to `slack`, and `exact`) and which left box goes first among equals (`ties`, ids last).
+    """
+
+    slack = 0.0
+    #: Boxes of each side that are compared at once, so that what is worked out stays in a core's cache.
+    tile = (512, 128)
+
+    def near(self, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """How good each pair is (a row for each right box), -inf where it doesn't count, then what `exact` needs of the pairs, of the same shape."""
+        raise NotImplementedError
+
+    def exact(self, left: tuple[np.ndarray, ...], *found: np.ndarray) -> np.ndarray:
+        """How good pairs are, of their left boxes and what `near` found."""
+        raise NotImplementedError
+
+    def ties(self, left: tuple[np.ndarray, ...]) -> np.ndarray:
+        """What left boxes of equally good pairs go by, least first; their ids come after it."""
+        raise NotImplementedError
+
+    def __init__(self, right: list[np.ndarray]) -> None:
+        n = len(right[0])
+        self.right, self.best, self.tie = right, np.full(n, -np.inf), np.full(n, np.inf)
+        self.left = [np.zeros(n, c.dtype) for c in right]
+
+    def add(self, left: list[np.ndarray]) -> None:
+        tie = self.ties(tuple(left))
+        order = np.lexsort((left[0], tie))
+        left, tie = [c[order] for c in left], tie[order]
+        high, wide = self.tile
+        for r in range(0, len(self.best), high):
+            rows = slice(r, r + high)
+            right = tuple(c[rows] for c in self.right)
+            for c in range(0, len(tie), wide):
+                self._meet(rows, right, tuple(x[c : c + wide] for x in left), tie[c : c + wide])
+
+    def _meet(self, rows: slice, right: tuple[np.ndarray, ...], left: tuple[np.ndarray, ...], tie: np.ndarray) -> None:
+        good, *found = self.near(left, right)
+        most = good.max(axis=1)
+        least = np.maximum(most, self.best[rows])
+        with np.errstate(invalid="ignore"):
+            least = np.where(np.isneginf(most), np.inf, np.where(np.isfinite(least), least - self.slack - 1e-12 * np.abs(least), least))
+        if not (most >= least).any():
+            return
+        at, by = np.nonzero(good >= least[:, None])
+        key = self.exact(tuple(x[by] for x in left), *[x[at, by] for x in found])
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        first = np.flatnonzero(key == np.repeat(np.maximum.reduceat(key, starts), np.diff(np.r_[starts, len(at)])))
+        first = first[np.r_[True, at[first[1:]] != at[first[:-1]]]]  # left boxes are in order of ties
+        key, by, at = key[first], by[first], at[first] + rows.start
+        was, same = self.best[at], tie[by] == self.tie[at]
+        new = (key > was) | (key == was) & ((tie[by] < self.tie[at]) | same & (left[0][by] < self.left[0][at]))
+        key, by, at = key[new], by[new], at[new]
+        self.best[at], self.tie[at] = key, tie[by]
+        for kept, x in zip(self.left, left):
+            kept[at] = x[by]
+
+    def found(self) -> list[np.ndarray]:
+        """Columns of the pairs that are left: of the left box, then of the right one."""
+        some = np.flatnonzero(self.best > -np.inf)
+        return [c[some] for c in (*self.left, *self.right)]
+
+
+def leading_met(left: DataFrame, right: DataFrame, by: list[str], id: str, order: Callable[[list[np.ndarray]], Leading]) -> DataFrame:
+    """Of the pairs of `met` a few that hold the first of each right box, by `order`: one for each right box in each block of a cell, so a pair can come more than once. `id` is a long.
+
+    Boxes of a cell are compared in blocks inside a task, without a row for any other pair, so what is sorted and
+    shuffled is the boxes alone. Cells with many boxes are dealt to several tasks, in which a side meets all blocks of the other.
+    """
+    own = [id, *SIDES]
+    here, there, cell = _cells(left, right, by)
+    crowds = here.groupBy(*cell).agg(F.count("*").alias("_nl"), F.lit(0).cast("long").alias("_nr")).unionByName(there.groupBy(*cell).agg(F.lit(0).cast("long").alias("_nl"), F.count("*").alias("_nr")))
+    crowds = crowds.groupBy(*cell).agg(F.ceil(F.sum("_nl") / LEFT_BLOCK).alias("_na"), F.ceil(F.sum("_nr") / RIGHT_BLOCK).alias("_nb"))
+    crowds = F.broadcast(crowds.filter("_na > 1 OR _nb > 1"))  # a row for some thousand boxes at most
+
+    def dealt(df: DataFrame, name: str, deal: str, other: str) -> DataFrame:
+        mine = df.select(*cell, *[F.col(f"_{name}_{c}").alias(c) for c in own]).join(crowds, cell, "left")
+        n = lambda x: F.greatest(F.lit(1), F.coalesce(f"_n{x}", F.lit(1))).cast("int")
+        block = F.pmod(F.xxhash64(*own), n(deal)).cast("int")
+        return mine.select(*cell, block.alias(f"_{deal}"), F.explode(F.sequence(F.lit(0), n(other) - 1)).alias(f"_{other}"), F.lit(name == "l").alias("_left"), *own)
+
+    group = [*cell, "_a", "_b"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt(there, "r", "b", "a").unionByName(dealt(here, "l", "a", "b"))
+    rows = rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*by, id])).repartition(tasks, *group).sortWithinPartitions(*group, "_left")
+    types = dict(left.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in by], *[f"_{name}_{c} {types[c]}" for name in "lr" for c in own]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met_by, targets, state, done = None, None, [], None, []
+
+        def close() -> None:
+            if state is not None and len((columns := state.found())[0]):
+                n = len(columns[0])
+                done.append(pa.RecordBatch.from_arrays([*[pa.repeat(v, n) for v in met_by], *map(pa.array, columns)], names=[*by, *[f"_{name}_{c}" for name in "lr" for c in own]]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            keys = [batch.column(c) for c in group]
+            for k in keys:
+                new[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+            now = tuple(k[0].as_py() for k in keys)
+            new[0] = now != last
+            last = tuple(k[-1].as_py() for k in keys)
+            is_left = batch.column("_left").to_numpy(zero_copy_only=False)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in own]
+            # cut where a group begins and where its left boxes begin
+            cuts = np.flatnonzero(new | np.r_[True, is_left[1:] != is_left[:-1]])
+            for start, end in zip(cuts, np.r_[cuts[1:], batch.num_rows]):
+                if new[start]:
+                    close()
+                    met_by, targets, state = [batch.column(c)[int(start)] for c in by], [], None
+                part = [c[start:end] for c in columns]
+                if not is_left[start]:
+                    targets.append(part)
+                elif targets:
+                    state = state or order([np.concatenate(x) for x in zip(*targets)])
+                    state.add(part)
+            if done:
+                yield from done
+                done.clear()
+        close()
+        yield from done
+
+    out = rows.mapInArrow(run, schema)
+    whole = lambda name: F.struct(*[F.col(c) for c in by], *[F.col(f"_{name}_{c}").alias(c) for c in own]).alias(name)
+    return out.select(*by, whole("l"), whole("r"))
+
+
 def union_area(boxes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(case_id, area): exact area of the union of each case's boxes (x0, y0, x1, y1), to nine places. Boxes without area are left out.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,45 @@ def test_pairs_shrink_where_they_are_made(spark):
     want = {t: min((-(c or -1), a, p) for k, p, c, a in rows if k == t)[2] for t in range(6)}
     assert {r["target"]: r["proposal"] for r in gr.representatives(df).collect()} == want
     assert "MapInArrow" in gr.representatives(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def proposals_of(rng, n):
+    boxes = boxes_of(rng, n, ((1, 1), (300, 0.01), (0.01, 300), (40, 40), (90, 60)))
+    boxes += [(c, n + k, *b[2:]) for k, (c, b) in enumerate((rng.randrange(3), rng.choice(boxes)) for _ in range(n // 2))]  # copies, so ties
+    rows = [(c, i, "target" if i % 4 == 0 else "proposal", *sides) for c, i, *sides in boxes if sides[2] > sides[0] and sides[3] > sides[1]]
+    return rows + [(0, 10**6, "proposal", None, 0.0, 1.0, 1.0), (None, 10**6 + 1, "proposal", -50.0, -50.0, 50.0, 50.0), (None, 10**6 + 4, "target", 0.0, 0.0, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("blocks", [None, (32, 8)])
+def test_leading_pairs_equal_those_of_all(spark, monkeypatch, blocks):
+    if blocks:  # every cell is dealt to several tasks
+        monkeypatch.setattr(sp, "LEFT_BLOCK", blocks[0])
+        monkeypatch.setattr(sp, "RIGHT_BLOCK", blocks[1])
+        monkeypatch.setattr(sp.Leading, "tile", (5, 7))
+    df = spark.createDataFrame(proposals_of(random.Random(5), 400), "case_id int, vec_id long, role string, x0 double, y0 double, x1 double, y1 double")
+    pairs = gr.overlap_join(df).cache()
+    for best, order in ((gr.best_proposal, gr.ByScore), (gr.representatives, gr.ByCoverage)):
+        few = gr.overlap_join(df, leading=order)
+        want = sorted(map(tuple, best(pairs).collect()))
+        assert sorted(map(tuple, best(few).collect())) == want and len(want) > 80
+        assert few.subtract(pairs).count() == 0
+
+
+def test_leading_pairs_have_no_row_each(spark):
+    """All boxes of a case overlap: rows grow with the targets, not with the pairs."""
+    n = 8000
+    df = spark.range(n).selectExpr("1 AS case_id", "id AS vec_id", "IF(id % 5 = 0, 'target', 'proposal') AS role", "(id * 7919 % 1009) * 1e-4D AS x0", "(id * 104729 % 1013) * 1e-4D AS y0").selectExpr("*", "x0 + 0.2 AS x1", "y0 + 0.2 AS y1")
+    for order in (gr.ByScore, gr.ByCoverage):
+        assert n // 5 <= gr.overlap_join(df, leading=order).count() < n * 4
+
+
+def test_rounds_as_sql(spark):
+    rng = random.Random(9)
+    values = [17.62840875, 2.5e-9, -0.5, 1e300, 0.0] + [round(rng.uniform(-20, 20), 8) + 5e-8 for _ in range(4000)] + [rng.random() for _ in range(4000)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t AS SELECT unnest($1::DOUBLE[]) AS x", [values])
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for places in (7, 9):
+        want = dict(c.execute(f"SELECT x, round(x, {places}) FROM t").fetchall())
+        assert {r["x"]: r["y"] for r in df.select("x", gr.rounded(F.col("x"), places).alias("y")).collect()} == pytest.approx(want, rel=1e-15)
+        assert dict(zip(values, gr.rounded_array(np.array(values), places).tolist())) == pytest.approx(want, rel=1e-15)
