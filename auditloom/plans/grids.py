@@ -64,7 +64,7 @@ def register(r: Registry) -> None:
         SELECT case_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(upto, y0))) * (xto - x)), 9) AS area FROM i GROUP BY 1"""))(lambda s, d: sp.union_area(boxes(s, d)))
     r.add("j11_overlap_join", bx("SELECT * FROM ov"))(lambda s, d: g.overlap_join(boxes(s, d)))
     r.add("j12_best_proposal", bx(", z AS (SELECT *, round(10 * coverage + 5 * precision + 3 * iou - 0.25::DOUBLE * area, 7) AS score FROM ov) SELECT target, proposal, score, coverage >= 0.5 AS hit FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, proposal) = 1"))(lambda s, d: g.best_proposal(g.overlap_join(boxes(s, d), leading=g.ByScore)))
-    r.add("w10_representative", bx("SELECT target, proposal, coverage FROM ov QUALIFY row_number() OVER (PARTITION BY target ORDER BY coverage DESC, area, proposal) = 1"))(lambda s, d: g.representatives(g.overlap_join(boxes(s, d))))
+    r.add("w10_representative", bx("SELECT target, proposal, coverage FROM ov QUALIFY row_number() OVER (PARTITION BY target ORDER BY coverage DESC, area, proposal) = 1"))(lambda s, d: g.representatives(g.overlap_join(boxes(s, d), leading=g.ByCoverage)))
     r.add("a24_matching_views", bx(", o AS (SELECT case_id, proposal, max_by(target, {'c': coverage, 't': target}) AS t FROM ov GROUP BY ALL), k AS (SELECT case_id, count(DISTINCT t) AS strict_match FROM o GROUP BY 1) SELECT case_id, any_match, mean, best, strict_match FROM (SELECT case_id, count(DISTINCT target) AS any_match, round(avg(coverage), 6) AS mean, max(coverage) AS best FROM ov GROUP BY 1) JOIN k USING (case_id)"))(lambda s, d: g.matching_views(g.overlap_join(boxes(s, d))))
     r.add("x18_boxes_to_grid", bx('SELECT vec_id, "column", row FROM (SELECT vec_id, unnest(range(CAST(least(7, greatest(0, floor(x0 * 8))) AS INT), CAST(least(7, greatest(0, floor(x1 * 8))) AS INT) + 1))::INT AS "column", y0, y1 FROM b), LATERAL (SELECT unnest(range(CAST(least(5, greatest(0, floor(y0 * 6))) AS INT), CAST(least(5, greatest(0, floor(y1 * 6))) AS INT) + 1))::INT AS row)'))(lambda s, d: g.boxes_to_grid(boxes(s, d), 8, 6))
     r.add("x19_pad_regions", bx("SELECT vec_id, round(greatest(0, x0 - 0.04::DOUBLE), 9) AS x0, round(greatest(0, y0 - 0.04::DOUBLE), 9) AS y0, round(least(1, x1 + 0.04::DOUBLE), 9) AS x1, round(least(1, y1 + 0.04::DOUBLE), 9) AS y1 FROM b"))(lambda s, d: g.pad_regions(boxes(s, d)))
