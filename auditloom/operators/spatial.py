@@ -49,15 +49,30 @@ def _cells(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame,
     return here, there, [*by, "_lw", "_lh", "_rw", "_rh", "_cx", "_cy"]
 
 
+def _dealt(here: DataFrame, there: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of `_cells` with the blocks of crowded cells (_a of left, _b of right boxes), a side once for each block of the other, and the columns that name a pair of blocks."""
+    nothing = F.lit(0).cast("long")
+    crowds = here.groupBy(*cell).agg(F.count("*").alias("_nl"), nothing.alias("_nr")).unionByName(there.groupBy(*cell).agg(nothing.alias("_nl"), F.count("*").alias("_nr")))
+    crowds = crowds.groupBy(*cell).agg(F.ceil(F.sum("_nl") / LEFT_BLOCK).alias("_na"), F.ceil(F.sum("_nr") / RIGHT_BLOCK).alias("_nb"))
+    crowds = F.broadcast(crowds.filter("_na > 1 OR _nb > 1"))  # a row for some thousand boxes at most
+    n = lambda x: F.greatest(F.lit(1), F.coalesce(f"_n{x}", F.lit(1))).cast("int")
+
+    def deal(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(*[c for c in df.columns if c.startswith(f"_{name}_")]), n(own)).cast("int")
+        return df.join(crowds, cell, "left").withColumn(f"_{own}", block).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), n(other) - 1))).drop("_na", "_nb")
+
+    return deal(here, "l", "a", "b"), deal(there, "r", "b", "a"), [*cell, "_a", "_b"]
+
+
 def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """(by, l, r): pairs of boxes of one group that overlap or touch, as structs of all columns of both sides. Boxes: x0, y0, x1, y1.
 
     A box belongs to a kind, the powers of two that hold its width and its height. Two kinds meet in a grid whose cells are, on
     each axis, as large as the larger of both; so a box touches few cells of each grid, and what else lies in them is near
     for its size, however many boxes a group has and however unlike they are. A pair counts in the cell where what both
-    cover begins. Boxes with a null side meet nothing.
+    cover begins. Boxes with a null side meet nothing. Cells with many boxes are dealt to several tasks.
     """
-    here, there, cell = _cells(left, right, by)
+    here, there, cell = _dealt(*_cells(left, right, by))
     # cells are few bytes and many pairs: adaptive planning, which goes by bytes, would give them to a few tasks
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = here.repartition(tasks, *cell).join(there.repartition(tasks, *cell), cell)
@@ -136,23 +151,13 @@ def leading_met(left: DataFrame, right: DataFrame, by: list[str], id: str, order
     """Of the pairs of `met` a few that hold the first of each right box, by `order`: one for each right box in each block of a cell, so a pair can come more than once. `id` is a long.
 
     Boxes of a cell are compared in blocks inside a task, without a row for any other pair, so what is sorted and
-    shuffled is the boxes alone. Cells with many boxes are dealt to several tasks, in which a side meets all blocks of the other.
+    shuffled is the boxes alone. Cells with many boxes are dealt to several tasks.
     """
     own = [id, *SIDES]
-    here, there, cell = _cells(left, right, by)
-    crowds = here.groupBy(*cell).agg(F.count("*").alias("_nl"), F.lit(0).cast("long").alias("_nr")).unionByName(there.groupBy(*cell).agg(F.lit(0).cast("long").alias("_nl"), F.count("*").alias("_nr")))
-    crowds = crowds.groupBy(*cell).agg(F.ceil(F.sum("_nl") / LEFT_BLOCK).alias("_na"), F.ceil(F.sum("_nr") / RIGHT_BLOCK).alias("_nb"))
-    crowds = F.broadcast(crowds.filter("_na > 1 OR _nb > 1"))  # a row for some thousand boxes at most
-
-    def dealt(df: DataFrame, name: str, deal: str, other: str) -> DataFrame:
-        mine = df.select(*cell, *[F.col(f"_{name}_{c}").alias(c) for c in own]).join(crowds, cell, "left")
-        n = lambda x: F.greatest(F.lit(1), F.coalesce(f"_n{x}", F.lit(1))).cast("int")
-        block = F.pmod(F.xxhash64(*own), n(deal)).cast("int")
-        return mine.select(*cell, block.alias(f"_{deal}"), F.explode(F.sequence(F.lit(0), n(other) - 1)).alias(f"_{other}"), F.lit(name == "l").alias("_left"), *own)
-
-    group = [*cell, "_a", "_b"]
+    here, there, group = _dealt(*_cells(left.select(*by, *own), right.select(*by, *own), by))
+    one = lambda df, name: df.select(*group, F.lit(name == "l").alias("_left"), *[F.col(f"_{name}_{c}").alias(c) for c in own])
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt(there, "r", "b", "a").unionByName(dealt(here, "l", "a", "b"))
+    rows = one(there, "r").unionByName(one(here, "l"))
     rows = rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*by, id])).repartition(tasks, *group).sortWithinPartitions(*group, "_left")
     types = dict(left.dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in by], *[f"_{name}_{c} {types[c]}" for name in "lr" for c in own]])

@@ -116,6 +116,20 @@ def test_pairs_shrink_where_they_are_made(spark):
     assert "MapInArrow" in gr.representatives(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_met_deals_crowded_cells(spark, monkeypatch):
+    """What one task compares is bounded, and no pair is lost or doubled."""
+    rng = random.Random(4)
+    a, b = boxes_of(rng, 200, ((40, 40), (1, 1))), boxes_of(rng, 200, ((40, 40), (0, 0)))
+    dfs = [spark.createDataFrame(x, BOX) for x in (a, b)]
+    want = {(p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]}
+    monkeypatch.setattr(sp, "LEFT_BLOCK", 8)
+    monkeypatch.setattr(sp, "RIGHT_BLOCK", 4)
+    got = sp.met(*dfs, ["case_id"]).select("l.id", F.col("r.id").alias("other")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    here, _, group = sp._dealt(*sp._cells(*dfs, ["case_id"]))
+    assert here.groupBy(*group).count().agg(F.max("count")).first()[0] <= 24
+
+
 def proposals_of(rng, n):
     boxes = boxes_of(rng, n, ((1, 1), (300, 0.01), (0.01, 300), (40, 40), (90, 60)))
     boxes += [(c, n + k, *b[2:]) for k, (c, b) in enumerate((rng.randrange(3), rng.choice(boxes)) for _ in range(n // 2))]  # copies, so ties
